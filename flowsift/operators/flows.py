@@ -30,6 +30,7 @@ def aggregate_flows(split: DataFrame, timeout_us: int, packet_cap: int | None =
     leaves little more than one row per flow for the shuffle."""
     flags = [F.sum(has_flag(n).cast("bigint")).alias(f"flag_{n}") for n in TCP_FLAGS]
     flows = split.groupBy(*FLOW_KEY, F.col("anchor_us").alias("start_us")).agg(
+        F.min("packet_id").alias("flow_id"),
         F.max("ts_us").alias("end_us"),
         F.count(F.lit(1)).alias("packets_seen"),
         F.sum(F.when(F.col("from_a"), F.col("length")).otherwise(0)).alias("src_bytes"),
@@ -39,6 +40,7 @@ def aggregate_flows(split: DataFrame, timeout_us: int, packet_cap: int | None =
     count = F.col("packets_seen") if packet_cap is None else F.least("packets_seen", F.lit(packet_cap))
     closed = F.col("end_us") - F.col("start_us") > timeout_us
     return flows.select(
+        "flow_id",
         F.col("a_ip").alias("src_ip"), F.col("a_port").alias("src_port"),
         F.col("b_ip").alias("dst_ip"), F.col("b_port").alias("dst_port"), "protocol",
         "start_us", "end_us", count.alias("packet_count"), "src_bytes", "dst_bytes",

@@ -122,7 +122,7 @@ walk as (
     case when w.closed then false else r.ts_us - w.anchor > {FLOW_TIMEOUT_US} end
   from walk w join ranked r on r.k = w.k and r.rn = w.rn + 1),
 flows as (
-  select a_ip as src_ip, a_port as src_port, b_ip as dst_ip, b_port as dst_port, protocol, anchor as start_us,
+  select min(packet_id) as flow_id, a_ip as src_ip, a_port as src_port, b_ip as dst_ip, b_port as dst_port, protocol, anchor as start_us,
     max(ts_us) as end_us, least(count(*), 1000) as packet_count,
     cast(sum(case when from_a then length else 0 end) as bigint) as src_bytes,
     cast(sum(case when from_a then 0 else length end) as bigint) as dst_bytes,
