@@ -63,18 +63,32 @@ def _merge_moments(n1, mean1, m1, n2, mean2, m2):
     return n1 + n2, mean1 + delta * n2 / n, m1 + m2 + delta * delta * (n1 * n2 / n)
 
 
+def _vectors(batch: pa.RecordBatch, width: int) -> np.ndarray:
+    values = batch.column("_vec").flatten().to_numpy(zero_copy_only=False)
+    return values.reshape(-1, width).astype(np.float64)
+
+
 def _moments_before(placed: DataFrame, width: int) -> dict[int, tuple]:
     """Moments of all rows before each partition: one row per partition reaches the driver."""
-    features = [F.get("_vec", F.lit(i)).cast("double") for i in range(width)]
-    per_part = placed.groupBy("_pid").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.avg(f) for f in features]).alias("mean"),
-        F.array(*[F.var_pop(f) for f in features]).alias("var"),
-    )
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid, state = None, (0, np.zeros(width), np.zeros(width))
+        for batch in batches:
+            if batch.num_rows:
+                pid = batch.column("_pid")[0].as_py()
+                x = _vectors(batch, width)
+                mean = x.mean(axis=0)
+                state = _merge_moments(*state, len(x), mean, ((x - mean) ** 2).sum(axis=0))
+        if pid is not None:
+            yield pa.RecordBatch.from_pydict(
+                {"_pid": [pid], "n": [state[0]], "mean": [state[1].tolist()], "m2": [state[2].tolist()]}
+            )
+
+    parts = placed.select("_pid", "_vec").mapInArrow(summarise, "_pid bigint, n bigint, mean array<double>, m2 array<double>")
     before, state = {}, (0, np.zeros(width), np.zeros(width))
-    for row in sorted(per_part.collect(), key=lambda r: r["_pid"]):
+    for row in sorted(parts.collect(), key=lambda r: r["_pid"]):
         before[row["_pid"]] = state
-        state = _merge_moments(*state, row["n"], np.array(row["mean"]), np.array(row["var"]) * row["n"])
+        state = _merge_moments(*state, row["n"], np.array(row["mean"]), np.array(row["m2"]))
     return before
 
 
@@ -104,7 +118,7 @@ def running_zscore(
                 continue
             if state is None:
                 state = before[batch.column("_pid")[0].as_py()]
-            x = batch.column("_vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64)
+            x = _vectors(batch, width)
             shifted = x - x[0]
             k = np.arange(1, len(x) + 1)[:, None]
             total = np.cumsum(shifted, axis=0)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def undirected_edges(flows: DataFrame) -> DataFrame:
     """Distinct (a, b), both directions, with a self loop per node."""
-    pairs = flows.groupBy("src_ip", "dst_ip").agg()  # repeated flows collapse map-side
+    pairs = flows.select("src_ip", "dst_ip").distinct()  # repeated flows collapse map-side
     both = F.array(
         F.struct(F.col("src_ip").alias("a"), F.col("dst_ip").alias("b")),
         F.struct(F.col("dst_ip").alias("a"), F.col("src_ip").alias("b")),
