@@ -7,17 +7,19 @@ Arrow batches of the text column alone.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Rule = tuple[str, str]  # (rule id, pattern)
 
 _INLINE_RULES = 64  # beyond this the compiled matcher is cheaper than one test per pattern
-_OCCURRENCES = "array<struct<rule_id:string,pattern:string,start:bigint,stop:bigint>>"
 
 try:
     import ahocorasick
@@ -37,52 +39,57 @@ def _fold(text) -> str | None:
     return raw.decode("latin-1")
 
 
-def _find_all(rules: list[Rule]):
-    folded = [(_fold(p), i, p) for i, p in rules]
+def _matcher(rules: list[Rule]) -> Callable[[str], list[tuple[int, int, int]]]:
+    """All occurrences as (stop, start, rule number), ordered by stop then start."""
+    folded = [_fold(p) for _, p in rules]
     if ahocorasick is None:
-        def search(text: str):
-            for folded_pattern, rule, pattern in folded:
-                at = text.find(folded_pattern)
+        def search(text: str) -> list[tuple[int, int, int]]:
+            found = []
+            for number, pattern in enumerate(folded):
+                at = text.find(pattern)
                 while at >= 0:
-                    yield rule, pattern, at, at + len(folded_pattern)
-                    at = text.find(folded_pattern, at + 1)
+                    found.append((at + len(pattern), at, number))
+                    at = text.find(pattern, at + 1)
+            return sorted(found)
         return search
 
-    by_pattern: dict[str, list[Rule]] = {}
-    for folded_pattern, rule, pattern in folded:
-        by_pattern.setdefault(folded_pattern, []).append((rule, pattern))
-    matcher = ahocorasick.Automaton()
-    for folded_pattern, owners in by_pattern.items():
-        matcher.add_word(folded_pattern, (len(folded_pattern), owners))
-    matcher.make_automaton()
-
-    def search(text: str):
-        for last, (size, owners) in matcher.iter(text):
-            for rule, pattern in owners:
-                yield rule, pattern, last + 1 - size, last + 1
+    owners: dict[str, list[int]] = {}
+    for number, pattern in enumerate(folded):
+        owners.setdefault(pattern, []).append(number)
+    automaton = ahocorasick.Automaton()
+    for pattern, numbers in owners.items():
+        automaton.add_word(pattern, (len(pattern), numbers))
+    automaton.make_automaton()
+
+    def search(text: str) -> list[tuple[int, int, int]]:
+        return sorted(
+            (last + 1, last + 1 - size, number) for last, (size, numbers) in automaton.iter(text) for number in numbers
+        )
     return search
 
 
-def _occurrences(text: Column, rules: list[Rule]) -> Column:
-    @F.pandas_udf(_OCCURRENCES)
+def _first_matches(text: Column, rules: list[Rule]) -> Column:
+    """Numbers of the rules that occur, by their first match."""
+
+    @F.pandas_udf("array<int>")
     def find(texts: pd.Series) -> pd.Series:
-        search = _find_all(rules)
-        return texts.map(
-            lambda t: [] if t is None else [
-                {"rule_id": r, "pattern": p, "start": a, "stop": b} for r, p, a, b in search(_fold(t))
-            ]
-        )
+        search = _matcher(rules)
+        return texts.map(lambda t: [] if t is None else list(dict.fromkeys(m[2] for m in search(_fold(t)))))
 
     return find(text)
 
 
+def _of_rule(numbers: Column, values: Sequence[str]) -> Column:
+    return F.get(F.array(*[F.lit(v) for v in values]), numbers)
+
+
 def signature_any(text: Column, rules: Sequence[Rule]) -> Column:
     """True if any pattern occurs."""
     usable = _usable(rules)
     if not usable:
         return F.lit(False)
     if len(usable) > _INLINE_RULES:
-        return F.size(_occurrences(text, usable)) > 0
+        return F.size(_first_matches(text, usable)) > 0
     folded = F.lower(text)
     return F.coalesce(reduce(lambda a, b: a | b, [F.contains(folded, F.lit(p.lower())) for _, p in usable]), F.lit(False))
 
@@ -93,10 +100,11 @@ def signature_hits(df: DataFrame, text: str, rules: Sequence[Rule]) -> DataFrame
     if not usable:
         return df.withColumns({"rule_id": F.lit(""), "pattern": F.lit("")}).where(F.lit(False))
     if len(usable) > _INLINE_RULES:
-        found = F.array_distinct(F.transform(
-            _occurrences(F.col(text), usable), lambda m: F.struct(m["rule_id"].alias("rule_id"), m["pattern"].alias("pattern"))
-        ))
-        return df.withColumn("_hits", found).select("*", F.inline("_hits")).drop("_hits")
+        numbered = df.withColumn("_rule", F.explode(_first_matches(F.col(text), usable)))
+        return numbered.withColumns({
+            "rule_id": _of_rule(F.col("_rule"), [i for i, _ in usable]),
+            "pattern": _of_rule(F.col("_rule"), [p for _, p in usable]),
+        }).drop("_rule")
     lowered = df.withColumn("_lower", F.lower(F.col(text)))
     hits = F.array_compact(F.array(*[
         F.when(
@@ -109,17 +117,40 @@ def signature_hits(df: DataFrame, text: str, rules: Sequence[Rule]) -> DataFrame
 
 
 def signature_offsets(df: DataFrame, text: str, rules: Sequence[Rule]) -> DataFrame:
-    """Every occurrence, overlaps included: byte offsets ``start`` and exclusive ``stop``."""
-    found = df.withColumn("_found", _occurrences(F.col(text), _usable(rules)))
-    return found.select("*", F.inline("_found")).drop("_found")
+    """Every occurrence, overlaps included: byte offsets ``start`` and exclusive ``stop``.
+
+    The other columns travel along; the text itself is not repeated per match.
+    """
+    usable = _usable(rules)
+    kept = [f for f in df.schema.fields if f.name != text]
+    names = [f.name for f in kept]
+    schema = T.StructType(list(kept)).add("rule_id", "string").add("pattern", "string")
+    schema = schema.add("start", "long").add("stop", "long")
+
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = _matcher(usable)
+        ids, patterns = pa.array([i for i, _ in usable], pa.string()), pa.array([p for _, p in usable], pa.string())
+        for batch in batches:
+            rows, found = [], []
+            for row, value in enumerate(batch.column(text).to_pylist()):
+                matches = [] if value is None else search(_fold(value))
+                rows += [row] * len(matches)
+                found += matches
+            at = np.array(found, dtype=np.int64).reshape(-1, 3)
+            rule = pa.array(at[:, 2])
+            columns = [batch.column(n).take(pa.array(rows, pa.int64())) for n in names]
+            columns += [ids.take(rule), patterns.take(rule), pa.array(at[:, 1]), pa.array(at[:, 0])]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return df.mapInArrow(locate, schema)
 
 
 def signature_names(df: DataFrame, text: str, rules: Sequence[Rule]) -> DataFrame:
     """``names``: distinct matched patterns in order of their first match's end."""
-    found = _occurrences(F.col(text), _usable(rules))
-    ordered = F.array_sort(F.transform(found, lambda m: F.struct(m["stop"], m["start"], m["pattern"])))
-    names = F.array_distinct(F.transform(ordered, lambda m: m["pattern"]))
-    return df.withColumn("names", names)
+    usable = _usable(rules)
+    numbers = df.withColumn("_rules", _first_matches(F.col(text), usable))
+    names = F.transform("_rules", lambda r: _of_rule(r, [p for _, p in usable]))
+    return numbers.withColumn("names", names).drop("_rules")
 
 
 def rule_counts(df: DataFrame, text: str, rules: Sequence[Rule], by: Sequence[Column | str]) -> DataFrame:
