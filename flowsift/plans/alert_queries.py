@@ -9,7 +9,8 @@ from flowsift.functions.vectors import l2_normalise
 from flowsift.operators import alerts as A
 from flowsift.operators import connections, ensemble, evaluate, flows, gates, graph, signatures, similar
 from flowsift.plans import fixtures as fx
-from flowsift.plans.flow_queries import TIMEOUT, flow_oracle, flow_table, packets
+from flowsift.plans.detection import decide_flows
+from flowsift.plans.flow_queries import FEATS, TIMEOUT, ZSCORES, flow_oracle, flow_table, packets
 from flowsift.plans.registry import query
 
 DETECTORS = list(ensemble.WEIGHTS)
@@ -167,6 +168,21 @@ def host_pair_payload(spark, sf_dir):
     return joined.select("flow_id", F.length("payload").cast("bigint").alias("n_chars"), F.md5("payload").alias("digest"))
 
 
+_BUILD, _NUMBER = fx._FLOW_CTES.split("seqd as", 1)
+_NUMBER = "seqd as" + _NUMBER.replace("from flows)", "from flows where flow_id in (select flow_id from gated where gate = 2))", 1)
+
+
+@query("with recursive " + ",\n".join([fx._cte("packets"), fx._cte("payloads"), _BUILD.strip().rstrip(","), _GATED, _NUMBER, FEATS, ZSCORES]) + f"""
+select flow_id, 1 as gate, 1e0 as confidence, true as is_alert from gated where gate = 1
+union all
+select flow_id, 2, round({ensemble.WEIGHTS["zscore"]}e0 * zscore, 6), false from zscores""")
+def pipeline_decisions(spark, sf_dir):
+    decided = decide_flows(
+        _payloads(spark, sf_dir), _GATE_RULES, timeout_us=TIMEOUT, time_window_us=fx.COUNT_WINDOW_US,
+    )
+    return decided.select("flow_id", "gate", F.round("confidence", 6).alias("confidence"), "is_alert")
+
+
 # --- decision ----------------------------------------------------------------------
 
 

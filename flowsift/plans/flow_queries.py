@@ -217,7 +217,7 @@ def service_rates(spark, sf_dir):
 
 
 # every window as a literal self join on the sequence number
-_FEATS = f"""
+FEATS = f"""
 near as (
   select f.flow_id, count(g.seq) filter (g.dst_ip = f.dst_ip) as dst_host_count,
     count(g.seq) filter (g.dst_ip = f.dst_ip and g.dst_port = f.dst_port) as dst_host_srv_count,
@@ -234,7 +234,7 @@ feats as (
   from basic b join near n using (flow_id) join timed t using (flow_id))"""
 
 
-@query(flow_oracle("with " + _FEATS + """
+@query(flow_oracle("with " + FEATS + """
 select flow_id, seq, """ + ", ".join(f'round(cast("{c}" as double), 6) as "{c}"' for c in FEATURES) + " from feats"))
 def flow_features(spark, sf_dir):
     return feature_table(spark, sf_dir).select(
@@ -242,14 +242,17 @@ def flow_features(spark, sf_dir):
     )
 
 
-@query(flow_oracle("with " + _FEATS + """
-, stats as (select flow_id, seq, """ + ", ".join(
-    f'case when abs(x_{c} - avg(x_{c}) over w) / sqrt(greatest(coalesce(var_samp(x_{c}) over w, 0), 1e-10)) > 3 '
+ZSCORES = """
+stats as (select flow_id, seq, """ + ", ".join(
+    f"case when abs(x_{c} - avg(x_{c}) over w) / sqrt(greatest(coalesce(var_samp(x_{c}) over w, 0), 1e-10)) > 3 "
     f"then 1 else 0 end as o_{c}" for c in FEATURES) + """
   from (select flow_id, seq, """ + ", ".join(f'cast(cast("{c}" as float) as double) as x_{c}' for c in FEATURES) + """
-    from feats) window w as (order by seq rows unbounded preceding))
-select flow_id, case when seq < 30 then 0 else round((""" + " + ".join(f"o_{c}" for c in FEATURES) + """) / 23e0, 6) end
-  as zscore from stats"""))
+    from feats) window w as (order by seq rows unbounded preceding)),
+zscores as (select flow_id, case when seq < 30 then 0 else (""" + " + ".join(f"o_{c}" for c in FEATURES) + """) / 23e0 end
+  as zscore from stats)"""
+
+
+@query(flow_oracle("with " + FEATS + ", " + ZSCORES + " select flow_id, round(zscore, 6) as zscore from zscores"))
 def zscore_running(spark, sf_dir):
     scored = baseline.running_zscore(feature_table(spark, sf_dir))
     return scored.select("flow_id", F.round("zscore", 6).alias("zscore"))

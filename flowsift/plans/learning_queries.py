@@ -1,0 +1,86 @@
+"""Detectors without a SQL equivalent: checked by invariants in the tests."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from flowsift.operators import explain, forest, learn
+from flowsift.plans import fixtures as fx
+from flowsift.plans.flow_queries import numbered_flows
+from flowsift.plans.registry import query
+
+WIDTH = 64
+_FLOW_VECTOR = ["duration", "src_bytes", "dst_bytes", "packet_count", "avg_packet_size", "serror_rate"]
+
+
+def _labelled(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "embeddings")
+    return rows.withColumn("y", (F.col("label") == 3).cast("int"))
+
+
+def _vectors(spark, sf_dir):
+    values = F.array(*[F.col(c).cast("double") for c in _FLOW_VECTOR])
+    return numbered_flows(spark, sf_dir).withColumn("vec", values)
+
+
+@query()
+def isolation_forest(spark, sf_dir):
+    lines = fx.table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row_id"), "l_returnflag",
+        F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax").alias("vec"),
+    )
+    model = forest.fit_isolation_forest(lines.where("l_returnflag = 'N'"), "row_id", "vec")
+    return lines.select("row_id", F.round(model.score(F.col("vec")), 6).alias("score"))
+
+
+@query()
+def random_forest_scores(spark, sf_dir):
+    rows = _labelled(spark, sf_dir)
+    model = learn.random_forest(trees=40, depth=6).fit(learn.training_frame(rows, "embedding", "y"))
+    scored = learn.attack_probability(model, rows, "embedding", "random_forest")
+    return scored.select("vec_id", "y", F.round("random_forest", 6).alias("random_forest"))
+
+
+@query()
+def boosted_tree_scores(spark, sf_dir):
+    rows = _labelled(spark, sf_dir)
+    model = learn.boosted_trees(rounds=10, depth=3).fit(learn.training_frame(rows, "embedding", "y"))
+    scored = learn.attack_probability(model, rows, "embedding", "xgboost")
+    return scored.select("vec_id", "y", F.round("xgboost", 6).alias("xgboost"))
+
+
+@query()
+def tree_attribution(spark, sf_dir):
+    rows = _labelled(spark, sf_dir)
+    model = learn.random_forest(trees=10, depth=4).fit(learn.training_frame(rows, "embedding", "y"))
+    explained = rows.withColumn("shap", explain.attribution(model, F.col("embedding"), WIDTH))
+    top = explain.top_features(explained, "shap", [f"e{i}" for i in range(WIDTH)], 5)
+    return top.select("vec_id", F.explode("top_features").alias("f")).select("vec_id", "f.name", F.round("f.value", 6).alias("value"))
+
+
+@query()
+def temporal_scores(spark, sf_dir):
+    numbered = _vectors(spark, sf_dir)
+    model = learn.fit_temporal(numbered, "vec", warmup=2000, k=16)
+    scored = learn.flat_sequences(numbered, "vec").withColumn("transformer_ae", model.score(F.col("sequence")))
+    score = F.when(F.col("seq") <= 2000, 0.0).otherwise(F.col("transformer_ae"))
+    return scored.select("seq", F.round(score, 6).alias("transformer_ae"))
+
+
+@query()
+def sequence_embeddings(spark, sf_dir):
+    numbered = _vectors(spark, sf_dir)
+    model = learn.fit_temporal(numbered, "vec", warmup=2000, k=16)
+    sequences = learn.flat_sequences(numbered, "vec").where("sequence is not null")
+    return learn.sequence_embedding(sequences, model).select("seq", F.size("embedding").alias("dims"))
+
+
+@query()
+def topology_scores(spark, sf_dir):
+    scored = learn.topology_scores(numbered_flows(spark, sf_dir), ["duration", "src_bytes", "dst_bytes", "packet_count"])
+    return scored.select("seq", F.round("gnn_detector", 6).alias("gnn_detector"))
+
+
+@query()
+def class_plane(spark, sf_dir):
+    return learn.plane(_labelled(spark, sf_dir), "embedding", "vec_id").select("vec_id", "label", "x", "y")
