@@ -115,20 +115,28 @@ def topk_attribution(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
+def _largest(text: str, k: int) -> Column:
+    """The ``k`` largest entries of a JSON map by magnitude, ties by name."""
+    entries = F.map_entries(F.from_json(F.col(text), "map<string,double>"))
+    ordered = F.array_sort(F.transform(entries, lambda e: F.struct(
+        (-F.abs(e["value"])).alias("size"), e["key"].alias("feature"), e["value"].alias("value"))))
+    return F.slice(ordered, 1, k)
+
+
+def top_attributions(alerts: DataFrame, k: int, text: str = "shap_explanation") -> DataFrame:
+    """:func:`topk_attribution` for a map that sits in the alert's row: no shuffle."""
+    rows = alerts.select("alert_id", F.posexplode(_largest(text, k)).alias("_at", "_e"))
+    return rows.select("alert_id", "_e.feature", "_e.value", (F.col("_at") + 1).alias("rank"))
+
+
 def explain_alert(alerts: DataFrame, alert_id: str, k: int = 10) -> DataFrame:
-    rows = topk_attribution(attribution_rows(by_id(alerts, alert_id)), k)
+    rows = top_attributions(by_id(alerts, alert_id), k)
     return rows.withColumn("direction", F.when(F.col("value") > 0, "attack").otherwise("normal"))
 
 
 def explanation_text(alerts: DataFrame, k: int = 5, text: str = "shap_explanation") -> DataFrame:
     """``"name (+0.420), ..."`` for the ``k`` largest values, without leaving the row."""
-    entries = F.map_entries(F.from_json(F.col(text), "map<string,double>"))
-    ordered = F.array_sort(F.transform(
-        entries, lambda e: F.struct((-F.abs(e["value"])).alias("size"), e["key"].alias("name"), e["value"].alias("value"))
-    ))
-    parts = F.transform(
-        F.slice(ordered, 1, k), lambda e: F.format_string("%s (%+.3f)", e["name"], e["value"])
-    )
+    parts = F.transform(_largest(text, k), lambda e: F.format_string("%s (%+.3f)", e["feature"], e["value"]))
     return alerts.withColumn("explanation", F.array_join(parts, ", "))
 
 

@@ -26,11 +26,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowsift.operators.ordering import key_changes, last_key
 from flowsift.session import cut_lineage, shuffle_partitions
 
 FRESH = -(2**63)  # state: the next row of this key starts a run
@@ -148,29 +148,26 @@ class Carry:
         return Carry(self.at[keep_at], self.out[np.append(True, ~same)], self.fresh, self.side)
 
 
-def _key_changes(batch: pa.RecordBatch, keys: Sequence[str], before: list | None) -> np.ndarray:
-    n = batch.num_rows
-    first = np.zeros(n, dtype=bool)
-    for key in keys:
-        column = batch.column(key)
-        if n > 1:
-            first[1:] |= pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-    first[0] = before is None or [batch.column(k)[0].as_py() for k in keys] != before
-    return first
+def _sizes_before(sizes: np.ndarray, is_anchor: np.ndarray, carried: int) -> tuple[np.ndarray, int]:
+    """Total size of the earlier rows of each row's run, and of the last run so far."""
+    earlier = np.cumsum(sizes) - sizes
+    start = np.maximum.accumulate(np.where(is_anchor, np.arange(len(sizes)), -1))
+    before = earlier - np.where(start >= 0, earlier[np.maximum(start, 0)], -carried)
+    return before, int(before[-1] + sizes[-1])
 
 
-def _last_key(batch: pa.RecordBatch, keys: Sequence[str]) -> list:
-    return [batch.column(k)[batch.num_rows - 1].as_py() for k in keys]
-
-
-def _walk_sorted(sorted_df: DataFrame, keys: Sequence[str], ts: str, rule: RunRule, entry: str | None) -> DataFrame:
+def _walk_sorted(
+    sorted_df: DataFrame, keys: Sequence[str], ts: str, rule: RunRule, entry: str | None, head: tuple[str, int] | None
+) -> DataFrame:
     """Walk partitions that are sorted by key and time; state crosses Arrow batches."""
     names = [f.name for f in sorted_df.schema.fields if f.name != entry]
     schema = T.StructType([f for f in sorted_df.schema.fields if f.name != entry])
     schema = schema.add("anchor_us", T.LongType()).add("is_anchor", T.BooleanType())
+    if head:
+        schema = schema.add("in_head", T.BooleanType())
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, state = None, FRESH
+        before, state, size = None, FRESH, 0
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -178,12 +175,16 @@ def _walk_sorted(sorted_df: DataFrame, keys: Sequence[str], ts: str, rule: RunRu
                 given = batch.column(entry)[0].as_py()
                 if given is not None:
                     before, state = [batch.column(k)[0].as_py() for k in keys], given
-            first = _key_changes(batch, keys, before)
+            first = key_changes(batch, keys, before)
             times = batch.column(ts).to_numpy(zero_copy_only=False)
             anchor, is_anchor, state = rule.walk(times, first, state)
-            before = _last_key(batch, keys)
+            before = last_key(batch, keys)
             columns = [batch.column(c) for c in names] + [pa.array(anchor), pa.array(is_anchor)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "anchor_us", "is_anchor"])
+            if head:
+                sizes = batch.column(head[0]).to_numpy(zero_copy_only=False)
+                earlier, size = _sizes_before(sizes, is_anchor, size)
+                columns.append(pa.array((earlier < head[1]) & (sizes > 0)))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return sorted_df.mapInArrow(fold, schema)
 
@@ -206,13 +207,13 @@ def _publish_carries(placed: DataFrame, keys: Sequence[str], ts: str, rule: RunR
             if head is None:
                 pid = batch.column("_pid")[0].as_py()
                 head = [batch.column(k)[0].as_py() for k in keys]
-            first = _key_changes(batch, keys, before)
+            first = key_changes(batch, keys, before)
             times = batch.column(ts).to_numpy(zero_copy_only=False)
             single = single and not first[int(before is None):].any()
             if single:
                 rows.append(times)
             _, _, state = rule.walk(times, first, state)
-            before = _last_key(batch, keys)
+            before = last_key(batch, keys)
         if head is None:
             return
         if single:
@@ -275,7 +276,9 @@ def _entries(carries: DataFrame, keys: Sequence[str], side: str, fan_in: int) ->
     return grouped.join(starts, [*keys, "_group"]).groupBy(*keys, "_group").applyInPandas(apply_in_order, entry_schema)
 
 
-def _split_hot(rows: DataFrame, keys, ts, ties, rule: RunRule, chunk_rows: int, total: int, fan_in: int) -> DataFrame:
+def _split_hot(
+    rows: DataFrame, keys, ts, ties, rule: RunRule, chunk_rows: int, total: int, fan_in: int, head
+) -> DataFrame:
     n = max(shuffle_partitions(rows.sparkSession), -(-total // chunk_rows))
     order = [*keys, ts, *ties]
     placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_pid", F.spark_partition_id())
@@ -285,7 +288,10 @@ def _split_hot(rows: DataFrame, keys, ts, ties, rule: RunRule, chunk_rows: int,
     # only the first key of a partition can be entered from outside: one row per partition
     heads = carries.where("head").select(*keys, "_pid")
     entry = entries.join(heads, [*keys, "_pid"]).where(F.col("entry") != FRESH).select("_pid", "entry")
-    return _walk_sorted(placed.join(F.broadcast(entry), "_pid", "left"), keys, ts, rule, "entry").drop("_pid")
+    return _walk_sorted(placed.join(F.broadcast(entry), "_pid", "left"), keys, ts, rule, "entry", head).drop("_pid")
+
+
+_SEEN_OF_HOT = 1_000  # sampled rows expected of a key at the threshold
 
 
 def assign_runs(
@@ -295,6 +301,7 @@ def assign_runs(
     ties: Sequence[str],
     rule: RunRule,
     *,
+    head: tuple[str, int] | None = None,
     hot_rows: int = 5_000_000,
     chunk_rows: int = 2_000_000,
     fan_in: int = 16,
@@ -302,19 +309,26 @@ def assign_runs(
     """Add ``anchor_us`` (start of the row's run) and ``is_anchor``.
 
     ``ts`` is an integer column; ``(ts, *ties)`` orders the rows of a key.
-    Key columns must not be null.
+    Key columns must not be null.  ``head = (size column, cap)`` also adds
+    ``in_head``: whether the row can reach the first ``cap`` units of its run.
+
+    Keys near or above ``hot_rows`` are found in a sample; which side of the
+    threshold a key falls on changes how it is computed, not the result.
     """
     if rule.limit <= 0:
         raise ValueError("limit must be positive")
-    hot = df.groupBy(*keys).count().where(F.col("count") > hot_rows)
+    fraction = min(1.0, _SEEN_OF_HOT / hot_rows)
+    sampled = df.select(*keys) if fraction == 1.0 else df.select(*keys).sample(fraction, seed=1)
+    hot = sampled.groupBy(*keys).count().where(F.col("count") > hot_rows * fraction)
     n_hot, total = hot.agg(F.count(F.lit(1)), F.sum("count")).first()
     order = [*keys, ts, *ties]
     if n_hot == 0:
-        return _walk_sorted(df.repartition(*keys).sortWithinPartitions(*order), keys, ts, rule, None)
+        return _walk_sorted(df.repartition(*keys).sortWithinPartitions(*order), keys, ts, rule, None, head)
     hot_keys = cut_lineage(hot.select(*keys))
     if n_hot <= 100_000:  # checked size; otherwise the planner chooses the join
         hot_keys = F.broadcast(hot_keys)
     cold = df.join(hot_keys, list(keys), "left_anti")
-    cold = _walk_sorted(cold.repartition(*keys).sortWithinPartitions(*order), keys, ts, rule, None)
-    split = _split_hot(df.join(hot_keys, list(keys), "left_semi"), keys, ts, ties, rule, chunk_rows, total, fan_in)
-    return cold.unionByName(split)
+    cold = _walk_sorted(cold.repartition(*keys).sortWithinPartitions(*order), keys, ts, rule, None, head)
+    hot_rows_df = df.join(hot_keys, list(keys), "left_semi")
+    total = int(total / fraction)
+    return cold.unionByName(_split_hot(hot_rows_df, keys, ts, ties, rule, chunk_rows, total, fan_in, head))

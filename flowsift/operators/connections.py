@@ -8,22 +8,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsift.operators.flows import FLOW_ORDER
-from flowsift.operators.ordering import dense_seq, last_rows
+from flowsift.operators.ordering import dense_seq, last_rows, running_sums
 
 TIME_WINDOW_US = 2_000_000
 CONNECTION_WINDOW = 100
 _SLOTS = 4  # windows per time block; one block in four is copied
 
 
-def earlier_in_time(flows: DataFrame, keys: Sequence[str], out: str, window_us: int = TIME_WINDOW_US) -> DataFrame:
+def earlier_in_time(
+    flows: DataFrame, keys: Sequence[str], out: str, window_us: int = TIME_WINDOW_US, burst_rows: int = 5_000_000
+) -> DataFrame:
     """Flows processed before this one with the same keys that ended at most ``window_us`` ago.
 
     Partitioned by key *and* time block, so a hot host spreads over its blocks;
     the end of a block is copied into the next.  Two running counts replace a
-    sliding frame, which would rescan the window for every row.
+    sliding frame, which would rescan the window for every row.  If even one
+    block of one key is too large for a task, the counts come from a range sort.
     """
     span = window_us * _SLOTS
     at = F.floor(F.col("end_us") / span)
+    largest = flows.groupBy(*keys, at.alias("_at")).count().agg(F.max("count")).first()[0] or 0
+    if largest > burst_rows:
+        return _earlier_by_rank(flows, keys, out, window_us)
     tail = F.pmod(F.col("end_us"), F.lit(span)) >= span - window_us
     blocks = F.explode(F.when(tail, F.array(at, at + 1)).otherwise(F.array(at)))
     spread = flows.withColumn("_block", blocks).withColumn("_own", F.col("_block") == at)
@@ -34,6 +40,23 @@ def earlier_in_time(flows: DataFrame, keys: Sequence[str], out: str, window_us:
     return counted.where("_own").drop("_block", "_own")
 
 
+def _earlier_by_rank(flows: DataFrame, keys: Sequence[str], out: str, window_us: int) -> DataFrame:
+    """The same counts as differences of global ranks.
+
+    Each flow sorts once at its end and once, as a probe, where its window
+    opens; the flows between the two are the answer.  Range partitions stay
+    equal whatever the keys and times are.
+    """
+    ids = flows.select(*dict.fromkeys([*keys, *FLOW_ORDER]))
+    marks = ids.withColumns({"_at": F.col("end_us"), "_flow": F.lit(1)}).unionByName(
+        ids.withColumns({"_at": F.col("end_us") - window_us, "_flow": F.lit(0)})
+    )
+    ranked = running_sums(marks, [*keys, "_at", "_flow", *FLOW_ORDER], {"_rank": F.col("_flow")})
+    own, opening = (F.max(F.when(F.col("_flow") == f, F.col("_rank"))) for f in (1, 0))
+    counts = ranked.groupBy(*FLOW_ORDER).agg((own - 1 - opening).cast("bigint").alias(out))
+    return flows.join(counts, FLOW_ORDER)
+
+
 def with_time_counts(flows: DataFrame, window_us: int = TIME_WINDOW_US) -> DataFrame:
     """``count`` (same destination host) and ``srv_count`` (same destination port)."""
     hosts = earlier_in_time(flows, ["dst_ip"], "count", window_us)

@@ -106,6 +106,7 @@ def weights_after_feedback(
     rated = false_positive_rate(known).select("ts_us", "feedback_id", "detector", "was_false_positive", "fp_rate")
     chunks = max(1, -(-known.count() // chunk_rows))
     placed = range_sorted(rated, ["ts_us", "feedback_id"], chunks)
+    outcomes = placed.select("detector", "was_false_positive", "fp_rate")
     initial = dict(weights)
     current = dict(weights)
 
@@ -116,8 +117,8 @@ def weights_after_feedback(
             w, seen = dict(state), False
             for batch in batches:
                 seen = seen or batch.num_rows > 0
-                outcomes = (batch.column(c).to_pylist() for c in ("detector", "was_false_positive", "fp_rate"))
-                for name, false_positive, rate in zip(*outcomes):
+                columns = (batch.column(c).to_pylist() for c in ("detector", "was_false_positive", "fp_rate"))
+                for name, false_positive, rate in zip(*columns):
                     if false_positive:
                         w[name] = max(MIN_WEIGHT, initial[name] * (1.0 - rate))
                     else:
@@ -129,8 +130,9 @@ def weights_after_feedback(
                     [pa.array(list(w)), pa.array(list(w.values()), pa.float64())], names=["detector", "weight"]
                 )
 
-        part = placed.where(F.col("_pid") == chunk).select("detector", "was_false_positive", "fp_rate")
-        current |= {r["detector"]: r["weight"] for r in part.mapInArrow(fold, "detector string, weight double").collect()}
+        folded = outcomes.mapInArrow(fold, "detector string, weight double")
+        for row in spark.sparkContext.runJob(folded.rdd, list, [chunk]):  # this partition only
+            current[row["detector"]] = row["weight"]
     return spark.createDataFrame([(n, float(current[n])) for n in names], "detector string, weight double")
 
 

@@ -12,6 +12,7 @@ from flowsift.operators.anchors import RunRule, assign_runs
 FLOW_TIMEOUT_US = 60_000_000
 PACKET_CAP = 1000
 MIN_DURATION = 0.001
+PAYLOAD_CAP = 65_536  # characters (bytes of a latin-1 payload) kept per flow
 
 FLOW_ORDER = ["end_us", "start_us", "src_ip", "src_port", "dst_ip", "dst_port", "protocol"]
 
@@ -25,18 +26,45 @@ def split_flows(packets: DataFrame, timeout_us: int = FLOW_TIMEOUT_US, **split)
     return assign_runs(with_flow_key(packets), FLOW_KEY, "ts_us", ["packet_id"], flow_rule(timeout_us), **split)
 
 
-def aggregate_flows(split: DataFrame, timeout_us: int, packet_cap: int | None = PACKET_CAP) -> DataFrame:
-    """One row per flow.  Rows arrive sorted by flow, so partial aggregation
-    leaves little more than one row per flow for the shuffle."""
-    flags = [F.sum(has_flag(n).cast("bigint")).alias(f"flag_{n}") for n in TCP_FLAGS]
-    flows = split.groupBy(*FLOW_KEY, F.col("anchor_us").alias("start_us")).agg(
+def assemble_flows(
+    packets: DataFrame,
+    timeout_us: int = FLOW_TIMEOUT_US,
+    packet_cap: int | None = PACKET_CAP,
+    payload_cap: int | None = None,
+    **split,
+) -> DataFrame:
+    """One row per flow; a flow closes *with* the first packet later than its start + timeout.
+
+    With ``payload_cap`` the flow also gets the start of its ``payload``, in
+    packet order.  The walk that finds the flows marks the packets that reach
+    into the cap, so one aggregation serves both and no list outgrows the cap
+    (by more than a piece per task the flow spans).
+
+    Rows leave the walk sorted by flow, so partial aggregation leaves little
+    more than one row per flow for the shuffle.
+    """
+    columns = ["packet_id", "ts_us", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "length", "flags"]
+    with_payload = payload_cap is not None
+    keyed = with_flow_key(packets.select(*columns, *["payload"] * with_payload))
+    wanted = [*FLOW_KEY, "from_a", "ts_us", "packet_id", "length", "flags"]
+    if with_payload:
+        keyed = keyed.withColumn("_size", F.coalesce(F.length("payload"), F.lit(0)).cast("long"))
+        wanted += ["payload", "_size"]
+        split["head"] = ("_size", payload_cap)
+    runs = assign_runs(keyed.select(*wanted), FLOW_KEY, "ts_us", ["packet_id"], flow_rule(timeout_us), **split)
+    measures = [
         F.min("packet_id").alias("flow_id"),
         F.max("ts_us").alias("end_us"),
         F.count(F.lit(1)).alias("packets_seen"),
         F.sum(F.when(F.col("from_a"), F.col("length")).otherwise(0)).alias("src_bytes"),
         F.sum(F.when(F.col("from_a"), 0).otherwise(F.col("length"))).alias("dst_bytes"),
-        *flags,
-    )
+        *[F.sum(has_flag(n).cast("bigint")).alias(f"flag_{n}") for n in TCP_FLAGS],
+    ]
+    if with_payload:
+        pieces = F.collect_list(F.when(F.col("in_head"), F.struct("ts_us", "packet_id", "payload")))
+        text = F.array_join(F.transform(F.array_sort(pieces), lambda p: p["payload"]), "")
+        measures.append(F.substring(text, 1, payload_cap).alias("payload"))
+    flows = runs.groupBy(*FLOW_KEY, F.col("anchor_us").alias("start_us")).agg(*measures)
     count = F.col("packets_seen") if packet_cap is None else F.least("packets_seen", F.lit(packet_cap))
     closed = F.col("end_us") - F.col("start_us") > timeout_us
     return flows.select(
@@ -46,21 +74,10 @@ def aggregate_flows(split: DataFrame, timeout_us: int, packet_cap: int | None =
         "start_us", "end_us", count.alias("packet_count"), "src_bytes", "dst_bytes",
         *[f"flag_{n}" for n in TCP_FLAGS],
         F.when(closed, "timeout").otherwise("flush").alias("close_reason"),
+        *["payload"] * with_payload,
     )
 
 
-def assemble_flows(
-    packets: DataFrame, timeout_us: int = FLOW_TIMEOUT_US, packet_cap: int | None = PACKET_CAP, **split
-) -> DataFrame:
-    """A flow closes *with* the first packet later than its start + timeout."""
-    wanted = packets.select(
-        "packet_id", "ts_us", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "length", "flags"
-    )
-    keyed = with_flow_key(wanted).select(*FLOW_KEY, "from_a", "ts_us", "packet_id", "length", "flags")
-    runs = assign_runs(keyed, FLOW_KEY, "ts_us", ["packet_id"], flow_rule(timeout_us), **split)
-    return aggregate_flows(runs, timeout_us, packet_cap)
-
-
 def with_basic_features(flows: DataFrame) -> DataFrame:
     """Duration, protocol code, sizes, rates and flag shares."""
     span = (F.col("end_us") - F.col("start_us")) / F.lit(1e6)

@@ -8,46 +8,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsift.functions.packets import FLOW_KEY, host_pair
-from flowsift.operators.flows import FLOW_TIMEOUT_US, split_flows
+from flowsift.operators.flows import FLOW_TIMEOUT_US, PAYLOAD_CAP, split_flows
 from flowsift.operators.ordering import running_sums
 from flowsift.operators.signatures import Rule, signature_any
 
-PAYLOAD_CAP = 65_536  # fixed value: characters (bytes of a latin-1 payload) kept per buffer
+_HOT_PIECES = 5_000_000
+_SALTS = 64
 
 
 def reassemble(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], piece: str, cap: int = PAYLOAD_CAP, glue: str = ""
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], piece: str, cap: int = PAYLOAD_CAP,
+    hot_rows: int = _HOT_PIECES,
 ) -> DataFrame:
     """Concatenate the pieces of a key in order and keep the first ``cap`` characters.
 
     Every non-empty piece has at least one character, so only the first ``cap``
-    pieces can matter.  That limit prunes before the shuffle (per map task), so
-    a hot key never arrives whole; the list that is built holds ``cap``
-    characters plus at most one piece.
+    pieces can matter.  A key with more than ``hot_rows`` pieces is first cut to
+    its first ``cap`` per salt, so no task sees the whole key; the list that is
+    built holds ``cap`` characters plus at most one piece.
     """
+    some = df.where(F.length(piece) > 0)
+    largest = some.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest > hot_rows:
+        salted = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        some = some.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(_SALTS)))
+        some = some.withColumn("_rank", F.row_number().over(salted)).where(F.col("_rank") <= cap).drop("_salt", "_rank")
     by_order = Window.partitionBy(*keys).orderBy(*order)
-    some = df.where(F.length(piece) > 0).withColumn("_rank", F.row_number().over(by_order)).where(F.col("_rank") <= cap)
-    before = F.sum(F.length(piece) + len(glue)).over(by_order.rowsBetween(Window.unboundedPreceding, -1))
+    some = some.withColumn("_rank", F.row_number().over(by_order)).where(F.col("_rank") <= cap)
+    before = F.sum(F.length(piece)).over(by_order.rowsBetween(Window.unboundedPreceding, -1))
     needed = some.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < cap)
     pieces = F.array_sort(F.collect_list(F.struct(F.col("_rank"), F.col(piece).alias("_piece"))))
     grouped = needed.groupBy(*keys).agg(pieces.alias("_pieces"))
-    text = F.array_join(F.transform("_pieces", lambda p: p["_piece"]), glue)
+    text = F.array_join(F.transform("_pieces", lambda p: p["_piece"]), "")
     return grouped.withColumn("payload", F.substring(text, 1, cap)).drop("_pieces")
 
 
-def flow_payloads(
-    packets: DataFrame, timeout_us: int = FLOW_TIMEOUT_US, cap: int = PAYLOAD_CAP, **split
-) -> DataFrame:
-    """The payload of each flow, keyed by ``flow_id``-compatible key and ``start_us``."""
-    runs = split_flows(packets.select(
-        "packet_id", "ts_us", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "payload"
-    ), timeout_us, **split)
-    text = reassemble(runs, [*FLOW_KEY, "anchor_us"], ["ts_us", "packet_id"], "payload", cap)
-    return text.withColumnsRenamed({
-        "a_ip": "src_ip", "a_port": "src_port", "b_ip": "dst_ip", "b_port": "dst_port", "anchor_us": "start_us",
-    })
-
-
 def host_pair_payloads(
     packets: DataFrame, timeout_us: int = FLOW_TIMEOUT_US, cap: int = PAYLOAD_CAP, **split
 ) -> DataFrame:
@@ -80,11 +75,10 @@ def host_pair_payloads(
     return closers.unionByName(remaining).join(text, ["pair", "epoch"]).drop("pair", "epoch")
 
 
-def mark_gate(flows: DataFrame, payloads: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Add ``gate``: 1 if the flow's payload matches a rule, else 2."""
-    keys = ["src_ip", "src_port", "dst_ip", "dst_port", "protocol", "start_us"]
-    hits = payloads.where(signature_any(F.col("payload"), rules)).select(*keys, F.lit(1).alias("_hit"))
-    return flows.join(hits, keys, "left").withColumn("gate", F.coalesce("_hit", F.lit(2))).drop("_hit")
+def mark_gate(flows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Replace ``payload`` by ``gate``: 1 if it matches a rule, else 2."""
+    gate = F.when(signature_any(F.col("payload"), rules), 1).otherwise(2)
+    return flows.withColumn("gate", gate).drop("payload")
 
 
 def gate_decision(scored: DataFrame, confidence: Column, threshold: float = 0.5) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,15 +54,72 @@ def dense_seq(
     return numbered.withColumn(out, F.col("_offset") + F.col("_row") + 1).drop("_pid", "_row", "_offset")
 
 
+def key_changes(batch: pa.RecordBatch, keys: Sequence[str], before: list | None) -> np.ndarray:
+    n = batch.num_rows
+    first = np.zeros(n, dtype=bool)
+    for key in keys:
+        column = batch.column(key)
+        if n > 1:
+            first[1:] |= pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+    first[0] = before is None or [batch.column(k)[0].as_py() for k in keys] != before
+    return first
+
+
+def last_key(batch: pa.RecordBatch, keys: Sequence[str]) -> list:
+    return [batch.column(k)[batch.num_rows - 1].as_py() for k in keys]
+
+
 def keyed_seq(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "kseq", partitions: int | None = None
 ) -> DataFrame:
-    """Number rows 1..n per key; a hot key is still sorted by many tasks."""
+    """Number rows 1..n per key, with any number of tasks per key.
+
+    A partition only needs to know how many rows of its *first* key came
+    before it; that follows from one summary row per partition.
+    """
     placed = range_sorted(df, [*keys, *order], partitions)
-    numbered = _with_offsets(placed, {"_offset": F.count(F.lit(1))})
-    numbered = numbered.withColumn("_g", F.col("_offset") + F.col("_row")).drop("_pid", "_row", "_offset")
-    starts = numbered.groupBy(*keys).agg(F.min("_g").alias("_g0"))
-    return numbered.join(starts, list(keys)).withColumn(out, F.col("_g") - F.col("_g0") + 1).drop("_g", "_g0")
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid, first_key, before, changed, tail = None, None, None, False, 0
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            if pid is None:
+                pid, first_key = batch.column("_pid")[0].as_py(), [batch.column(k)[0].as_py() for k in keys]
+            starts = np.flatnonzero(key_changes(batch, keys, before if before is not None else first_key))
+            changed = changed or len(starts) > 0
+            tail = batch.num_rows - int(starts[-1]) if len(starts) else tail + batch.num_rows
+            before = last_key(batch, keys)
+        if pid is not None:
+            yield pa.RecordBatch.from_pydict(
+                {"pid": [pid], "head": [repr(first_key)], "tail": [repr(before)], "rows": [tail], "changed": [changed]}
+            )
+
+    parts = placed.select("_pid", *keys).mapInArrow(summarise, "pid long, head string, tail string, rows long, changed boolean")
+    entering, key, rows = {}, None, 0
+    for part in sorted(parts.collect(), key=lambda r: r["pid"]):  # one row per partition
+        entering[part["pid"]] = rows if part["head"] == key else 0
+        rows = part["rows"] + (0 if part["changed"] else entering[part["pid"]])
+        key = part["tail"]
+
+    kept = [f for f in placed.schema.fields if f.name not in ("_pid", "_row")]
+    names = [f.name for f in kept]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, done = None, 0
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            if before is None:
+                before, done = [batch.column(k)[0].as_py() for k in keys], entering[batch.column("_pid")[0].as_py()]
+            at = np.arange(batch.num_rows)
+            first = key_changes(batch, keys, before)
+            start = np.maximum.accumulate(np.where(first, at, -1))
+            position = np.where(start >= 0, at - start, at + done) + 1
+            before, done = last_key(batch, keys), int(position[-1])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(position)], names=[*names, out])
+
+    return placed.mapInArrow(number, T.StructType([*kept, T.StructField(out, T.LongType())]))
 
 
 def running_sums(

@@ -118,9 +118,8 @@ _GATE_RULES = [r for r in fx.PATTERNS if r[1] in ("cmd.exe", "TRACK(", 'href="/t
 
 
 def _gated_flows(spark, sf_dir):
-    source = _payloads(spark, sf_dir)
-    texts = gates.flow_payloads(source, TIMEOUT)
-    return gates.mark_gate(flows.assemble_flows(source, TIMEOUT), texts, _GATE_RULES)
+    built = flows.assemble_flows(_payloads(spark, sf_dir), TIMEOUT, payload_cap=flows.PAYLOAD_CAP)
+    return gates.mark_gate(built, _GATE_RULES)
 
 
 @query(fx.oracle(["payloads"], f"with {_GATED} select flow_id, gate from gated", flows=True))
@@ -363,7 +362,7 @@ def explain_text(spark, sf_dir):
 select * from (select alert_id, feature, value,
   row_number() over (partition by alert_id order by abs(value) desc, feature)::int as rank from rows) where rank <= 2"""))
 def topk_attribution(spark, sf_dir):
-    return A.topk_attribution(A.attribution_rows(_alerts(spark, sf_dir)), 2)
+    return A.top_attributions(_alerts(spark, sf_dir), 2)
 
 
 @query(fx.oracle(["alerts"], f"""with {_ATTRIBUTION}

@@ -11,6 +11,7 @@ from flowsift.functions.vectors import FEATURES, assemble
 from flowsift.operators import baseline, connections, ensemble, flows, forest, gates, learn
 from flowsift.operators.alerts import COOLDOWN_US, cooldown
 from flowsift.operators.signatures import Rule
+from flowsift.session import cut_lineage
 
 #: Takes numbered flows with all features, adds one score column named after the detector.
 Detector = Callable[[DataFrame], DataFrame]
@@ -77,8 +78,8 @@ def decide_flows(
     Flows whose payload matches a rule are certain and end there: they never
     enter the feature windows of the others.  Detectors not given score 0.
     """
-    built = flows.assemble_flows(packets, timeout_us)
-    gated = gates.mark_gate(built, gates.flow_payloads(packets, timeout_us), rules)
+    built = flows.assemble_flows(packets, timeout_us, payload_cap=flows.PAYLOAD_CAP)
+    gated = cut_lineage(gates.mark_gate(built, rules))  # read by both gates
     certain = gated.where("gate = 1").withColumn("aho_corasick", F.lit(1.0))
     scored = features_of(gated.where("gate = 2"), time_window_us, connections_kept)
     for add in detectors.values():

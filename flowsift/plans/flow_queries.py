@@ -10,6 +10,7 @@ from flowsift.operators import baseline, connections, flows, ticks
 from flowsift.operators.ensemble import decide
 from flowsift.plans import fixtures as fx
 from flowsift.plans.registry import query
+from flowsift.session import cut_lineage
 
 TIMEOUT = fx.FLOW_TIMEOUT_US
 SCALED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -174,13 +175,13 @@ group by f.flow_id""")
 
 @query(_time_count("dst_ip", "count"))
 def conn_count(spark, sf_dir):
-    counted = connections.earlier_in_time(flow_table(spark, sf_dir), ["dst_ip"], "count", fx.COUNT_WINDOW_US)
+    counted = connections.earlier_in_time(cut_lineage(flow_table(spark, sf_dir)), ["dst_ip"], "count", fx.COUNT_WINDOW_US)
     return counted.select("flow_id", "count")
 
 
 @query(_time_count("dst_port", "srv_count"))
 def srv_count(spark, sf_dir):
-    counted = connections.earlier_in_time(flow_table(spark, sf_dir), ["dst_port"], "srv_count", fx.COUNT_WINDOW_US)
+    counted = connections.earlier_in_time(cut_lineage(flow_table(spark, sf_dir)), ["dst_port"], "srv_count", fx.COUNT_WINDOW_US)
     return counted.select("flow_id", "srv_count")
 
 

@@ -73,6 +73,8 @@ def test_connection_windows_equal_a_replay(spark):
     for r in got:
         assert (r["count"], r["srv_count"], r["dst_host_count"], r["dst_host_srv_count"]) == want[r["src_port"]][:4]
         assert (r["same_srv_rate"], r["diff_srv_rate"]) == pytest.approx(want[r["src_port"]][4:])
+    burst = connections.earlier_in_time(numbered, ["dst_ip"], "count", 50, burst_rows=10)
+    assert {r["src_port"]: r["count"] for r in burst.collect()} == {i: w[0] for i, w in want.items()}
 
 
 @pytest.mark.parametrize("partitions", [1, 7, 64])
@@ -161,8 +163,17 @@ def test_bytes_and_empty_rules(spark):
 
 def test_reassembly_cap_and_order(spark):
     df = spark.createDataFrame([("k", 2, "cd"), ("k", 1, "ab"), ("k", 3, ""), ("k", 4, "efgh"), ("j", 1, "z")], "k string, o int, p string")
-    got = {r["k"]: r["payload"] for r in gates.reassemble(df, ["k"], ["o"], "p", cap=5).collect()}
-    assert got == {"k": "abcde", "j": "z"}
+    for hot in (100, 1):  # whole keys, and keys cut per salt first
+        got = {r["k"]: r["payload"] for r in gates.reassemble(df, ["k"], ["o"], "p", cap=5, hot_rows=hot).collect()}
+        assert got == {"k": "abcde", "j": "z"}
+
+
+@pytest.mark.parametrize("split", [{}, {"hot_rows": 1, "chunk_rows": 2}])
+def test_flow_payload_is_capped_in_order(spark, split):
+    df = packets(spark, [(i, i % 2 == 0, 1, 0) for i in range(9)] + [(70, True, 1, 0), (71, True, 1, 0)])
+    df = df.withColumn("payload", F.when(F.col("packet_id") == 3, "").otherwise(F.concat(F.lit("p"), "packet_id")))
+    got = {r["start_us"]: r["payload"] for r in flows.assemble_flows(df, payload_cap=7, **split).collect()}
+    assert got == {0: "p0p1p2p", 71 * S: "p10"}
 
 
 def test_host_pair_buffer_goes_to_the_first_flow_to_close(spark):
