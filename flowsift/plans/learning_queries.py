@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowsift.operators import explain, forest, learn
+from flowsift.operators import explain, forest, learn, neighbours
 from flowsift.plans import fixtures as fx
 from flowsift.plans.flow_queries import numbered_flows
 from flowsift.plans.registry import query
@@ -84,3 +84,24 @@ def topology_scores(spark, sf_dir):
 @query()
 def class_plane(spark, sf_dir):
     return learn.plane(_labelled(spark, sf_dir), "embedding", "vec_id").select("vec_id", "label", "x", "y")
+
+
+@query()
+def smote_rows(spark, sf_dir):
+    made = neighbours.oversample(_labelled(spark, sf_dir), "embedding", "y", 1)
+    return made.select("y", F.round(F.get("embedding", F.lit(0)), 6).alias("e0"), F.round(F.get("embedding", F.lit(1)), 6).alias("e1"))
+
+
+_NEAREST_SQL = """
+with m as (select vec_id, embedding::double[] as e from embeddings where label = 3),
+d as (select a.vec_id, b.vec_id as other, list_distance(a.e, b.e) as distance from m a join m b on a.vec_id <> b.vec_id)
+select vec_id, other, round(distance, 5) as distance from (
+  select *, row_number() over (partition by vec_id order by distance, other) as rn from d) where rn <= 5"""
+
+
+@query(_NEAREST_SQL)
+def minority_neighbours(spark, sf_dir):
+    minority = _labelled(spark, sf_dir).where("y = 1").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+    near = neighbours.nearest_neighbours(minority, 5, row_id="vec_id", cell_rows=1000)
+    rows = near.select(F.col("id").alias("vec_id"), F.explode("near").alias("n"))
+    return rows.select("vec_id", F.col("n.id").alias("other"), F.round("n.distance", 5).alias("distance"))

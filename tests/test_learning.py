@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from flowsift.operators import explain, forest, learn
+from flowsift.operators import explain, forest, learn, neighbours
 from flowsift.plans import detection
 from flowsift.plans import fixtures as fx
 
@@ -80,3 +80,35 @@ def test_pipeline_with_every_detector(spark, sf):
     assert 0 < alerts.count() <= (rows.gate == 1).sum()
     summary = detection.replay_summary(source, decided).first()
     assert summary["packets"] == 1000 and summary["flows"] == len(rows)
+
+
+@pytest.mark.parametrize("search", [{}, {"cell_rows": 40}, {"cell_rows": 40, "probe_rows": 25}])
+def test_neighbours_are_exact(spark, search):
+    x = np.random.default_rng(5).normal(size=(400, 3))
+    x[:150] *= 0.01  # a dense spot
+    df = spark.createDataFrame(pd.DataFrame({"id": range(400), "vec": list(x)}))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    got = {r["id"]: r["near"] for r in neighbours.nearest_neighbours(df, 5, **search).collect()}
+    assert len(got) == 400
+    for i, near in got.items():
+        assert [n["id"] for n in near] == np.argsort(d[i], kind="stable")[:5].tolist()
+
+
+def test_oversampling_balances_and_interpolates(spark):
+    rng = np.random.default_rng(2)
+    few = rng.normal(size=(37, 3))
+    few[30:] = few[0]  # copies of one row
+    pdf = pd.DataFrame({"v": list(np.vstack([few, rng.normal(size=(200, 3)) + 9])), "y": [1] * 37 + [0] * 200})
+    df = spark.createDataFrame(pdf)
+    new = neighbours.oversample(df, "v", "y", 1, cell_rows=10).toPandas()
+    assert len(new) == 163 and (new.y == 1).all()
+    made = np.stack(new["v"])
+    for row in made:  # on a segment between two minority rows
+        best = min(
+            np.linalg.norm(row - (a + np.clip(np.dot(row - a, b - a) / max(np.dot(b - a, b - a), 1e-12), 0, 1) * (b - a)))
+            for a in few[:30] for b in few[:30])
+        assert best < 1e-9
+    again = neighbours.oversample(df.repartition(5), "v", "y", 1, cell_rows=10).toPandas()
+    assert np.allclose(np.sort(np.stack(again["v"]), axis=0), np.sort(made, axis=0))
+    assert neighbours.oversample(df, "v", "y", 0).count() == 0
