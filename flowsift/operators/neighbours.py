@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsift.functions.labels import deterministic_sample
-from flowsift.operators.ordering import dense_seq
+from flowsift.operators.ordering import dense_seq, running_sums
 from flowsift.session import cut_lineage
 
 _NEAR = "array<struct<distance:double,id:bigint>>"
@@ -126,8 +126,6 @@ def oversample(
         return rows.where(F.lit(False)).select(F.col("vec").alias(vector), F.lit(minority).alias(label))
     counted = dense_seq(rows.groupBy("vec").agg(F.count(F.lit(1)).alias("times")), ["vec"], "id")
     # copy c of the t-th minority row; rows are numbered through the running multiplicity
-    from flowsift.operators.ordering import running_sums
-
     numbered = running_sums(counted, ["id"], {"_upto": F.col("times")})
     base, extra = divmod(wanted, few)
     before = (F.col("_upto") - F.col("times")).cast("bigint")

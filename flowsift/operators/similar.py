@@ -22,9 +22,13 @@ def nearest(corpus: DataFrame, query: Sequence[float], k: int, id_col: str = "ve
     return scored.orderBy("distance", id_col).limit(k)
 
 
+def stored(corpus: DataFrame, key, id_col: str = "vec_id") -> DataFrame:
+    """The stored row of one id; the filter reaches the scan."""
+    return corpus.where(F.col(id_col) == key)
+
+
 def lookup(corpus: DataFrame, key, id_col: str = "vec_id", vector: str = "embedding") -> list[float] | None:
-    """The stored vector of one id."""
-    row = corpus.where(F.col(id_col) == key).select(vector).first()
+    row = stored(corpus, key, id_col).select(vector).first()
     return None if row is None else list(row[0])
 
 

@@ -175,7 +175,7 @@ _NUMBER = "seqd as" + _NUMBER.replace("from flows)", "from flows where flow_id i
 select flow_id, 1 as gate, 1e0 as confidence, true as is_alert from gated where gate = 1
 union all
 select flow_id, 2, round({ensemble.WEIGHTS["zscore"]}e0 * zscore, 6), false from zscores""")
-def pipeline_decisions(spark, sf_dir):
+def flow_decisions(spark, sf_dir):
     decided = decide_flows(
         _payloads(spark, sf_dir), _GATE_RULES, timeout_us=TIMEOUT, time_window_us=fx.COUNT_WINDOW_US,
     )

@@ -140,7 +140,7 @@ f as (select count(*) filter (close_reason = 'flush') as active_flows,
 a as (select count(*) filter (0.2e0*aho_corasick + 0.22e0*xgboost + 0.08e0*random_forest + 0.12e0*isolation_forest
     + 0.15e0*transformer_ae + 0.15e0*gnn_detector + 0.08e0*zscore > 0.5e0) as alerts from scores)
 select * from p, f, a""", flows=True))
-def pipeline_stats(spark, sf_dir):
+def capture_stats(spark, sf_dir):
     names = ["packets", "bytes", "active_flows", "completed_flows", "alerts"]
 
     def part(df, **counters):

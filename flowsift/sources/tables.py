@@ -20,15 +20,18 @@ def _day(ts_us: str = "ts_us"):
     return F.date_format(F.timestamp_micros(F.col(ts_us)), "yyyy-MM-dd")
 
 
-def append_alerts(alerts: DataFrame, path: str) -> None:
-    """Add alerts whose id is not stored yet; within a batch the earliest wins."""
+def unseen_alerts(alerts: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """Alerts whose id is not stored yet; within a batch the earliest wins."""
     columns = alerts.columns
     first = alerts.groupBy("alert_id").agg(F.min_by(F.struct(*columns), F.struct("ts_us", *columns)).alias("_row"))
-    rows = first.select("_row.*").withColumn("dt", _day())
-    if _exists(alerts.sparkSession, path):
-        stored = alerts.sparkSession.read.parquet(path).select("alert_id")
-        rows = rows.join(stored, "alert_id", "left_anti")
-    rows.write.mode("append").partitionBy("dt").parquet(path)
+    rows = first.select("_row.*")
+    return rows if stored is None else rows.join(stored.select("alert_id"), "alert_id", "left_anti")
+
+
+def append_alerts(alerts: DataFrame, path: str) -> None:
+    """Add the alerts that are new to the table, by day."""
+    stored = read_alerts(alerts.sparkSession, path) if _exists(alerts.sparkSession, path) else None
+    unseen_alerts(alerts, stored).withColumn("dt", _day()).write.mode("append").partitionBy("dt").parquet(path)
 
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
@@ -67,9 +70,13 @@ def append_audit(events: DataFrame, path: str) -> None:
     ).write.mode("append").parquet(path)
 
 
+def json_lines(rows: DataFrame) -> DataFrame:
+    """One JSON object per row, as ``value``."""
+    return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
+
+
 def write_json_lines(rows: DataFrame, path: str) -> None:
-    """One JSON object per line."""
-    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("append").text(path)
+    json_lines(rows).write.mode("append").text(path)
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
