@@ -118,7 +118,7 @@ def topk_attribution(rows: DataFrame, k: int) -> DataFrame:
 def _largest(text: str, k: int) -> Column:
     """The ``k`` largest entries of a JSON map by magnitude, ties by name."""
     entries = F.map_entries(F.from_json(F.col(text), "map<string,double>"))
-    ordered = F.array_sort(F.transform(entries, lambda e: F.struct(
+    ordered = F.sort_array(F.transform(entries, lambda e: F.struct(
         (-F.abs(e["value"])).alias("size"), e["key"].alias("feature"), e["value"].alias("value"))))
     return F.slice(ordered, 1, k)
 

@@ -174,5 +174,5 @@ def training_sequences(numbered: DataFrame, value: Column, total: int, length: i
     """Back-to-back sequences that start before ``total - length``."""
     start = F.floor((F.col(seq) - 1) / length) * length
     rows = numbered.where(start < total - length).select(start.alias("start"), seq, value.alias("_value"))
-    grouped = rows.groupBy("start").agg(F.array_sort(F.collect_list(F.struct(seq, "_value"))).alias("_rows"))
+    grouped = rows.groupBy("start").agg(F.sort_array(F.collect_list(F.struct(seq, "_value"))).alias("_rows"))
     return grouped.select("start", F.transform("_rows", lambda r: r["_value"]).alias("sequence"))

@@ -15,8 +15,14 @@ CONNECTION_WINDOW = 100
 _SLOTS = 4  # windows per time block; one block in four is copied
 
 
+def _largest_block(flows: DataFrame, keys: Sequence[str], window_us: int) -> int:
+    block = F.floor(F.col("end_us") / (window_us * _SLOTS)).alias("_at")
+    return flows.groupBy(*keys, block).count().agg(F.max("count")).first()[0] or 0
+
+
 def earlier_in_time(
-    flows: DataFrame, keys: Sequence[str], out: str, window_us: int = TIME_WINDOW_US, burst_rows: int = 5_000_000
+    flows: DataFrame, keys: Sequence[str], out: str, window_us: int = TIME_WINDOW_US, burst_rows: int = 5_000_000,
+    measured: DataFrame | None = None,
 ) -> DataFrame:
     """Flows processed before this one with the same keys that ended at most ``window_us`` ago.
 
@@ -24,12 +30,12 @@ def earlier_in_time(
     the end of a block is copied into the next.  Two running counts replace a
     sliding frame, which would rescan the window for every row.  If even one
     block of one key is too large for a task, the counts come from a range sort.
+    ``measured`` is a cheaper frame with the same flows to take block sizes from.
     """
+    if _largest_block(flows if measured is None else measured, keys, window_us) > burst_rows:
+        return _earlier_by_rank(flows, keys, out, window_us)
     span = window_us * _SLOTS
     at = F.floor(F.col("end_us") / span)
-    largest = flows.groupBy(*keys, at.alias("_at")).count().agg(F.max("count")).first()[0] or 0
-    if largest > burst_rows:
-        return _earlier_by_rank(flows, keys, out, window_us)
     tail = F.pmod(F.col("end_us"), F.lit(span)) >= span - window_us
     blocks = F.explode(F.when(tail, F.array(at, at + 1)).otherwise(F.array(at)))
     spread = flows.withColumn("_block", blocks).withColumn("_own", F.col("_block") == at)
@@ -60,7 +66,7 @@ def _earlier_by_rank(flows: DataFrame, keys: Sequence[str], out: str, window_us:
 def with_time_counts(flows: DataFrame, window_us: int = TIME_WINDOW_US) -> DataFrame:
     """``count`` (same destination host) and ``srv_count`` (same destination port)."""
     hosts = earlier_in_time(flows, ["dst_ip"], "count", window_us)
-    return earlier_in_time(hosts, ["dst_port"], "srv_count", window_us)
+    return earlier_in_time(hosts, ["dst_port"], "srv_count", window_us, measured=flows)
 
 
 def with_host_counts(

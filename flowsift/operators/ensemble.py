@@ -61,7 +61,7 @@ def score_entries(names: list[str]) -> Column:
     entries = F.array(*[
         F.struct((-F.col(n)).alias("neg"), F.lit(i).alias("at"), F.lit(n).alias("name")) for i, n in enumerate(names)
     ])
-    return F.array_sort(entries)
+    return F.sort_array(entries)
 
 
 def fired_detectors(names: list[str], above: float = 0.5) -> Column:

@@ -101,5 +101,5 @@ def top_features(df: DataFrame, shap: str, names: list[str], k: int = 5, out: st
     entries = F.zip_with(F.array(*[F.lit(n) for n in names]), F.col(shap), lambda n, v: F.struct(
         (-F.abs(v)).alias("size"), n.alias("name"), v.alias("value")
     ))
-    picked = F.slice(F.array_sort(entries), 1, k)
+    picked = F.slice(F.sort_array(entries), 1, k)
     return df.withColumn(out, F.transform(picked, lambda e: F.struct(e["name"].alias("name"), e["value"].alias("value"))))

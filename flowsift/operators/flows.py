@@ -62,7 +62,7 @@ def assemble_flows(
     ]
     if with_payload:
         pieces = F.collect_list(F.when(F.col("in_head"), F.struct("ts_us", "packet_id", "payload")))
-        text = F.array_join(F.transform(F.array_sort(pieces), lambda p: p["payload"]), "")
+        text = F.array_join(F.transform(F.sort_array(pieces), lambda p: p["payload"]), "")
         measures.append(F.substring(text, 1, payload_cap).alias("payload"))
     flows = runs.groupBy(*FLOW_KEY, F.col("anchor_us").alias("start_us")).agg(*measures)
     count = F.col("packets_seen") if packet_cap is None else F.least("packets_seen", F.lit(packet_cap))

@@ -37,7 +37,7 @@ def reassemble(
     some = some.withColumn("_rank", F.row_number().over(by_order)).where(F.col("_rank") <= cap)
     before = F.sum(F.length(piece)).over(by_order.rowsBetween(Window.unboundedPreceding, -1))
     needed = some.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < cap)
-    pieces = F.array_sort(F.collect_list(F.struct(F.col("_rank"), F.col(piece).alias("_piece"))))
+    pieces = F.sort_array(F.collect_list(F.struct(F.col("_rank"), F.col(piece).alias("_piece"))))
     grouped = needed.groupBy(*keys).agg(pieces.alias("_pieces"))
     text = F.array_join(F.transform("_pieces", lambda p: p["_piece"]), "")
     return grouped.withColumn("payload", F.substring(text, 1, cap)).drop("_pieces")

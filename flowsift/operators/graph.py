@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowsift.session import cut_lineage
+
 
 def undirected_edges(flows: DataFrame) -> DataFrame:
     """Distinct (a, b), both directions, with a self loop per node."""
@@ -52,6 +54,8 @@ def node_features(flows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def propagate(adjacency: DataFrame, nodes: DataFrame, columns: Sequence[str], hops: int = 1) -> DataFrame:
     """``hops`` rounds of A.X: one join and one partially aggregated sum each."""
+    if hops > 1:
+        adjacency = cut_lineage(adjacency)
     for _ in range(hops):
         sent = adjacency.join(nodes.withColumnRenamed("ip", "b"), "b")
         nodes = sent.groupBy(F.col("a").alias("ip")).agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in columns])

@@ -99,7 +99,7 @@ def nearest_neighbours(
 
     more = visits.groupBy("cell", "part").cogroup(cells.groupBy("cell", "part")).applyInPandas(other_cell, f"id bigint, near {_NEAR}")
     every = first.select("id", "near").unionByName(more)
-    merged = every.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
+    merged = every.groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("near"))).alias("near"))
     return merged.select("id", F.slice("near", 1, k).alias("near"))
 
 

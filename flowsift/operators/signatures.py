@@ -90,8 +90,11 @@ def signature_any(text: Column, rules: Sequence[Rule]) -> Column:
         return F.lit(False)
     if len(usable) > _INLINE_RULES:
         return F.size(_first_matches(text, usable)) > 0
-    folded = F.lower(text)
-    return F.coalesce(reduce(lambda a, b: a | b, [F.contains(folded, F.lit(p.lower())) for _, p in usable]), F.lit(False))
+    # a one-element array binds the lower-cased text once for all patterns
+    found = F.transform(
+        F.array(F.lower(text)), lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(p.lower())) for _, p in usable])
+    )
+    return F.coalesce(F.get(found, F.lit(0)), F.lit(False))
 
 
 def signature_hits(df: DataFrame, text: str, rules: Sequence[Rule]) -> DataFrame:
@@ -113,7 +116,9 @@ def signature_hits(df: DataFrame, text: str, rules: Sequence[Rule]) -> DataFrame
         )
         for i, p in usable
     ]))
-    return lowered.withColumn("_hits", hits).drop("_lower").select("*", F.inline("_hits")).drop("_hits")
+    # the outer form keeps the planner from testing every pattern twice (once to drop empty lists)
+    found = lowered.withColumn("_hits", hits).drop("_lower").select("*", F.inline_outer("_hits")).drop("_hits")
+    return found.where(F.col("rule_id").isNotNull())
 
 
 def signature_offsets(df: DataFrame, text: str, rules: Sequence[Rule]) -> DataFrame:

@@ -12,6 +12,7 @@ from flowsift.plans import fixtures as fx
 from flowsift.plans.detection import decide_flows
 from flowsift.plans.flow_queries import FEATS, TIMEOUT, ZSCORES, flow_oracle, flow_table, packets
 from flowsift.plans.registry import query
+from flowsift.session import cut_lineage
 
 DETECTORS = list(ensemble.WEIGHTS)
 _PATTERNS = "patterns as (select * from (values " + ", ".join(
@@ -418,13 +419,13 @@ i as (select dst_ip as ip, count(distinct src_ip) as fan_in from flows group by
 select ip, degree, coalesce(fan_out, 0) as fan_out, coalesce(fan_in, 0) as fan_in
 from degree left join o using (ip) left join i using (ip)"""))
 def graph_degree(spark, sf_dir):
-    table = flow_table(spark, sf_dir)
+    table = cut_lineage(flow_table(spark, sf_dir))  # read more than once
     return graph.degrees(graph.undirected_edges(table)).join(graph.fan(table), "ip")
 
 
 @query(flow_oracle(f"with {_ADJ} select a, b, round(weight, 6) as weight from adj"))
 def graph_norm_adj(spark, sf_dir):
-    adjacency = graph.normalised_adjacency(graph.undirected_edges(flow_table(spark, sf_dir)))
+    adjacency = graph.normalised_adjacency(cut_lineage(graph.undirected_edges(flow_table(spark, sf_dir))))
     return adjacency.select("a", "b", F.round("weight", 6).alias("weight"))
 
 
@@ -440,7 +441,7 @@ hop2 as (select a as ip, """ + ", ".join(f"sum(weight * {c}) as {c}" for c in _N
 select nodes.ip, """ + ", ".join(f"round(nodes.{c}, 6) as {c}, round(hop2.{c}, 6) as n_{c}" for c in _NODE) + """
 from nodes join hop2 on nodes.ip = hop2.ip"""))
 def graph_propagate(spark, sf_dir):
-    table = flow_table(spark, sf_dir)
+    table = cut_lineage(flow_table(spark, sf_dir))  # read more than once
     nodes = graph.node_features(table, _NODE)
     two_hops = graph.propagate(graph.normalised_adjacency(graph.undirected_edges(table)), nodes, _NODE, hops=2)
     both = graph.with_self(nodes, two_hops, _NODE)
