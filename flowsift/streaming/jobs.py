@@ -135,3 +135,9 @@ def store_alerts(alerts: DataFrame, path: str, checkpoint: str, **trigger) -> St
     """Append a stream of alerts to the alert table; replays of a batch add nothing."""
     writer = alerts.writeStream.foreachBatch(lambda batch, _: append_alerts(batch, path))
     return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
+
+
+def write_json(rows: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """A stream as files of JSON lines."""
+    writer = rows.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()

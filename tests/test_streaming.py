@@ -74,3 +74,10 @@ def test_alert_sink_is_idempotent(spark, written, folder):
     jobs.store_alerts(stream, f"{folder}/alerts", f"{folder}/ckpt", availableNow=True).awaitTermination(300)
     stored = spark.read.parquet(f"{folder}/alerts")
     assert stored.count() == stored.select("alert_id").distinct().count() == 100
+
+
+def test_json_sink(spark, written, folder):
+    path, packets = written
+    stream = jobs.packet_stream(spark, path, files=1).select("packet_id", "src_ip")
+    jobs.write_json(stream, f"{folder}/json", f"{folder}/ckpt", availableNow=True).awaitTermination(300)
+    assert spark.read.json(f"{folder}/json").select("packet_id").distinct().count() == packets.count()
