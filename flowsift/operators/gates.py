@@ -11,6 +11,7 @@ from flowsift.functions.packets import FLOW_KEY, host_pair
 from flowsift.operators.flows import FLOW_TIMEOUT_US, PAYLOAD_CAP, split_flows
 from flowsift.operators.ordering import running_sums
 from flowsift.operators.signatures import Rule, signature_any
+from flowsift.session import cut_lineage
 
 _HOT_PIECES = 5_000_000
 _SALTS = 64
@@ -58,21 +59,19 @@ def host_pair_payloads(
     summed = running_sums(marked, ["pair", "ts_us", "packet_id"], {"_done": F.col("_closes")})
     epochs = summed.withColumn("epoch", (F.col("_done") - F.col("_closes")).cast("bigint"))
     text = reassemble(epochs, ["pair", "epoch"], ["ts_us", "packet_id"], "payload", cap)
-    closers = epochs.where("_closes = 1").select("pair", "epoch", *FLOW_KEY, F.col("anchor_us").alias("start_us"))
-    # what is left at the end goes to the pair's oldest open flow
-    closed_last = epochs.where("_closes = 1").groupBy("pair").agg(F.max("epoch").alias("_last"))
-    open_flows = epochs.groupBy("pair", *FLOW_KEY, "anchor_us").agg(
-        F.max("_closes").alias("_closed"), F.min("epoch").alias("_epoch0"), F.min("packet_id").alias("_id"),
-        F.max("epoch").alias("_epoch1"),
-    ).where("_closed = 0")
-    oldest = open_flows.groupBy("pair").agg(
-        F.min(F.struct("anchor_us", "_id", *FLOW_KEY)).alias("_f"), F.max("_epoch1").alias("_epoch1")
-    ).join(closed_last, "pair", "left")
-    remaining = oldest.select(
-        "pair", F.greatest(F.col("_epoch1"), F.coalesce(F.col("_last") + 1, F.col("_epoch1"))).alias("epoch"),
-        *[F.col(f"_f.{k}").alias(k) for k in FLOW_KEY], F.col("_f.anchor_us").alias("start_us"),
+    owners = epochs.groupBy("pair", *FLOW_KEY, F.col("anchor_us").alias("start_us")).agg(
+        F.min("packet_id").alias("flow_id"), F.max("epoch").alias("_seen"),
+        F.max(F.when(F.col("_closes") == 1, F.col("epoch"))).alias("epoch"),
     )
-    return closers.unionByName(remaining).join(text, ["pair", "epoch"]).drop("pair", "epoch")
+    owners = cut_lineage(owners)
+    closers = owners.where("epoch is not null").drop("_seen")
+    # what is left at the end goes to the pair's oldest open flow
+    columns = [*FLOW_KEY, "start_us", "flow_id"]
+    oldest = F.min(F.when(F.col("epoch").isNull(), F.struct("start_us", "flow_id", *FLOW_KEY)))
+    leftover = owners.groupBy("pair").agg(
+        oldest.alias("_f"), F.coalesce(F.max("epoch") + 1, F.max("_seen")).alias("epoch")
+    ).where("_f is not null").select("pair", "epoch", *[F.col(f"_f.{c}").alias(c) for c in columns])
+    return closers.unionByName(leftover).join(text, ["pair", "epoch"]).drop("pair", "epoch")
 
 
 def mark_gate(flows: DataFrame, rules: Sequence[Rule]) -> DataFrame:

@@ -158,14 +158,8 @@ ids as (select k, anchor, min(packet_id) as flow_id from epochs group by all)
 select flow_id, length(payload) as n_chars, md5(payload) as digest
 from owners join texts using (pair, epoch) join ids using (k, anchor)""", flows=True))
 def host_pair_payload(spark, sf_dir):
-    source = _payloads(spark, sf_dir)
-    texts = gates.host_pair_payloads(source, TIMEOUT).select(
-        F.col("a_ip").alias("src_ip"), F.col("a_port").alias("src_port"), F.col("b_ip").alias("dst_ip"),
-        F.col("b_port").alias("dst_port"), "protocol", "start_us", "payload",
-    )
-    keys = ["src_ip", "src_port", "dst_ip", "dst_port", "protocol", "start_us"]
-    joined = flows.assemble_flows(source, TIMEOUT).join(texts, keys)
-    return joined.select("flow_id", F.length("payload").cast("bigint").alias("n_chars"), F.md5("payload").alias("digest"))
+    texts = gates.host_pair_payloads(_payloads(spark, sf_dir), TIMEOUT)
+    return texts.select("flow_id", F.length("payload").cast("bigint").alias("n_chars"), F.md5("payload").alias("digest"))
 
 
 _BUILD, _NUMBER = fx._FLOW_CTES.split("seqd as", 1)

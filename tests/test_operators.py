@@ -93,6 +93,13 @@ def test_percentiles(spark):
     x = np.random.default_rng(0).normal(size=301)
     got = ordering.exact_percentiles(spark.createDataFrame(pd.DataFrame({"x": x})), "x", [0, .1, .5, .99, 1])
     assert got == pytest.approx(np.percentile(x, [0, 10, 50, 99, 100]).tolist())
+    # more rows than the sketch resolves, with a value that a third of them share
+    y = np.random.default_rng(1).exponential(size=60_000)
+    y[:20_000] = 0.7
+    df = spark.createDataFrame(pd.DataFrame({"x": y}))
+    parts = [0.0, 0.05, 0.333, 0.5, 0.61, 0.9, 0.9999, 1.0]
+    want = np.percentile(y, [100 * p for p in parts]).tolist()
+    assert ordering.exact_percentiles(df, "x", parts, small=0) == pytest.approx(want)
 
 
 @pytest.mark.parametrize("partitions", ["1", "7"])
