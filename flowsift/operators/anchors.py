@@ -291,6 +291,13 @@ def _split_hot(
     return _walk_sorted(placed.join(F.broadcast(entry), "_pid", "left"), keys, ts, rule, "entry", head).drop("_pid")
 
 
+def _by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows of a key together and in order.  Sorting by a hash of the key first
+    decides most comparisons without touching the key's strings."""
+    hashed = df.withColumn("_key_hash", F.xxhash64(*keys)).repartition("_key_hash")
+    return hashed.sortWithinPartitions("_key_hash", *order).drop("_key_hash")
+
+
 _SEEN_OF_HOT = 1_000  # sampled rows expected of a key at the threshold
 
 
@@ -323,12 +330,12 @@ def assign_runs(
     n_hot, total = hot.agg(F.count(F.lit(1)), F.sum("count")).first()
     order = [*keys, ts, *ties]
     if n_hot == 0:
-        return _walk_sorted(df.repartition(*keys).sortWithinPartitions(*order), keys, ts, rule, None, head)
+        return _walk_sorted(_by_key(df, keys, order), keys, ts, rule, None, head)
     hot_keys = cut_lineage(hot.select(*keys))
     if n_hot <= 100_000:  # checked size; otherwise the planner chooses the join
         hot_keys = F.broadcast(hot_keys)
     cold = df.join(hot_keys, list(keys), "left_anti")
-    cold = _walk_sorted(cold.repartition(*keys).sortWithinPartitions(*order), keys, ts, rule, None, head)
+    cold = _walk_sorted(_by_key(cold, keys, order), keys, ts, rule, None, head)
     hot_rows_df = df.join(hot_keys, list(keys), "left_semi")
     total = int(total / fraction)
     return cold.unionByName(_split_hot(hot_rows_df, keys, ts, ties, rule, chunk_rows, total, fan_in, head))

@@ -17,6 +17,7 @@ DEFAULTS = {
     # lets row_number() <= k prune before the shuffle for the k used here
     "spark.sql.optimizer.windowGroupLimitThreshold": "65536",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    "spark.checkpoint.compress": "true",
 }
 
 
