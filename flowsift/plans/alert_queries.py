@@ -10,6 +10,7 @@ from flowsift.operators import alerts as A
 from flowsift.operators import connections, ensemble, evaluate, flows, gates, graph, signatures, similar
 from flowsift.plans import fixtures as fx
 from flowsift.plans.detection import decide_flows
+from flowsift.plans.detection import replay_summary as summarise
 from flowsift.plans.flow_queries import FEATS, TIMEOUT, ZSCORES, flow_oracle, flow_table, packets
 from flowsift.plans.registry import query
 from flowsift.session import cut_lineage
@@ -177,6 +178,15 @@ def flow_decisions(spark, sf_dir):
     return decided.select("flow_id", "gate", F.round("confidence", 6).alias("confidence"), "is_alert")
 
 
+@query(fx.oracle(["payloads"], f"""with {_GATED}
+select (select count(*) from packets) as packets, count(*) as flows, count(*) filter (gate = 1) as alerts,
+  (select round((max(ts_us) - min(ts_us)) / 1e6, 3) from packets) as duration_sec from gated""", flows=True))
+def replay_summary(spark, sf_dir):
+    source = _payloads(spark, sf_dir)
+    decided = decide_flows(source, _GATE_RULES, timeout_us=TIMEOUT, time_window_us=fx.COUNT_WINDOW_US)
+    return summarise(source, decided).withColumn("duration_sec", F.round("duration_sec", 3))
+
+
 # --- decision ----------------------------------------------------------------------
 
 

@@ -32,6 +32,13 @@ def test_isolation_forest_does_not_depend_on_partitions(blob):
     pd.testing.assert_frame_equal(a.nodes, b.nodes)
 
 
+def test_samples_of_a_large_table_are_full_and_spread(spark):
+    rows = spark.range(20_000).select("id", F.array(F.col("id").cast("double")).alias("v"))
+    drawn = forest.hash_samples(rows, "id", "v", trees=20, sample=16, seed=7).select("tree", F.col("v")[0].alias("x")).toPandas()
+    assert (drawn.groupby("tree").size() == 16).all() and drawn.tree.nunique() == 20
+    assert 8_000 < drawn.x.mean() < 12_000 and drawn.x.nunique() > 250
+
+
 @pytest.mark.parametrize("make", [lambda: learn.random_forest(trees=15, depth=4), lambda: learn.boosted_trees(rounds=5, depth=3)])
 def test_classifiers_and_attribution(blob, make):
     model = make().fit(learn.training_frame(blob, "v", "y"))
