@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowsift.functions.packets import FLOW_KEY, TCP_FLAGS, has_flag, protocol_code, with_flow_key
 from flowsift.operators.anchors import RunRule, assign_runs
@@ -46,6 +47,7 @@ def assemble_flows(
     columns = ["packet_id", "ts_us", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "length", "flags"]
     with_payload = payload_cap is not None
     keyed = with_flow_key(packets.select(*columns, *["payload"] * with_payload))
+    binary = with_payload and isinstance(packets.schema["payload"].dataType, T.BinaryType)
     wanted = [*FLOW_KEY, "from_a", "ts_us", "packet_id", "length", "flags"]
     if with_payload:
         keyed = keyed.withColumn("_size", F.coalesce(F.length("payload"), F.lit(0)).cast("long"))
@@ -61,9 +63,10 @@ def assemble_flows(
         *[F.sum(has_flag(n).cast("bigint")).alias(f"flag_{n}") for n in TCP_FLAGS],
     ]
     if with_payload:
-        pieces = F.collect_list(F.when(F.col("in_head"), F.struct("ts_us", "packet_id", "payload")))
-        text = F.array_join(F.transform(F.sort_array(pieces), lambda p: p["payload"]), "")
-        measures.append(F.substring(text, 1, payload_cap).alias("payload"))
+        piece = F.decode("payload", "ISO-8859-1") if binary else F.col("payload")  # one character per byte
+        pieces = F.collect_list(F.when(F.col("in_head"), F.struct("ts_us", "packet_id", piece.alias("payload"))))
+        text = F.substring(F.array_join(F.transform(F.sort_array(pieces), lambda p: p["payload"]), ""), 1, payload_cap)
+        measures.append((F.encode(text, "ISO-8859-1") if binary else text).alias("payload"))
     flows = runs.groupBy(*FLOW_KEY, F.col("anchor_us").alias("start_us")).agg(*measures)
     count = F.col("packets_seen") if packet_cap is None else F.least("packets_seen", F.lit(packet_cap))
     closed = F.col("end_us") - F.col("start_us") > timeout_us

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from flowsift.functions.packets import FLOW_KEY, host_pair
 from flowsift.operators.flows import FLOW_TIMEOUT_US, PAYLOAD_CAP, split_flows
 from flowsift.operators.ordering import running_sums
-from flowsift.operators.signatures import Rule, signature_any
+from flowsift.operators.signatures import Rule, is_binary, signature_any
 from flowsift.session import cut_lineage
 
 _HOT_PIECES = 5_000_000
@@ -28,7 +28,10 @@ def reassemble(
     its first ``cap`` per salt, so no task sees the whole key; the list that is
     built holds ``cap`` characters plus at most one piece.
     """
+    binary = is_binary(df, piece)
     some = df.where(F.length(piece) > 0)
+    if binary:  # one character per byte while joining
+        some = some.withColumn(piece, F.decode(piece, "ISO-8859-1"))
     largest = some.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     if largest > hot_rows:
         salted = Window.partitionBy(*keys, "_salt").orderBy(*order)
@@ -40,8 +43,8 @@ def reassemble(
     needed = some.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < cap)
     pieces = F.sort_array(F.collect_list(F.struct(F.col("_rank"), F.col(piece).alias("_piece"))))
     grouped = needed.groupBy(*keys).agg(pieces.alias("_pieces"))
-    text = F.array_join(F.transform("_pieces", lambda p: p["_piece"]), "")
-    return grouped.withColumn("payload", F.substring(text, 1, cap)).drop("_pieces")
+    text = F.substring(F.array_join(F.transform("_pieces", lambda p: p["_piece"]), ""), 1, cap)
+    return grouped.withColumn("payload", F.encode(text, "ISO-8859-1") if binary else text).drop("_pieces")
 
 
 def host_pair_payloads(
@@ -76,7 +79,8 @@ def host_pair_payloads(
 
 def mark_gate(flows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Replace ``payload`` by ``gate``: 1 if it matches a rule, else 2."""
-    gate = F.when(signature_any(F.col("payload"), rules), 1).otherwise(2)
+    hit = signature_any(F.col("payload"), rules, is_binary(flows, "payload"))
+    gate = F.when(hit, 1).otherwise(2)
     return flows.withColumn("gate", gate).drop("payload")
 
 

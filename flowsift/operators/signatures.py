@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowsift.functions.packets import ascii_lower
+
 Rule = tuple[str, str]  # (rule id, pattern)
 
 _INLINE_RULES = 64  # beyond this the compiled matcher is cheaper than one test per pattern
@@ -83,8 +85,21 @@ def _of_rule(numbers: Column, values: Sequence[str]) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), numbers)
 
 
-def signature_any(text: Column, rules: Sequence[Rule]) -> Column:
-    """True if any pattern occurs."""
+def _folded_text(text: Column, binary: bool) -> Column:
+    """Bytes as one character each with A-Z folded; strings in lower case."""
+    return ascii_lower(F.decode(text, "ISO-8859-1")) if binary else F.lower(text)
+
+
+def _folded_pattern(pattern: str, binary: bool) -> Column:
+    return F.lit(_fold(pattern) if binary else pattern.lower())
+
+
+def is_binary(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, T.BinaryType)
+
+
+def signature_any(text: Column, rules: Sequence[Rule], binary: bool = False) -> Column:
+    """True if any pattern occurs; ``binary`` for a column of bytes."""
     usable = _usable(rules)
     if not usable:
         return F.lit(False)
@@ -92,7 +107,8 @@ def signature_any(text: Column, rules: Sequence[Rule]) -> Column:
         return F.size(_first_matches(text, usable)) > 0
     # a one-element array binds the lower-cased text once for all patterns
     found = F.transform(
-        F.array(F.lower(text)), lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(p.lower())) for _, p in usable])
+        F.array(_folded_text(text, binary)),
+        lambda t: reduce(lambda a, b: a | b, [F.contains(t, _folded_pattern(p, binary)) for _, p in usable]),
     )
     return F.coalesce(F.get(found, F.lit(0)), F.lit(False))
 
@@ -108,10 +124,11 @@ def signature_hits(df: DataFrame, text: str, rules: Sequence[Rule]) -> DataFrame
             "rule_id": _of_rule(F.col("_rule"), [i for i, _ in usable]),
             "pattern": _of_rule(F.col("_rule"), [p for _, p in usable]),
         }).drop("_rule")
-    lowered = df.withColumn("_lower", F.lower(F.col(text)))
+    binary = is_binary(df, text)
+    lowered = df.withColumn("_lower", _folded_text(F.col(text), binary))
     hits = F.array_compact(F.array(*[
         F.when(
-            F.contains(F.col("_lower"), F.lit(p.lower())),
+            F.contains(F.col("_lower"), _folded_pattern(p, binary)),
             F.struct(F.lit(i).alias("rule_id"), F.lit(p).alias("pattern")),
         )
         for i, p in usable

@@ -165,6 +165,14 @@ def test_bytes_and_empty_rules(spark):
     [m] = signatures.signature_offsets(df, "text", [("x", "cmd.exe")]).collect()
     assert (m["start"], m["stop"]) == (1, 8)
     assert not df.select(signatures.signature_any(F.col("text"), []).alias("h")).first()["h"]
+    raw = spark.createDataFrame([(1, "CAFÉ".encode()), (2, "caFé".encode()), (3, b"\xe9")], "id int, text binary")
+    rules = [("x", "CAFé"), ("y", "zz")]
+    hit = signatures.signature_any(F.col("text"), rules, binary=True)
+    assert [r["h"] for r in raw.orderBy("id").select(hit.alias("h")).collect()] == [False, True, False]
+    for inline in (signatures.signature_hits, signatures.signature_offsets):
+        assert [r["id"] for r in inline(raw, "text", rules).collect()] == [2]
+    pieces = spark.createDataFrame([("k", 1, b"\xff\x00"), ("k", 2, b"\xe9Z")], "k string, o int, p binary")
+    assert bytes(gates.reassemble(pieces, ["k"], ["o"], "p", cap=3).first()["payload"]) == b"\xff\x00\xe9"
     assert signatures.signature_hits(df, "text", []).count() == 0
 
 

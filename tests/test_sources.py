@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowsift.operators import forest
+from flowsift.plans import detection
 from flowsift.sources import datasets, pcap, rules, tables
 
 
@@ -63,6 +64,8 @@ def test_capture_files(spark, folder, order, magic):
     assert len(packets) == 4 and len({p["packet_id"] for p in packets}) == 4
     assert (packets[0]["src_ip"], packets[0]["dst_port"], packets[0]["ts_us"]) == ("10.0.0.1", 80, 100_000_005)
     assert (packets[1]["src_port"], packets[1]["flags"]) == (53, 0)
+    decided = detection.decide_flows(pcap.capture_packets(spark, folder), [("r", "get /GET")]).collect()
+    assert sorted((d["gate"], d["protocol"], d["packet_count"]) for d in decided) == [(1, 6, 2), (2, 17, 2)]
 
 
 def test_rules_precedence(spark, folder):
