@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsift.llm import mixing, quality
+from flowsift.llm import fingerprints, licenses, mixing, quality
 from flowsift.llm.text import table
 from flowsift.plans.registry import query
 
@@ -57,3 +57,15 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken from every document by a mix of 150 % of all words, weights 3, 1, 2."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query()
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices and phrases in every document."""
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_weighted_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text, and their likeness."""
+    return fingerprints.compared(table(spark, sf_dir, "documents"))
