@@ -8,16 +8,12 @@ have the same smallest value if and only if they drew the same (word, t), and
 that happens with the probability of their generalised Jaccard similarity
 sum(min(weights)) / sum(max(weights)).  The share of equal samples estimates it.
 
-The gamma variables are read off quantile tables of 4096 steps, which differs
-from the exact law by less than the spread of any practical number of samples.
-
 Null texts are empty.  Texts without words share one fingerprint and are alike
 to each other only.  Repeated rows have equal fingerprints.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,25 +22,10 @@ from pyspark.sql import functions as F
 from flowsift.llm.text import let, words
 from flowsift.operators.ordering import range_sorted
 
-SAMPLES = 64
+SAMPLES = 32
 #: Consecutive ids in a block, and blocks at most where ids are dense.
 BLOCK_IDS = 1024
 BLOCKS = 100_000
-_STEPS = 4096
-
-
-def _gamma_quantiles(steps: int = _STEPS) -> list[float]:
-    """Midpoint quantiles of Gamma(2, 1), whose distribution is 1 - (1 + x) exp(-x)."""
-    out = []
-    for i in range(steps):
-        p, x = (i + 0.5) / steps, 1.0
-        for _ in range(60):
-            step = (1.0 - (1.0 + x) * math.exp(-x) - p) / (x * math.exp(-x))
-            x = max(x - step, x / 10)
-            if abs(step) < 1e-12 * x:
-                break
-        out.append(x)
-    return out
 
 
 def weighted_terms(text: Column) -> Column:
@@ -63,17 +44,19 @@ def weighted_terms(text: Column) -> Column:
 
 def samples(term: Column, weight: Column, count: int = SAMPLES) -> list[Column]:
     """Smallest values over a group of (term, weight) rows, one column per sample."""
-    table = _gamma_quantiles()
-    gamma = F.lit(table)
-    log_gamma = F.lit([math.log(x) for x in table])
+    low, scale = 0x3FFFFFFF, 2.0 ** -30
+
+    def two_uniforms(bits: Column) -> tuple[Column, Column]:
+        return (bits.bitwiseAND(low) + 0.5) * scale, (F.shiftrightunsigned(bits, 34) + 0.5) * scale
+
     out = []
     for k in range(count):
-        bits = F.xxhash64(term, F.lit(k))
-        r = F.get(gamma, bits.bitwiseAND(_STEPS - 1).cast("int"))
-        c = F.get(log_gamma, F.shiftright(bits, 12).bitwiseAND(_STEPS - 1).cast("int"))
-        b = F.shiftrightunsigned(bits, 24) * F.lit(2.0 ** -40)
-        t = F.floor(weight / r + b)
-        out.append(F.min(c - r * (t - b + 1.0)))
+        first, second = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
+        (a, b), (c, d) = two_uniforms(first), two_uniforms(second)
+        r, log_c = -F.ln(a * b), F.ln(-F.ln(c * d))  # the sum of two exponentials is Gamma(2, 1)
+        beta = (F.shiftright(first, 15).bitwiseXOR(second).bitwiseAND(low) + 0.5) * scale
+        t = F.floor(weight / r + beta)
+        out.append(F.min(log_c - r * (t - beta + 1.0)))
     return out
 
 
