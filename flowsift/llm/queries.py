@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsift.llm import fingerprints, licenses, mixing, quality
+from flowsift.llm import fingerprints, licenses, mixing, packing, quality, tokens
 from flowsift.llm.text import table
 from flowsift.plans.registry import query
 
@@ -69,3 +69,15 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_weighted_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document and of its edited text, and their likeness."""
     return fingerprints.compared(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a packed sequence."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokens.vocabulary())
+
+
+@query()
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    return tokens.token_counts(table(spark, sf_dir, "documents"), tokens.vocabulary())
