@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsift.llm import fingerprints, licenses, mixing, packing, quality, tokens
+from flowsift.llm import fingerprints, licenses, mixing, packing, quality, tokens, toxicity, urls
 from flowsift.llm.text import table
 from flowsift.plans.registry import query
 
@@ -81,3 +81,15 @@ def op3_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     return tokens.token_counts(table(spark, sf_dir, "documents"), tokens.vocabulary())
+
+
+@query()
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict for the address of every page."""
+    return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query()
+def op10_toxicity_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document."""
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -39,3 +39,15 @@ def unused(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         found.append(name)
     return found
+
+
+#: Rows up to which a table of short rows is sent to every task.
+SMALL_ROWS = 200_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df`` to be broadcast if it has at most ``rows`` rows, else as it is for a shuffled join.
+
+    ``df`` should be written out already: its rows are counted here.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
