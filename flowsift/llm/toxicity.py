@@ -38,6 +38,8 @@ MOST_FEATURES = 4096
 LEAST_Z = 4.0
 LEAST_TEXTS = 3
 PREFIX = 5
+#: Chance of a grade above 0 from which a document counts as toxic.
+REJECT = 0.3
 #: Most distinct toxic words of grades 1 and 2.
 GRADES = (2, 5)
 
@@ -61,7 +63,7 @@ class Model:
 
 
 def fit_ordinal(row: np.ndarray, column: np.ndarray, grade: np.ndarray, n_features: int, grades: int,
-                l2: float = 1e-3, steps: int = 600, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+                l2: float = 1e-5, steps: int = 1500, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds of a sparse 0/1 design by Adam on the mean negative log-likelihood.
 
     Thresholds are a first one and positive gaps, so they stay in order.
@@ -158,9 +160,9 @@ def acceptable(docs: DataFrame, labels: DataFrame, text: str = "text", fit_rows:
     while any(h.lower() in {n.lower() for n in names} for h in hidden):
         hidden = [h + "_" for h in hidden]
     scored = graded(docs, fit(docs, labels, text, fit_rows), text, *hidden)
-    return scored.where(F.col(hidden[1]) < 0.5).select(*names)
+    return scored.where(F.col(hidden[1]) < REJECT).select(*names)
 
 
 def report(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     scored = graded(docs.select("doc_id", "text"), fit(docs, labels, fit_rows=fit_rows))
-    return scored.select("doc_id", "severity", "toxic_probability", (F.col("toxic_probability") >= 0.5).alias("toxic"))
+    return scored.select("doc_id", "severity", "toxic_probability", (F.col("toxic_probability") >= REJECT).alias("toxic"))
