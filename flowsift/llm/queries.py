@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsift.llm import fingerprints, licenses, mixing, packing, quality, tokens, toxicity, urls
+from flowsift.llm import fingerprints, licenses, mixing, packing, pages, quality, tokens, toxicity, urls
 from flowsift.llm.text import table
 from flowsift.plans.registry import query
 
@@ -93,3 +93,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected severity of every document."""
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op6_template_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    texts = pages.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
