@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsift.llm import fingerprints, licenses, mixing, packing, pages, quality, tokens, toxicity, urls
+from flowsift.llm import fingerprints, licenses, mixing, ngram_join, packing, pages, quality, tokens, toxicity, urls
 from flowsift.llm.text import table
 from flowsift.plans.registry import query
 
@@ -100,3 +100,19 @@ def op6_template_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     texts = pages.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query(r"""
+with recursive words as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda w: w <> '') as w from documents),
+grams as (select distinct doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) as g
+  from words where len(w) > 0),
+sizes as (select doc_id, count(*) as n from grams group by 1),
+common as (select a.doc_id as x, b.doc_id as y, count(*) as c from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+links as (select x, y from common join sizes s on s.doc_id = x join sizes t on t.doc_id = y where 100 * c >= 80 * (s.n + t.n - c)),
+edges as (select x, y from links union all select y, x from links),
+reach as (select doc_id, doc_id as r from documents union select reach.doc_id, e.y from reach join edges e on e.x = reach.r)
+select doc_id, coalesce(n, 0) as n_shingles, min(r) as component_id from reach left join sizes using (doc_id) group by 1, 2""")
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of 80 % shared shingles."""
+    return ngram_join.joined(table(spark, sf_dir, "documents"))
