@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsift.llm.components import components
-from flowsift.llm.text import small
+from flowsift.llm.text import small, unused
 from flowsift.session import cut_lineage, shuffle_partitions
 
 WORDS = 5
@@ -372,3 +372,40 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     return full.join(small(groups), "root", "left").select(
         "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")
     ).unionByName(rooted.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: the one with the smallest id.
+
+    Rows without words stay, all of them.  Of repeated rows one stays.
+    """
+    named = cut_lineage(nodes(docs, doc_id, text))
+    roots = small(linked_sets(docs, text).select(F.col("node").alias("_node"), "root"))
+    full = named.where("n_shingles > 0").join(roots, F.col("node") == F.col("_node"), "left").select(
+        "doc_id", "node", F.coalesce("root", "node").alias("root"))
+    full = cut_lineage(full.groupBy("root", "doc_id", "node").agg(F.count(F.lit(1)).alias("rows")))
+    # (false, id) sorts before (true, null): a row with an id is preferred
+    first = full.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("first"))
+    groups = cut_lineage(full.groupBy("root").agg(F.sum("rows").alias("rows")).where("rows > 1").select("root")
+                         .join(first, "root").select("root", F.col("first.doc_id").alias("kept_id"), F.col("first.node").alias("kept_node")))
+    hit = full.join(small(groups), "root")
+    chosen = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("node") == F.col("kept_node"))
+    dropped = cut_lineage(hit.where(~chosen).select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")))
+    repeated = cut_lineage(hit.where(chosen & (F.col("rows") > 1)).select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")))
+
+    kept = docs.columns
+    spot = kept.index(text)
+    (own,) = unused(docs, "_own_node")
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = pa.array([node_of(found) for found in _sets(batch.column(spot))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*kept, own])
+
+    rows = docs.mapInArrow(name, docs.withColumn(own, F.lit(0).cast("long")).schema)
+    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col(own) == F.col("_node"))
+    rows = rows.join(small(dropped), same, "left_anti")
+    if repeated.isEmpty():
+        return rows.select(*kept)
+    once = rows.join(small(repeated), same, "left_semi").dropDuplicates([doc_id, own])
+    return rows.join(small(repeated), same, "left_anti").unionByName(once).select(*kept)
