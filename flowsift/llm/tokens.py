@@ -17,7 +17,6 @@ are read as the tokenizer's default does.  Empty tables give empty results.
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +26,8 @@ from pyspark.sql import functions as F
 
 CHUNK = 16_384
 OVERLAP = 512
-#: Words whose ids a task remembers before it starts afresh.
-WORDS_KEPT = 300_000
+#: Words whose ids a worker remembers before it starts afresh (about 200 bytes each).
+WORDS_KEPT = 1_200_000
 LIMIT = 2048
 
 
@@ -119,19 +118,47 @@ def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     return rows.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
-class WordIds:
-    """Token ids of texts by words; remembers the words it has seen."""
+def _remembered(path: str) -> dict[bytes, bytes]:
+    """What a worker has learnt outlives its tasks: this package is shipped by value, an installed module stays."""
+    import tokenizers
+
+    return vars(tokenizers).setdefault("_flowsift_words", {}).setdefault(path, {})
 
-    def __init__(self, path: str, kept: int = WORDS_KEPT):
-        self.tokenizer, self.kept, self.known = load(path), kept, {}
-        self.split = re.compile("[ \t-\r]+").split
+
+class WordIds:
+    """Token ids of texts by words; remembers the words it has seen.
+
+    Words new to a group of texts are encoded in one go, a special token between
+    any two.  A text that may hold special tokens itself is encoded as it is.
+    """
+
+    def __init__(self, path: str, kept: int = WORDS_KEPT, group: int = 200):
+        self.tokenizer, self.kept, self.group, self.known = load(path), kept, group, _remembered(path)
+        special = self.tokenizer.get_added_tokens_decoder()
+        self.separator = max(special)
+        self.between = special[self.separator].content
+        self.marks = [t.content.encode() for t in special.values()]
+
+    def _learn(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), 5000):
+            part = words[at:at + 5000]
+            ids = self.tokenizer.encode_batch_fast([self.between.join(w.decode() for w in part)], add_special_tokens=False)[0].ids
+            ids = np.array(ids, dtype="<u4")
+            ends = (4 * np.flatnonzero(ids == self.separator)).tolist()
+            raw = ids.tobytes()
+            self.known.update(zip(part, (raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(raw)]))))
 
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for text in texts:
-            words = self.split(text)
+        for at in range(0, len(texts), self.group):
+            some = texts[at:at + self.group]
+            lowered = [t.encode() for t in some]
+            # bytes: only A-Z change and only ASCII space splits
+            words = [None if any(m in t for m in self.marks) else t.lower().split() for t in lowered]
             if len(self.known) > self.kept:
-                self.known = {}
-            new = list(set(words).difference(self.known))
-            for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.known[word] = np.array(e.ids, dtype="<u4").tobytes()
-            yield np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype="<u4")
+                self.known.clear()
+            self._learn(list(set().union(*filter(None, words)).difference(self.known)))
+            for text, own in zip(some, words):
+                if own is None:
+                    yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+                else:
+                    yield np.frombuffer(b"".join(map(self.known.__getitem__, own)), dtype="<u4")
