@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -60,6 +61,17 @@ def normalise_layers(decoded: DataFrame) -> DataFrame:
     )
 
 
+def address_number(ip: str) -> Column:
+    """IPv4 address as a number; null for anything else."""
+    octets = F.split(F.col(ip), r"\.")
+    values = [F.get(octets, F.lit(i)).try_cast("long") for i in range(4)]
+    number = sum((v * (1 << 8 * (3 - i)) for i, v in enumerate(values)), F.lit(0))
+    valid = F.col(ip).rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
+    for v in values:
+        valid &= v <= 255
+    return F.when(valid, number)
+
+
 def packet_filter(
     packets: DataFrame,
     *,
@@ -70,7 +82,8 @@ def packet_filter(
 ) -> DataFrame:
     """Keep packets that satisfy every given predicate, in either direction.
 
-    ``net`` is an address prefix on an octet border, such as ``"10.0.0."``.
+    ``net`` is an IPv4 range, such as ``"10.0.0.0/24"``; a single address is a
+    range of one.  Addresses that are not IPv4 are in no range.
     """
     keep = F.lit(True)
     if protocol is not None:
@@ -80,7 +93,9 @@ def packet_filter(
     if host is not None:
         keep &= (F.col("src_ip") == host) | (F.col("dst_ip") == host)
     if net is not None:
-        keep &= F.col("src_ip").startswith(net) | F.col("dst_ip").startswith(net)
+        span = ipaddress.ip_network(net, strict=False)
+        first, last = int(span.network_address), int(span.broadcast_address)
+        keep &= address_number("src_ip").between(first, last) | address_number("dst_ip").between(first, last)
     return packets.where(keep)
 
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowsift.functions.packets import FLOW_KEY, TCP_FLAGS, has_flag, protocol_code, with_flow_key
 from flowsift.operators.anchors import RunRule, assign_runs
 
-# Default timeout (60 s) and packets remembered per flow.
+# Default timeout (60 s); packets and payload that a capped flow remembers.
 FLOW_TIMEOUT_US = 60_000_000
 PACKET_CAP = 1000
 MIN_DURATION = 0.001
@@ -30,12 +32,20 @@ def split_flows(packets: DataFrame, timeout_us: int = FLOW_TIMEOUT_US, **split)
 def assemble_flows(
     packets: DataFrame,
     timeout_us: int = FLOW_TIMEOUT_US,
-    packet_cap: int | None = PACKET_CAP,
+    packet_cap: int | None = None,
     payload_cap: int | None = None,
+    matches: Callable[[Column, bool], Column] | None = None,
+    longest: int = 0,
     **split,
 ) -> DataFrame:
     """One row per flow; a flow closes *with* the first packet later than its start + timeout.
 
+    With ``matches`` the flow gets ``matched``: whether the predicate holds for
+    its whole payload.  Only a flag and the ``longest`` - 1 first and last
+    characters of each packet's payload go through the walk; a match across
+    packets is found in the end of what came before and the start of a packet,
+    so no payload is moved or put together, however long the flow.
+
     With ``payload_cap`` the flow also gets the start of its ``payload``, in
     packet order.  The walk that finds the flows marks the packets that reach
     into the cap, so one aggregation serves both and no list outgrows the cap
@@ -53,6 +63,14 @@ def assemble_flows(
         keyed = keyed.withColumn("_size", F.coalesce(F.length("payload"), F.lit(0)).cast("long"))
         wanted += ["payload", "_size"]
         split["head"] = ("_size", payload_cap)
+    if matches is not None:
+        bytes_ = isinstance(packets.schema["payload"].dataType, T.BinaryType)
+        text = F.decode("payload", "ISO-8859-1") if bytes_ else F.col("payload")
+        keyed = with_flow_key(packets.select(*columns, "payload")).withColumns({
+            "_hit": matches(F.col("payload"), bytes_), "_some": F.coalesce(F.length("payload") > 0, F.lit(False)),
+            "_head": F.left(text, F.lit(longest - 1)), "_tail": F.right(text, F.lit(longest - 1)),
+        })
+        wanted += ["_hit", "_some", "_head", "_tail"]
     runs = assign_runs(keyed.select(*wanted), FLOW_KEY, "ts_us", ["packet_id"], flow_rule(timeout_us), **split)
     measures = [
         F.min("packet_id").alias("flow_id"),
@@ -62,6 +80,15 @@ def assemble_flows(
         F.sum(F.when(F.col("from_a"), 0).otherwise(F.col("length"))).alias("dst_bytes"),
         *[F.sum(has_flag(n).cast("bigint")).alias(f"flag_{n}") for n in TCP_FLAGS],
     ]
+    if matches is not None:
+        if longest > 1:  # longest - 1 pieces with at least one character each hold all that can matter
+            before = Window.partitionBy(*FLOW_KEY, "anchor_us", "_some").orderBy("ts_us", "packet_id").rowsBetween(1 - longest, -1)
+            around = F.concat(F.right(F.array_join(F.collect_list("_tail").over(before), ""), F.lit(longest - 1)), F.col("_head"))
+            runs = runs.withColumn("_around", around)
+            across = matches(F.encode("_around", "ISO-8859-1") if bytes_ else F.col("_around"), bytes_)
+            measures.append(F.max(F.col("_hit") | (F.col("_some") & across)).alias("matched"))
+        else:
+            measures.append(F.max("_hit").alias("matched"))
     if with_payload:
         piece = F.decode("payload", "ISO-8859-1") if binary else F.col("payload")  # one character per byte
         pieces = F.collect_list(F.when(F.col("in_head"), F.struct("ts_us", "packet_id", piece.alias("payload"))))
@@ -77,7 +104,7 @@ def assemble_flows(
         "start_us", "end_us", count.alias("packet_count"), "src_bytes", "dst_bytes",
         *[f"flag_{n}" for n in TCP_FLAGS],
         F.when(closed, "timeout").otherwise("flush").alias("close_reason"),
-        *["payload"] * with_payload,
+        *["payload"] * with_payload, *["matched"] * (matches is not None),
     )
 
 

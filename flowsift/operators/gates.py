@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsift.functions.packets import FLOW_KEY, host_pair
-from flowsift.operators.flows import FLOW_TIMEOUT_US, PAYLOAD_CAP, split_flows
+from flowsift.operators.flows import FLOW_TIMEOUT_US, assemble_flows, split_flows
 from flowsift.operators.ordering import running_sums
 from flowsift.operators.signatures import Rule, is_binary, signature_any
 from flowsift.session import cut_lineage
@@ -18,10 +18,10 @@ _SALTS = 64
 
 
 def reassemble(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], piece: str, cap: int = PAYLOAD_CAP,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], piece: str, cap: int | None = None,
     hot_rows: int = _HOT_PIECES,
 ) -> DataFrame:
-    """Concatenate the pieces of a key in order and keep the first ``cap`` characters.
+    """Concatenate the pieces of a key in order; with ``cap`` keep that many first characters.
 
     Every non-empty piece has at least one character, so only the first ``cap``
     pieces can matter.  A key with more than ``hot_rows`` pieces is first cut to
@@ -32,6 +32,10 @@ def reassemble(
     some = df.where(F.length(piece) > 0)
     if binary:  # one character per byte while joining
         some = some.withColumn(piece, F.decode(piece, "ISO-8859-1"))
+    if cap is None:
+        pieces = F.sort_array(F.collect_list(F.struct(*order, F.col(piece).alias("_piece"))))
+        whole = some.groupBy(*keys).agg(F.array_join(F.transform(pieces, lambda p: p["_piece"]), "").alias("payload"))
+        return whole.withColumn("payload", F.encode("payload", "ISO-8859-1")) if binary else whole
     largest = some.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     if largest > hot_rows:
         salted = Window.partitionBy(*keys, "_salt").orderBy(*order)
@@ -48,7 +52,7 @@ def reassemble(
 
 
 def host_pair_payloads(
-    packets: DataFrame, timeout_us: int = FLOW_TIMEOUT_US, cap: int = PAYLOAD_CAP, **split
+    packets: DataFrame, timeout_us: int = FLOW_TIMEOUT_US, cap: int | None = None, **split
 ) -> DataFrame:
     """One shared buffer per host pair, taken by the pair's next flow to close.
 
@@ -77,6 +81,14 @@ def host_pair_payloads(
     return closers.unionByName(leftover).join(text, ["pair", "epoch"]).drop("pair", "epoch")
 
 
+def gated_flows(packets: DataFrame, rules: Sequence[Rule], timeout_us: int = FLOW_TIMEOUT_US, **split) -> DataFrame:
+    """Flows with ``gate``: 1 if their whole payload matches a rule, else 2; no payload is put together."""
+    longest = max((len(p.encode()) for _, p in rules), default=1)
+    found = assemble_flows(
+        packets, timeout_us, matches=lambda text, binary: signature_any(text, rules, binary), longest=max(longest, 1), **split)
+    return found.withColumn("gate", F.when(F.col("matched"), 1).otherwise(2)).drop("matched")
+
+
 def mark_gate(flows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Replace ``payload`` by ``gate``: 1 if it matches a rule, else 2."""
     hit = signature_any(F.col("payload"), rules, is_binary(flows, "payload"))

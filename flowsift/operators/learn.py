@@ -186,10 +186,10 @@ def topology_scores(flows: DataFrame, columns: Sequence[str], k: int = 4, hops:
 
 
 def plane(df: DataFrame, vector: str, row_id: str, sample: int = 3000, seed: int = 42) -> DataFrame:
-    """Two principal coordinates of a deterministic sample (for a class plot)."""
+    """Two principal coordinates of every row, fitted on a deterministic sample of at most ``sample`` rows."""
     from flowsift.functions.labels import deterministic_sample
 
     drawn = deterministic_sample(df, row_id, sample, seed)
     model = fit_reconstruction(drawn, vector, 2, 0.5)
-    placed = drawn.withColumn("_xy", model.project(F.col(vector)))
+    placed = df.withColumn("_xy", model.project(F.col(vector)))
     return placed.withColumns({"x": F.get("_xy", F.lit(0)), "y": F.get("_xy", F.lit(1))}).drop("_xy")

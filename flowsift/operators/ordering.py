@@ -162,14 +162,14 @@ _ACCURACY = 10_000  # percentile_approx is off by at most 1 / _ACCURACY of the r
 def exact_percentiles(
     df: DataFrame, column: str, fractions: Sequence[float], small: int = 100_000
 ) -> list[float]:
-    """Linearly interpolated percentiles, exact at any size.
+    """Linearly interpolated percentiles of the numbers (no nulls, no NaN), exact at any size.
 
     The column is written out once.  A sketch brackets each rank; only the rows
     in the brackets, collapsed to distinct values with counts, are then sorted
     and summed up: a few ten-thousandths of the data.  ``percentile()`` would
     hold every distinct value in one buffer.
     """
-    values = cut_lineage(df.select(F.col(column).cast("double").alias("x")).where("x is not null"))
+    values = cut_lineage(df.select(F.col(column).cast("double").alias("x")).where("x is not null and not isnan(x)"))
     slack = 2.0 / _ACCURACY
     ends = [min(max(p + d, 0.0), 1.0) for p in fractions for d in (-slack, slack)]
     n, sketch = values.agg(F.count(F.lit(1)), F.percentile_approx("x", ends, _ACCURACY)).first()

@@ -1,17 +1,15 @@
 """Pattern sets against whole texts, case-insensitively.
 
-Finding *which* patterns occur stays in compiled JVM expressions.  Finding
-*every* occurrence uses one compiled multi-pattern matcher per task, over
-Arrow batches of the text column alone.
+Which patterns occur, and where first, stays in JVM expressions for any number
+of patterns.  Finding *every* occurrence searches Arrow batches of the text
+column alone, and emits what it finds in pieces of bounded size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,12 +19,7 @@ from flowsift.functions.packets import ascii_lower
 
 Rule = tuple[str, str]  # (rule id, pattern)
 
-_INLINE_RULES = 64  # beyond this the compiled matcher is cheaper than one test per pattern
-
-try:
-    import ahocorasick
-except ImportError:  # the plain search below gives the same rows
-    ahocorasick = None
+_MATCHES_PER_BATCH = 100_000
 
 
 def _usable(rules: Sequence[Rule]) -> list[Rule]:
@@ -41,48 +34,15 @@ def _fold(text) -> str | None:
     return raw.decode("latin-1")
 
 
-def _matcher(rules: list[Rule]) -> Callable[[str], list[tuple[int, int, int]]]:
-    """All occurrences as (stop, start, rule number), ordered by stop then start."""
-    folded = [_fold(p) for _, p in rules]
-    if ahocorasick is None:
-        def search(text: str) -> list[tuple[int, int, int]]:
-            found = []
-            for number, pattern in enumerate(folded):
-                at = text.find(pattern)
-                while at >= 0:
-                    found.append((at + len(pattern), at, number))
-                    at = text.find(pattern, at + 1)
-            return sorted(found)
-        return search
-
-    owners: dict[str, list[int]] = {}
-    for number, pattern in enumerate(folded):
-        owners.setdefault(pattern, []).append(number)
-    automaton = ahocorasick.Automaton()
-    for pattern, numbers in owners.items():
-        automaton.add_word(pattern, (len(pattern), numbers))
-    automaton.make_automaton()
-
-    def search(text: str) -> list[tuple[int, int, int]]:
-        return sorted(
-            (last + 1, last + 1 - size, number) for last, (size, numbers) in automaton.iter(text) for number in numbers
-        )
-    return search
-
-
-def _first_matches(text: Column, rules: list[Rule]) -> Column:
-    """Numbers of the rules that occur, by their first match."""
-
-    @F.pandas_udf("array<int>")
-    def find(texts: pd.Series) -> pd.Series:
-        search = _matcher(rules)
-        return texts.map(lambda t: [] if t is None else list(dict.fromkeys(m[2] for m in search(_fold(t)))))
-
-    return find(text)
-
-
-def _of_rule(numbers: Column, values: Sequence[str]) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), numbers)
+def _occurrences(text: str, patterns: Sequence[str]) -> list[tuple[int, int, int]]:
+    """All places, overlaps included, as (stop, start, pattern number) in that order."""
+    found = []
+    for number, pattern in enumerate(patterns):
+        at = text.find(pattern)
+        while at >= 0:
+            found.append((at + len(pattern), at, number))
+            at = text.find(pattern, at + 1)
+    return sorted(found)
 
 
 def _folded_text(text: Column, binary: bool) -> Column:
@@ -98,18 +58,20 @@ def is_binary(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, T.BinaryType)
 
 
+def _rule_table(rules: Sequence[Rule], binary: bool) -> Column:
+    return F.array(*[
+        F.struct(F.lit(i).alias("rule_id"), F.lit(p).alias("pattern"), _folded_pattern(p, binary).alias("folded")) for i, p in rules
+    ])
+
+
 def signature_any(text: Column, rules: Sequence[Rule], binary: bool = False) -> Column:
     """True if any pattern occurs; ``binary`` for a column of bytes."""
     usable = _usable(rules)
     if not usable:
         return F.lit(False)
-    if len(usable) > _INLINE_RULES:
-        return F.size(_first_matches(text, usable)) > 0
     # a one-element array binds the lower-cased text once for all patterns
     found = F.transform(
-        F.array(_folded_text(text, binary)),
-        lambda t: reduce(lambda a, b: a | b, [F.contains(t, _folded_pattern(p, binary)) for _, p in usable]),
-    )
+        F.array(_folded_text(text, binary)), lambda t: F.exists(_rule_table(usable, binary), lambda r: F.contains(t, r["folded"])))
     return F.coalesce(F.get(found, F.lit(0)), F.lit(False))
 
 
@@ -118,23 +80,11 @@ def signature_hits(df: DataFrame, text: str, rules: Sequence[Rule]) -> DataFrame
     usable = _usable(rules)
     if not usable:
         return df.withColumns({"rule_id": F.lit(""), "pattern": F.lit("")}).where(F.lit(False))
-    if len(usable) > _INLINE_RULES:
-        numbered = df.withColumn("_rule", F.explode(_first_matches(F.col(text), usable)))
-        return numbered.withColumns({
-            "rule_id": _of_rule(F.col("_rule"), [i for i, _ in usable]),
-            "pattern": _of_rule(F.col("_rule"), [p for _, p in usable]),
-        }).drop("_rule")
     binary = is_binary(df, text)
-    lowered = df.withColumn("_lower", _folded_text(F.col(text), binary))
-    hits = F.array_compact(F.array(*[
-        F.when(
-            F.contains(F.col("_lower"), _folded_pattern(p, binary)),
-            F.struct(F.lit(i).alias("rule_id"), F.lit(p).alias("pattern")),
-        )
-        for i, p in usable
-    ]))
+    hits = F.transform(
+        F.array(_folded_text(F.col(text), binary)), lambda t: F.filter(_rule_table(usable, binary), lambda r: F.contains(t, r["folded"])))
     # the outer form keeps the planner from testing every pattern twice (once to drop empty lists)
-    found = lowered.withColumn("_hits", hits).drop("_lower").select("*", F.inline_outer("_hits")).drop("_hits")
+    found = df.withColumn("_hits", F.get(hits, F.lit(0))).select("*", F.inline_outer("_hits")).drop("_hits", "folded")
     return found.where(F.col("rule_id").isNotNull())
 
 
@@ -150,29 +100,45 @@ def signature_offsets(df: DataFrame, text: str, rules: Sequence[Rule]) -> DataFr
     schema = schema.add("start", "long").add("stop", "long")
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = _matcher(usable)
+        folded = [_fold(p) for _, p in usable]
         ids, patterns = pa.array([i for i, _ in usable], pa.string()), pa.array([p for _, p in usable], pa.string())
         for batch in batches:
             rows, found = [], []
-            for row, value in enumerate(batch.column(text).to_pylist()):
-                matches = [] if value is None else search(_fold(value))
+
+            def piece() -> pa.RecordBatch:
+                at = np.array(found, dtype=np.int64).reshape(-1, 3)
+                rule = pa.array(at[:, 2])
+                columns = [batch.column(n).take(pa.array(rows, pa.int64())) for n in names]
+                columns += [ids.take(rule), patterns.take(rule), pa.array(at[:, 1]), pa.array(at[:, 0])]
+                return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+            for row, value in enumerate(batch.column(text)):
+                matches = _occurrences(_fold(value.as_py()), folded) if value.is_valid else []
                 rows += [row] * len(matches)
                 found += matches
-            at = np.array(found, dtype=np.int64).reshape(-1, 3)
-            rule = pa.array(at[:, 2])
-            columns = [batch.column(n).take(pa.array(rows, pa.int64())) for n in names]
-            columns += [ids.take(rule), patterns.take(rule), pa.array(at[:, 1]), pa.array(at[:, 0])]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                if len(found) > _MATCHES_PER_BATCH:
+                    yield piece()
+                    rows, found = [], []
+            yield piece()
 
     return df.mapInArrow(locate, schema)
 
 
 def signature_names(df: DataFrame, text: str, rules: Sequence[Rule]) -> DataFrame:
-    """``names``: distinct matched patterns in order of their first match's end."""
+    """``names``: matched patterns in order of their first match's end, then its start."""
     usable = _usable(rules)
-    numbers = df.withColumn("_rules", _first_matches(F.col(text), usable))
-    names = F.transform("_rules", lambda r: _of_rule(r, [p for _, p in usable]))
-    return numbers.withColumn("names", names).drop("_rules")
+    if not usable:
+        return df.withColumn("names", F.array().cast("array<string>"))
+    binary = is_binary(df, text)
+
+    def firsts(t: Column) -> Column:
+        places = F.transform(_rule_table(usable, binary), lambda r, i: F.struct(
+            (F.position(r["folded"], t) + F.length(r["folded"])).alias("stop"), F.position(r["folded"], t).alias("start"),
+            i.alias("number"), r["pattern"].alias("pattern")))
+        return F.transform(F.sort_array(F.filter(places, lambda p: p["start"] > 0)), lambda p: p["pattern"])
+
+    named = F.get(F.transform(F.array(_folded_text(F.col(text), binary)), firsts), F.lit(0))
+    return df.withColumn("names", F.coalesce(named, F.array().cast("array<string>")))
 
 
 def rule_counts(df: DataFrame, text: str, rules: Sequence[Rule], by: Sequence[Column | str]) -> DataFrame:

@@ -48,12 +48,16 @@ def signature_hits(spark, sf_dir):
     return signatures.signature_hits(_pages(spark, sf_dir), "html", fx.PATTERNS).drop("html")
 
 
-_OFFSETS = """hits as (
-  select packet_id, lower(payload) as t, rule_id, pattern from payloads join patterns on contains(lower(payload), lower(pattern))),
+# found once per page; a packet carries the page whose number is its own modulo the pages
+_OFFSETS = """spots as (
+  select page_id, unnest(string_split(lower(html), '')) as c, unnest(range(length(lower(html)))) as i from pages),
+page_offsets as (
+  select page_id, rule_id, pattern, strlen(substring(lower(html), 1, i)) as start, start + length(pattern) as stop
+  from spots join patterns on c = substring(lower(pattern), 1, 1) join pages using (page_id)
+  where substring(lower(html), cast(i as bigint) + 1, length(pattern)) = lower(pattern)),
 offsets as (
-  select packet_id, rule_id, pattern, strlen(substring(t, 1, i)) as start, start + length(pattern) as stop
-  from hits cross join (select cast(unnest(range(300)) as bigint) as i)
-  where substring(t, i + 1, length(pattern)) = lower(pattern))"""
+  select packet_id, rule_id, pattern, start, stop from packets cross join (select count(*) as n from pages)
+  join page_offsets on page_id = packet_id % n)"""
 
 
 @query(fx.oracle(["payloads"], f"with {_PATTERNS}, {_OFFSETS} select packet_id, rule_id, start, stop from offsets"))
@@ -101,16 +105,16 @@ def syn_limit(spark, sf_dir):
 
 
 @query("""
-select conv_id, substring(string_agg(text, '' order by turn), 1, 500) as payload from conversations
+select conv_id, string_agg(text, '' order by turn) as payload from conversations
 where length(text) > 0 group by conv_id""")
 def payload_reassembly(spark, sf_dir):
     turns = fx.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return gates.reassemble(turns, ["conv_id"], ["turn"], "text", cap=500)
+    return gates.reassemble(turns, ["conv_id"], ["turn"], "text")
 
 
 _GATED = f"""{_PATTERNS},
 texts as (
-  select min(packet_id) as flow_id, substring(string_agg(payload, '' order by ts_us, packet_id), 1, 65536) as payload
+  select min(packet_id) as flow_id, string_agg(payload, '' order by ts_us, packet_id) as payload
   from payloads join (select packet_id, k, anchor from ranked join walk using (k, rn)) w using (packet_id)
   group by k, anchor),
 gated as (
@@ -120,8 +124,7 @@ _GATE_RULES = [r for r in fx.PATTERNS if r[1] in ("cmd.exe", "TRACK(", 'href="/t
 
 
 def _gated_flows(spark, sf_dir):
-    built = flows.assemble_flows(_payloads(spark, sf_dir), TIMEOUT, payload_cap=flows.PAYLOAD_CAP)
-    return gates.mark_gate(built, _GATE_RULES)
+    return gates.gated_flows(_payloads(spark, sf_dir), _GATE_RULES, TIMEOUT)
 
 
 @query(fx.oracle(["payloads"], f"with {_GATED} select flow_id, gate from gated", flows=True))
@@ -148,7 +151,7 @@ epochs as (
   select *, coalesce(sum(closes::int) over (partition by pair order by ts_us, packet_id
     rows between unbounded preceding and 1 preceding), 0) as epoch from marked),
 texts as (
-  select pair, epoch, substring(string_agg(payload, '' order by ts_us, packet_id), 1, 65536) as payload
+  select pair, epoch, string_agg(payload, '' order by ts_us, packet_id) as payload
   from epochs join (select packet_id, payload from payloads) using (packet_id) group by all),
 owners as (
   select pair, epoch, k, anchor from epochs where closes

@@ -78,8 +78,7 @@ def decide_flows(
     Flows whose payload matches a rule are certain and end there: they never
     enter the feature windows of the others.  Detectors not given score 0.
     """
-    built = flows.assemble_flows(packets, timeout_us, payload_cap=flows.PAYLOAD_CAP)
-    gated = cut_lineage(gates.mark_gate(built, rules))  # read by both gates
+    gated = cut_lineage(gates.gated_flows(packets, rules, timeout_us))  # read by both gates
     certain = gated.where("gate = 1").withColumn("aho_corasick", F.lit(1.0))
     scored = features_of(gated.where("gate = 2"), time_window_us, connections_kept)
     for add in detectors.values():

@@ -62,7 +62,7 @@ select event_id as feedback_id, {US} as ts_us,
 from events where event_type = 'error'""",
     "payloads": """
 select p.packet_id, p.ts_us, p.src_ip, p.dst_ip, p.src_port, p.dst_port, p.protocol, p.length, p.flags,
-  substring(g.html, cast(1 + p.packet_id % 500 as int), 300) as payload
+  g.html as payload
 from packets p join pages g on g.page_id = p.packet_id % {PAGES}""",
     "eval_scores": """
 select l.doc_id, l.toxic as y_true, least(d.n_chars / 20000e0, 1e0) as y_score
@@ -123,7 +123,7 @@ walk as (
   from walk w join ranked r on r.k = w.k and r.rn = w.rn + 1),
 flows as (
   select min(packet_id) as flow_id, a_ip as src_ip, a_port as src_port, b_ip as dst_ip, b_port as dst_port, protocol, anchor as start_us,
-    max(ts_us) as end_us, least(count(*), 1000) as packet_count,
+    max(ts_us) as end_us, count(*) as packet_count,
     cast(sum(case when from_a then length else 0 end) as bigint) as src_bytes,
     cast(sum(case when from_a then 0 else length end) as bigint) as dst_bytes,
     count(*) filter (flags & 1 != 0) as flag_fin, count(*) filter (flags & 2 != 0) as flag_syn,

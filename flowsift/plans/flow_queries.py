@@ -63,9 +63,10 @@ def host_pair(spark, sf_dir):
 @query(fx.oracle(["packets"], """
 select packet_id, src_ip, dst_ip, src_port, dst_port from packets
 where protocol = 6 and (src_port = 443 or dst_port = 443)
-  and (starts_with(src_ip, '10.0.0.1') or starts_with(dst_ip, '10.0.0.1'))"""))
+  and (regexp_matches(src_ip, '^10[.]0[.]0[.](6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])$')
+    or regexp_matches(dst_ip, '^10[.]0[.]0[.](6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])$'))"""))
 def packet_filter(spark, sf_dir):
-    kept = P.packet_filter(packets(spark, sf_dir), protocol=6, port=443, net="10.0.0.1")
+    kept = P.packet_filter(packets(spark, sf_dir), protocol=6, port=443, net="10.0.0.64/26")
     return kept.select("packet_id", "src_ip", "dst_ip", "src_port", "dst_port")
 
 

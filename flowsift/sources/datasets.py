@@ -61,9 +61,17 @@ def read_flow_csvs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def clean_flow_csvs(df: DataFrame) -> DataFrame:
-    """Numbers with NaN, infinities and gaps as 0; exact duplicates removed."""
-    numeric = {c: finite(F.col(f"`{c}`").try_cast("double")) for c in df.columns if c != "label"}
-    return df.withColumns(numeric).fillna({"label": "0"}).dropDuplicates()
+    """Exact duplicates removed, then numbers with NaN, infinities and gaps as 0.
+
+    A column is numeric if every value that is not empty reads as a number;
+    addresses, times and other text stay as they are.
+    """
+    distinct = df.dropDuplicates()
+    others = [c for c in df.columns if c != "label"]
+    seen = distinct.agg(*[F.count_if((F.trim(f"`{c}`") != "") & F.col(f"`{c}`").try_cast("double").isNull()).alias(c) for c in others])
+    found = seen.first().asDict() if others else {}
+    numeric = {c: finite(F.col(f"`{c}`").try_cast("double")) for c in others if not found[c]}
+    return distinct.withColumns(numeric).fillna({"label": "0"})
 
 
 def read_demo_alerts(spark: SparkSession, path: str) -> DataFrame:

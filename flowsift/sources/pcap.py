@@ -88,7 +88,7 @@ def decode_frame(frame: bytes, link: int = _ETHERNET) -> dict:
             out["eth"] = {"dst": _mac(frame[:6]), "src": _mac(frame[6:12]), "ethertype": kind}
         if kind != _IPV4:
             return out
-        head, _, length, _, _, ttl, proto, _, src, dst = struct.unpack_from(">BBHHHBBH4s4s", frame, at)
+        head, _, length, _, place, ttl, proto, _, src, dst = struct.unpack_from(">BBHHHBBH4s4s", frame, at)
         if head >> 4 != 4:
             return out
         out["ip"] = {
@@ -97,7 +97,9 @@ def decode_frame(frame: bytes, link: int = _ETHERNET) -> dict:
         }
         end = min(len(frame), at + length) if length else len(frame)
         at += (head & 15) * 4
-        if proto == 6:
+        if place & 0x1FFF:  # a later fragment: what follows is no transport header
+            out["payload"] = frame[at:end]
+        elif proto == 6:
             sport, dport, seq, ack, offset, flags, window = struct.unpack_from(">HHIIBBH", frame, at)
             out["tcp"] = {"sport": sport, "dport": dport, "seq": seq, "ack": ack, "window": window, "flags": flags}
             out["payload"] = frame[at + (offset >> 4) * 4:end]

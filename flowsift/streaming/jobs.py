@@ -20,7 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from flowsift.functions.packets import FLOW_KEY, TCP_FLAGS, with_flow_key
 from flowsift.operators.alerts import COOLDOWN_US
 from flowsift.operators.anchors import FRESH, RunRule
-from flowsift.operators.flows import FLOW_TIMEOUT_US, PACKET_CAP, flow_rule
+from flowsift.operators.flows import FLOW_TIMEOUT_US, flow_rule
 from flowsift.schemas import PACKET
 from flowsift.sources.tables import append_alerts
 
@@ -53,7 +53,7 @@ def _walk(rows: pd.DataFrame, rule: RunRule, state: int) -> tuple[np.ndarray, np
 def flow_stream(
     packets: DataFrame,
     timeout_us: int = FLOW_TIMEOUT_US,
-    packet_cap: int = PACKET_CAP,
+    packet_cap: int | None = None,
     idle_us: int | None = None,
     late: str = "10 seconds",
 ) -> DataFrame:
@@ -75,7 +75,7 @@ def flow_stream(
 
     def emitted(key: tuple, flow: dict, reason: str) -> dict:
         row = dict(zip(FLOW_KEY, key)) | {n: int(flow[n]) for n in columns if n != "packet_count"}
-        return row | {"packet_count": min(int(flow["packets_seen"]), packet_cap), "close_reason": reason}
+        return row | {"packet_count": int(flow["packets_seen"]) if packet_cap is None else min(int(flow["packets_seen"]), packet_cap), "close_reason": reason}
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:

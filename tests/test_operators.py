@@ -143,12 +143,7 @@ def _plain(text):
     return found
 
 
-@pytest.mark.parametrize("inline", [64, 0])
-@pytest.mark.parametrize("automaton", [True, False])
-def test_matcher(spark, monkeypatch, inline, automaton):
-    monkeypatch.setattr(signatures, "_INLINE_RULES", inline)
-    if not automaton:
-        monkeypatch.setattr(signatures, "ahocorasick", None)
+def test_matcher(spark):
     df = spark.createDataFrame(TEXTS, "id int, text string")
     offsets = signatures.signature_offsets(df, "text", RULES).collect()
     assert sorted((r["id"], r["rule_id"], r["start"], r["stop"]) for r in offsets) == sorted((i, *m) for i, t in TEXTS for m in _plain(t))
@@ -160,6 +155,43 @@ def test_matcher(spark, monkeypatch, inline, automaton):
     assert names[0] == ["she", "he", "hers"] and names[2] == []
 
 
+def test_many_patterns(spark):
+    rules = [(f"r{i}", f"word{i}x") for i in range(200)]
+    df = spark.createDataFrame([(1, "a WORD7X b word150x"), (2, None), (3, "word200x")], "id int, text string")
+    assert sorted((r["id"], r["rule_id"]) for r in signatures.signature_hits(df, "text", rules).collect()) == [(1, "r150"), (1, "r7")]
+    names = {r["id"]: r["names"] for r in signatures.signature_names(df, "text", rules).collect()}
+    assert names == {1: ["word7x", "word150x"], 2: [], 3: []}
+    assert [r[0] for r in df.orderBy("id").select(signatures.signature_any(F.col("text"), rules)).collect()] == [True, False, False]
+
+
+def test_gate_sees_the_whole_payload(spark):
+    parts = {1: ["xxcm", "", "d.", "exeyy"], 2: ["cmd", "-", ".exe"], 3: ["z" * 70_000, "q" * 70_000 + "CMD.EXE"], 4: [None, "none"]}
+    rows = [
+        (10 * k + i, S * i, "10.0.0.1", f"10.0.1.{k}", 1, 80, 6, 1, 0, p) for k, texts in parts.items() for i, p in enumerate(texts)
+    ]
+    names = "packet_id long, ts_us long, src_ip string, dst_ip string, src_port int, dst_port int, protocol int, length long, flags int, payload string"
+    df = spark.createDataFrame(rows, names)
+    raw = df.withColumn("payload", F.encode("payload", "UTF-8"))
+    for packets_ in (df, raw):
+        got = gates.gated_flows(packets_, [("x", "cmd.exe"), ("e", "")], 60 * S).orderBy("dst_ip").collect()
+        assert [r["gate"] for r in got] == [1, 2, 1, 2] and "matched" not in got[0].asDict()
+    assert {r["gate"] for r in gates.gated_flows(df, [], 60 * S).collect()} == {2}
+    assert [r["gate"] for r in gates.gated_flows(df, [("q", "q")], 60 * S).orderBy("dst_ip").collect()] == [2, 2, 1, 2]
+
+
+def test_address_ranges(spark):
+    df = spark.createDataFrame([("10.0.0.1", "x"), ("10.0.0.150", "x"), ("fe80::1", "10.0.1.7"), (None, "10.0.0.300")], "src_ip string, dst_ip string")
+    kept = lambda net: [r["src_ip"] for r in P.packet_filter(df, net=net).collect()]
+    assert kept("10.0.0.1") == ["10.0.0.1"] and kept("10.0.0.0/25") == ["10.0.0.1"]
+    assert kept("10.0.0.0/23") == ["10.0.0.1", "10.0.0.150", "fe80::1"]
+
+
+def test_percentiles_ignore_nan(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(1000)] + [(float("nan"),), (None,)], "x double")
+    for small in (100_000, 0):
+        assert ordering.exact_percentiles(df, "x", [0.0, 0.9, 1.0], small=small) == pytest.approx([0.0, 899.1, 999.0])
+
+
 def test_bytes_and_empty_rules(spark):
     df = spark.createDataFrame([(1, bytearray(b"\xffCMD.EXE\x90"))], "id int, text binary")
     [m] = signatures.signature_offsets(df, "text", [("x", "cmd.exe")]).collect()

@@ -26,6 +26,19 @@ def test_csv_directory_with_different_headers(spark, folder):
         ("BENIGN", 1.0, 0.0), ("Bot", 0.0, 7.0), ("DDoS", 0.0, 0.0)]
 
 
+def test_csv_rows_that_differ_in_text_only(spark, folder):
+    open(f"{folder}/a.csv", "w").write("Source IP,Bytes,Label\n10.0.0.1,5,BENIGN\n10.0.0.2,5,BENIGN\n10.0.0.2,5,BENIGN\n10.0.0.3,NaN,BENIGN\n")
+    df = datasets.clean_flow_csvs(datasets.read_flow_csvs(spark, folder))
+    assert sorted((r["source ip"], r["bytes"]) for r in df.collect()) == [("10.0.0.1", 5.0), ("10.0.0.2", 5.0), ("10.0.0.3", 0.0)]
+
+
+def test_later_fragment_has_no_ports():
+    body = bytes([0, 1, 2, 3]) * 8
+    frame = _frame(0x0800, struct.pack(">BBHHHBBH4s4s", 0x45, 0, 20 + len(body), 0, 185, 64, 6, 0, b"\x0a\0\0\1", b"\x0a\0\0\2") + body)
+    layers = pcap.decode_frame(frame)
+    assert layers["tcp"] is None and layers["udp"] is None and layers["payload"] == body and layers["ip"]["proto"] == 6
+
+
 def _ip(proto, body, src=b"\x0a\0\0\1", dst=b"\x0a\0\0\2"):
     return struct.pack(">BBHHHBBH4s4s", 0x45, 0, 20 + len(body), 0, 0, 64, proto, 0, src, dst) + body
 
