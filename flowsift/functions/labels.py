@@ -56,8 +56,8 @@ def attack_family(label: Column) -> Column:
 
 
 def hashed(value: Column, buckets: int = 1000) -> Column:
-    """Categorical code that is the same in every run."""
-    return F.pmod(F.xxhash64(value), F.lit(buckets))
+    """Categorical code that is the same in every run and engine: first 32 bits of the MD5 digest, modulo ``buckets``."""
+    return F.conv(F.substring(F.md5(value.cast("string")), 1, 8), 16, 10).cast("long") % buckets
 
 
 def number_or_zero(value: Column) -> Column:
@@ -88,4 +88,4 @@ def csv_features(df: DataFrame) -> DataFrame:
 
 def deterministic_sample(df: DataFrame, row_id: str, n: int, seed: int) -> DataFrame:
     """Exactly ``n`` rows, the same ones for the same seed."""
-    return df.orderBy(F.xxhash64(F.col(row_id), F.lit(seed)), row_id).limit(n)
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(row_id).cast("string"))), row_id).limit(n)

@@ -1,4 +1,4 @@
-"""Detectors without a SQL equivalent: checked by invariants in the tests."""
+"""Learnt detectors.  SQL cannot fit them; it states what must hold for each row."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from flowsift.operators import explain, forest, learn, neighbours
 from flowsift.plans import fixtures as fx
-from flowsift.plans.flow_queries import numbered_flows
+from flowsift.plans.flow_queries import flow_oracle, numbered_flows
 from flowsift.plans.registry import query
 
 WIDTH = 64
@@ -23,73 +23,85 @@ def _vectors(spark, sf_dir):
     return numbered_flows(spark, sf_dir).withColumn("vec", values)
 
 
-@query()
+def _share(column):
+    """Whether a score is a number from 0 to 1."""
+    return (F.col(column).between(0, 1) & ~F.isnan(column)).alias("in_range")
+
+
+@query("""select concat_ws('-', l_orderkey, l_linenumber) as row_id, true as in_range from lineitem""")
 def isolation_forest(spark, sf_dir):
     lines = fx.table(spark, sf_dir, "lineitem").select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row_id"), "l_returnflag",
         F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax").alias("vec"),
     )
     model = forest.fit_isolation_forest(lines.where("l_returnflag = 'N'"), "row_id", "vec")
-    return lines.select("row_id", F.round(model.score(F.col("vec")), 6).alias("score"))
+    return lines.withColumn("score", model.score(F.col("vec"))).select("row_id", _share("score"))
 
 
-@query()
+@query("select vec_id, (label = 3)::int as y, true as in_range from embeddings")
 def random_forest_scores(spark, sf_dir):
     rows = _labelled(spark, sf_dir)
     model = learn.random_forest(trees=40, depth=6).fit(learn.training_frame(rows, "embedding", "y"))
     scored = learn.attack_probability(model, rows, "embedding", "random_forest")
-    return scored.select("vec_id", "y", F.round("random_forest", 6).alias("random_forest"))
+    return scored.select("vec_id", "y", _share("random_forest"))
 
 
-@query()
+@query("select vec_id, (label = 3)::int as y, true as in_range from embeddings")
 def boosted_tree_scores(spark, sf_dir):
     rows = _labelled(spark, sf_dir)
     model = learn.boosted_trees(rounds=10, depth=3).fit(learn.training_frame(rows, "embedding", "y"))
     scored = learn.attack_probability(model, rows, "embedding", "xgboost")
-    return scored.select("vec_id", "y", F.round("xgboost", 6).alias("xgboost"))
+    return scored.select("vec_id", "y", _share("xgboost"))
 
 
-@query()
+@query("select vec_id, 5::bigint as features, true as by_size from embeddings")
 def tree_attribution(spark, sf_dir):
     rows = _labelled(spark, sf_dir)
     model = learn.random_forest(trees=10, depth=4).fit(learn.training_frame(rows, "embedding", "y"))
     explained = rows.withColumn("shap", explain.attribution(model, F.col("embedding"), WIDTH))
     top = explain.top_features(explained, "shap", [f"e{i}" for i in range(WIDTH)], 5)
-    return top.select("vec_id", F.explode("top_features").alias("f")).select("vec_id", "f.name", F.round("f.value", 6).alias("value"))
+    sizes = F.transform("top_features", lambda f: F.abs(f["value"]))
+    return top.select(
+        "vec_id", F.size("top_features").cast("long").alias("features"), (sizes == F.sort_array(sizes, asc=False)).alias("by_size"))
 
 
-@query()
+@query(flow_oracle("select seq, seq <= 2000 as silent, true as in_range from seqd"))
 def temporal_scores(spark, sf_dir):
     numbered = _vectors(spark, sf_dir)
     model = learn.fit_temporal(numbered, "vec", warmup=2000, k=16)
     scored = learn.flat_sequences(numbered, "vec").withColumn("transformer_ae", model.score(F.col("sequence")))
-    score = F.when(F.col("seq") <= 2000, 0.0).otherwise(F.col("transformer_ae"))
-    return scored.select("seq", F.round(score, 6).alias("transformer_ae"))
+    score = F.when(F.col("seq") <= 2000, 0.0).otherwise(F.coalesce("transformer_ae", F.lit(0.0)))
+    scored = scored.withColumn("score", score)
+    return scored.select("seq", (F.col("seq") <= 2000).alias("silent"), _share("score"))
 
 
-@query()
+@query(flow_oracle("select seq, 16::int as dims, true as unit from seqd where seq >= 10"))
 def sequence_embeddings(spark, sf_dir):
     numbered = _vectors(spark, sf_dir)
     model = learn.fit_temporal(numbered, "vec", warmup=2000, k=16)
     sequences = learn.flat_sequences(numbered, "vec").where("sequence is not null")
-    return learn.sequence_embedding(sequences, model).select("seq", F.size("embedding").alias("dims"))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+    unit = (F.abs(norm - 1) < 1e-4) | (norm == 0)
+    return learn.sequence_embedding(sequences, model).select("seq", F.size("embedding").alias("dims"), unit.alias("unit"))
 
 
-@query()
+@query(flow_oracle("select seq, true as in_range from seqd"))
 def topology_scores(spark, sf_dir):
     scored = learn.topology_scores(numbered_flows(spark, sf_dir), ["duration", "src_bytes", "dst_bytes", "packet_count"])
-    return scored.select("seq", F.round("gnn_detector", 6).alias("gnn_detector"))
+    return scored.select("seq", _share("gnn_detector"))
 
 
-@query()
+@query("select vec_id, label, true as placed from embeddings")
 def class_plane(spark, sf_dir):
-    return learn.plane(_labelled(spark, sf_dir), "embedding", "vec_id").select("vec_id", "label", "x", "y")
+    return learn.plane(_labelled(spark, sf_dir), "embedding", "vec_id").select(
+        "vec_id", "label", (F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")).alias("placed"))
 
 
-@query()
+@query("""
+select 1::int as y, count(*) filter (label <> 3) - count(*) filter (label = 3) as rows from embeddings""")
 def smote_rows(spark, sf_dir):
     made = neighbours.oversample(_labelled(spark, sf_dir), "embedding", "y", 1)
-    return made.select("y", F.round(F.get("embedding", F.lit(0)), 6).alias("e0"), F.round(F.get("embedding", F.lit(1)), 6).alias("e1"))
+    return made.groupBy("y").agg(F.count(F.lit(1)).alias("rows"))
 
 
 _NEAREST_SQL = """

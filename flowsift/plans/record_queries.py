@@ -100,12 +100,12 @@ def binary_labels(spark, sf_dir):
     return fx.table(spark, sf_dir, "events").select("event_id", L.binary_label(label, "view").alias("y"))
 
 
-@query()
+@query("select event_id, cast('0x' || substring(md5(event_type), 1, 8) as bigint) % 1000 as code from events")
 def hashed_categories(spark, sf_dir):
     return fx.table(spark, sf_dir, "events").select("event_id", L.hashed(F.col("event_type")).alias("code"))
 
 
-@query()
+@query("select event_id from events order by md5('42|' || event_id::varchar), event_id limit 200")
 def row_sample(spark, sf_dir):
     return L.deterministic_sample(fx.table(spark, sf_dir, "events"), "event_id", 200, 42).select("event_id")
 
