@@ -1,7 +1,7 @@
 """Token counts and token ids of whole texts with a public tokenizer.
 
-Counts: texts up to ``CHUNK`` code points are encoded as they are.  A longer one
-is encoded in chunks that overlap.  In the overlap both encodings must agree on
+Counts: texts up to ``CHUNK`` code points are encoded by words.  A longer one is
+encoded in chunks that overlap.  In the overlap both encodings must agree on
 a boundary that is proven stable: both have a token that ends there and one
 that starts after white space, which no token of the tokenizer spans.  The
 chunks are spliced there.  Where an overlap holds no such place it is doubled,
@@ -86,27 +86,16 @@ def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     """``doc_id, n_bytes, n_tokens, over_limit`` for every row."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(path)
+        ids_of = WordIds(path)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             counts = np.zeros(len(texts), dtype=np.int64)
-            short, size = [], 0
-
-            def flush() -> None:
-                nonlocal short, size
-                for i, e in zip(short, tokenizer.encode_batch_fast([texts[i] for i in short], add_special_tokens=False)):
-                    counts[i] = len(e)
-                short, size = [], 0
-
+            short = [i for i, t in enumerate(texts) if len(t) <= CHUNK]
+            for i, ids in zip(short, ids_of([texts[i] for i in short])):
+                counts[i] = len(ids)
             for i, t in enumerate(texts):
                 if len(t) > CHUNK:
-                    counts[i] = count_spliced(tokenizer, t)
-                else:
-                    short.append(i)
-                    size += len(t)
-                    if size > 16 * CHUNK:
-                        flush()
-            flush()
+                    counts[i] = count_spliced(ids_of.tokenizer, t)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts), pa.array(counts > limit)],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
