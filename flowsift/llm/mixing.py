@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowsift.llm.text import unused, word_count, words
+from flowsift.llm.text import small, unused, word_count, words
 from flowsift.operators.ordering import dense_seq, range_sorted
 from flowsift.session import cut_lineage, shuffle_partitions
 
@@ -98,8 +98,9 @@ def cuts(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size:
     planned = planned.withColumn("budget", budget).withColumns({
         "whole": F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(0),
     }).withColumn("rest", F.col("budget") - F.col("whole") * F.col("source_size"))
+    planned = cut_lineage(planned)
     placed = prefix_sums(sized, ["source_key"], ["key"], {"before": "size"})
-    at = placed.join(planned.select("source_key", "rest"), "source_key").where(
+    at = placed.join(small(planned.select("source_key", "rest")), "source_key").where(
         (F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("size"))
     ).select("source_key", F.col("key").alias("cut"), (F.col("rest") - F.col("before")).alias("left"), F.col("size").alias("at_cut"))
     return cut_lineage(planned.join(at, "source_key", "left").select(
@@ -127,7 +128,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: C
     ).otherwise(0)
     taken = (c["whole"] * F.col(own) + part).cast("long")
     values = [F.col(own), c["source_size"], c["target"], taken]
-    return sized.join(packed, key).select(*kept.columns, *[v.alias(n) for v, n in zip(values, names)])
+    return sized.join(small(packed), key).select(*kept.columns, *[v.alias(n) for v, n in zip(values, names)])
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
