@@ -72,6 +72,13 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(rolled)
 
 
+def _member(found: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
+    """Which of ``found`` are among the values, by binary search: the long side is not touched."""
+    if not len(sorted_values):
+        return np.zeros(len(found), dtype=bool)
+    return sorted_values[np.minimum(np.searchsorted(sorted_values, found), len(sorted_values) - 1)] == found
+
+
 def node_of(found: np.ndarray) -> int:
     import xxhash
 
@@ -140,7 +147,7 @@ def index_rows(docs: DataFrame, text: str, late: np.ndarray) -> DataFrame:
                 if not n or node in seen:
                     continue
                 seen.add(node)
-                last = np.isin(found, sent.value, kind="sort") if len(sent.value) else np.zeros(n, dtype=bool)
+                last = _member(found, sent.value)
                 first = np.concatenate([found[~last], found[last]])[:prefix_length(n)]
                 k = len(first)
                 for column, values in zip(columns, (first.view(np.int64), np.full(k, node), np.full(k, n, np.int32), np.arange(k, dtype=np.int32))):
