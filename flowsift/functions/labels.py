@@ -11,14 +11,15 @@ from flowsift.functions.vectors import FEATURES, finite
 
 # Attack families (0 normal, 1 DoS, 2 probe, 3 R2L, 4 U2R); unknown names are 1.
 FAMILIES = {
-    0: ["normal"],
-    1: ["back", "land", "neptune", "pod", "smurf", "teardrop", "apache2", "udpstorm", "processtable", "mailbomb"],
-    2: ["ipsweep", "nmap", "portsweep", "satan", "mscan", "saint"],
-    3: ["ftp_write", "guess_passwd", "imap", "multihop", "phf", "spy", "warezclient", "warezmaster", "sendmail",
-        "named", "snmpgetattack", "snmpguess", "xlock", "xsnoop", "httptunnel"],
-    4: ["buffer_overflow", "loadmodule", "perl", "rootkit", "ps", "sqlattack", "xterm"],
+    "normal": 0,
+    "back": 1, "land": 1, "neptune": 1, "pod": 1, "smurf": 1, "teardrop": 1, "apache2": 1, "udpstorm": 1,
+    "processtable": 1, "mailbomb": 1,
+    "ipsweep": 2, "nmap": 2, "portsweep": 2, "satan": 2, "mscan": 2, "saint": 2,
+    "ftp_write": 3, "guess_passwd": 3, "imap": 3, "multihop": 3, "phf": 3, "spy": 3, "warezclient": 3,
+    "warezmaster": 3, "sendmail": 3, "named": 3, "snmpgetattack": 3, "snmpguess": 3, "xlock": 3, "xsnoop": 3,
+    "httptunnel": 3,
+    "buffer_overflow": 4, "loadmodule": 4, "perl": 4, "rootkit": 4, "ps": 4, "sqlattack": 4, "xterm": 4,
 }
-FAMILY_NAMES = ["Normal", "DoS", "Probe", "R2L", "U2R"]
 UNKNOWN_FAMILY = 1
 
 # Source columns of the 78-column flow CSVs, per feature (lower-cased).
@@ -52,7 +53,7 @@ def mapped_label(label: Column, classes: Mapping[str, int], unknown: int) -> Col
 
 
 def attack_family(label: Column) -> Column:
-    return mapped_label(label, {name: k for k, names in FAMILIES.items() for name in names}, UNKNOWN_FAMILY)
+    return mapped_label(label, FAMILIES, UNKNOWN_FAMILY)
 
 
 def hashed(value: Column, buckets: int = 1000) -> Column:

@@ -15,14 +15,18 @@ CONNECTION_WINDOW = 100
 _SLOTS = 4  # windows per time block; one block in four is copied
 
 
-def _largest_block(flows: DataFrame, keys: Sequence[str], window_us: int) -> int:
-    block = F.floor(F.col("end_us") / (window_us * _SLOTS)).alias("_at")
-    return flows.groupBy(*keys, block).count().agg(F.max("count")).first()[0] or 0
+def _largest_blocks(flows: DataFrame, key_sets: Sequence[Sequence[str]], window_us: int) -> list[int]:
+    """Rows of the largest time block of one key, per set of keys; all in one job."""
+    at = F.floor(F.col("end_us") / (window_us * _SLOTS)).alias("at")
+    marks = F.array(*[F.struct(F.lit(i).alias("keys"), F.xxhash64(*keys).alias("key"), at) for i, keys in enumerate(key_sets)])
+    sizes = flows.select(F.explode(marks).alias("m")).groupBy("m.keys", "m.key", "m.at").count().groupBy("keys").agg(F.max("count").alias("n"))
+    found = {r["keys"]: r["n"] for r in sizes.collect()}
+    return [found.get(i, 0) for i in range(len(key_sets))]
 
 
 def earlier_in_time(
     flows: DataFrame, keys: Sequence[str], out: str, window_us: int = TIME_WINDOW_US, burst_rows: int = 5_000_000,
-    measured: DataFrame | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """Flows processed before this one with the same keys that ended at most ``window_us`` ago.
 
@@ -30,9 +34,11 @@ def earlier_in_time(
     the end of a block is copied into the next.  Two running counts replace a
     sliding frame, which would rescan the window for every row.  If even one
     block of one key is too large for a task, the counts come from a range sort.
-    ``measured`` is a cheaper frame with the same flows to take block sizes from.
+    ``largest`` is that block's number of rows, if already known.
     """
-    if _largest_block(flows if measured is None else measured, keys, window_us) > burst_rows:
+    if largest is None:
+        [largest] = _largest_blocks(flows, [keys], window_us)
+    if largest > burst_rows:
         return _earlier_by_rank(flows, keys, out, window_us)
     span = window_us * _SLOTS
     at = F.floor(F.col("end_us") / span)
@@ -65,8 +71,9 @@ def _earlier_by_rank(flows: DataFrame, keys: Sequence[str], out: str, window_us:
 
 def with_time_counts(flows: DataFrame, window_us: int = TIME_WINDOW_US) -> DataFrame:
     """``count`` (same destination host) and ``srv_count`` (same destination port)."""
-    hosts = earlier_in_time(flows, ["dst_ip"], "count", window_us)
-    return earlier_in_time(hosts, ["dst_port"], "srv_count", window_us, measured=flows)
+    host, port = _largest_blocks(flows, [["dst_ip"], ["dst_port"]], window_us)
+    hosts = earlier_in_time(flows, ["dst_ip"], "count", window_us, largest=host)
+    return earlier_in_time(hosts, ["dst_port"], "srv_count", window_us, largest=port)
 
 
 def with_host_counts(

@@ -56,16 +56,15 @@ def _grow(x: np.ndarray, limit: int, rng: np.random.Generator) -> list[tuple]:
 def hash_samples(df: DataFrame, row_id: str, vector: str, trees: int, sample: int, seed: int) -> DataFrame:
     """Per tree, the ``sample`` rows with the smallest hash of (row, tree).
 
-    From a large table one hash per row first keeps a uniform pool of a few
-    times ``trees * sample`` rows; the trees draw from the pool.  A threshold on
+    One hash per row first keeps a uniform pool of at most a few times
+    ``trees * sample`` rows; the trees draw from the pool.  A threshold on
     the tree's hash then leaves few candidates to explode and shuffle.
     """
     n = max(df.count(), 1)
-    pool = 8 * trees * sample
-    if n > 2 * pool:
-        chosen = F.pmod(F.xxhash64(F.col(row_id), F.lit(seed)), F.lit(_HASH_RANGE)) < int(pool / n * _HASH_RANGE)
-        df = cut_lineage(df.select(row_id, vector).where(chosen))
-        n = max(df.count(), 1)
+    pool = min(1.0, 8 * trees * sample / n)
+    chosen = F.pmod(F.xxhash64(F.col(row_id), F.lit(seed)), F.lit(_HASH_RANGE)) < int(pool * _HASH_RANGE)
+    df = cut_lineage(df.select(row_id, vector).where(chosen))
+    n = max(df.count(), 1)
     share = min(1.0, (4.0 * sample + 64.0) / n)
     tries = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
         t.alias("tree"), F.pmod(F.xxhash64(F.col(row_id), t, F.lit(seed)), F.lit(_HASH_RANGE)).alias("hash")

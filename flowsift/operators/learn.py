@@ -20,6 +20,7 @@ from flowsift.functions.vectors import clip01
 from flowsift.operators import graph
 from flowsift.operators.baseline import THRESHOLD_FLOOR, last_sequences, training_sequences
 from flowsift.operators.ordering import exact_percentiles, keyed_seq
+from flowsift.session import cut_lineage
 
 
 def as_vectors(df: DataFrame, vector: str, out: str = "_features") -> DataFrame:
@@ -167,22 +168,35 @@ def sequence_embedding(df: DataFrame, model: Reconstruction, sequence: str = "se
     return df.withColumn("embedding", model.project(F.col(sequence), unit=True))
 
 
-def topology_scores(flows: DataFrame, columns: Sequence[str], k: int = 4, hops: int = 2) -> DataFrame:
+def topology_scores(
+    flows: DataFrame, columns: Sequence[str], k: int = 4, hops: int = 2, warmup: int | None = None, seq: str = "seq"
+) -> DataFrame:
     """Mean reconstruction error of a flow's two hosts over the hosts' p95, clipped.
 
     A host is described by its own mean flow vector and its neighbourhood's.
+    With ``warmup`` the model is fitted on the graph of the first flows only,
+    and those score 0.  The flows are written out once: six steps read them.
     """
-    nodes = graph.node_features(flows, columns)
-    near = graph.propagate(graph.normalised_adjacency(graph.undirected_edges(flows)), nodes, columns, hops)
-    both = graph.with_self(nodes, near, columns)
-    described = both.select("ip", F.array(*[F.col(c) for c in both.columns if c != "ip"]).alias("_node"))
-    model = fit_reconstruction(described, "_node", k, 0.95)
+    flows = cut_lineage(flows)
+
+    def described_by(rows: DataFrame) -> DataFrame:
+        nodes = graph.node_features(rows, columns)
+        near = graph.propagate(graph.normalised_adjacency(graph.undirected_edges(rows)), nodes, columns, hops)
+        both = graph.with_self(nodes, near, columns)
+        return cut_lineage(both.select("ip", F.array(*[F.col(c) for c in both.columns if c != "ip"]).alias("_node")))
+
+    described = described_by(flows)
+    early = described if warmup is None else described_by(flows.where(F.col(seq) <= warmup))
+    model = fit_reconstruction(early, "_node", k, 0.95)
     errors = described.select("ip", model.error(F.col("_node")).alias("_error"))
     source = errors.withColumnsRenamed({"ip": "src_ip", "_error": "_src"})
     target = errors.withColumnsRenamed({"ip": "dst_ip", "_error": "_dst"})
     joined = flows.join(source, "src_ip").join(target, "dst_ip")
     raw = (F.col("_src") + F.col("_dst")) / 2.0
-    return joined.withColumn("gnn_detector", clip01(raw / model.threshold)).drop("_src", "_dst")
+    score = clip01(raw / model.threshold)
+    if warmup is not None:
+        score = F.when(F.col(seq) <= warmup, 0.0).otherwise(score)
+    return joined.withColumn("gnn_detector", score).drop("_src", "_dst")
 
 
 def plane(df: DataFrame, vector: str, row_id: str, sample: int = 3000, seed: int = 42) -> DataFrame:

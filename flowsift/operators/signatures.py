@@ -7,7 +7,7 @@ column alone, and emits what it finds in pieces of bounded size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -141,9 +141,17 @@ def signature_names(df: DataFrame, text: str, rules: Sequence[Rule]) -> DataFram
     return df.withColumn("names", F.coalesce(named, F.array().cast("array<string>")))
 
 
-def rule_counts(df: DataFrame, text: str, rules: Sequence[Rule], by: Sequence[Column | str]) -> DataFrame:
-    """Rows matching each rule, per group; partial sums leave the map side."""
-    return signature_hits(df, text, rules).groupBy(*by, "rule_id").agg(F.count(F.lit(1)).alias("matches"))
+def rule_counts(
+    df: DataFrame, text: str, rules: Sequence[Rule], by: Sequence[Column | str], protocols: Mapping[str, int] | None = None
+) -> DataFrame:
+    """Rows matching each rule, per group; partial sums leave the map side.
+
+    A rule in ``protocols`` counts rows of that ``protocol`` number only.
+    """
+    hits = signature_hits(df, text, rules)
+    for rule_id, number in (protocols or {}).items():
+        hits = hits.where((F.col("rule_id") != rule_id) | (F.col("protocol") == number))
+    return hits.groupBy(*by, "rule_id").agg(F.count(F.lit(1)).alias("matches"))
 
 
 def over_threshold(counts: DataFrame, thresholds: dict[str, int]) -> DataFrame:

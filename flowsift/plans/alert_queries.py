@@ -81,9 +81,9 @@ select * from (
   from payloads join patterns on contains(lower(payload), lower(pattern)) where protocol = 6 group by all)
 where matches >= case rule_id when 'R1' then 3 when 'R7' then 8 end"""))
 def signature_threshold(spark, sf_dir):
-    tcp = _payloads(spark, sf_dir).where("protocol = 6")
     slot = (F.floor(F.col("ts_us") / fx.DAY_US) * fx.DAY_US).alias("slot_us")
-    counts = signatures.rule_counts(tcp, "payload", fx.PATTERNS, ["src_ip", slot])
+    counts = signatures.rule_counts(
+        _payloads(spark, sf_dir), "payload", fx.PATTERNS, ["src_ip", slot], {"R1": 6, "R7": 6})
     return signatures.over_threshold(counts, {"R1": 3, "R7": 8})
 
 
@@ -118,9 +118,9 @@ texts as (
   from payloads join (select packet_id, k, anchor from ranked join walk using (k, rn)) w using (packet_id)
   group by k, anchor),
 gated as (
-  select flow_id, case when exists (select 1 from patterns p where pattern in ('cmd.exe', 'TRACK(', 'href="/the')
+  select flow_id, case when exists (select 1 from patterns p where pattern in ('cmd.exe', 'href="/the')
     and contains(lower(payload), lower(p.pattern))) then 1 else 2 end as gate from texts)"""
-_GATE_RULES = [r for r in fx.PATTERNS if r[1] in ("cmd.exe", "TRACK(", 'href="/the')]
+_GATE_RULES = [r for r in fx.PATTERNS if r[1] in ("cmd.exe", 'href="/the')]
 
 
 def _gated_flows(spark, sf_dir):

@@ -40,8 +40,11 @@ def temporal_detector(warmup: int = baseline.WARMUP["transformer_ae"], k: int =
     return add
 
 
-def topology_detector(columns: Sequence[str] = FEATURES, k: int = 4) -> Detector:
-    return lambda numbered: learn.topology_scores(numbered, columns, k)
+def topology_detector(
+    columns: Sequence[str] = FEATURES, k: int = 4, warmup: int | None = baseline.WARMUP["gnn_detector"]
+) -> Detector:
+    """Fitted on the graph of the first ``warmup`` flows, which score 0."""
+    return lambda numbered: learn.topology_scores(numbered, columns, k, warmup=warmup)
 
 
 def model_detector(name: str, model) -> Detector:
@@ -81,8 +84,9 @@ def decide_flows(
     gated = cut_lineage(gates.gated_flows(packets, rules, timeout_us))  # read by both gates
     certain = gated.where("gate = 1").withColumn("aho_corasick", F.lit(1.0))
     scored = features_of(gated.where("gate = 2"), time_window_us, connections_kept)
-    for add in detectors.values():
-        scored = add(scored)
+    if not gated.where("gate = 2").isEmpty():  # nothing to fit on otherwise
+        for add in detectors.values():
+            scored = add(scored)
     scored = scored.withColumn("aho_corasick", F.lit(0.0))
     scored = scored.withColumns({n: F.lit(0.0) for n in weights if n not in scored.columns})
     both = certain.unionByName(scored, allowMissingColumns=True)

@@ -47,6 +47,20 @@ def signature_rules(policy: dict) -> tuple[list[Rule], dict[str, int]]:
     return rules, {str(e["id"]): int(e["threshold"]) for e in entries if e.get("threshold") is not None}
 
 
+# Protocol numbers by name.
+PROTOCOLS = {"icmp": 1, "tcp": 6, "udp": 17}
+
+
+def signature_attributes(policy: dict) -> dict[str, dict]:
+    """Per signature: its name, severity, and protocol number (None for any)."""
+    return {
+        str(e["id"]): {
+            "name": e.get("name"), "severity": e.get("severity"), "protocol": PROTOCOLS.get(str(e.get("protocol")).lower()),
+        }
+        for e in policy.get("signatures") or []
+    }
+
+
 def limits(policy: dict) -> dict:
     """Named limits (rates, allowed ports) of all policies."""
     found: dict = {}

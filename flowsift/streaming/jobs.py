@@ -54,14 +54,15 @@ def flow_stream(
     packets: DataFrame,
     timeout_us: int = FLOW_TIMEOUT_US,
     packet_cap: int | None = None,
-    idle_us: int | None = None,
+    idle_us: int | None = FLOW_TIMEOUT_US,
     late: str = "10 seconds",
 ) -> DataFrame:
     """Flows as they close.
 
-    The running aggregate is the state, not the packets.  With ``idle_us`` an
-    open flow is also emitted, as ``idle``, once the watermark passes its last
-    packet by that much; without it open flows wait for their closing packet.
+    The running aggregate is the state, not the packets.  An open flow is also
+    emitted, as ``idle``, once the watermark passes its last packet by
+    ``idle_us``, so state is bounded and late rows are dropped.  With None open
+    flows wait for their closing packet for ever.
     """
     rule = flow_rule(timeout_us)
     keyed = with_flow_key(packets.withWatermark("ts", late)).select(

@@ -77,9 +77,9 @@ def test_pipeline_with_every_detector(spark, sf):
     source = fx.view(spark, sf, "payloads")
     detectors = {
         **detection.DETECTORS, "isolation_forest": detection.isolation_detector(100, trees=10),
-        "transformer_ae": detection.temporal_detector(100, 8), "gnn_detector": detection.topology_detector(),
+        "transformer_ae": detection.temporal_detector(100, 8), "gnn_detector": detection.topology_detector(warmup=100),
     }
-    decided = detection.decide_flows(source, fx.PATTERNS[2:3], detectors=detectors, timeout_us=fx.FLOW_TIMEOUT_US).cache()
+    decided = detection.decide_flows(source, fx.PATTERNS[3:4], detectors=detectors, timeout_us=fx.FLOW_TIMEOUT_US).cache()
     rows = decided.toPandas()
     assert rows["flow_id"].is_unique and rows["confidence"].between(0, 1).all()
     assert (rows[rows.gate == 1].confidence == 1).all() and rows[rows.gate == 2].gnn_detector.max() > 0

@@ -96,6 +96,8 @@ signatures:
     policy = rules.read_policy(spark, path)
     assert rules.limits(policy) == {"max_pps_per_ip": 5000}
     assert rules.signature_rules(policy) == ([("S1", "x")], {"S1": 10})
+    attributes = rules.signature_attributes({"signatures": [{"id": 7, "name": "n", "severity": "HIGH", "protocol": "TCP"}, {"id": "b"}]})
+    assert attributes == {"7": {"name": "n", "severity": "HIGH", "protocol": 6}, "b": {"name": None, "severity": None, "protocol": None}}
     assert rules.rules_frame(spark, [("a", "b")]).count() == 1
 
 
