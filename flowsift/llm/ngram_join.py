@@ -25,7 +25,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,12 +64,13 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     own = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes: only A-Z change, only ASCII space splits
     if not own:
         return np.zeros(0, dtype=np.uint64)
-    hashed = np.array([xxhash.xxh3_64_intdigest(w) for w in own], dtype=np.uint64)
+    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, own), dtype=np.uint64, count=len(own))
     n = max(len(own) - words + 1, 1)
-    rolled = np.zeros(n, dtype=np.uint64)
+    rolled = np.full(n, min(words, len(own)), dtype=np.uint64)
     for i in range(min(words, len(own))):
-        rolled = _mixed(rolled + hashed[i:i + n]) + np.uint64(i + 1)
-    return np.unique(rolled)
+        rolled += hashed[i:i + n] * (_MIX[0] + np.uint64(2 * i))  # an odd factor for each place
+    rolled = np.sort(_mixed(rolled))
+    return rolled[np.concatenate([[True], rolled[1:] != rolled[:-1]])]
 
 
 def _member(found: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
@@ -183,8 +184,20 @@ def _ordered(x: np.ndarray, y: np.ndarray) -> list[pa.Array]:
     return [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))]
 
 
-def _lists(batches: Iterator[pa.RecordBatch], names: list[str], most: int) -> Iterator[tuple[list[np.ndarray], bool, bool]]:
-    """Lists of rows with equal shingle from a sorted partition, in parts of about ``most`` rows: columns, is first, is last."""
+def _fitting(node: list, n: list, pos: list) -> np.ndarray:
+    """Which of many two-row lists allow a link; each argument holds the first and the second rows."""
+    smaller, larger = n[0].astype(np.int64), n[1].astype(np.int64)
+    rest = np.minimum(smaller - pos[0], larger - pos[1])
+    return (node[0] != node[1]) & (100 * smaller >= LEAST * larger) & (rest >= _least_overlap(smaller, larger))
+
+
+def _lists(
+    batches: Iterator[pa.RecordBatch], names: list[str], most: int, two: Callable[[list, list], None]
+) -> Iterator[tuple[list[np.ndarray], bool, bool]]:
+    """Lists of rows with equal shingle from a sorted partition, in parts of about ``most`` rows: columns, is first, is last.
+
+    Lists of one row are left out; those of two rows are handed to ``two``, all of a batch at once.
+    """
     held, begun = None, False
     for batch in batches:
         columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
@@ -194,9 +207,14 @@ def _lists(batches: Iterator[pa.RecordBatch], names: list[str], most: int) -> It
             continue
         cuts = np.flatnonzero(np.diff(columns[0])) + 1
         edges = np.concatenate([[0], cuts])
-        for lo, hi in zip(edges[:-1], edges[1:]):
-            yield [c[lo:hi] for c in columns], not begun, True
-            begun = False
+        sizes = np.diff(edges)
+        if begun and len(sizes):
+            yield [c[:edges[1]] for c in columns], False, True
+            sizes[0], begun = 0, False
+        at = edges[:-1][sizes == 2]
+        two([c[at] for c in columns], [c[at + 1] for c in columns])
+        for k in np.flatnonzero(sizes > 2):
+            yield [c[edges[k]:edges[k + 1]] for c in columns], True, True
         held = [c[edges[-1]:] for c in columns]
         if len(held[0]) > most:
             yield held, not begun, False
@@ -228,7 +246,11 @@ def proposals(index: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays(out, names=["x", "y", *names])
 
         held = 0
-        for (shingle, node, n, pos), first, last in _lists(batches, names, 50_000):
+        def two(a: list[np.ndarray], b: list[np.ndarray]) -> None:
+            fits = _fitting([a[1], b[1]], [a[2], b[2]], [a[3], b[3]])
+            pairs.append((a[1][fits], b[1][fits]))
+
+        for (shingle, node, n, pos), first, last in _lists(batches, names, 50_000, two):
             if first and last and len(node) == 1:
                 continue
             if first and last and len(node) <= LONG_LIST:
@@ -269,7 +291,15 @@ def unconnected(long_lists: DataFrame, roots: DataFrame) -> DataFrame:
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
-        for columns, first, last in _lists(batches, names, 1_000_000):
+        ready: list[pa.RecordBatch] = []
+
+        def two(a: list[np.ndarray], b: list[np.ndarray]) -> None:
+            fits = _fitting([a[1], b[1]], [a[2], b[2]], [a[3], b[3]]) & (a[4] != b[4])
+            ready.append(pa.RecordBatch.from_arrays(_ordered(a[1][fits], b[1][fits]), names=["x", "y"]))
+
+        for columns, first, last in _lists(batches, names, 1_000_000, two):
+            yield from ready
+            ready.clear()
             held.append(columns if first else [c[1:] for c in columns])
             if not last:
                 continue
@@ -277,12 +307,20 @@ def unconnected(long_lists: DataFrame, roots: DataFrame) -> DataFrame:
             held = []
             for x, y in block_pairs(node, n.astype(np.int64), pos.astype(np.int64), root):
                 yield pa.RecordBatch.from_arrays(_ordered(x, y), names=["x", "y"])
+        yield from ready
 
     return rows.mapInArrow(propose, "x long, y long")
 
 
-def sets_of(docs: DataFrame, text: str, wanted: DataFrame, whole: bool) -> DataFrame:
-    """``node, n, data`` for the wanted nodes: the set itself or its bitmap."""
+def sets_of(docs: DataFrame, doc_id: str, text: str, holders: DataFrame, wanted: DataFrame, whole: bool) -> DataFrame:
+    """``node, n, data`` for the wanted nodes: the set itself or its bitmap.
+
+    Only texts of one holder of each node (and of rows without an id) are read again.
+    """
+    ids = small(cut_lineage(holders.join(small(wanted.select("node")), "node").select(F.col("holder").alias("_holder")).distinct()))
+    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_holder"), F.col(text).alias("text"))
+    texts = rows.join(ids, "_holder", "left_semi").select("text").unionByName(
+        docs.where(F.col(doc_id).isNull()).select(F.col(text).alias("text")))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,7 +332,7 @@ def sets_of(docs: DataFrame, text: str, wanted: DataFrame, whole: bool) -> DataF
                 pa.array(list(out), pa.int64()), pa.array([v[0] for v in out.values()], pa.int64()), pa.array([v[1] for v in out.values()], pa.binary())
             ], names=["node", "n", "data"])
 
-    made = docs.select(text).mapInArrow(make, "node long, n long, data binary")
+    made = texts.mapInArrow(make, "node long, n long, data binary")
     kept = made.join(small(wanted.select("node")), "node", "left_semi")
     return kept.groupBy("node").agg(F.max("n").alias("n"), F.any_value("data").alias("data"))
 
@@ -329,12 +367,13 @@ def _link(nx: int, ny: int, a, b) -> bool:
     return 100 * common >= LEAST * (nx + ny - common)
 
 
-def linked_sets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``node, root``: components of the sets that have links."""
+def linked_sets(docs: DataFrame, named: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``node, root``: components of the sets that have links; ``named`` is what :func:`nodes` says of ``docs``."""
+    holders = cut_lineage(named.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("holder")))
     late = frequent_shingles(docs, text)
     found = proposals(index_rows(docs, text, late))
     pairs = cut_lineage(found.where("x is not null").select("x", "y").distinct())
-    bitmaps = cut_lineage(sets_of(docs, text, cut_lineage(_ends(pairs)), whole=False))
+    bitmaps = cut_lineage(sets_of(docs, doc_id, text, holders, cut_lineage(_ends(pairs)), whole=False))
     likely = cut_lineage(_kept(_with_data(pairs, bitmaps), _may_link))
 
     # first each set against its smallest likely partner
@@ -342,7 +381,7 @@ def linked_sets(docs: DataFrame, text: str = "text") -> DataFrame:
     picked = both.groupBy("x").agg(F.min("y").alias("y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     picked = cut_lineage(picked)
     ends = cut_lineage(_ends(likely))
-    whole = cut_lineage(sets_of(docs, text, ends, whole=True))
+    whole = cut_lineage(sets_of(docs, doc_id, text, holders, ends, whole=True))
     links = cut_lineage(_kept(_with_data(picked, whole), _link))
     roots = components(links)
 
@@ -350,7 +389,7 @@ def linked_sets(docs: DataFrame, text: str = "text") -> DataFrame:
     far = unconnected(found.where("x is null").select("shingle", "node", "n", "pos"), roots).distinct()
     far = cut_lineage(far.join(pairs, ["x", "y"], "left_anti"))
     far_ends = cut_lineage(_ends(far))
-    more = cut_lineage(sets_of(docs, text, far_ends, whole=False)) if not far_ends.isEmpty() else bitmaps.limit(0)
+    more = cut_lineage(sets_of(docs, doc_id, text, holders, far_ends, whole=False)) if not far_ends.isEmpty() else bitmaps.limit(0)
     far = cut_lineage(_kept(_with_data(far, more), _may_link))
     at_x = roots.select(F.col("node").alias("x"), F.col("root").alias("rx"))
     at_y = roots.select(F.col("node").alias("y"), F.col("root").alias("ry"))
@@ -361,14 +400,14 @@ def linked_sets(docs: DataFrame, text: str = "text") -> DataFrame:
         return roots
     missing = cut_lineage(_ends(open_).join(ends, "node", "left_anti"))
     if not missing.isEmpty():
-        whole = whole.unionByName(cut_lineage(sets_of(docs, text, missing, whole=True)))
+        whole = whole.unionByName(cut_lineage(sets_of(docs, doc_id, text, holders, missing, whole=True)))
     return components(links.unionByName(_kept(_with_data(open_, whole), _link)))
 
 
 def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``."""
     named = cut_lineage(nodes(docs, doc_id, text))
-    roots = linked_sets(docs, text)
+    roots = linked_sets(docs, named, doc_id, text)
     at = small(roots.select(F.col("node").alias("_node"), "root"))
     rooted = named.join(at, F.col("node") == F.col("_node"), "left").select(
         "doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
@@ -387,7 +426,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Rows without words stay, all of them.  Of repeated rows one stays.
     """
     named = cut_lineage(nodes(docs, doc_id, text))
-    roots = small(linked_sets(docs, text).select(F.col("node").alias("_node"), "root"))
+    roots = small(linked_sets(docs, named, doc_id, text).select(F.col("node").alias("_node"), "root"))
     full = named.where("n_shingles > 0").join(roots, F.col("node") == F.col("_node"), "left").select(
         "doc_id", "node", F.coalesce("root", "node").alias("root"))
     full = cut_lineage(full.groupBy("root", "doc_id", "node").agg(F.count(F.lit(1)).alias("rows")))
