@@ -5,15 +5,19 @@ classes from the root.  Over the pages of one host every token has an
 occurrence vector (how often it occurs on each page).  Tokens with equal vectors
 form an equivalence class.  A class is valid if its tokens occur on enough of
 the host's pages and equally often on each; valid classes nest by their paths
-and make up the host's template.  What lies below a template token and is not
-boilerplate by its element or class name is a slot.  Where a page does not mark
-its article, the slot with the most text that is not link text is taken.
+and make up the host's template.  A template token whose text is the same on
+all of its pages, or mostly link text, is boilerplate; so is what is by its
+element.  A class or id that is a word of ``NOISE`` means boilerplate too, unless
+the template shows blocks and half of the host's text there.  All that remains
+between boilerplate are the slots, and every page's text is what its slots hold.
+An article or main element only breaks ties: slots outside it are left out
+where it holds more of the page's slot text than they do.
 
-Vectors are compared by a sum (xor of hashes of page and count), so no vector
-and no host is ever gathered in one place.
+Vectors are compared by a sum (xor of hashes of page and count).  What is
+gathered of a host are its template tokens, at most twice those of a page.
 
-Text is then taken from every page's article (or slot): blocks in page order,
-white space inside a block as one space, character references decoded.
+Text: blocks in page order, white space inside a block as one space, character
+references decoded.
 
 Null and empty pages give an empty text.  Broken markup is read as browsers do:
 unclosed elements end with their parents.  Repeated rows get equal texts and
@@ -24,7 +28,8 @@ empty table gives an empty result; clashing columns are replaced.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -47,7 +52,10 @@ BLOCKS = frozenset(
     "address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main "
     "ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Words in a class or id that mark what is not the article.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are never boilerplate themselves.
+FRAMES = frozenset("article body html main".split())
+#: Classes and ids that mark what is not the article.
 NOISE = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments cookie cookies consent disqus footer "
     "form header masthead menu nav navbar navigation newsletter notice notices pagination popup promo promoted related reply replies respond "
@@ -57,16 +65,20 @@ _CLOSED_BY = {  # an open element that ends where another one starts
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"},
 }
 _SPACE = re.compile(r"\s+")
+_DIGITS = re.compile(r"\d+")
 
 #: A template token occurs on at least this share of the host's pages.
 LEAST_SHARE = 0.5
+#: Distinct pages from which text that is the same on all of them is the template's.
+LEAST_PAGES = 3
 
 
 class _Reader(HTMLParser):
     """Walks one page; calls ``text(path, kind, data)`` for text and ``edge()`` where blocks begin and end."""
 
-    def __init__(self) -> None:
+    def __init__(self, cut: frozenset[str] = frozenset(), kept: frozenset[str] | None = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
+        self.cut, self.kept = cut, kept  # boilerplate of the template; tokens that are none despite their names (None: all)
         self.stack: list[tuple[str, str, bool, bool]] = []  # element, path, dropped, inside an article
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -83,11 +95,12 @@ class _Reader(HTMLParser):
         named = dict(attrs)
         marks = " ".join(filter(None, (named.get("class"), named.get("id"), named.get("role")))).lower()
         _, path, dropped, article = self.stack[-1] if self.stack else ("", "", False, False)
-        words = set(re.split(r"[^a-z]+", marks))
         hidden = "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in (named.get("style") or "").replace(" ", "")
-        unwanted = tag in DROPPED and not (tag == "header" and article) or bool(words & NOISE) or hidden
+        unwanted = tag in DROPPED and not (tag == "header" and article) or hidden
         article = article or tag in ("article", "main") or named.get("role") == "main"
-        path = f"{path}/{tag}" + ("." + ".".join(marks.split()) if marks else "")
+        path = f"{path}/{tag}" + ("." + ".".join(_DIGITS.sub("0", marks).replace("/", "_").split()) if marks else "")
+        if not unwanted and tag not in FRAMES:
+            unwanted = path in self.cut or self.kept is not None and noisy(path) and path not in self.kept
         self.stack.append((tag, path, dropped or unwanted, article))
         self.token(path, dropped or unwanted)
 
@@ -119,59 +132,68 @@ class _Reader(HTMLParser):
         pass
 
 
+def noisy(path: str) -> bool:
+    """Whether a class or id of the path's last element is a word of ``NOISE``."""
+    return not NOISE.isdisjoint(path[path.rfind("/") + 1:].split(".")[1:])
+
+
 class _Census(_Reader):
-    """Counts each token and the text below it."""
+    """Counts each token, the text and link text below it, and digests all of that."""
 
     def __init__(self) -> None:
-        super().__init__()
+        super().__init__(kept=None)
         self.found: dict[str, list[int]] = {}
 
     def token(self, path: str, dropped: bool) -> None:
         if not dropped:
-            self.found.setdefault(path, [0, 0])[0] += 1
+            self.found.setdefault(path, [0, 0, 0, 0])[0] += 1
 
     def text(self, data: str) -> None:
-        if not self.stack or self.stack[-1][2]:
+        data = data.strip()
+        if not data or not self.stack or self.stack[-1][2]:
             return
-        n = len(data.strip()) * (-1 if any(s[0] == "a" for s in self.stack) else 1)
-        for _, path, _, _ in self.stack:
+        names = {s[0] for s in self.stack}
+        kind = 2 if "a" in names and names.isdisjoint(HEADINGS) else 1
+        mark = zlib.crc32(data.encode(errors="replace")) + 1
+        for path in {s[1] for s in self.stack}:
             if path in self.found:
-                self.found[path][1] += n
+                own = self.found[path]
+                own[kind] += len(data)
+                own[3] = (own[3] * 0x9E3779B97F4A7C15 + mark) & 0x7FFFFFFFFFFFFFFF
 
 
 class _Extract(_Reader):
-    """Collects the blocks of the article, of the given slot, and of the whole body."""
+    """Collects the blocks of the slots, in an article and elsewhere, and of the whole body."""
 
-    def __init__(self, slot: str | None) -> None:
-        super().__init__()
-        self.slot = slot
-        self.parts: dict[str, list[str]] = {"article": [], "slot": [], "body": []}
-        self.blocks: dict[str, list[str]] = {"article": [], "slot": [], "body": []}
+    def __init__(self, cut: frozenset[str], kept: frozenset[str] | None) -> None:
+        super().__init__(cut, kept)
+        self.parts: list[str] = []
+        self.blocks: list[tuple[bool, str]] = []
+        self.inside = False
 
     def text(self, data: str) -> None:
-        if not self.stack:
-            self.parts["body"].append(data)
-            return
-        _, path, dropped, article = self.stack[-1]
-        if dropped:
-            return
-        self.parts["body"].append(data)
-        if article:
-            self.parts["article"].append(data)
-        if self.slot and (path == self.slot or path.startswith(self.slot + "/")):
-            self.parts["slot"].append(data)
+        article = False
+        if self.stack:
+            _, _, dropped, article = self.stack[-1]
+            if dropped:
+                return
+        if article != self.inside:
+            self.edge()
+            self.inside = article
+        self.parts.append(data)
 
     def edge(self) -> None:
-        for kind, parts in self.parts.items():
-            if parts:
-                block = _SPACE.sub(" ", "".join(parts)).strip()
-                if block:
-                    self.blocks[kind].append(block)
-                self.parts[kind] = []
+        if self.parts:
+            block = _SPACE.sub(" ", "".join(self.parts)).strip()
+            if block:
+                self.blocks.append((self.inside, block))
+            self.parts = []
 
     def result(self) -> str:
         self.edge()
-        return next((" ".join(b) for b in (self.blocks["article"], self.blocks["slot"], self.blocks["body"]) if b), "")
+        within = sum(len(b) for inside, b in self.blocks if inside)
+        only = within > sum(len(b) for inside, b in self.blocks if not inside)
+        return " ".join(b for inside, b in self.blocks if inside or not only)
 
 
 def _read(reader: _Reader, html: str) -> _Reader:
@@ -180,48 +202,88 @@ def _read(reader: _Reader, html: str) -> _Reader:
     return reader
 
 
+def deduced(tokens: list[tuple[str, int, int, int, bool, bool, bool]]) -> tuple[str | None, list[str], list[str]]:
+    """Main slot, boilerplate and kept noisy tokens of one host.
+
+    ``tokens`` are the template's: path, pages, text, link text, repeated, valid, once a page.
+    """
+    whole = max((t[2] for t in tokens), default=0)
+    outer = {t[0][:t[0].rfind("/")] for t in tokens if t[0][t[0].rfind("/") + 1:].split(".")[0] in BLOCKS}  # hold blocks
+    kept = sorted(t[0] for t in tokens if t[1] >= LEAST_PAGES and t[0] in outer and noisy(t[0]) and 2 * t[2] >= whole > 0)
+    cut, below = [], {}
+    for path, pages, text, links, repeated, valid, _ in sorted(tokens):
+        tag = path[path.rfind("/") + 1:].split(".")[0]
+        up = [path[:i] for i in range(1, len(path)) if path[i] == "/"]
+        if tag in FRAMES or tag not in BLOCKS or any(u in below for u in up):
+            continue
+        fixed = repeated and pages >= LEAST_PAGES and tag not in HEADINGS
+        linked = links > text and tag not in HEADINGS
+        if valid and (fixed or linked):
+            cut.append(path)
+        elif not (noisy(path) and path not in kept):
+            continue
+        below[path] = text
+    # the deepest place that holds all the text that is left
+    left = {t[0]: t[2] - sum(n for b, n in below.items() if b == t[0] or b.startswith(t[0] + "/")) for t in tokens if t[6]}
+    most = max(left.values(), default=0)
+    slot = max((p for p, n in left.items() if n == most), key=lambda p: (len(p), p)) if most > 0 else None
+    return slot, cut, kept
+
+
 def templates(pages: DataFrame, url: str = "url", html: str = "html", least_share: float = LEAST_SHARE) -> DataFrame:
-    """``site, slot``: for each host the slot of its template that holds the main text."""
+    """``site, slot, cut, kept``: each host's place that holds all main text, its boilerplate, and what is none despite its name."""
     site = host_and_path(F.col(url))[0]
-    rows = pages.where(F.length(html) > 0).select(site.alias("site"), F.xxhash64(url, html).alias("page"), F.col(html).alias("html"))
+    rows = pages.where(F.length(html) > 0).select(site.alias("site"), F.xxhash64(html).alias("page"), F.col(html).alias("html"))
 
     def census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sites, ids, out = batch.column("site").to_pylist(), batch.column("page").to_pylist(), []
             for site, page, html in zip(sites, ids, batch.column("html").to_pylist()):
-                out += [(site, page, path, n, chars) for path, (n, chars) in _read(_Census(), html).found.items()]
-            columns = list(zip(*out)) or [()] * 5
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["site", "page", "token", "n", "chars"])
-
-    tokens = rows.mapInArrow(census, "site string, page long, token string, n long, chars long")
+                out += [(site, page, path, *own) for path, own in _read(_Census(), html).found.items()]
+            columns = list(zip(*out)) or [()] * 7
+            kinds = [pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
+                                             names=["site", "page", "token", "n", "chars", "links", "digest"])
+
+    tokens = rows.mapInArrow(census, "site string, page long, token string, n long, chars long, links long, digest long")
+    once = tokens.groupBy("site", "token", "page").agg(*[F.max(c).alias(c) for c in ("n", "chars", "links", "digest")])
     # one row per host and token: how many pages, the vector's digest, the text
-    vectors = cut_lineage(tokens.groupBy("site", "token").agg(
+    vectors = cut_lineage(once.groupBy("site", "token").agg(
         F.count(F.lit(1)).alias("pages"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"),
-        F.min("n").alias("least"), F.max("n").alias("most"), F.sum("chars").alias("chars")))
+        F.min("n").alias("least"), F.max("n").alias("most"), F.sum("chars").alias("chars"), F.sum("links").alias("links"),
+        (F.min("digest") == F.max("digest")).alias("repeated")))
     totals = vectors.groupBy("site").agg(F.max("pages").alias("site_pages"))
-    classes = vectors.groupBy("site", "pages", "vector").agg(F.count(F.lit(1)).alias("members"), F.max("most").alias("often"))
-    valid = classes.join(totals, "site").where((F.col("pages") >= least_share * F.col("site_pages")) & (F.col("often") == 1))
-    inside = vectors.join(valid.select("site", "pages", "vector", "members"), ["site", "pages", "vector"])
-    # nested classes: the deepest place that still holds nearly all of the text
-    best = inside.groupBy("site").agg(F.max("chars").alias("all_chars"))
-    slots = inside.join(best, "site").where((F.col("chars") > 0) & (F.col("chars") >= 0.7 * F.col("all_chars")))
-    return cut_lineage(slots.groupBy("site").agg(F.max_by("token", F.struct(F.length("token"), "token")).alias("slot")))
+    classes = vectors.groupBy("site", "pages", "vector").agg((F.max("most") == F.min("least")).alias("valid"))
+    frequent = vectors.join(totals, "site").where(F.col("pages") >= least_share * F.col("site_pages"))
+    facts = ["token", "pages", "chars", "links", "repeated", "valid", (F.col("most") == 1).alias("once")]
+    members = frequent.join(classes, ["site", "pages", "vector"]).groupBy("site").agg(F.collect_list(F.struct(*facts)).alias("tokens"))
+
+    @F.udf("slot string, cut array<string>, kept array<string>")
+    def template(own):
+        return deduced([tuple(t) for t in own])
+
+    return cut_lineage(members.select("site", template("tokens").alias("t")).select("site", "t.slot", "t.cut", "t.kept"))
+
+
+def extracted(html: str, cut: Iterable[str] | None, kept: Iterable[str] | None) -> str:
+    """What the slots of a page hold; if they are empty, all that is no boilerplate by its element."""
+    text = _read(_Extract(frozenset(cut or ()), frozenset(kept or ())), html).result()
+    return text or _read(_Extract(frozenset(), None), html).result()
 
 
 def main_text(pages: DataFrame, url: str = "url", html: str = "html", out: str = "text") -> DataFrame:
     """``pages`` with the main text of each page instead of its html."""
     kept = [c for c in pages.columns if c.lower() not in (html.lower(), out.lower())]
-    site, slot, source = unused(pages, "_site", "_slot", "_html")
-    found = templates(pages, url, html)
+    site, cut, named, source = unused(pages, "_site", "_cut", "_kept", "_html")
+    found = templates(pages, url, html).select(F.col("site").alias(site), F.col("cut").alias(cut), F.col("kept").alias(named))
     rows = pages.select(*kept, F.coalesce(F.col(html), F.lit("")).alias(source), host_and_path(F.col(url))[0].alias(site))
-    met = rows.join(small(found.select(F.col("site").alias(site), F.col("slot").alias(slot))), site, "left").select(*kept, slot, source)
+    met = rows.join(small(found), site, "left").select(*kept, cut, named, source)
     schema = met.select(*kept).withColumn(out, F.lit("")).schema
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slots, sources = batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist()
-            texts = [_read(_Extract(s), h).result() for s, h in zip(slots, sources)]
+            given = [batch.column(len(kept) + i).to_pylist() for i in range(3)]
+            texts = [extracted(h, c, k) for c, k, h in zip(*given)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], pa.array(texts, pa.string())], names=[*kept, out])
 
     return met.mapInArrow(extract, schema)

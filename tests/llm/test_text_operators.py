@@ -11,6 +11,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -261,6 +262,13 @@ def test_main_text_of_the_given_pages(spark, sf):
         assert r.text == " ".join(b for b in cleaned if b)
 
 
+def test_main_text_without_article_tags(spark, sf):
+    given = spark.read.parquet(f"{sf}/pages.parquet")
+    bare = given.withColumn("html", F.regexp_replace("html", "(</?)article>", "$1div>"))
+    want = {r.page_id: r.text for r in pages.main_text(given).collect()}
+    assert {r.page_id: r.text for r in pages.main_text(bare).collect()} == want
+
+
 # 8 ------------------------------------------------------------------------------------------------------------------
 
 def _near_copies(n, words=60):
