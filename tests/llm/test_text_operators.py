@@ -269,6 +269,19 @@ def test_main_text_without_article_tags(spark, sf):
     assert {r.page_id: r.text for r in pages.main_text(bare).collect()} == want
 
 
+def test_all_slots_of_a_template(spark):
+    def page(i):
+        parts = "".join(f"<div class='part'>part {i} {k}</div>" for k in range(3))
+        return ("<html><body class='has-sidebar'><div id='strap'>Our daily paper</div><article class='post comments-open'>"
+                f"<div class='lead'>lead {i}</div><div class='body'>{f'story {i} ' * 30}</div>{parts}"
+                f"<div class='share-bar'><a href='/'>share {i}</a></div></article><div class='comments'>I like {i}</div></body></html>")
+
+    rows = [(i, f"http://{h}.org/{i}", page(i) if h == "a" else page(i).replace("article", "div")) for h in "ab" for i in range(6)]
+    got = pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.text == f"lead {r.page_id} {(f'story {r.page_id} ' * 30).strip()} " + " ".join(f"part {r.page_id} {k}" for k in range(3))
+               for r in got) and len(got) == 12
+
+
 # 8 ------------------------------------------------------------------------------------------------------------------
 
 def _near_copies(n, words=60):
