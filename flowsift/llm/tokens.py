@@ -126,7 +126,7 @@ class WordIds:
         special = self.tokenizer.get_added_tokens_decoder()
         self.separator = max(special)
         self.between = special[self.separator].content
-        self.marks = [t.content.encode() for t in special.values()]
+        self.marks = [t.content.encode().lower() for t in special.values()]
 
     def _learn(self, words: list[bytes]) -> None:
         for at in range(0, len(words), 5000):
@@ -134,15 +134,20 @@ class WordIds:
             ids = self.tokenizer.encode_batch_fast([self.between.join(w.decode() for w in part)], add_special_tokens=False)[0].ids
             ids = np.array(ids, dtype="<u4")
             ends = (4 * np.flatnonzero(ids == self.separator)).tolist()
+            if len(ends) != len(part) - 1:  # a word brought separators of its own
+                for word in part:
+                    own = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+                    self.known[word] = np.array(own, dtype="<u4").tobytes()
+                continue
             raw = ids.tobytes()
             self.known.update(zip(part, (raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(raw)]))))
 
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
         for at in range(0, len(texts), self.group):
             some = texts[at:at + self.group]
-            lowered = [t.encode() for t in some]
+            lowered = [t.encode().lower() for t in some]
             # bytes: only A-Z change and only ASCII space splits
-            words = [None if any(m in t for m in self.marks) else t.lower().split() for t in lowered]
+            words = [None if any(m in t for m in self.marks) else t.split() for t in lowered]
             if len(self.known) > self.kept:
                 self.known.clear()
             self._learn(list(set().union(*filter(None, words)).difference(self.known)))

@@ -178,6 +178,16 @@ def test_spliced_counts_equal_whole_counts(text):
     assert next(iter(tokens.WordIds(tokens.vocabulary(), kept=3)([text]))).tolist() == whole
 
 
+def test_words_learnt_beside_special_strings():
+    texts = ["before <|ENDOFTEXT|> after", "x<|EndOfText|>y <|StartOfText|>", *(f"clean{i} words{i} here{i}" for i in range(50))]
+    found = [i.tolist() for i in tokens.WordIds(tokens.vocabulary(), kept=0)(texts)]
+    assert found == _ids(texts)
+    words = tokens.WordIds(tokens.vocabulary())
+    words.known = {}
+    words._learn([b"one", words.between.encode(), b"two"])
+    assert words.known[b"two"] == np.array(_ids(["two"])[0], dtype="<u4").tobytes()
+
+
 # 4 ------------------------------------------------------------------------------------------------------------------
 
 def test_quality_order_never_changes_the_verdict(docs, none):
