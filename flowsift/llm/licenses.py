@@ -4,11 +4,12 @@ Every template (a notice of a known license, or a plain phrase) is a list of
 words.  Document frequencies of all template words are counted over the whole
 corpus.  The index keeps, for each template, the positions of its rarest words.
 A text looks up those words; a word at position p that the template has at
-position o proposes the start p - o.  A proposal counts if every word of the
-template's key phrases stands at its place relative to the start; its score is
+position o proposes the start p - o.  The starts that both words propose are
+verified; one counts if every word of the template's key phrases stands at its place relative to the start; its score is
 the share of the template, weighted by inverse document frequency, that does.
 
-A plain phrase is its own key phrase, so all its places are found: each holds
+As a hit needs every key word, the rarest key words of a template are those of
+any file that holds it.  A plain phrase is its own key phrase, so all its places are found: each holds
 the phrase's rarest word.  Null and empty texts have no words and no hits.
 Repeated rows give equal results.  Very long texts cost one pass plus work per
 hit.  An empty table gives an empty result.
@@ -45,7 +46,7 @@ BASE = (
     Template("reserved", "all rights reserved", ("all rights reserved",), True),
 )
 
-#: First words of public license notices, with the phrases that must be there.
+#: First words of public license notices and their short forms, with the phrases that must be there.
 NOTICES = (
     Template("apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2 0",)),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted",
@@ -65,6 +66,22 @@ NOTICES = (
              ("mozilla public license v 2 0",)),
     Template("unlicense", "this is free and unencumbered software released into the public domain",
              ("free and unencumbered software", "released into the public domain")),
+    *(Template(label, phrase, (phrase,)) for label, phrase in (
+        ("apache-2.0", "apache license 2 0"), ("apache-2.0", "apache 2 0 license"),
+        ("bsd", "bsd license"), ("bsd", "bsd 2 clause"), ("bsd", "bsd 3 clause"),
+        ("cc-by-4.0", "creative commons attribution 4 0"),
+        ("cc-by-nc-4.0", "creative commons attribution noncommercial 4 0"),
+        ("cc-by-nc-4.0", "creative commons attribution non commercial 4 0"),
+        ("cc-by-sa-4.0", "creative commons attribution sharealike 4 0"),
+        ("cc-by-sa-4.0", "creative commons attribution share alike 4 0"),
+        ("cc0-1.0", "creative commons zero"),
+        ("gpl-2.0", "gnu general public license as published by the free software foundation either version 2"),
+        ("gpl-2.0", "gnu general public license as published by the free software foundation version 2"),
+        ("gpl-3.0", "gnu general public license as published by the free software foundation either version 3"),
+        ("gpl-3.0", "gnu general public license as published by the free software foundation version 3"),
+        ("isc", "isc license"), ("mit", "mit license"), ("mit", "mit licence"),
+        ("mpl-2.0", "mozilla public license version 2 0"),
+    )),
 )
 
 #: Words of a template that the index holds.
@@ -110,17 +127,18 @@ def scan(docs: DataFrame, text: str = "text", templates: tuple[Template, ...] =
     postings = []
     for number, template in enumerate(templates):
         places = _key_places(template)  # a rare word must be one that verification asks for
-        for word in sorted({w for _, w in places}, key=lambda w: (-rarity[w], w))[:1 if template.base else RARE]:
-            postings += [(word, number, o) for o, w in places if w == word]
-    rare = sorted({word for word, _, _ in postings})
-    index = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(t).alias("t"), F.lit(o).alias("o")) for w, t, o in postings])
+        rarest = sorted({w for _, w in places}, key=lambda w: (-rarity[w], w))[:RARE]
+        for first, word in ((True, rarest[0]), (False, rarest[-1])):  # a key of one word has one posting
+            postings += [(word, number, o, first) for o, w in places if w == word]
+    rare = sorted({posting[0] for posting in postings})
+    index = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(t).alias("t"), F.lit(o).alias("o"), F.lit(f).alias("first")) for w, t, o, f in postings])
     rare_words = F.array(*[F.lit(w) for w in rare])
     known = F.array(*[_entry(t, rarity) for t in templates])
 
     def found(own: Column) -> Column:
         def proposals(i: Column) -> Column:
             fitting = F.filter(index, lambda p: p["w"] == F.get(own, i))
-            return F.transform(fitting, lambda p: F.struct(p["t"].alias("t"), (i - p["o"]).alias("start")))
+            return F.transform(fitting, lambda p: F.struct(p["first"].alias("first"), F.struct(p["t"].alias("t"), (i - p["o"]).alias("start")).alias("at")))
 
         def verify(p: Column) -> Column:
             entry = F.get(known, p["t"])
@@ -135,7 +153,12 @@ def scan(docs: DataFrame, text: str = "text", templates: tuple[Template, ...] =
             return let(entry, hit)
 
         at = F.filter(F.transform(own, lambda w, i: F.when(F.array_contains(rare_words, w), i)), lambda i: i.isNotNull())
-        return F.filter(F.transform(F.array_distinct(F.flatten(F.transform(at, proposals))), verify), lambda h: h.isNotNull())
+
+        def common(all_proposed: Column) -> Column:
+            by_first = F.transform(F.filter(all_proposed, lambda p: p["first"]), lambda p: p["at"])
+            return F.array_intersect(by_first, F.transform(F.filter(all_proposed, lambda p: ~p["first"]), lambda p: p["at"]))
+
+        return F.filter(F.transform(let(F.flatten(F.transform(at, proposals)), common), verify), lambda h: h.isNotNull())
 
     (seen,) = unused(docs.drop(words_out, hits_out), "_seen")
     kept = docs.drop(words_out, hits_out).columns

@@ -98,6 +98,15 @@ def test_license_scan_keeps_other_columns(spark):
     assert row._seen == "own" and row.n_words == 1500 and len(row.hits) == 500
 
 
+def test_license_short_notices(spark):
+    rows = [("Released under the MIT License.", "mit"), ("BSD License", "bsd"), ("Creative Commons Attribution 4.0 International", "cc-by-4.0"),
+            ("under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of", "gpl,gpl-3.0"),
+            ("the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "gpl,gpl-2.0"),
+            ("MIT and a license, general public by cc", "")]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licenses.digest(df).collect()} == {i: want for i, (_, want) in enumerate(rows)}
+
+
 # 2 ------------------------------------------------------------------------------------------------------------------
 
 def _jaccard(a, b):
