@@ -2,17 +2,18 @@
 
 Host labels and path parts are names.  A name is cut into words by unigram
 Viterbi: of all ways to cut it the one with the likeliest words, by their
-counts in the text of all pages.  Every distinct name is cut once; its substrings meet
-the counts in a join, so no word list is shipped around.
+counts in the text of all pages, without tags, addresses and the labels of the
+page's own host, which would make a run-together name a word.  Seeds count as
+known words.  Every distinct name is cut once; its substrings meet the counts in
+a join, so no word list is shipped around.
 
 Multinomial naive Bayes then scores the words.  It learns from all distinct
 addresses: those with a word of ``SEEDS`` are examples to block, the others
 examples to allow, so words that come along with the seeds count too.
 
 Null addresses and those without ``://`` have empty host and path, no words
-and the verdict allow.  Repeated rows get equal verdicts; a name longer than
-``LONGEST_NAME`` (the limit for host labels) is one word.  Empty tables give
-empty results.
+and the verdict allow.  Repeated rows get equal verdicts; names of any length
+are cut.  Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -31,8 +32,9 @@ from flowsift.session import cut_lineage
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: Words that mark an address as an example to block.
 SEEDS = ("bets", "betting", "casino", "gambling", "pills", "porn", "spam", "viagra")
-LONGEST_NAME = 63
 LONGEST_WORD = 24
+#: A seed counts as this share of all words at least, so that it can be cut out of a name.
+SEED_SHARE = 1e-5
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -61,22 +63,39 @@ def names(host: Column, path: Column) -> Column:
     return F.filter(F.transform(parts, lambda p: F.regexp_replace(p, "\\p{N}+", "0")), lambda p: p != "")
 
 
-def word_counts(texts: DataFrame, text: str) -> DataFrame:
-    """``word, n`` over all texts, for words that a name could hold."""
-    tokens = texts.select(F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^\\p{L}]+")).alias("word"))
+def word_counts(texts: DataFrame, text: str, url: str | None = None) -> DataFrame:
+    """``word, n`` over all texts, for words that a name could hold; tags, addresses and names of a row's own host do not count."""
+    plain = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), "<[^<>]*>", " ")
+    plain = F.regexp_replace(plain, "[\\p{L}\\p{N}_-]++(?:\\.[\\p{L}\\p{N}_-]++)+", " ")
+    own = F.split(plain, "[^\\p{L}]+")
+    if url is not None:
+        labels = F.split(F.coalesce(host_and_path(F.col(url))[0], F.lit("")), "[.:@]")
+        own = let(labels, lambda names: F.filter(own, lambda w: ~F.array_contains(names, w)))
+    tokens = texts.select(F.explode(own).alias("word"))
     return tokens.where(F.length("word").between(1, LONGEST_WORD)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
+def with_seeds(counts: DataFrame, seeds: Sequence[str]) -> DataFrame:
+    """``counts`` with every seed counted ``SEED_SHARE`` of all words at least."""
+    counts = cut_lineage(counts)
+    least = max(1, math.ceil(SEED_SHARE * (counts.agg(F.sum("n")).first()[0] or 0)))
+    known = counts.sparkSession.range(1).select(F.explode(F.array(*[F.lit(w) for w in seeds]).cast("array<string>")).alias("word"), F.lit(least).cast("long").alias("n"))
+    return counts.unionByName(known).groupBy("word").agg(F.max("n").alias("n"))
+
+
 def segmented(distinct_names: DataFrame, counts: DataFrame) -> DataFrame:
     """``name`` to ``words``, the likeliest cut of each name (one row per name)."""
     counts = cut_lineage(counts)
     total = float(counts.agg(F.sum("n")).first()[0] or 1)
-    n = F.length("name")
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(
-        F.sequence(i + 1, F.least(n, i + LONGEST_WORD)), lambda j: F.struct(i.alias("i"), j.alias("j")))))
-    parts = distinct_names.where(n.between(2, LONGEST_NAME)).select("name", F.explode(spans).alias("s")).select(
-        "name", "s.i", "s.j", F.substring(F.col("name"), F.col("s.i") + 1, F.col("s.j") - F.col("s.i")).alias("word"))
-    met = parts.join(counts, "word").groupBy("name").agg(F.collect_list(F.struct("i", "j", "n")).alias("known"))
+    # a long name is not carried along with its substrings: its hash is
+    keyed = distinct_names.withColumn("_id", F.xxhash64("name"))
+    starts = let(F.split(F.col("name"), ""), lambda letters: F.transform(F.sequence(F.lit(0), F.length("name") - 1), lambda i: F.struct(
+        i.alias("i"), F.array_join(F.slice(letters, i + 1, F.lit(LONGEST_WORD)), "").alias("piece"))))
+    pieces = keyed.where(F.length("name") >= 2).select("_id", F.explode(starts).alias("s"))
+    parts = pieces.select("_id", "s", F.explode(F.sequence(F.lit(1), F.length("s.piece"))).alias("n_letters")).select(
+        "_id", F.col("s.i").alias("i"), (F.col("s.i") + F.col("n_letters")).alias("j"),
+        F.substring(F.col("s.piece"), F.lit(1), F.col("n_letters")).alias("word"))
+    met = parts.join(counts, "word").groupBy("_id").agg(F.collect_list(F.struct("i", "j", "n")).alias("known"))
 
     @F.pandas_udf("array<string>")
     def cut(name: pd.Series, known: pd.Series) -> pd.Series:
@@ -90,15 +109,20 @@ def segmented(distinct_names: DataFrame, counts: DataFrame) -> DataFrame:
                     gain = math.log(count / total) if count else -math.log(total) - 2.5 * (j - i)
                     if best[i][0] + gain > best[j][0]:
                         best[j] = (best[i][0] + gain, i)
-            out, j = [], len(word)
+            out, j, before = [], len(word), True
             while j > 0:
-                out.append(word[best[j][1]:j])
-                j = best[j][1]
-            return out[::-1]
+                i = best[j][1]
+                known = (i, j) in seen
+                if known or before:
+                    out.append([i, j])
+                else:  # unknown parts side by side are one
+                    out[-1][0] = i
+                j, before = i, known
+            return [word[a:b] for a, b in out[::-1]]
 
-        return pd.Series([[w] if not 2 <= len(w) <= LONGEST_NAME else best_cut(w, k) for w, k in zip(name, known)])
+        return pd.Series([[w] if len(w) < 2 else best_cut(w, k) for w, k in zip(name, known)])
 
-    return distinct_names.join(met, "name", "left").select("name", cut("name", "known").alias("words"))
+    return keyed.join(met, "_id", "left").select("name", cut("name", "known").alias("words"))
 
 
 def judged(pages: DataFrame, url: str = "url", texts: tuple[DataFrame, str] | None = None,
@@ -111,7 +135,8 @@ def judged(pages: DataFrame, url: str = "url", texts: tuple[DataFrame, str] | No
     addresses = cut_lineage(parsed.select("host", "path").distinct())
     parts = addresses.select("host", "path", F.posexplode(names(F.col("host"), F.col("path"))).alias("at", "name"))
     frame, column = texts or (pages, "html")
-    cuts = cut_lineage(segmented(parts.select("name").distinct(), word_counts(frame, column)))
+    counts = with_seeds(word_counts(frame, column, None if texts else url), seeds)
+    cuts = cut_lineage(segmented(parts.select("name").distinct(), counts))
     worded = parts.join(small(cuts), "name").groupBy("host", "path").agg(
         F.sort_array(F.collect_list(F.struct("at", "words"))).alias("cuts")
     ).select("host", "path", F.flatten(F.transform("cuts", lambda c: c["words"])).alias("words"))

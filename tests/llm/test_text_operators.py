@@ -244,6 +244,15 @@ def test_url_rules_and_words(spark):
     assert urls.judged(df.where("false")).count() == 0
 
 
+def test_run_together_host_printed_by_its_pages(spark):
+    page = "<p>CheapPills: more and more news</p><a href='http://cheappills.example.com/'>x</a><footer>&copy; cheappills.example.com</footer>"
+    rows = [(i, "http://cheappills.example.com/a", page) for i in range(30)] + [(i, f"http://news{i}.example.com/b", "<p>cheap news today</p>") for i in range(30, 90)]
+    rows.append((90, "http://" + "newstoday" * 20 + "pills.example.com/b", "x"))
+    got = {r.page_id: r for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0].words[:2] == ["cheap", "pills"] and got[0].verdict == "block" and got[30].verdict == "allow"
+    assert got[90].words[:41] == ["news", "today"] * 20 + ["pills"]
+
+
 # 6 ------------------------------------------------------------------------------------------------------------------
 
 def _page(body):
