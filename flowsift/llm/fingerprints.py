@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from flowsift.llm.text import let, words
 from flowsift.operators.ordering import range_sorted
 
-SAMPLES = 32
+SAMPLES = 64
 #: Consecutive ids in a block, and blocks at most where ids are dense.
 BLOCK_IDS = 1024
 BLOCKS = 100_000

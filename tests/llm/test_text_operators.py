@@ -142,6 +142,18 @@ def test_collision_rate_is_generalised_jaccard(spark, sf):
     assert abs(np.mean(off)) < 0.01 and np.std(off) < 0.06
 
 
+def test_likeness_with_the_count_in_use(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(60)
+    texts = [r.text for r in rows.collect()]
+    found = fingerprints.compared(rows).orderBy("doc_id").collect()
+    assert all(len(r.fingerprint) >= 4 * 64 for r in found)
+    off = []
+    for r, a, b in zip(found, texts, texts[1:] + texts[:1]):
+        half = len(a) // 2
+        off += [r.near_next - _jaccard(a, b), r.near_edited - _jaccard(a, a[:len(a) - half] + b[:half])]
+    assert abs(np.mean(off)) < 0.02 and np.std(off) < 0.0625  # 0.5 / sqrt(64)
+
+
 # 3, 7 ---------------------------------------------------------------------------------------------------------------
 
 def _ids(texts):
