@@ -16,11 +16,17 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # lets row_number() <= k prune before the shuffle for the k used here
     "spark.sql.optimizer.windowGroupLimitThreshold": "65536",
+    # the stateful streaming jobs need it
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.checkpoint.compress": "true",
 }
 
 
+#: Bits of a size estimate, in bytes, that can be taken seriously.
+_MOST_BITS = 62
+
+
 def build_session(app: str = "flowsift", master: str | None = None, **conf: str) -> SparkSession:
     """A session with :data:`DEFAULTS`; ``conf`` overrides (dots as ``__``)."""
     builder = SparkSession.builder.appName(app)
@@ -52,6 +58,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     Used where two later steps must see *the same* partitioning (range
     boundaries are sampled, so recomputing them could move rows).
+
+    A checkpoint keeps the size estimate of the plan that it cuts, and a join
+    multiplies the estimates of its sides: in a loop the number's digits double
+    with every round, until planning takes longer than the work.  An estimate
+    beyond any real size is therefore dropped: the frame is made anew from its
+    rows.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    _ensure_checkpoint_dir(spark)
+    cut = df.checkpoint(eager=True)
+    plan = cut._jdf.queryExecution()
+    if int(plan.optimizedPlan().stats().sizeInBytes()).bit_length() <= _MOST_BITS:
+        return cut
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), cut._jdf.schema(), False), spark)
