@@ -10,10 +10,12 @@ result, depends on them.  The index list of a shingle is sorted by set size and
 cut into blocks; a block is skipped against another one if its sizes or its
 positions leave too small an overlap.
 
-Set relations.  Long lists first propose only each set's neighbour and head in
-the list.  Once sets are verified to belong together, what one of them links to
-is an answer for all of them, so later only pairs of sets that are not yet
-connected are proposed.  Proposals meet an exact bound first (the parity bitmaps
+Set relations.  A list first proposes only two pairs for each set: with its
+neighbour and with the smallest set that it may link to.  Once sets are verified
+to belong together, what one of them links to is an answer for all of them, so
+later only pairs of sets that are not yet connected are proposed, from lists
+that more than one component shares.  Lists too long for a task are compared
+as pairs of blocks.  Proposals meet an exact bound first (the parity bitmaps
 of two sets differ in at most as many bits as the sets in elements), then the
 sets themselves.
 
@@ -25,7 +27,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,7 @@ from pyspark.sql import functions as F
 
 from flowsift.llm.components import components
 from flowsift.llm.text import small, unused
+from flowsift.operators.ordering import keyed_seq
 from flowsift.session import cut_lineage, shuffle_partitions
 
 WORDS = 5
@@ -42,9 +45,9 @@ LEAST = 80
 #: Sets that hold a shingle from which it comes late in the order, and how many such shingles tasks are told of (the most frequent).
 FREQUENT = 50
 MOST_FREQUENT = 1_000_000
-#: Sets in a list from which pairs are proposed in two steps; sets in a block of a list.
-LONG_LIST = 64
+#: Sets of a list that are compared at once, and sets of a list that one task gets.
 BLOCK = 256
+PART = 50_000
 #: 64-bit words in a parity bitmap.
 BITMAP = 16
 
@@ -160,8 +163,10 @@ def index_rows(docs: DataFrame, text: str, late: np.ndarray) -> DataFrame:
     return docs.select(text).mapInArrow(places, "shingle long, node long, n int, pos int")
 
 
-def block_pairs(node: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one list (sorted by size) whose sizes and positions allow a link, block against block."""
+def block_pairs(
+    node: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray, side: np.ndarray | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one list (sorted by size) with different roots (and sides) whose sizes and positions allow a link, block against block."""
     rest = n - pos  # elements from the shared one on
     for a in range(0, len(n), BLOCK):
         block_a = slice(a, a + BLOCK)
@@ -173,143 +178,172 @@ def block_pairs(node: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarr
                 continue
             fits = np.minimum(rest[block_a][:, None], rest[block_b][None, :]) >= _least_overlap(n[block_a][:, None], n[block_b][None, :])
             fits &= 100 * n[block_a][:, None] >= LEAST * n[block_b][None, :]
-            if root is not None:
-                fits &= root[block_a][:, None] != root[block_b][None, :]
+            fits &= root[block_a][:, None] != root[block_b][None, :]
+            if side is not None:
+                fits &= side[block_a][:, None] != side[block_b][None, :]
             i, j = np.nonzero(fits)
             keep = a + i < b + j
             yield node[block_a][i[keep]], node[block_b][j[keep]]
 
 
-def _ordered(x: np.ndarray, y: np.ndarray) -> list[pa.Array]:
-    return [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))]
+def _ordered(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs, the smaller node first."""
+    low, high = np.minimum(x, y), np.maximum(x, y)
+    order = np.lexsort((high, low))
+    low, high = low[order], high[order]
+    new = np.ones(len(low), dtype=bool)
+    new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    return low[new], high[new]
 
 
-def _fitting(node: list, n: list, pos: list) -> np.ndarray:
-    """Which of many two-row lists allow a link; each argument holds the first and the second rows."""
-    smaller, larger = n[0].astype(np.int64), n[1].astype(np.int64)
-    rest = np.minimum(smaller - pos[0], larger - pos[1])
-    return (node[0] != node[1]) & (100 * smaller >= LEAST * larger) & (rest >= _least_overlap(smaller, larger))
+def _starts(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where a run of rows with equal keys begins."""
+    new = np.ones(len(sorted_keys[0]), dtype=bool)
+    new[1:] = False
+    for key in sorted_keys:
+        new[1:] |= key[1:] != key[:-1]
+    return np.flatnonzero(new)
 
 
-def _lists(
-    batches: Iterator[pa.RecordBatch], names: list[str], most: int, two: Callable[[list, list], None]
-) -> Iterator[tuple[list[np.ndarray], bool, bool]]:
-    """Lists of rows with equal shingle from a sorted partition, in parts of about ``most`` rows: columns, is first, is last.
+def _near_pairs(of: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row with the one before it and with the smallest one of its list that it may link to.
 
-    Lists of one row are left out; those of two rows are handed to ``two``, all of a batch at once.
+    ``of`` numbers the lists; rows are sorted by list and size.  That is two
+    pairs for each row at most, however long the list.
     """
-    held, begun = None, False
-    for batch in batches:
-        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-        if held is not None:
-            columns = [np.concatenate([h, c]) for h, c in zip(held, columns)]
-        if not len(columns[0]):
-            continue
-        cuts = np.flatnonzero(np.diff(columns[0])) + 1
-        edges = np.concatenate([[0], cuts])
-        sizes = np.diff(edges)
-        if begun and len(sizes):
-            yield [c[:edges[1]] for c in columns], False, True
-            sizes[0], begun = 0, False
-        at = edges[:-1][sizes == 2]
-        two([c[at] for c in columns], [c[at + 1] for c in columns])
-        for k in np.flatnonzero(sizes > 2):
-            yield [c[edges[k]:edges[k + 1]] for c in columns], True, True
-        held = [c[edges[-1]:] for c in columns]
-        if len(held[0]) > most:
-            yield held, not begun, False
-            held, begun = [c[-1:] for c in held], True  # the last row ties the parts
-    if held is not None and len(held[0]):
-        yield held, not begun, True
+    n, at = n.astype(np.int64), np.arange(len(n))
+    place = of << 32 | n
+    smallest = np.searchsorted(place, of << 32 | -(-LEAST * n // 100))
+    first = np.concatenate([smallest, at[:-1]])
+    second = np.concatenate([at, at[1:]])
+    fits = (first < second) & (of[first] == of[second]) & (100 * n[first] >= LEAST * n[second])
+    first, second = first[fits], second[fits]
+    rest = np.minimum(n[first] - pos[first], n[second] - pos[second])
+    fits = rest >= _least_overlap(n[first], n[second])
+    return node[first[fits]], node[second[fits]]
+
+
+def _held_lists(columns: list[np.ndarray], begun: bool, goes_on: bool) -> list[np.ndarray]:
+    """Rows ``list, node, n, pos`` of the lists that may hold more pairs than :func:`_near_pairs` gives.
+
+    Lists of up to three rows do not.  Lists of the same nodes become one with
+    the smallest position of each node, named by its nodes.  A list of which
+    only a part is here (the first if ``begun``, the last if it ``goes_on``)
+    keeps its shingle as its name.
+    """
+    shingle, node, n, pos = columns
+    starts = _starts(shingle)
+    sizes = np.diff(np.append(starts, len(node)))
+    name = _mixed(np.add.reduceat(_mixed(node.view(np.uint64)), starts) + sizes.astype(np.uint64)).view(np.int64)
+    kept = sizes > 3
+    for at, partly in ((0, begun), (-1, goes_on)):
+        if partly:
+            name[at], kept[at] = shingle[starts[at]], True
+    name, rank = np.repeat(name, sizes), np.arange(len(node)) - np.repeat(starts, sizes)
+    rows = np.flatnonzero(np.repeat(kept, sizes) & ~(begun & (np.arange(len(node)) == 0)))  # the first row of a later part was in the part before
+    order = rows[np.lexsort((node[rows], rank[rows], name[rows]))]
+    name, node, n, pos, rank = (c[order] for c in (name, node, n, pos, rank))
+    starts = _starts(name, rank, node)
+    least = np.minimum.reduceat(pos, starts) if len(starts) else pos
+    return [name[starts], node[starts], n[starts], least]
 
 
 def proposals(index: DataFrame) -> DataFrame:
-    """``x, y`` pairs of short lists, and of long ones each set with its neighbour and head; rows of long lists with ``x`` null."""
+    """Pairs to verify first, as rows ``a, b`` with null ``n``; and rows ``a`` (list), ``b`` (node), ``n``, ``pos`` of lists with more."""
     names = ["shingle", "node", "n", "pos"]
     sorted_ = index.repartition(shuffle_partitions(index.sparkSession), "shingle").sortWithinPartitions("shingle", "n", "node")
 
+    def work(columns: list[np.ndarray], begun: bool, goes_on: bool) -> pa.RecordBatch:
+        starts = _starts(columns[0], columns[1])  # equal sets of different batches are one node
+        columns = [c[starts] for c in columns]
+        of = np.zeros(len(starts), dtype=np.int64)
+        of[_starts(columns[0])[1:]] = 1
+        x, y = _ordered(*_near_pairs(np.cumsum(of), *columns[1:]))
+        rows = _held_lists(columns, begun, goes_on)
+        gap = [pa.nulls(len(x), pa.int32())] * 2
+        out = [pa.concat_arrays([pa.array(p), pa.array(v)]) for p, v in zip((x, y), rows)]
+        return pa.RecordBatch.from_arrays(out + [pa.concat_arrays([g, pa.array(v, pa.int32())]) for g, v in zip(gap, rows[2:])], names=["a", "b", "n", "pos"])
+
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, pairs, rows = None, [], []
-
-        def flush() -> pa.RecordBatch:
-            x = np.concatenate([p[0] for p in pairs] or [np.zeros(0, np.int64)])
-            y = np.concatenate([p[1] for p in pairs] or [np.zeros(0, np.int64)])
-            low, high = np.minimum(x, y), np.maximum(x, y)
-            if len(low):
-                low, high = np.unique(np.stack([low, high]), axis=1)
-            kept = [np.concatenate([r[i] for r in rows] or [np.zeros(0, np.int64)]) for i in range(4)]
-            gap = pa.nulls(len(kept[0]), pa.int64())
-            out = [pa.concat_arrays([pa.array(low), gap]), pa.concat_arrays([pa.array(high), gap])]
-            out += [pa.concat_arrays([pa.nulls(len(low), k), pa.array(v, k)]) for v, k in zip(kept, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
-            pairs.clear()
-            rows.clear()
-            return pa.RecordBatch.from_arrays(out, names=["x", "y", *names])
-
-        held = 0
-        def two(a: list[np.ndarray], b: list[np.ndarray]) -> None:
-            fits = _fitting([a[1], b[1]], [a[2], b[2]], [a[3], b[3]])
-            pairs.append((a[1][fits], b[1][fits]))
-
-        for (shingle, node, n, pos), first, last in _lists(batches, names, 50_000, two):
-            if first and last and len(node) == 1:
+        held, begun = None, False  # rows of the last list; whether some of its rows were worked off already
+        for batch in batches:
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            if held is not None:
+                columns = [np.concatenate([h, c]) for h, c in zip(held, columns)]
+            if not len(columns[0]):
                 continue
-            if first and last and len(node) <= LONG_LIST:
-                # equal sets from different batches are one node
-                keep = np.concatenate([[True], np.diff(node) != 0])
-                pairs += list(block_pairs(node[keep], n[keep].astype(np.int64), pos[keep].astype(np.int64)))
-            else:
-                if first:
-                    head = (node[0], n[0])
-                heads = np.empty_like(node)
-                for i in range(len(node)):  # a head too small for a link gives way
-                    if 100 * int(head[1]) < LEAST * int(n[i]):
-                        head = (node[i], n[i])
-                    heads[i] = head[0]
-                near = 100 * n[:-1].astype(np.int64) >= LEAST * n[1:].astype(np.int64)
-                pairs += [(heads, node), (node[:-1][near], node[1:][near])]
-                skip = 0 if first else 1
-                rows.append((shingle[skip:], node[skip:], n[skip:], pos[skip:]))
-            held += len(node)
-            if held > 100_000:
-                yield flush()
-                held = 0
-        yield flush()
-
-    found = sorted_.mapInArrow(propose, "x long, y long, shingle long, node long, n int, pos int")
-    return cut_lineage(found.where("x is null or x <> y"))
-
-
-def unconnected(long_lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """``x, y`` pairs of long lists whose sets are not connected yet."""
-    names = ["shingle", "node", "n", "pos", "root"]
+            last = int(np.searchsorted(columns[0], columns[0][-1]))
+            if last:
+                yield work([c[:last] for c in columns], begun, False)
+                begun = False
+            held = [c[last:] for c in columns]
+            if len(held[0]) > PART:
+                yield work(held, begun, True)
+                held, begun = [c[-1:] for c in held], True  # the last row ties the parts
+        if held is not None and len(held[0]):
+            yield work(held, begun, False)
+
+    return cut_lineage(sorted_.mapInArrow(propose, "a long, b long, n int, pos int"))
+
+
+def _split_lists(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``side`` and ``pair``: lists of over ``PART`` rows as pairs of blocks of that many, others as they are.
+
+    Rows of a long list are numbered by size over all tasks.  Each pair of its
+    blocks whose sizes allow a link is a list of its own, so no task holds more
+    than two blocks.
+    """
+    longer = cut_lineage(rows.groupBy("list").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > PART))
+    plain = rows.select("*", F.lit(0).cast("long").alias("side"), F.lit(-1).cast("long").alias("pair"))
+    if longer.isEmpty():
+        return plain
+    numbered = keyed_seq(rows.join(small(longer.select("list")), "list", "left_semi"), ["list"], ["n", "node", "pos"], out="rank")
+    numbered = cut_lineage(numbered.select("list", "node", "n", "pos", "root", F.floor((F.col("rank") - 1) / PART).alias("side")))
+    blocks = cut_lineage(numbered.groupBy("list", "side").agg(F.min("n").alias("least"), F.max("n").alias("most")))
+    earlier = blocks.select("list", F.col("side").alias("a"), F.col("most").alias("most_a"))
+    later = blocks.select("list", F.col("side").alias("b"), F.col("least").alias("least_b"))
+    pairs = earlier.join(later, "list").where("a <= b").where(100 * F.col("most_a") >= LEAST * F.col("least_b"))
+    sides = F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))
+    pairs = pairs.select("list", F.explode(sides).alias("side"), (F.col("a") * 2**31 + F.col("b")).alias("pair"))
+    split = numbered.join(small(cut_lineage(pairs)), ["list", "side"]).select(*plain.columns)
+    return plain.join(small(longer.select("list")), "list", "left_anti").unionByName(split)
+
+
+def unconnected(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """``x, y`` pairs of the lists (``list, node, n, pos``) whose sets are not connected yet."""
+    names = ["list", "pair", "side", "node", "n", "pos", "root"]
     at = small(roots.select(F.col("node").alias("_node"), "root"))
-    rows = long_lists.distinct().join(at, F.col("node") == F.col("_node"), "left").select(
-        "shingle", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
+    rows = lists.join(at, F.col("node") == F.col("_node"), "left").select("list", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
     # a list that one component fills has nothing to add
-    mixed = rows.groupBy("shingle").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("shingle")
-    rows = rows.join(mixed, "shingle").repartition(shuffle_partitions(rows.sparkSession), "shingle").sortWithinPartitions("shingle", "n", "node")
+    mixed = rows.groupBy("list").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("list")
+    rows = _split_lists(cut_lineage(rows.join(small(cut_lineage(mixed)), "list", "left_semi")))
+    rows = rows.repartition(shuffle_partitions(rows.sparkSession), "list", "pair").sortWithinPartitions("list", "pair", "n", "node", "pos")
+
+    def of_list(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        _, pair, side, node, n, pos, root = columns
+        first = _starts(node)  # the same nodes may come from several tasks: the smallest position stays
+        node, n, pos, root, side = (c[first] for c in (node, n.astype(np.int64), pos.astype(np.int64), root, side))
+        across = side if pair[0] >= 0 and pair[0] >> 31 != pair[0] & 0x7FFFFFFF else None
+        for x, y in block_pairs(node, n, pos, root, across):
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in _ordered(x, y)], names=["x", "y"])
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        ready: list[pa.RecordBatch] = []
-
-        def two(a: list[np.ndarray], b: list[np.ndarray]) -> None:
-            fits = _fitting([a[1], b[1]], [a[2], b[2]], [a[3], b[3]]) & (a[4] != b[4])
-            ready.append(pa.RecordBatch.from_arrays(_ordered(a[1][fits], b[1][fits]), names=["x", "y"]))
-
-        for columns, first, last in _lists(batches, names, 1_000_000, two):
-            yield from ready
-            ready.clear()
-            held.append(columns if first else [c[1:] for c in columns])
-            if not last:
+        held = None
+        for batch in batches:
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            if held is not None:
+                columns = [np.concatenate([h, c]) for h, c in zip(held, columns)]
+            if not len(columns[0]):
                 continue
-            _, node, n, pos, root = [np.concatenate(c) for c in zip(*held)]
-            held = []
-            for x, y in block_pairs(node, n.astype(np.int64), pos.astype(np.int64), root):
-                yield pa.RecordBatch.from_arrays(_ordered(x, y), names=["x", "y"])
-        yield from ready
+            edges = _starts(*columns[:2])
+            for begin, end in zip(edges[:-1], edges[1:]):
+                yield from of_list([c[begin:end] for c in columns])
+            held = [c[edges[-1]:] for c in columns]
+        if held is not None and len(held[0]):
+            yield from of_list(held)
 
-    return rows.mapInArrow(propose, "x long, y long")
+    return rows.select(*names).mapInArrow(propose, "x long, y long")
 
 
 def sets_of(docs: DataFrame, doc_id: str, text: str, holders: DataFrame, wanted: DataFrame, whole: bool) -> DataFrame:
@@ -372,7 +406,7 @@ def linked_sets(docs: DataFrame, named: DataFrame, doc_id: str = "doc_id", text:
     holders = cut_lineage(named.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("holder")))
     late = frequent_shingles(docs, text)
     found = proposals(index_rows(docs, text, late))
-    pairs = cut_lineage(found.where("x is not null").select("x", "y").distinct())
+    pairs = cut_lineage(found.where("n is null").select(F.col("a").alias("x"), F.col("b").alias("y")).distinct())
     bitmaps = cut_lineage(sets_of(docs, doc_id, text, holders, cut_lineage(_ends(pairs)), whole=False))
     likely = cut_lineage(_kept(_with_data(pairs, bitmaps), _may_link))
 
@@ -386,7 +420,7 @@ def linked_sets(docs: DataFrame, named: DataFrame, doc_id: str = "doc_id", text:
     roots = components(links)
 
     # then what is not connected yet
-    far = unconnected(found.where("x is null").select("shingle", "node", "n", "pos"), roots).distinct()
+    far = unconnected(found.where("n is not null").select(F.col("a").alias("list"), F.col("b").alias("node"), "n", "pos"), roots).distinct()
     far = cut_lineage(far.join(pairs, ["x", "y"], "left_anti"))
     far_ends = cut_lineage(_ends(far))
     more = cut_lineage(sets_of(docs, doc_id, text, holders, far_ends, whole=False)) if not far_ends.isEmpty() else bitmaps.limit(0)

@@ -5,6 +5,7 @@ import html
 import os
 import re
 import sys
+import time
 import zlib
 from collections import Counter
 
@@ -176,6 +177,15 @@ def test_packing_is_complete(docs, none, parts, most):
     assert packing.pack(none, tokens.vocabulary()).count() == 0
 
 
+def test_packing_keeps_large_ids_beside_nulls(spark):
+    rows = [(2**60 + 1, "one two"), (None, "three"), (2**60 + 3, "four"), (2**53 + 1, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = packing.pack(df, tokens.vocabulary()).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    named = packing.pack(df.selectExpr("concat('d', doc_id) as doc_id", "text"), tokens.vocabulary()).collect()
+    assert Counter(r.doc_id for r in named) == Counter(None if r[0] is None else f"d{r[0]}" for r in rows)
+
+
 def test_packing_repeated_rows(docs):
     got = packing.pack(docs.where("doc_id = 13"), tokens.vocabulary()).toPandas()
     assert got.length.sum() == 2 * (len(_ids([PROSE])[0]) + 1)
@@ -223,10 +233,23 @@ def test_quality_order_never_changes_the_verdict(docs, none):
     assert quality.passing(clash).columns == clash.columns
 
 
+def test_cascade_order_counts_what_is_bound_already():
+    rules = {name: quality.RULES[name] for name in ("few_words", "word_length", "upper_case", "symbols")}
+    cost = {"words": 10.0, "text": 0.0, "n_words": 0.1, "word_chars": 0.1, "n_upper": 5.0, "n_symbols": 4.0}
+    failed = np.zeros((100, 4), dtype=bool)
+    failed[:30, 0] = True  # few_words: 30 for 10.1
+    failed[:40, 1] = True  # word_length: 40 for 10.2, 10 more for 0.1 after few_words
+    failed[60:64, 2] = True
+    failed[:30, 3] = True  # symbols alone: 30 for 14.1; nothing is left of them after few_words
+    # word_length has the best ratio; what it makes lets upper_case pay for its own measure only; the others reject nothing more
+    assert quality.greedy_order(failed, rules, cost) == ["word_length", "upper_case", "few_words", "symbols"]
+    assert quality.greedy_order(np.zeros((0, 4), dtype=bool), rules, cost) == list(rules)
+
+
 def test_repeated_windows_brute(spark):
     texts = [" ".join(str(i % k) for i in range(n)) for k, n in ((3, 30), (9, 40), (50, 49), (1, 8), (1, 9), (20, 200))]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
-    got = [r[0] for r in df.select(quality.n_repeat_words(df.text)).collect()]
+    got = [r[0] for r in df.select(quality.measures(df.text, ["n_repeat_words"])["n_repeat_words"]).collect()]
     for text, found in zip(texts, got):
         own = text.split()
         windows = [tuple(own[i:i + 8]) for i in range(len(own) - 7)]
@@ -354,10 +377,10 @@ def _brute_components(texts):
     return [least[find(i)] for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("frequent,long_list", [(50, 64), (2, 4), (1000, 3)])
-def test_ngram_join_brute(spark, monkeypatch, frequent, long_list):
+@pytest.mark.parametrize("frequent,part", [(50, 50_000), (2, 4), (1000, 7)])
+def test_ngram_join_brute(spark, monkeypatch, frequent, part):
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
-    monkeypatch.setattr(ngram_join, "LONG_LIST", long_list)
+    monkeypatch.setattr(ngram_join, "PART", part)
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
     base = _near_copies(80)
     common = " ".join(f"shared{i}" for i in range(20))
@@ -367,6 +390,15 @@ def test_ngram_join_brute(spark, monkeypatch, frequent, long_list):
     assert [got[i] for i in range(len(texts))] == _brute_components(texts)
 
 
+def test_few_pairs_from_a_large_group():
+    # a list of n sets proposes two pairs a set at most, whatever its length
+    rng = np.random.default_rng(0)
+    for size in (5, 500, 5000):
+        n = np.sort(rng.integers(300, 330, size)).astype(np.int32)
+        x, y = ngram_join._near_pairs(np.zeros(size, dtype=np.int64), np.arange(size), n, np.zeros(size, dtype=np.int32))
+        assert size - 1 <= len(x) <= 2 * size and set(x) | set(y) == set(range(size))
+
+
 def test_one_of_each(spark, docs):
     kept = ngram_join.one_of_each(docs)
     assert kept.columns == docs.columns
@@ -382,6 +414,17 @@ def test_components_of_a_long_path(spark):
     assert len({r.root for r in got if r.node <= 60}) == 1 and len(got) == 63 and len({r.root for r in got}) == 2
 
 
+def test_components_of_thousands_in_a_row(spark):
+    ends = [(i, i + 1) for i in range(3000)]
+    np.random.default_rng(4).shuffle(ends)
+    shuffled = np.random.default_rng(5).permutation(3001)  # neighbours are far apart in the order of nodes
+    path = spark.createDataFrame([(int(shuffled[a]), int(shuffled[b])) for a, b in ends], "x long, y long")
+    began = time.monotonic()
+    got = components.components(path).collect()
+    assert len(got) == 3001 and len({r.root for r in got}) == 1
+    assert time.monotonic() - began < 60
+
+
 # 9 ------------------------------------------------------------------------------------------------------------------
 
 def test_mix_meets_targets(docs, none):
@@ -400,10 +443,14 @@ def test_mix_meets_targets(docs, none):
 def test_mixed_documents_have_the_words_taken(docs):
     once = cut_lineage(docs.dropDuplicates(["doc_id"]).withColumn("_taken", docs["lang"]))
     want = {r.doc_id: r.taken for r in mixing.mix(once).collect() if r.taken}
-    got = Counter()
+    texts, got = {r.doc_id: r.text for r in once.collect()}, Counter()
     for r in mixing.mixed_documents(once).collect():
-        got[r.doc_id] += len((r.text or "").split())
-    assert dict(got) == want and mixing.mixed_documents(once).columns == once.columns
+        assert r.text == texts[r.doc_id]  # whole, line breaks included
+        got[r.doc_id] += 1
+    size = {i: len(t.split()) for i, t in texts.items() if t}
+    for i, n in want.items():
+        assert got[i] == (2 * n + size[i]) // (2 * size[i])
+    assert set(got) <= set(want) and mixing.mixed_documents(once).columns == once.columns
 
 
 # 10 -----------------------------------------------------------------------------------------------------------------
