@@ -8,6 +8,12 @@ have the same smallest value if and only if they drew the same (word, t), and
 that happens with the probability of their generalised Jaccard similarity
 sum(min(weights)) / sum(max(weights)).  The share of equal samples estimates it.
 
+A Gamma(2, 1) variate cut at a uniform place gives two independent exponentials,
+so r (1 - b) = -ln u and r b = -ln v are drawn instead of r and b.  The value's
+exponential is then c u exp(-r t), and t = 0 just where u weight < 1: most words
+need one logarithm, not three.  A text and its edited form share what they draw
+for a word; only the weights differ.
+
 Null texts are empty.  Texts without words share one fingerprint and are alike
 to each other only.  Repeated rows have equal fingerprints.
 """
@@ -24,45 +30,65 @@ from flowsift.operators.ordering import range_sorted
 
 SAMPLES = 64
 #: Consecutive ids in a block, and blocks at most where ids are dense.
-BLOCK_IDS = 1024
+BLOCK_IDS = 256
 BLOCKS = 100_000
 
 
-def weighted_terms(text: Column) -> Column:
-    """Array of (term, weight): 64-bit word hashes with the natural logarithm of their counts; null terms never occur."""
+#: Factor that takes the value of an absent word beyond all others.
+_ABSENT = 1e300
+
+
+def weighted_terms(text: Column, other: Column | None = None) -> Column:
+    """Array of (term, n, m): 63-bit word hashes with their counts in ``text`` and in ``other``; null for no words."""
+
+    def hashed(value: Column, tag: int) -> Column:
+        return F.transform(words(F.lower(value)), lambda w: F.xxhash64(w).bitwiseAND(-2).bitwiseOR(tag))
 
-    def runs(sorted_ids: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(sorted_ids) - 1),
-                          lambda i: (i == 0) | (F.get(sorted_ids, i) != F.get(sorted_ids, i - 1)))
-        return let(starts, lambda s: F.transform(s, lambda at, j: F.struct(
-            F.get(sorted_ids, at).alias("term"),
-            F.log((F.coalesce(F.get(s, j + 1), F.size(sorted_ids)) - at).cast("double")).alias("weight"))))
+    def counts(run: Column, runs: Column, j: Column) -> Column:
+        # a term's run in the text comes right before its run in the other one
+        after = F.get(runs, j + 1)
+        own = run["id"].bitwiseAND(1) == 0
+        both = own & (after["id"] == run["id"].bitwiseOR(1))
+        return F.struct(
+            run["id"].bitwiseAND(-2).alias("term"), F.when(own, run["n"]).otherwise(0).alias("n"),
+            F.when(~own, run["n"]).when(both, after["n"]).otherwise(0).alias("m"),
+            (~own & (F.get(runs, j - 1)["id"] == run["id"].bitwiseAND(-2))).alias("counted"))
 
-    ids = F.sort_array(F.transform(words(F.lower(text)), lambda w: F.xxhash64(w)))
-    return let(ids, lambda s: F.when(F.size(s) > 0, runs(s)))
+    def joined(runs: Column) -> Column:
+        return F.filter(F.transform(runs, lambda run, j: counts(run, runs, j)), lambda t: ~F.coalesce(t["counted"], F.lit(False)))
 
+    def terms(ids: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(ids) - 1), lambda i: (i == 0) | (F.get(ids, i) != F.get(ids, i - 1)))
+        runs = let(starts, lambda s: F.transform(s, lambda at, j: F.struct(
+            F.get(ids, at).alias("id"), (F.coalesce(F.get(s, j + 1), F.size(ids)) - at).alias("n"))))
+        return let(runs, joined)
 
-def samples(term: Column, weight: Column, count: int = SAMPLES) -> list[Column]:
-    """Smallest values over a group of (term, weight) rows, one column per sample."""
+    ids = hashed(text, 0) if other is None else F.concat(hashed(text, 0), hashed(other, 1))
+    return let(F.sort_array(ids), lambda s: F.when(F.size(s) > 0, terms(s)))
+
+
+def samples(term: Column, weights: Sequence[Column], count: int = SAMPLES) -> list[list[Column]]:
+    """For each weight, the exponentials of the smallest values over a group of rows, one column per sample."""
     low, scale = 0x3FFFFFFF, 2.0 ** -30
 
     def two_uniforms(bits: Column) -> tuple[Column, Column]:
         return (bits.bitwiseAND(low) + 0.5) * scale, (F.shiftrightunsigned(bits, 34) + 0.5) * scale
 
-    out = []
+    out: list[list[Column]] = [[] for _ in weights]
     for k in range(count):
-        first, second = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
-        (a, b), (c, d) = two_uniforms(first), two_uniforms(second)
-        r, log_c = -F.ln(a * b), F.ln(-F.ln(c * d))  # the sum of two exponentials is Gamma(2, 1)
-        beta = (F.shiftright(first, 15).bitwiseXOR(second).bitwiseAND(low) + 0.5) * scale
-        t = F.floor(weight / r + beta)
-        out.append(F.min(log_c - r * (t - beta + 1.0)))
+        (u, v), (x, y) = (two_uniforms(F.xxhash64(term, F.lit(2 * k + i))) for i in (0, 1))
+        at_once = -F.ln(x * y) * u  # c u: the value of a word with t = 0
+        r = -F.ln(u * v)
+        for weight, own in zip(weights, out):
+            steps = F.floor((F.ln(weight) - F.ln(v)) / r)  # ln(weight) / r + b
+            factor = F.when(weight <= 0, _ABSENT).when(u * weight < 1, 1.0).otherwise(F.exp(-r * steps))
+            own.append(F.min(at_once * factor))
     return out
 
 
 def signature(values: Sequence[Column]) -> Column:
     """Array of 16-bit digests of the samples; texts without words get a constant."""
-    return F.array(*[F.coalesce(F.xxhash64(v).bitwiseAND(0xFFFF), F.lit(0)).cast("int") for v in values])
+    return F.array(*[F.when(v < _ABSENT / 1e50, F.xxhash64(v).bitwiseAND(0xFFFF)).otherwise(0).cast("int") for v in values])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -74,16 +100,19 @@ def hexadecimal(signature: Column) -> Column:
     return F.array_join(F.transform(signature, lambda x: F.lower(F.lpad(F.hex(x), 4, "0"))), "")
 
 
-def fingerprints(docs: DataFrame, keys: Sequence[str], text: str = "text", count: int = SAMPLES, out: str = "signature") -> DataFrame:
-    """``keys`` and the signature of each group's texts; rows with equal keys are one bag of words.
+def fingerprints(docs: DataFrame, keys: Sequence[str], text: str = "text", other: str | None = None, count: int = SAMPLES,
+                 out: Sequence[str] = ("signature", "other_signature")) -> DataFrame:
+    """``keys`` and the signature of each group's texts, and of its ``other`` texts; rows with equal keys are one bag of words.
 
     If the input is already partitioned by some of ``keys`` nothing is shuffled.
     """
-    terms = docs.select(*keys, F.explode_outer(weighted_terms(F.col(text))).alias("_t"))
-    drawn = samples(F.col("_t")["term"], F.col("_t")["weight"], count)
-    names = [f"_s{k}" for k in range(count)]
-    mins = terms.groupBy(*keys).agg(*[s.alias(n) for s, n in zip(drawn, names)])
-    return mins.select(*keys, signature([F.col(n) for n in names]).alias(out))
+    found = weighted_terms(F.col(text), None if other is None else F.col(other))
+    terms = docs.select(*keys, F.explode_outer(found).alias("_t")).select(*keys, "_t.*")
+    kinds = ["n"] if other is None else ["n", "m"]
+    drawn = samples(F.col("term"), [F.col(k).cast("double") for k in kinds], count)
+    names = [[f"_{kind}{k}" for k in range(count)] for kind in kinds]
+    mins = terms.groupBy(*keys).agg(*[s.alias(n) for of, own in zip(drawn, names) for s, n in zip(of, own)])
+    return mins.select(*keys, *[signature([F.col(n) for n in own]).alias(o) for own, o in zip(names, out)])
 
 
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -134,16 +163,13 @@ def compared(docs: DataFrame, count: int = SAMPLES) -> DataFrame:
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half),
                       F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
     place, facts = ["block", "spread", "pos"], ["own", "doc_id", "n_chars", "edited_sha256"]
-    both = rows.withColumn("edited", edited).select(
-        *place, "own", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        F.posexplode(F.when(F.col("own"), F.array("text", "edited")).otherwise(F.array("text"))).alias("edit", "text"),
-    )
-    drawn = fingerprints(both, [*place, "edit", *facts], count=count)
-    # rows of a place: the text, its edited text; then the next place's text
-    along = Window.partitionBy("block", "spread").orderBy("pos", "edit")
-    joined = drawn.select("*", F.lead("signature", 1).over(along).alias("edited"), F.lead("signature", 2).over(along).alias("next"))
+    both = rows.withColumn("edited", F.when(F.col("own"), edited)).select(
+        *place, "own", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "text", "edited")
+    drawn = fingerprints(both, [*place, *facts], other="edited", count=count, out=("signature", "edited"))
+    along = Window.partitionBy("block", "spread").orderBy("pos")
+    joined = drawn.select("*", F.lead("signature").over(along).alias("next"))
     near_next = F.when(F.col("doc_id").isNotNull(), F.coalesce(likeness(F.col("signature"), F.col("next")), F.lit(0.0))).otherwise(0.0)
-    return joined.where((F.col("edit") == 0) & F.col("own")).select(
+    return joined.where("own").select(
         "doc_id", "n_chars", "edited_sha256", hexadecimal(F.col("signature")).alias("fingerprint"),
         hexadecimal(F.col("edited")).alias("edited_fingerprint"),
         likeness(F.col("signature"), F.col("edited")).alias("near_edited"), near_next.alias("near_next"),
