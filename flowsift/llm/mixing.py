@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowsift.llm.text import small, unused, word_count, words
+from flowsift.llm.text import small, unused, word_count
 from flowsift.operators.ordering import dense_seq, range_sorted
 from flowsift.session import cut_lineage, shuffle_partitions
 
@@ -132,20 +132,14 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: C
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The mix itself, with the columns of ``docs`` (``doc_id, text, source, n_chars`` among them).
+    """The mix itself, with the columns of ``docs`` (``doc_id, text, source`` among them); texts come whole.
 
-    A document comes once per whole epoch.  The one at a source's cut comes with
-    its first words only, joined by single spaces, so that the budget is exact.
+    A document comes once per whole epoch.  The one at a source's cut comes once
+    more if at least half of its words are inside the budget, so a source is off
+    its target by at most half a document (where ids repeat, half of each row at
+    the cut).  Texts without words are not taken.
     """
-    size, total, target, taken, n, left = unused(docs, "_size", "_total", "_target", "_taken", "_copy", "_left")
-    planned = mix(docs, seed=seed, names=(size, total, target, taken))
-    copies = F.sequence(F.lit(0), F.ceil(F.col(taken) / F.col(size)).cast("int") - 1)
-    rows = planned.where(F.col(taken) > 0).withColumn(n, F.explode(copies))
-    rows = rows.withColumn(left, F.least(F.col(size), F.col(taken) - F.col(n) * F.col(size)))
-    whole = F.col(left) == F.col(size)
-    short = F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col(left).cast("int")), " ")
-    changed = {"text": F.when(whole, F.col("text")).otherwise(short)}
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        changed["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.length(short)).cast(kind)
-    return rows.withColumns(changed).select(*docs.columns)
+    size, total, target, taken = unused(docs, "_size", "_total", "_target", "_taken")
+    planned = mix(docs, seed=seed, names=(size, total, target, taken)).where(F.col(size) > 0)
+    copies = F.floor((2 * F.col(taken) + F.col(size)) / (2 * F.col(size))).cast("int")
+    return planned.withColumn(taken, F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)

@@ -22,7 +22,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -144,14 +143,15 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
     def merger(low: int, number: int, last: bool):
         """Packers ``low`` and up hand over to packers ``number`` and up."""
 
-        def merge(group: pd.DataFrame) -> pd.DataFrame:
-            group = group.sort_values(["length", "packer", "doc_id", "start"], ascending=[False, True, True, True])
-            packer = Packer(number + (int(group["packer"].iloc[0]) - low) // fan, length, most)
-            for r in group.itertuples(index=False):
-                doc = None if pd.isna(r.doc_id) else r.doc_id
-                packer.add(doc, np.frombuffer(r.ids, dtype="<u4"), int(r.start), int(r.doc_tokens))
+        def merge(group: pa.Table) -> pa.Table:  # Arrow keeps integers beside nulls as they are
+            rows = group.select(["length", "packer", "doc_id", "start", "doc_tokens", "ids"]).to_pylist()
+            # within a packer rows without an id come last
+            rows.sort(key=lambda r: (-r["length"], r["packer"], (1,) if r["doc_id"] is None else (0, r["doc_id"]), r["start"]))
+            packer = Packer(number + (rows[0]["packer"] - low) // fan, length, most)
+            for r in rows:
+                packer.add(r["doc_id"], np.frombuffer(r["ids"], dtype="<u4"), r["start"], r["doc_tokens"])
             packer.finish() if last else packer.hand_on()
-            return pd.DataFrame(packer.taken(), columns=_COLUMNS).astype({c: "Int64" for c in _COLUMNS[1:8]})
+            return pa.Table.from_batches([batch_of(packer.taken(), group.schema.field("doc_id").type)])
 
         return merge
 
@@ -161,7 +161,7 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
     while True:
         groups = -(-(number - low) // fan)
         by = F.floor((F.col("packer") - low) / fan).alias("group")
-        merged = cut_lineage(left.groupBy(by).applyInPandas(merger(low, number, groups == 1), schema))
+        merged = cut_lineage(left.groupBy(by).applyInArrow(merger(low, number, groups == 1), schema))
         left, whole = merged.where("packer is not null"), whole.unionByName(merged.where("packer is null"))
         low, number = number, number + groups
         if groups == 1:
