@@ -16,11 +16,16 @@ first publishes *how its rows map any entering anchor to a leaving anchor*, a
 step function.  The step functions are composed in groups of ``fan_in`` (a
 parallel prefix), which gives every task its entering anchor, and the walk
 then runs in parallel.  The result does not depend on the split.
+
+A *scan* carries a summary along each run, such as the last characters of its
+texts, and marks rows by what came before them.  Summaries are associative:
+each task of a split key publishes that of its last run, one row per task, and
+the entering ones are composed by prefix.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -148,6 +153,55 @@ class Carry:
         return Carry(self.at[keep_at], self.out[np.append(True, ~same)], self.fresh, self.side)
 
 
+@dataclass(frozen=True)
+class RunScan:
+    """Adds the boolean column ``name``: ``mark(batch, is_anchor, summary)`` gives it with the summary after the batch.
+
+    ``summary`` is that of the rows before in the same run, ``empty`` if there
+    are none.  ``follow`` gives the summary after a batch only.  ``join(a, b)``
+    is the summary of rows with ``a`` followed by rows with ``b``.
+    """
+
+    name: str
+    empty: str
+    mark: Callable[[pa.RecordBatch, np.ndarray, str], tuple[np.ndarray, str]]
+    follow: Callable[[pa.RecordBatch, np.ndarray, str], str]
+    join: Callable[[str, str], str]
+
+
+def _scan_split(walked: DataFrame, scan: RunScan) -> DataFrame:
+    """``scan`` over partitions that hold consecutive parts of runs; ``_pid`` orders them."""
+    walked = cut_lineage(walked)
+
+    def publish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid, summary, begins = None, scan.empty, False
+        for batch in batches:
+            if batch.num_rows:
+                pid = batch.column("_pid")[0].as_py()
+                is_anchor = batch.column("is_anchor").to_numpy(zero_copy_only=False)
+                summary, begins = scan.follow(batch, is_anchor, summary), begins or bool(is_anchor.any())
+        if pid is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), pa.array([summary], pa.string()), pa.array([begins])], names=["pid", "summary", "begins"])
+
+    parts = walked.mapInArrow(publish, "pid int, summary string, begins boolean").collect()  # one bounded row per partition
+    entering, state = {}, scan.empty
+    for part in sorted(parts, key=lambda r: r["pid"]):
+        entering[part["pid"]] = state
+        state = part["summary"] if part["begins"] else scan.join(state, part["summary"])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        summary = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            if summary is None:
+                summary = entering[batch.column("_pid")[0].as_py()]
+            marked, summary = scan.mark(batch, batch.column("is_anchor").to_numpy(zero_copy_only=False), summary)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marked, pa.bool_())], names=[*batch.schema.names, scan.name])
+
+    return walked.mapInArrow(mark, T.StructType([*walked.schema.fields]).add(scan.name, T.BooleanType()))
+
+
 def _sizes_before(sizes: np.ndarray, is_anchor: np.ndarray, carried: int) -> tuple[np.ndarray, int]:
     """Total size of the earlier rows of each row's run, and of the last run so far."""
     earlier = np.cumsum(sizes) - sizes
@@ -157,7 +211,8 @@ def _sizes_before(sizes: np.ndarray, is_anchor: np.ndarray, carried: int) -> tup
 
 
 def _walk_sorted(
-    sorted_df: DataFrame, keys: Sequence[str], ts: str, rule: RunRule, entry: str | None, head: tuple[str, int] | None
+    sorted_df: DataFrame, keys: Sequence[str], ts: str, rule: RunRule, entry: str | None, head: tuple[str, int] | None,
+    scan: RunScan | None = None,
 ) -> DataFrame:
     """Walk partitions that are sorted by key and time; state crosses Arrow batches."""
     names = [f.name for f in sorted_df.schema.fields if f.name != entry]
@@ -165,9 +220,11 @@ def _walk_sorted(
     schema = schema.add("anchor_us", T.LongType()).add("is_anchor", T.BooleanType())
     if head:
         schema = schema.add("in_head", T.BooleanType())
+    if scan:
+        schema = schema.add(scan.name, T.BooleanType())
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, state, size = None, FRESH, 0
+        before, state, size, summary = None, FRESH, 0, scan.empty if scan else None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -184,6 +241,9 @@ def _walk_sorted(
                 sizes = batch.column(head[0]).to_numpy(zero_copy_only=False)
                 earlier, size = _sizes_before(sizes, is_anchor, size)
                 columns.append(pa.array((earlier < head[1]) & (sizes > 0)))
+            if scan:
+                marked, summary = scan.mark(batch, is_anchor, summary)
+                columns.append(pa.array(marked, pa.bool_()))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return sorted_df.mapInArrow(fold, schema)
@@ -277,7 +337,7 @@ def _entries(carries: DataFrame, keys: Sequence[str], side: str, fan_in: int) ->
 
 
 def _split_hot(
-    rows: DataFrame, keys, ts, ties, rule: RunRule, chunk_rows: int, total: int, fan_in: int, head
+    rows: DataFrame, keys, ts, ties, rule: RunRule, chunk_rows: int, total: int, fan_in: int, head, scan: RunScan | None
 ) -> DataFrame:
     n = max(shuffle_partitions(rows.sparkSession), -(-total // chunk_rows))
     order = [*keys, ts, *ties]
@@ -288,7 +348,8 @@ def _split_hot(
     # only the first key of a partition can be entered from outside: one row per partition
     heads = carries.where("head").select(*keys, "_pid")
     entry = entries.join(heads, [*keys, "_pid"]).where(F.col("entry") != FRESH).select("_pid", "entry")
-    return _walk_sorted(placed.join(F.broadcast(entry), "_pid", "left"), keys, ts, rule, "entry", head).drop("_pid")
+    walked = _walk_sorted(placed.join(F.broadcast(entry), "_pid", "left"), keys, ts, rule, "entry", head)
+    return (_scan_split(walked, scan) if scan else walked).drop("_pid")
 
 
 def _by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -309,6 +370,7 @@ def assign_runs(
     rule: RunRule,
     *,
     head: tuple[str, int] | None = None,
+    scan: RunScan | None = None,
     hot_rows: int = 5_000_000,
     chunk_rows: int = 2_000_000,
     fan_in: int = 16,
@@ -318,6 +380,7 @@ def assign_runs(
     ``ts`` is an integer column; ``(ts, *ties)`` orders the rows of a key.
     Key columns must not be null.  ``head = (size column, cap)`` also adds
     ``in_head``: whether the row can reach the first ``cap`` units of its run.
+    ``scan`` adds its own column.
 
     Keys near or above ``hot_rows`` are found in a sample; which side of the
     threshold a key falls on changes how it is computed, not the result.
@@ -330,12 +393,12 @@ def assign_runs(
     n_hot, total = hot.agg(F.count(F.lit(1)), F.sum("count")).first()
     order = [*keys, ts, *ties]
     if n_hot == 0:
-        return _walk_sorted(_by_key(df, keys, order), keys, ts, rule, None, head)
+        return _walk_sorted(_by_key(df, keys, order), keys, ts, rule, None, head, scan)
     hot_keys = cut_lineage(hot.select(*keys))
     if n_hot <= 100_000:  # checked size; otherwise the planner chooses the join
         hot_keys = F.broadcast(hot_keys)
     cold = df.join(hot_keys, list(keys), "left_anti")
-    cold = _walk_sorted(_by_key(cold, keys, order), keys, ts, rule, None, head)
+    cold = _walk_sorted(_by_key(cold, keys, order), keys, ts, rule, None, head, scan)
     hot_rows_df = df.join(hot_keys, list(keys), "left_semi")
     total = int(total / fraction)
-    return cold.unionByName(_split_hot(hot_rows_df, keys, ts, ties, rule, chunk_rows, total, fan_in, head))
+    return cold.unionByName(_split_hot(hot_rows_df, keys, ts, ties, rule, chunk_rows, total, fan_in, head, scan))

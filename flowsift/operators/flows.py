@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowsift.functions.packets import FLOW_KEY, TCP_FLAGS, has_flag, protocol_code, with_flow_key
-from flowsift.operators.anchors import RunRule, assign_runs
+from flowsift.operators.anchors import RunRule, RunScan, assign_runs
 
 # Default timeout (60 s); packets and payload that a capped flow remembers.
 FLOW_TIMEOUT_US = 60_000_000
@@ -29,22 +31,67 @@ def split_flows(packets: DataFrame, timeout_us: int = FLOW_TIMEOUT_US, **split)
     return assign_runs(with_flow_key(packets), FLOW_KEY, "ts_us", ["packet_id"], flow_rule(timeout_us), **split)
 
 
+def seam_scan(seams: Callable[[list[str]], np.ndarray], longest: int) -> RunScan:
+    """Marks packets with whose start a match ends that began in earlier packets of the flow.
+
+    The summary of a run is its last ``longest`` - 1 characters.  A packet shorter
+    than that has its whole payload in ``_head``.  Flows with a match inside a
+    packet of the same batch need no search.
+    """
+    keep = longest - 1
+
+    def ends(batch: pa.RecordBatch, is_anchor: np.ndarray, end: str) -> Iterator[tuple[int, str, str]]:
+        """Rows with payload, the end of what came before and the end after them; at last the end after the batch."""
+        some = batch.column("_some").to_numpy(zero_copy_only=False)
+        rows = np.flatnonzero(some)
+        run = np.cumsum(is_anchor)
+        heads, tails = batch.column("_head").take(pa.array(rows)).to_pylist(), batch.column("_tail").take(pa.array(rows)).to_pylist()
+        at = 0  # rows before the first anchor go on with the run that came in
+        for row, head, tail in zip(rows.tolist(), heads, tails):
+            if run[row] != at:
+                at, end = run[row], ""
+            after = tail if len(tail) == keep else (end + tail)[-keep:]
+            yield row, end, head
+            end = after
+        yield -1, end if at == (run[-1] if len(run) else 0) else "", ""
+
+    def follow(batch: pa.RecordBatch, is_anchor: np.ndarray, end: str) -> str:
+        for _, end, _ in ends(batch, is_anchor, end):
+            pass
+        return end
+
+    def mark(batch: pa.RecordBatch, is_anchor: np.ndarray, end: str) -> tuple[np.ndarray, str]:
+        marked, run = np.zeros(batch.num_rows, dtype=bool), np.cumsum(is_anchor)
+        hit = np.zeros(int(run[-1]) + 1, dtype=bool)
+        hit[run[batch.column("_hit").to_numpy(zero_copy_only=False)]] = True
+        rows, texts = [], []
+        for row, end, head in ends(batch, is_anchor, end):
+            if row >= 0 and end and not hit[run[row]]:
+                rows.append(row)
+                texts.append(end + head)
+        if rows:
+            marked[np.array(rows)] = seams(texts)
+        return marked, end
+
+    return RunScan("_across", "", mark, follow, lambda a, b: (a + b)[-keep:])
+
+
 def assemble_flows(
     packets: DataFrame,
     timeout_us: int = FLOW_TIMEOUT_US,
     packet_cap: int | None = None,
     payload_cap: int | None = None,
-    matches: Callable[[Column, bool], Column] | None = None,
-    longest: int = 0,
+    ends: Callable[[DataFrame], DataFrame] | None = None,
     **split,
 ) -> DataFrame:
     """One row per flow; a flow closes *with* the first packet later than its start + timeout.
 
-    With ``matches`` the flow gets ``matched``: whether the predicate holds for
-    its whole payload.  Only a flag and the ``longest`` - 1 first and last
-    characters of each packet's payload go through the walk; a match across
-    packets is found in the end of what came before and the start of a packet,
-    so no payload is moved or put together, however long the flow.
+    With ``ends`` the flow gets ``matched``: whether its whole payload holds a
+    match.  ``ends`` adds to each packet ``_hit`` (a match inside it), ``_some``
+    (it has payload), ``_head`` and ``_tail`` (its first and last characters);
+    a scan along the flow (:func:`seam_scan`) finds matches across packets.  No
+    payload is moved or put together, and a flow that is split over tasks passes
+    on its end only.
 
     With ``payload_cap`` the flow also gets the start of its ``payload``, in
     packet order.  The walk that finds the flows marks the packets that reach
@@ -63,13 +110,8 @@ def assemble_flows(
         keyed = keyed.withColumn("_size", F.coalesce(F.length("payload"), F.lit(0)).cast("long"))
         wanted += ["payload", "_size"]
         split["head"] = ("_size", payload_cap)
-    if matches is not None:
-        bytes_ = isinstance(packets.schema["payload"].dataType, T.BinaryType)
-        text = F.decode("payload", "ISO-8859-1") if bytes_ else F.col("payload")
-        keyed = with_flow_key(packets.select(*columns, "payload")).withColumns({
-            "_hit": matches(F.col("payload"), bytes_), "_some": F.coalesce(F.length("payload") > 0, F.lit(False)),
-            "_head": F.left(text, F.lit(longest - 1)), "_tail": F.right(text, F.lit(longest - 1)),
-        })
+    if ends is not None:
+        keyed = ends(with_flow_key(packets.select(*columns, "payload")))
         wanted += ["_hit", "_some", "_head", "_tail"]
     runs = assign_runs(keyed.select(*wanted), FLOW_KEY, "ts_us", ["packet_id"], flow_rule(timeout_us), **split)
     measures = [
@@ -80,15 +122,9 @@ def assemble_flows(
         F.sum(F.when(F.col("from_a"), 0).otherwise(F.col("length"))).alias("dst_bytes"),
         *[F.sum(has_flag(n).cast("bigint")).alias(f"flag_{n}") for n in TCP_FLAGS],
     ]
-    if matches is not None:
-        if longest > 1:  # longest - 1 pieces with at least one character each hold all that can matter
-            before = Window.partitionBy(*FLOW_KEY, "anchor_us", "_some").orderBy("ts_us", "packet_id").rowsBetween(1 - longest, -1)
-            around = F.concat(F.right(F.array_join(F.collect_list("_tail").over(before), ""), F.lit(longest - 1)), F.col("_head"))
-            runs = runs.withColumn("_around", around)
-            across = matches(F.encode("_around", "ISO-8859-1") if bytes_ else F.col("_around"), bytes_)
-            measures.append(F.max(F.col("_hit") | (F.col("_some") & across)).alias("matched"))
-        else:
-            measures.append(F.max("_hit").alias("matched"))
+    if ends is not None:
+        across = F.col(split["scan"].name) if split.get("scan") else F.lit(False)
+        measures.append(F.max(F.col("_hit") | across).alias("matched"))
     if with_payload:
         piece = F.decode("payload", "ISO-8859-1") if binary else F.col("payload")  # one character per byte
         pieces = F.collect_list(F.when(F.col("in_head"), F.struct("ts_us", "packet_id", piece.alias("payload"))))
@@ -104,7 +140,7 @@ def assemble_flows(
         "start_us", "end_us", count.alias("packet_count"), "src_bytes", "dst_bytes",
         *[f"flag_{n}" for n in TCP_FLAGS],
         F.when(closed, "timeout").otherwise("flush").alias("close_reason"),
-        *["payload"] * with_payload, *["matched"] * (matches is not None),
+        *["payload"] * with_payload, *["matched"] * (ends is not None),
     )
 
 

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsift.functions.packets import FLOW_KEY, host_pair
-from flowsift.operators.flows import FLOW_TIMEOUT_US, assemble_flows, split_flows
+from flowsift.operators.anchors import RunScan
+from flowsift.operators.flows import FLOW_TIMEOUT_US, assemble_flows, seam_scan, split_flows
 from flowsift.operators.ordering import running_sums
-from flowsift.operators.signatures import Rule, is_binary, signature_any
+from flowsift.operators.signatures import Rule, any_of, is_binary, signature_any
 from flowsift.session import cut_lineage
 
 _HOT_PIECES = 5_000_000
@@ -81,11 +82,30 @@ def host_pair_payloads(
     return closers.unionByName(leftover).join(text, ["pair", "epoch"]).drop("pair", "epoch")
 
 
+def _longest(rules: Sequence[Rule]) -> int:
+    return max((len(p.encode()) for _, p in rules), default=1)
+
+
+def payload_ends(packets: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Adds ``_hit`` (the payload holds a pattern), ``_some`` (it is not empty), ``_head`` and ``_tail`` (its ends, shorter than the longest pattern)."""
+    binary = is_binary(packets, "payload")
+    text = F.decode("payload", "ISO-8859-1") if binary else F.col("payload")  # one character per byte
+    keep = F.lit(max(_longest(rules) - 1, 0))
+    return packets.withColumns({
+        "_hit": signature_any(F.col("payload"), rules, binary), "_some": F.coalesce(F.length("payload") > 0, F.lit(False)),
+        "_head": F.left(text, keep), "_tail": F.right(text, keep),
+    })
+
+
+def payload_scan(rules: Sequence[Rule], binary: bool) -> RunScan | None:
+    """Finds patterns that lie across the packets of a flow; None if no pattern is long enough."""
+    return seam_scan(any_of(rules, binary), _longest(rules)) if _longest(rules) > 1 else None
+
+
 def gated_flows(packets: DataFrame, rules: Sequence[Rule], timeout_us: int = FLOW_TIMEOUT_US, **split) -> DataFrame:
     """Flows with ``gate``: 1 if their whole payload matches a rule, else 2; no payload is put together."""
-    longest = max((len(p.encode()) for _, p in rules), default=1)
     found = assemble_flows(
-        packets, timeout_us, matches=lambda text, binary: signature_any(text, rules, binary), longest=max(longest, 1), **split)
+        packets, timeout_us, ends=lambda rows: payload_ends(rows, rules), scan=payload_scan(rules, is_binary(packets, "payload")), **split)
     return found.withColumn("gate", F.when(F.col("matched"), 1).otherwise(2)).drop("matched")
 
 

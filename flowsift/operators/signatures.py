@@ -7,7 +7,7 @@ column alone, and emits what it finds in pieces of bounded size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +34,37 @@ def _fold(text) -> str | None:
     return raw.decode("latin-1")
 
 
-def _occurrences(text: str, patterns: Sequence[str]) -> list[tuple[int, int, int]]:
+def _occurrences(text: str, automaton) -> list[tuple[int, int, int]]:
     """All places, overlaps included, as (stop, start, pattern number) in that order."""
-    found = []
+    return sorted((end + 1, end + 1 - size, number) for end, (size, own) in automaton.iter(text) for number in own)
+
+
+def _automaton(patterns: Sequence[str]):
+    """All patterns at once, in one pass over a text however many there are; each yields its numbers."""
+    import ahocorasick
+
+    numbers: dict[str, list[int]] = {}
     for number, pattern in enumerate(patterns):
-        at = text.find(pattern)
-        while at >= 0:
-            found.append((at + len(pattern), at, number))
-            at = text.find(pattern, at + 1)
-    return sorted(found)
+        numbers.setdefault(pattern, []).append(number)
+    automaton = ahocorasick.Automaton()
+    for pattern, own in numbers.items():
+        automaton.add_word(pattern, (len(pattern), own))
+    automaton.make_automaton()
+    return automaton
+
+
+def any_of(rules: Sequence[Rule], binary: bool = False) -> Callable[[list[str]], np.ndarray]:
+    """Which of some texts hold a pattern, for texts that a task has at hand; bytes come as one character each."""
+    folded = [_fold(p) if binary else p.lower() for _, p in _usable(rules)]
+
+    def search(texts: list[str]) -> np.ndarray:
+        if not folded or not texts:
+            return np.zeros(len(texts), dtype=bool)
+        automaton = _automaton(folded)
+        fold = (lambda t: t.encode("latin-1").lower().decode("latin-1")) if binary else str.lower
+        return np.fromiter((next(automaton.iter(fold(t)), None) is not None for t in texts), dtype=bool, count=len(texts))
+
+    return search
 
 
 def _folded_text(text: Column, binary: bool) -> Column:
@@ -100,7 +122,7 @@ def signature_offsets(df: DataFrame, text: str, rules: Sequence[Rule]) -> DataFr
     schema = schema.add("start", "long").add("stop", "long")
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        folded = [_fold(p) for _, p in usable]
+        automaton = _automaton([_fold(p) for _, p in usable])
         ids, patterns = pa.array([i for i, _ in usable], pa.string()), pa.array([p for _, p in usable], pa.string())
         for batch in batches:
             rows, found = [], []
@@ -113,7 +135,7 @@ def signature_offsets(df: DataFrame, text: str, rules: Sequence[Rule]) -> DataFr
                 return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
             for row, value in enumerate(batch.column(text)):
-                matches = _occurrences(_fold(value.as_py()), folded) if value.is_valid else []
+                matches = _occurrences(_fold(value.as_py()), automaton)
                 rows += [row] * len(matches)
                 found += matches
                 if len(found) > _MATCHES_PER_BATCH:
@@ -121,7 +143,10 @@ def signature_offsets(df: DataFrame, text: str, rules: Sequence[Rule]) -> DataFr
                     rows, found = [], []
             yield piece()
 
-    return df.mapInArrow(locate, schema)
+    if not usable:
+        return df.drop(text).mapInArrow(lambda batches: iter(()), schema)
+    # texts without any match never reach the search
+    return df.where(signature_any(F.col(text), usable, is_binary(df, text))).mapInArrow(locate, schema)
 
 
 def signature_names(df: DataFrame, text: str, rules: Sequence[Rule]) -> DataFrame:

@@ -1,31 +1,29 @@
 """The batch operators as Structured Streaming jobs.
 
-State is one small row per key.  Rows of a key are ordered inside a
-micro-batch, whose size the source's admission control bounds
-(``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).
+State is one small row per key (:mod:`flowsift.streaming.processors`), in the
+RocksDB state store that :func:`flowsift.session.build_session` sets.  Rows of a
+key are ordered inside a micro-batch, whose size the source's admission control
+bounds (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from flowsift.functions.packets import FLOW_KEY, TCP_FLAGS, with_flow_key
+from flowsift.functions.packets import FLOW_KEY, with_flow_key
 from flowsift.operators.alerts import COOLDOWN_US
-from flowsift.operators.anchors import FRESH, RunRule
+from flowsift.operators.anchors import RunRule
 from flowsift.operators.flows import FLOW_TIMEOUT_US, flow_rule
+from flowsift.operators.gates import payload_ends, payload_scan
+from flowsift.operators.signatures import Rule, is_binary
 from flowsift.schemas import PACKET
 from flowsift.sources.tables import append_alerts
-
-_SUMS = ["packets_seen", "src_bytes", "dst_bytes", *[f"flag_{n}" for n in TCP_FLAGS]]
-_STATE = ["start_us", "flow_id", "end_us", *_SUMS]
+from flowsift.streaming.processors import FLOW_COLUMNS, PAYLOAD_COLUMNS, Cooldown, FlowTracker
 
 
 def packet_stream(spark: SparkSession, path: str, schema: T.StructType = PACKET, files: int = 100) -> DataFrame:
@@ -40,22 +38,13 @@ def throughput_stream(packets: DataFrame, width: str = "1 second", late: str = "
     return counts.select(F.col("window.start").alias("start"), "packets", "bytes")
 
 
-def _sorted_rows(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    return pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable").reset_index(drop=True)
-
-
-def _walk(rows: pd.DataFrame, rule: RunRule, state: int) -> tuple[np.ndarray, np.ndarray, int]:
-    first = np.zeros(len(rows), dtype=bool)
-    first[0] = state == FRESH
-    return rule.walk(rows["ts_us"].to_numpy(np.int64), first, state)
-
-
 def flow_stream(
     packets: DataFrame,
     timeout_us: int = FLOW_TIMEOUT_US,
     packet_cap: int | None = None,
     idle_us: int | None = FLOW_TIMEOUT_US,
     late: str = "10 seconds",
+    rules: Sequence[Rule] | None = None,
 ) -> DataFrame:
     """Flows as they close.
 
@@ -63,73 +52,32 @@ def flow_stream(
     emitted, as ``idle``, once the watermark passes its last packet by
     ``idle_us``, so state is bounded and late rows are dropped.  With None open
     flows wait for their closing packet for ever.
+
+    With ``rules`` each flow gets ``gate``: 1 if its whole payload matches a
+    rule, else 2, wherever micro-batches and packets cut it.  The state then
+    also holds the payload's end, shorter than the longest pattern.
     """
-    rule = flow_rule(timeout_us)
-    keyed = with_flow_key(packets.withWatermark("ts", late)).select(
-        *FLOW_KEY, "ts", "ts_us", "packet_id", "length", "flags", "from_a"
-    )
-    key_fields = [keyed.schema[k] for k in FLOW_KEY]
-    state_schema = T.StructType([T.StructField(n, T.LongType()) for n in _STATE])
-    columns = ["flow_id", "start_us", "end_us", "packet_count", "src_bytes", "dst_bytes", *[f"flag_{n}" for n in TCP_FLAGS]]
-    out_schema = T.StructType(list(key_fields) + [T.StructField(n, T.LongType()) for n in columns])
-    out_schema = out_schema.add("close_reason", "string")
-
-    def emitted(key: tuple, flow: dict, reason: str) -> dict:
-        row = dict(zip(FLOW_KEY, key)) | {n: int(flow[n]) for n in columns if n != "packet_count"}
-        return row | {"packet_count": int(flow["packets_seen"]) if packet_cap is None else min(int(flow["packets_seen"]), packet_cap), "close_reason": reason}
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            flow = dict(zip(_STATE, state.get))
-            state.remove()
-            yield pd.DataFrame([emitted(key, flow, "idle")], columns=out_schema.names)
-            return
-        known = dict(zip(_STATE, state.get)) if state.exists else None
-        rows = _sorted_rows(batches, ["ts_us", "packet_id"])
-        anchor, _, leaving = _walk(rows, rule, FRESH if known is None else int(known["start_us"]))
-        parts = pd.DataFrame({
-            "start_us": anchor, "flow_id": rows["packet_id"], "end_us": rows["ts_us"], "packets_seen": 1,
-            "src_bytes": np.where(rows["from_a"], rows["length"], 0), "dst_bytes": np.where(rows["from_a"], 0, rows["length"]),
-            **{f"flag_{n}": ((rows["flags"] & bit) != 0).astype("int64") for n, bit in TCP_FLAGS.items()},
-        })
-        parts = pd.concat([pd.DataFrame([known], columns=_STATE), parts]) if known else parts
-        how = {"flow_id": "min", "end_us": "max", **dict.fromkeys(_SUMS, "sum")}
-        flows = parts.groupby("start_us", sort=True).agg(how).reset_index()[_STATE]
-        closed = flows if leaving == FRESH else flows.iloc[:-1]
-        if leaving == FRESH:
-            state.remove() if state.exists else None
-        else:
-            state.update(tuple(int(v) for v in flows.iloc[-1]))
-            if idle_us is not None:
-                due = (int(flows.iloc[-1]["end_us"]) + idle_us) // 1000 + 1
-                state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        if len(closed):
-            yield pd.DataFrame([emitted(key, f, "timeout") for f in closed.to_dict("records")], columns=out_schema.names)
-
-    timeout = GroupStateTimeout.NoTimeout if idle_us is None else GroupStateTimeout.EventTimeTimeout
-    flows = keyed.groupBy(*FLOW_KEY).applyInPandasWithState(update, out_schema, state_schema, "append", timeout)
-    return flows.withColumnsRenamed({"a_ip": "src_ip", "a_port": "src_port", "b_ip": "dst_ip", "b_port": "dst_port"})
+    columns = [*FLOW_KEY, "ts", "ts_us", "packet_id", "length", "flags", "from_a"]
+    keyed, scan = with_flow_key(packets.withWatermark("ts", late)), None
+    if rules is not None:
+        keyed, scan = payload_ends(keyed, rules), payload_scan(rules, is_binary(packets, "payload"))
+        keyed = keyed.withColumnsRenamed({old: new for new, old in PAYLOAD_COLUMNS.items()})
+        columns += PAYLOAD_COLUMNS
+    keyed = keyed.select(*columns)
+    out = T.StructType([keyed.schema[k] for k in FLOW_KEY] + [T.StructField(n, T.LongType()) for n in FLOW_COLUMNS])
+    out = out.add("close_reason", "string")
+    out = out if rules is None else out.add("matched", "boolean")
+    tracker = FlowTracker(flow_rule(timeout_us), packet_cap, idle_us, rules is not None, scan)
+    flows = keyed.groupBy(*FLOW_KEY).transformWithStateInPandas(tracker, out, "Append", "EventTime")
+    flows = flows.withColumnsRenamed({"a_ip": "src_ip", "a_port": "src_port", "b_ip": "dst_ip", "b_port": "dst_port"})
+    return flows if rules is None else flows.withColumn("gate", F.when(F.col("matched"), 1).otherwise(2)).drop("matched")
 
 
 def cooldown_stream(alerts: DataFrame, cooldown_us: int = COOLDOWN_US, late: str = "10 seconds") -> DataFrame:
     """Alerts that survive the cooldown; a key's state expires one cooldown after its last kept alert."""
-    keys = ["src_ip", "dst_ip", "dst_port"]
-    rule = RunRule(cooldown_us, strict=False, consume=False)
-    fields = T.StructType([f for f in alerts.schema.fields])
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = _sorted_rows(batches, ["ts_us", "alert_id"])
-        _, kept, leaving = _walk(rows, rule, int(state.get[0]) if state.exists else FRESH)
-        state.update((leaving,))
-        state.setTimeoutTimestamp(max((leaving + cooldown_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield rows.loc[kept, fields.names]
-
-    return alerts.withWatermark("ts", late).groupBy(*keys).applyInPandasWithState(
-        update, fields, T.StructType([T.StructField("anchor_us", T.LongType())]), "append", GroupStateTimeout.EventTimeTimeout
-    )
+    keyed = alerts.withWatermark("ts", late)
+    processor = Cooldown(RunRule(cooldown_us, strict=False, consume=False), ["ts_us", "alert_id"], alerts.columns)
+    return keyed.groupBy("src_ip", "dst_ip", "dst_port").transformWithStateInPandas(processor, alerts.schema, "Append", "EventTime")
 
 
 def store_alerts(alerts: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
