@@ -29,6 +29,8 @@ from flowsift.llm.text import let, words
 from flowsift.operators.ordering import range_sorted
 
 SAMPLES = 64
+#: Samples that one row of a term draws: more make one method of generated code too large to be compiled well.
+LANE = 8
 #: Consecutive ids in a block, and blocks at most where ids are dense.
 BLOCK_IDS = 256
 BLOCKS = 100_000
@@ -107,12 +109,17 @@ def fingerprints(docs: DataFrame, keys: Sequence[str], text: str = "text", other
     If the input is already partitioned by some of ``keys`` nothing is shuffled.
     """
     found = weighted_terms(F.col(text), None if other is None else F.col(other))
-    terms = docs.select(*keys, F.explode_outer(found).alias("_t")).select(*keys, "_t.*")
+    lane, lanes = LANE if count % LANE == 0 else count, count // LANE if count % LANE == 0 else 1
+    numbers = F.array(*[F.lit(i) for i in range(lanes)])
+    terms = docs.select(*keys, F.explode_outer(found).alias("_t")).select(*keys, "_t.*", F.explode(numbers).alias("lane"))
+    terms = terms.withColumn("seed", F.when(F.col("term").isNotNull(), F.xxhash64("term", "lane")))
     kinds = ["n"] if other is None else ["n", "m"]
-    drawn = samples(F.col("term"), [F.col(k).cast("double") for k in kinds], count)
-    names = [[f"_{kind}{k}" for k in range(count)] for kind in kinds]
-    mins = terms.groupBy(*keys).agg(*[s.alias(n) for of, own in zip(drawn, names) for s, n in zip(of, own)])
-    return mins.select(*keys, *[signature([F.col(n) for n in own]).alias(o) for own, o in zip(names, out)])
+    drawn = samples(F.col("seed"), [F.col(k).cast("double") for k in kinds], lane)
+    names = [[f"_{kind}{k}" for k in range(lane)] for kind in kinds]
+    mins = terms.groupBy(*keys, "lane").agg(*[s.alias(n) for of, own in zip(drawn, names) for s, n in zip(of, own)])
+    parts = mins.select(*keys, F.struct("lane", *[signature([F.col(n) for n in own]).alias(o) for own, o in zip(names, out)]).alias("_p"))
+    whole = parts.groupBy(*keys).agg(F.sort_array(F.collect_list("_p")).alias("_p"))  # as many as there are lanes
+    return whole.select(*keys, *[F.flatten(F.col(f"_p.{o}")).alias(o) for o, _ in zip(out, kinds)])
 
 
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
