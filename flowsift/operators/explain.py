@@ -60,6 +60,11 @@ def forest_leaves(model) -> list[Leaf]:
     return [leaf for t, w in enumerate(weights) for leaf in _leaves(trees[t].rootNode(), classifier, {}, w * scale)]
 
 
+def mean_score(model) -> float:
+    """Score of a row of which no feature is known: what attributions are measured from."""
+    return float(sum(leaf.value * leaf.kept.prod() for leaf in forest_leaves(model)))
+
+
 def _attribute(x: np.ndarray, leaves: list[Leaf], width: int) -> np.ndarray:
     """Shapley values of every row; a leaf with d features costs d*d row operations."""
     out = np.zeros((len(x), width))

@@ -1,13 +1,23 @@
-"""Learnt detectors.  SQL cannot fit them; it states what must hold for each row."""
+"""Learnt detectors.
+
+SQL cannot fit them.  It states what a fitted detector must show on the tables
+and a constant or arbitrary score does not: counts beyond a fitted percentile,
+areas under the curve, the order of outlier bands, additivity, moments of a
+projection.  Such a query returns one row per check with a number that SQL works
+out from the tables (1 where it states that a bound holds).
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from flowsift.operators import explain, forest, learn, neighbours
+from flowsift.functions.labels import deterministic_sample
+from flowsift.operators import evaluate, explain, forest, learn, neighbours
 from flowsift.plans import fixtures as fx
 from flowsift.plans.flow_queries import flow_oracle, numbered_flows
 from flowsift.plans.registry import query
+from flowsift.session import cut_lineage
 
 WIDTH = 64
 _FLOW_VECTOR = ["duration", "src_bytes", "dst_bytes", "packet_count", "avg_packet_size", "serror_rate"]
@@ -23,78 +33,177 @@ def _vectors(spark, sf_dir):
     return numbered_flows(spark, sf_dir).withColumn("vec", values)
 
 
-def _share(column):
-    """Whether a score is a number from 0 to 1."""
-    return (F.col(column).between(0, 1) & ~F.isnan(column)).alias("in_range")
+def _checks(spark, values):
+    return spark.createDataFrame([(name, int(value)) for name, value in values.items()], "check string, value long")
+
+
+def _auc(scored, score):
+    return evaluate.roc_auc(scored, "y", score).first()[0] or 0.0
+
+
+_LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_BANDS = f"""
+with m as (select {", ".join(f"avg({c}) as m_{c}, stddev_pop({c}) as s_{c}" for c in _LINE)} from lineitem),
+b as (select {" + ".join(f"(abs({c} - m_{c}) > 1.4 * s_{c})::int" for c in _LINE)} as band from lineitem, m)
+select band, count(*) as rows, true as above from b group by 1"""
 
 
-@query("""select concat_ws('-', l_orderkey, l_linenumber) as row_id, true as in_range from lineitem""")
+@query(_BANDS)
 def isolation_forest(spark, sf_dir):
-    lines = fx.table(spark, sf_dir, "lineitem").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row_id"), "l_returnflag",
-        F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax").alias("vec"),
-    )
+    """Rows by how many columns are far out; each band's mean score is above that of the band before."""
+    lines = fx.table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row_id"), "l_returnflag", *_LINE)
+    lines = lines.withColumn("vec", F.array(*_LINE))
     model = forest.fit_isolation_forest(lines.where("l_returnflag = 'N'"), "row_id", "vec")
-    return lines.withColumn("score", model.score(F.col("vec"))).select("row_id", _share("score"))
+    at = lines.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in _LINE]).first()
+    band = sum(((F.abs(F.col(c) - at[c]["m"]) > 1.4 * at[c]["s"]).cast("int") for c in _LINE), F.lit(0))
+    bands = lines.select(band.alias("band"), model.score(F.col("vec")).alias("score")).groupBy("band").agg(
+        F.count(F.lit(1)).alias("rows"), F.avg("score").alias("mean"))
+    in_order = Window.orderBy("band")  # at most five rows
+    return bands.select("band", "rows", F.coalesce(F.col("mean") > F.lag("mean").over(in_order), F.lit(True)).alias("above"))
+
+
+_FLAGGED = "select 'flagged' as \"check\", (count(*) - 1 - floor(0.95 * (count(*) - 1)))::bigint as value from lineitem where l_returnflag = 'N'"
+
+
+@query(_FLAGGED)
+def isolation_forest_calibration(spark, sf_dir):
+    """Rows of the fit that the contamination percentile leaves on the anomalous side (each row once)."""
+    lines = fx.table(spark, sf_dir, "lineitem").where("l_returnflag = 'N'").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row_id"), F.array(*_LINE).alias("vec"))
+    model = forest.fit_isolation_forest(lines, "row_id", "vec")
+    rows, flagged = lines.agg(F.count(F.lit(1)), F.count_if(model.decision(F.col("vec")) < 0)).first()
+    expected = rows - 1 - int(0.95 * (rows - 1))
+    # scores tie: a tie at the percentile may take or leave some rows
+    return _checks(spark, {"flagged": expected if abs(flagged - expected) <= max(2, rows // 1000) else flagged})
 
 
-@query("select vec_id, (label = 3)::int as y, true as in_range from embeddings")
+_RANKED = """
+select 'positives' as "check", count(*) filter (label = 3) as value from embeddings union all select 'negatives', count(*) filter (label <> 3) from embeddings
+union all select 'area over 0.9', 1 union all select 'means apart', 1"""
+
+
+def _ranking(spark, scored, score):
+    scored = cut_lineage(scored)
+    n = {r["y"]: r["count"] for r in scored.groupBy("y").count().collect()}
+    means = {r["y"]: r["m"] for r in scored.groupBy("y").agg(F.avg(score).alias("m")).collect()}
+    return _checks(spark, {
+        "positives": n.get(1, 0), "negatives": n.get(0, 0), "area over 0.9": _auc(scored, score) > 0.9, "means apart": means[1] > means[0] + 0.1})
+
+
+@query(_RANKED)
 def random_forest_scores(spark, sf_dir):
     rows = _labelled(spark, sf_dir)
     model = learn.random_forest(trees=40, depth=6).fit(learn.training_frame(rows, "embedding", "y"))
-    scored = learn.attack_probability(model, rows, "embedding", "random_forest")
-    return scored.select("vec_id", "y", _share("random_forest"))
+    return _ranking(spark, learn.attack_probability(model, rows, "embedding", "random_forest").select("vec_id", "y", "random_forest"), "random_forest")
 
 
-@query("select vec_id, (label = 3)::int as y, true as in_range from embeddings")
+@query(_RANKED)
 def boosted_tree_scores(spark, sf_dir):
     rows = _labelled(spark, sf_dir)
     model = learn.boosted_trees(rounds=10, depth=3).fit(learn.training_frame(rows, "embedding", "y"))
-    scored = learn.attack_probability(model, rows, "embedding", "xgboost")
-    return scored.select("vec_id", "y", _share("xgboost"))
+    return _ranking(spark, learn.attack_probability(model, rows, "embedding", "xgboost").select("vec_id", "y", "xgboost"), "xgboost")
 
 
-@query("select vec_id, 5::bigint as features, true as by_size from embeddings")
+@query("select vec_id, 0.0::double as residual, 5::bigint as features, true as by_size, true as informed from embeddings")
 def tree_attribution(spark, sf_dir):
+    """Attributions add up to score minus mean score (``residual``), are ordered by size, and say something of every row."""
     rows = _labelled(spark, sf_dir)
     model = learn.random_forest(trees=10, depth=4).fit(learn.training_frame(rows, "embedding", "y"))
-    explained = rows.withColumn("shap", explain.attribution(model, F.col("embedding"), WIDTH))
+    scored = learn.attack_probability(model, rows, "embedding", "score")
+    explained = scored.withColumn("shap", explain.attribution(model, F.col("embedding"), WIDTH))
     top = explain.top_features(explained, "shap", [f"e{i}" for i in range(WIDTH)], 5)
     sizes = F.transform("top_features", lambda f: F.abs(f["value"]))
+    total = F.aggregate("shap", F.lit(0.0), lambda a, x: a + x)
     return top.select(
-        "vec_id", F.size("top_features").cast("long").alias("features"), (sizes == F.sort_array(sizes, asc=False)).alias("by_size"))
+        "vec_id", F.abs(F.round(total + F.lit(explain.mean_score(model)) - F.col("score"), 9)).alias("residual"),
+        F.size("top_features").cast("long").alias("features"), (sizes == F.sort_array(sizes, asc=False)).alias("by_size"),
+        (F.get(sizes, F.lit(0)) > 1e-6).alias("informed"))
 
 
-@query(flow_oracle("select seq, seq <= 2000 as silent, true as in_range from seqd"))
+@query(flow_oracle("""
+select seq, seq <= 2000 as silent, seq > 2000 as scored,
+  case when seq = 1 then (select n - 1 - floor(0.9 * (n - 1)) from (select count(*) as n from seqd where seq < least(2000, (select max(seq) from seqd)) and seq % 10 = 0))::bigint end as beyond
+from seqd"""))
 def temporal_scores(spark, sf_dir):
+    """Silent in warm-up, above 0 after it; ``beyond`` counts training sequences over the fitted 90th percentile."""
     numbered = _vectors(spark, sf_dir)
     model = learn.fit_temporal(numbered, "vec", warmup=2000, k=16)
-    scored = learn.flat_sequences(numbered, "vec").withColumn("transformer_ae", model.score(F.col("sequence")))
-    score = F.when(F.col("seq") <= 2000, 0.0).otherwise(F.coalesce("transformer_ae", F.lit(0.0)))
-    scored = scored.withColumn("score", score)
-    return scored.select("seq", (F.col("seq") <= 2000).alias("silent"), _share("score"))
+    found = cut_lineage(learn.flat_sequences(numbered, "vec").select("seq", model.error(F.col("sequence")).alias("error"), model.score(F.col("sequence")).alias("raw")))
+    last = min(2000, found.agg(F.max("seq")).first()[0])
+    beyond = found.where((F.col("seq") < last) & (F.col("seq") % 10 == 0) & (F.col("error") > model.threshold)).count()
+    score = F.when(F.col("seq") <= 2000, 0.0).otherwise(F.col("raw"))
+    return found.select(
+        "seq", (F.col("seq") <= 2000).alias("silent"), (score > 0).alias("scored"), F.when(F.col("seq") == 1, F.lit(beyond)).cast("long").alias("beyond"))
 
 
-@query(flow_oracle("select seq, 16::int as dims, true as unit from seqd where seq >= 10"))
+@query(flow_oracle("""
+select 'unit' as "check", count(*) filter (seq >= 10) as value from seqd union all select 'axes that spread', 16::bigint
+union all select 'more alike than chance', 1::bigint"""))
 def sequence_embeddings(spark, sf_dir):
+    """Unit length, all axes in use, and alike where the sequences themselves are alike."""
     numbered = _vectors(spark, sf_dir)
     model = learn.fit_temporal(numbered, "vec", warmup=2000, k=16)
     sequences = learn.flat_sequences(numbered, "vec").where("sequence is not null")
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-    unit = (F.abs(norm - 1) < 1e-4) | (norm == 0)
-    return learn.sequence_embedding(sequences, model).select("seq", F.size("embedding").alias("dims"), unit.alias("unit"))
+    standard = F.transform("sequence", lambda x, i: (x - F.get(F.lit(model.mean.tolist()), i)) / F.get(F.lit(model.std.tolist()), i))
+    found = cut_lineage(learn.sequence_embedding(sequences, model).select("seq", "embedding", standard.alias("sequence")))
 
+    def product(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
-@query(flow_oracle("select seq, true as in_range from seqd"))
+    later = found.select((F.col("seq") - 37).alias("seq"), F.col("embedding").alias("e"), F.col("sequence").alias("s"))
+    size = F.sqrt(product(F.col("sequence"), F.col("sequence")) * product(F.col("s"), F.col("s")))
+    agree = found.join(later, "seq").agg(F.corr(product(F.col("embedding"), F.col("e")), product(F.col("sequence"), F.col("s")) / size)).first()[0]
+    spread = found.agg(*[F.stddev(F.get("embedding", F.lit(i))) for i in range(16)]).first()
+    unit = found.where(F.abs(product(F.col("embedding"), F.col("embedding")) - 1) < 1e-6).count()
+    return _checks(spark, {"unit": unit, "axes that spread": sum(x > 1e-3 for x in spread), "more alike than chance": (agree or 0.0) > 0.3})
+
+
+@query(flow_oracle("""
+select 'hosts' as "check", count(*) as value from hosts
+union all select 'beyond', count(*) - 1 - floor(0.95 * (count(*) - 1))::bigint from hosts union all select 'flows', (select count(*) from seqd)
+union all select 'flows above 0', (select count(*) from seqd)""".replace("from hosts", "from (select src_ip as ip from seqd union select dst_ip from seqd) hosts")))
 def topology_scores(spark, sf_dir):
-    scored = learn.topology_scores(numbered_flows(spark, sf_dir), ["duration", "src_bytes", "dst_bytes", "packet_count"])
-    return scored.select("seq", _share("gnn_detector"))
+    """Hosts beyond the fitted 95th percentile, and flows whose hosts are not rebuilt exactly."""
+    columns = ["duration", "src_bytes", "dst_bytes", "packet_count"]
+    numbered = cut_lineage(numbered_flows(spark, sf_dir))
+    errors, threshold = learn.host_errors(numbered, columns)
+    hosts, beyond = errors.agg(F.count(F.lit(1)), F.count_if(F.col("_error") > threshold)).first()
+    scored = learn.topology_scores(numbered, columns)
+    flows, above = scored.agg(F.count(F.lit(1)), F.count_if(F.col("gnn_detector").between(1e-12, 1))).first()
+    return _checks(spark, {"hosts": hosts, "beyond": beyond, "flows": flows, "flows above 0": above})
 
 
-@query("select vec_id, label, true as placed from embeddings")
+@query("""
+select 'rows' as "check", count(*) as value from embeddings union all select 'centred', 1 union all select 'uncorrelated', 1
+union all select 'first axis longest', 1 union all select 'longer than a column', 1""")
 def class_plane(spark, sf_dir):
-    return learn.plane(_labelled(spark, sf_dir), "embedding", "vec_id").select(
-        "vec_id", "label", (F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")).alias("placed"))
+    """Principal coordinates on the rows they were fitted on: centred, uncorrelated, the first axis longest."""
+    rows = _labelled(spark, sf_dir)
+    placed = cut_lineage(learn.plane(rows, "embedding", "vec_id", sample=3000).select("vec_id", "x", "y"))
+    fitted = placed.join(deterministic_sample(rows, "vec_id", 3000, 42).select("vec_id"), "vec_id", "left_semi")
+    m = fitted.agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"), F.corr("x", "y").alias("c")).first()
+    return _checks(spark, {
+        "rows": placed.where("x is not null and y is not null").count(), "centred": abs(m["x"]) < 1e-9 and abs(m["y"]) < 1e-9,
+        "uncorrelated": abs(m["c"]) < 1e-9, "first axis longest": m["vx"] >= m["vy"], "longer than a column": m["vy"] > 1.0 + 1e-9})
+
+
+_SEARCH = {"maxDepth": [2, 4], "numTrees": [3, 8], "minInstancesPerNode": [1, 20]}
+
+
+@query("""select 'points' as "check", 8::bigint as value union all select 'folds of a finalist', 4 union all select 'fits saved', 1 union all select 'near the full grid', 1""")
+def model_search(spark, sf_dir):
+    """Successive halving over folds against every point on every fold: the winner is within a fold's spread of the best."""
+    rows = learn.training_frame(_labelled(spark, sf_dir), "embedding", "y")
+    folded = cut_lineage(learn.stratified_folds(rows, "_label", "vec_id", folds=4))
+    estimator = learn.random_forest(trees=3, depth=2)
+    grid = learn.random_grid(_SEARCH, 8)
+    found = learn.halving_search(estimator, folded, grid, folds=4)
+    every = learn.fold_areas(estimator, folded, grid, range(4))
+    mean = {k: sum(every[k, f] for f in range(4)) / 4 for k in range(len(grid))}
+    spread = max(abs(every[found.best, f] - mean[found.best]) for f in range(4))
+    return _checks(spark, {
+        "points": len(grid), "folds of a finalist": len(found.areas[found.best]), "fits saved": found.fits < 4 * len(grid),
+        "near the full grid": mean[found.best] >= max(mean.values()) - max(spread, 0.01)})
 
 
 @query("""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,14 +29,79 @@ def unseen_alerts(alerts: DataFrame, stored: DataFrame | None) -> DataFrame:
     return rows if stored is None else rows.join(stored.select("alert_id"), "alert_id", "left_anti")
 
 
-def append_alerts(alerts: DataFrame, path: str) -> None:
-    """Add the alerts that are new to the table, by day."""
-    stored = read_alerts(alerts.sparkSession, path) if _exists(alerts.sparkSession, path) else None
-    unseen_alerts(alerts, stored).withColumn("dt", _day()).write.mode("append").partitionBy("dt").parquet(path)
+#: Bits of a day's id filter as a power of two (16 MB when full), and bits that an id sets.  Only the reads depend on them.
+FILTER_BITS = 27
+FILTER_HASHES = 4
 
 
-def read_alerts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def _filters(path: str) -> str:
+    """Beside the days of the table; the underscore hides it from readers of the table."""
+    return f"{path}/_ids"
+
+
+def _filter_bits(ids: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """``keep, word, mask``: one row for each bit that an id sets."""
+    places = F.array(*[F.xxhash64("alert_id", F.lit(i)).bitwiseAND((1 << FILTER_BITS) - 1) for i in range(FILTER_HASHES)])
+    at = ids.select(*keep, F.explode(places).alias("_at"))
+    return at.select(*keep, F.shiftright("_at", 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_at").bitwiseAND(63).cast("int")).alias("mask"))
+
+
+def _remember(rows: DataFrame, path: str) -> None:
+    """Set the bits of the ids in the filters of their days; a day's words are joined where they are read."""
+    words = _filter_bits(rows, ["dt"]).groupBy("dt", "word").agg(F.bit_or("mask").alias("bits"))
+    words.repartition("dt").write.mode("append").partitionBy("dt").parquet(_filters(path))
+
+
+def possible_days(ids: DataFrame, filters: DataFrame) -> DataFrame:
+    """``alert_id, dt`` of the days whose filter has all bits of an id: all days that hold it, and seldom another."""
+    bits = _filter_bits(ids, ["alert_id"]).distinct()
+    wanted = bits.groupBy("alert_id").agg(F.count(F.lit(1)).alias("needed"))  # two hashes of an id may set one bit
+    there = bits.join(filters, "word").where(F.col("bits").bitwiseAND(F.col("mask")) != 0)
+    found = there.groupBy("alert_id", "dt").agg(F.countDistinct("word", "mask").alias("set"))
+    return found.join(wanted, "alert_id").where(F.col("set") == F.col("needed")).select("alert_id", "dt")
+
+
+def stored_ids(ids: DataFrame, path: str) -> DataFrame:
+    """Those of ``ids`` that the table holds on any of its days.
+
+    The filters of the days are read, not the table; only days that a filter
+    cannot rule out are then read, by partition, for the exact answer.
+    """
+    spark = ids.sparkSession
+    filters = spark.read.parquet(_filters(path)).withColumn("dt", F.col("dt").cast("string"))
+    candidates = cut_lineage(possible_days(ids, filters))
+    days = [r["dt"] for r in candidates.select("dt").distinct().collect()]  # at most the days of retention
+    if not days:
+        return ids.limit(0)
+    return read_alerts(spark, path, days).select("alert_id").join(candidates.select("alert_id").distinct(), "alert_id", "left_semi").distinct()
+
+
+def append_alerts(alerts: DataFrame, path: str) -> None:
+    """Add the alerts that are new to the table, by day.
+
+    Filters are written first: a run that fails in between leaves bits without
+    rows, which costs a read later, never a duplicate.
+    """
+    spark = alerts.sparkSession
+    rows = cut_lineage(unseen_alerts(alerts, None))
+    if _exists(spark, path):
+        if not _exists(spark, _filters(path)):  # a table from before there were filters
+            _remember(read_alerts(spark, path).select("alert_id", F.col("dt").cast("string").alias("dt")), path)
+        rows = rows.join(stored_ids(rows.select("alert_id"), path), "alert_id", "left_anti")
+    rows = cut_lineage(rows.select(*alerts.columns, _day().alias("dt")))
+    if rows.isEmpty():
+        return
+    _remember(rows, path)
+    rows.write.mode("append").partitionBy("dt").parquet(path)
+
+
+def read_alerts(spark: SparkSession, path: str, days: Sequence[str] | None = None) -> DataFrame:
+    """The alert table, or the partitions of some days (``yyyy-MM-dd``) of it."""
+    stored = spark.read.parquet(path)
+    if days is None:
+        return stored
+    wanted = F.col("dt").isin([datetime.date.fromisoformat(d) for d in days if d is not None])
+    return stored.where(wanted | F.col("dt").isNull() if None in days else wanted)
 
 
 def drop_old_alerts(spark: SparkSession, path: str, asof_us: int, days: int) -> None:
@@ -50,6 +116,7 @@ def drop_old_alerts(spark: SparkSession, path: str, asof_us: int, days: int) ->
         name = status.getPath().getName()
         if name.startswith("dt=") and name[3:] < edge:
             system.delete(status.getPath(), True)
+            system.delete(jvm.Path(f"{_filters(path)}/{name}"), True)
     partial.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)
     if partial.isEmpty():
         system.delete(jvm.Path(f"{path}/dt={edge}"), True)

@@ -140,3 +140,37 @@ def test_forest_round_trip(spark, folder):
     again = tables.load_forest(spark, f"{folder}/forest")
     both = df.select(model.score(F.col("v")).alias("a"), again.score(F.col("v")).alias("b")).collect()
     assert all(r["a"] == r["b"] for r in both)
+
+
+def test_append_reads_only_days_that_filters_allow(spark, folder):
+    day = 86_400_000_000
+    path = f"{folder}/alerts"
+    tables.append_alerts(_alerts(spark, [(f"a{i}", i * day) for i in range(5)]), path)
+    ids = spark.createDataFrame([("a3",), ("new",)], "alert_id string")
+    filters = spark.read.parquet(f"{path}/_ids").withColumn("dt", F.col("dt").cast("string"))
+    assert [tuple(r) for r in tables.possible_days(ids, filters).collect()] == [("a3", "1970-01-04")]
+    assert [r[0] for r in tables.stored_ids(ids, path).collect()] == ["a3"]
+    plan = tables.read_alerts(spark, path, ["1970-01-04"])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "1970-01-04" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    # an id of one day comes again on another day; nothing else is dropped
+    tables.append_alerts(_alerts(spark, [("a3", 9 * day), ("b", 9 * day), ("b", 8 * day)]), path)
+    got = {(r["alert_id"], r["ts_us"]) for r in tables.read_alerts(spark, path).collect()}
+    assert got == {(f"a{i}", i * day) for i in range(5)} | {("b", 8 * day)}
+
+
+def test_append_with_full_filters_is_still_exact(spark, folder, monkeypatch):
+    monkeypatch.setattr(tables, "FILTER_BITS", 7)  # 128 bits a day: every filter says perhaps
+    path = f"{folder}/alerts"
+    rows = [(f"id{i}", (i % 3) * 86_400_000_000 + i) for i in range(400)]
+    tables.append_alerts(_alerts(spark, rows[:250]), path)
+    tables.append_alerts(_alerts(spark, rows[200:]), path)
+    got = sorted(r["alert_id"] for r in tables.read_alerts(spark, path).collect())
+    assert got == sorted(i for i, _ in rows)
+
+
+def test_table_without_filters_gets_them(spark, folder):
+    path = f"{folder}/alerts"
+    old = _alerts(spark, [("a", 5), ("b", 6)])
+    old.withColumn("dt", F.lit("1970-01-01")).write.partitionBy("dt").parquet(path)
+    tables.append_alerts(_alerts(spark, [("b", 7), ("c", 8)]), path)
+    assert sorted(r["alert_id"] for r in tables.read_alerts(spark, path).collect()) == ["a", "b", "c"]
