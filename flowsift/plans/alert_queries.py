@@ -484,6 +484,21 @@ def similar_excl_self(spark, sf_dir):
     return found.select("vec_id", "label", F.round("similarity", 6).alias("similarity"))
 
 
+_PAIRS = """
+q as (select vec_id as query, embedding::double[] as e from embeddings where vec_id % 20 = 0),
+d as (select query, vec_id as neighbour, 1 - list_cosine_similarity(embedding::double[], e) as distance from q, embeddings where vec_id <> query)"""
+
+
+@query(f"""
+with {_PAIRS}, r as (select *, row_number() over (partition by query order by round(distance, 12), neighbour) as rank from d)
+select query, neighbour, rank::int as rank, round(distance, 6) as distance from r where rank <= 5""")
+def similar_to_each(spark, sf_dir):
+    """The five nearest other vectors of every vector whose id 20 divides."""
+    corpus = fx.table(spark, sf_dir, "embeddings")
+    found = similar.nearest_to_each(corpus, corpus.where("vec_id % 20 = 0"), 5)
+    return found.select("query", "neighbour", "rank", F.round("distance", 6).alias("distance"))
+
+
 # --- evaluation --------------------------------------------------------------------------
 
 _PREDICTED = "p as (select *, case when y_score > 0.5e0 then 1 else 0 end as y_pred from eval_scores)"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsift.functions.vectors import FEATURES, assemble
-from flowsift.operators import baseline, connections, ensemble, flows, forest, gates, learn
+from flowsift.operators import baseline, connections, ensemble, flows, forest, gates, learn, refit
 from flowsift.operators.alerts import COOLDOWN_US, cooldown
 from flowsift.operators.signatures import Rule
 from flowsift.session import cut_lineage
@@ -57,6 +57,11 @@ def model_detector(name: str, model) -> Detector:
     return add
 
 
+def refitted_detector(name: str, model: refit.Refit, every: int = refit.EVERY, window: int = refit.WINDOW, warmup: int = refit.WARMUP) -> Detector:
+    """A detector under ``name`` whose model is fitted again every ``every`` flows; flows before the first version score 0."""
+    return lambda numbered: refit.refitted_scores(numbered, assemble(), model, name, every, window, warmup)
+
+
 DETECTORS: dict[str, Detector] = {"zscore": baseline.running_zscore}
 
 

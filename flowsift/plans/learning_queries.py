@@ -13,7 +13,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowsift.functions.labels import deterministic_sample
-from flowsift.operators import evaluate, explain, forest, learn, neighbours
+from flowsift.operators import evaluate, explain, forest, learn, neighbours, refit
 from flowsift.plans import fixtures as fx
 from flowsift.plans.flow_queries import flow_oracle, numbered_flows
 from flowsift.plans.registry import query
@@ -187,6 +187,20 @@ def class_plane(spark, sf_dir):
         "uncorrelated": abs(m["c"]) < 1e-9, "first axis longest": m["vx"] >= m["vy"], "longer than a column": m["vy"] > 1.0 + 1e-9})
 
 
+_Z = ", ".join(f"coalesce(abs(f.{c} - avg(w.{c})) / nullif(stddev_pop(w.{c}), 0), 0)" for c in _FLOW_VECTOR)
+
+
+@query(flow_oracle(f"""
+select f.seq, (f.seq - 1) // 250 as epoch, round(least(greatest({_Z}) / 10, 1), 6) as score
+from basic f join basic w on w.seq > (f.seq - 1) // 250 * 250 - 1000 and w.seq <= (f.seq - 1) // 250 * 250 where f.seq > 500
+group by f.seq, {", ".join("f." + c for c in _FLOW_VECTOR)} union all select seq, (seq - 1) // 250, 0 from seqd where seq <= 500"""))
+def refitted_zscore(spark, sf_dir):
+    """Distance from the means of the 1000 flows before the newest version, which is due every 250 flows."""
+    model = refit.zscore_model()
+    scored = refit.refitted_scores(_vectors(spark, sf_dir), F.col("vec"), model, "score", every=250, window=1000, warmup=500)
+    return scored.select("seq", F.floor((F.col("seq") - 1) / 250).alias("epoch"), F.round("score", 6).alias("score"))
+
+
 _SEARCH = {"maxDepth": [2, 4], "numTrees": [3, 8], "minInstancesPerNode": [1, 20]}
 
 

@@ -1,4 +1,4 @@
-"""Packet capture files: a directory is read one file per task."""
+"""Frames of packet captures, and packets of capture files."""
 
 from __future__ import annotations
 
@@ -133,12 +133,16 @@ def decode_records(content: bytes) -> Iterator[dict]:
         record += 1
 
 
-def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """Decoded layers of every packet below ``path``.
+def read_captures(spark: SparkSession, path: str, range_bytes: int | None = 64 << 20) -> DataFrame:
+    """Decoded layers of every packet below ``path``, files in ranges of ``range_bytes`` (:mod:`flowsift.sources.ranges`).
 
-    Capture files cannot be split, so parallelism is by file (a capture tool's
-    rotation size); rows leave a task in small batches.
+    With None each file is one task, read by Spark's own reader: for stores that
+    only Spark opens and files of the older format below 2 GB.
     """
+    if range_bytes is not None:
+        from flowsift.sources.ranges import read_ranges
+
+        return read_ranges(spark, path, range_bytes)
     schema = T.StructType([T.StructField("path", T.StringType()), *DECODED.fields])
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
