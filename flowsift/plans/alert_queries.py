@@ -430,6 +430,22 @@ def graph_degree(spark, sf_dir):
     return graph.degrees(graph.undirected_edges(table)).join(graph.fan(table), "ip")
 
 
+@query(flow_oracle("""
+select ip, coalesce(o, 0) as fan_out, coalesce(i, 0) as fan_in, true as out_within, true as in_within
+from (select src_ip as ip, count(distinct dst_ip) as o from flows group by 1) full join
+  (select dst_ip as ip, count(distinct src_ip) as i from flows group by 1) using (ip)"""))
+def fan_sketched(spark, sf_dir):
+    """Exact fan-out and fan-in, and whether the union of a day's sketches is within four standard errors of them."""
+    table = cut_lineage(flow_table(spark, sf_dir))
+    found = graph.fan_over(graph.fan_sketches(table, fx.DAY_US)).select("ip", F.col("fan_out").alias("o"), F.col("fan_in").alias("i"))
+
+    def within(estimate, exact):
+        return F.abs(F.col(estimate) - F.col(exact)) <= 0.5 + 4 * 0.0163 * F.col(exact)
+
+    return graph.fan(table).join(found, "ip").select(
+        "ip", "fan_out", "fan_in", within("o", "fan_out").alias("out_within"), within("i", "fan_in").alias("in_within"))
+
+
 @query(flow_oracle(f"with {_ADJ} select a, b, round(weight, 6) as weight from adj"))
 def graph_norm_adj(spark, sf_dir):
     adjacency = graph.normalised_adjacency(cut_lineage(graph.undirected_edges(flow_table(spark, sf_dir))))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowsift.operators import learn, refit, similar
+from flowsift.operators import graph, learn, refit, similar
 from flowsift.plans import detection
 from flowsift.plans import fixtures as fx
 
@@ -67,6 +67,22 @@ def test_nearest_to_each_brute(spark, block_rows):
         assert [d for _, d in got[ids[i]]] == pytest.approx([1 - unit[i] @ unit[j] for j in order], abs=1e-8)
 
 
+def test_fan_sketches_are_merged_over_windows(spark):
+    """Sketches of single hours, united, against the exact count of the same hours; one host talks to very many."""
+    rows = [("hub", f"h{i % 9000}", i * 400_000) for i in range(40_000)] + [(f"h{i}", "hub", i * 1_000_000) for i in range(500)]
+    flows = spark.createDataFrame(rows, "src_ip string, dst_ip string, end_us long")
+    hour = 3_600_000_000
+    sketches = graph.fan_sketches(flows, hour).cache()
+    for since, until in ((0, 0), (1, 3), (None, None)):
+        exact = flows.where(f"end_us >= {(since or 0) * hour} and end_us < {((until if until is not None else 99) + 1) * hour}")
+        want = {r["ip"]: (r["fan_out"], r["fan_in"]) for r in graph.fan(exact).collect()}
+        got = {r["ip"]: (r["fan_out"], r["fan_in"]) for r in graph.fan_over(sketches, since, until).collect()}
+        assert set(got) == set(want)
+        for ip, counts in want.items():
+            assert all(abs(a - b) <= 0.5 + 4 * 0.0163 * b for a, b in zip(got[ip], counts)), (ip, got[ip], counts)
+    assert sketches.where("octet_length(out) > 5000").count() == 0  # whatever the number of peers
+
+
 def test_halving_keeps_the_better_points(monkeypatch):
     quality = [0.6, 0.9, 0.5, 0.8, 0.7]
     seen = []
