@@ -3,10 +3,10 @@
 A text's set holds the 64-bit hashes of its distinct five-word shingles.  Equal
 sets are one node.  Two nodes link if 100 |A n B| >= 80 |A u B|.
 
-Index.  Under any one order of shingles, two sets that link share one among the
-first n - ceil(0.8 n) + 1 of each.  The order is by hash, with shingles that
-very many sets hold last; counts cover all texts, and only the order, never the
-result, depends on them.  The index list of a shingle is sorted by set size and
+Index.  Under any one order of shingles, two sets that link share two among the
+first n - ceil(0.8 n) + 2 of each, so one shared shingle is no reason to compare.
+The order is by hash, with shingles that very many sets hold last; counts cover
+all texts, and only the order, never the result, depends on them.  The index list of a shingle is sorted by set size and
 cut into blocks; a block is skipped against another one if its sizes or its
 positions leave too small an overlap.
 
@@ -14,10 +14,12 @@ Set relations.  A list first proposes only two pairs for each set: with its
 neighbour and with the smallest set that it may link to.  Once sets are verified
 to belong together, what one of them links to is an answer for all of them, so
 later only pairs of sets that are not yet connected are proposed, from lists
-that more than one component shares.  Lists too long for a task are compared
-as pairs of blocks.  Proposals meet an exact bound first (the parity bitmaps
-of two sets differ in at most as many bits as the sets in elements), then the
-sets themselves.
+that more than one component shares.  Proposals meet an exact bound first (the
+parity bitmaps of two sets differ in at most as many bits as the sets in
+elements), then the sets themselves.  In such a list the bound is applied before
+a pair leaves the task, and a set is given two likely partners a round; rounds
+go on until no list holds back a pair.  Lists too long for a task are compared
+as pairs of blocks.
 
 Texts with fewer than five words are one shingle; null texts and texts without
 words have the empty set and no links.  Repeated rows are equal sets.  Rows
@@ -45,6 +47,10 @@ LEAST = 80
 #: Sets that hold a shingle from which it comes late in the order, and how many such shingles tasks are told of (the most frequent).
 FREQUENT = 50
 MOST_FREQUENT = 1_000_000
+#: Smaller sets link to equal ones only.
+LEAST_SET = 4
+#: Partners that a set is given in a list and round.
+PARTNERS = 2
 #: Sets of a list that are compared at once, and sets of a list that one task gets.
 BLOCK = 256
 PART = 50_000
@@ -90,7 +96,7 @@ def node_of(found: np.ndarray) -> int:
 
 
 def prefix_length(n: int) -> int:
-    return n - -(-n * LEAST // 100) + 1
+    return min(n, n - -(-n * LEAST // 100) + 2)
 
 
 def _least_overlap(a, b):
@@ -148,7 +154,7 @@ def index_rows(docs: DataFrame, text: str, late: np.ndarray) -> DataFrame:
             for found in _sets(batch.column(0)):
                 n = len(found)
                 node = node_of(found)
-                if not n or node in seen:
+                if n < LEAST_SET or node in seen:
                     continue
                 seen.add(node)
                 last = _member(found, sent.value)
@@ -163,37 +169,63 @@ def index_rows(docs: DataFrame, text: str, late: np.ndarray) -> DataFrame:
     return docs.select(text).mapInArrow(places, "shingle long, node long, n int, pos int")
 
 
+def _fits(smaller: np.ndarray, larger: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Whether sizes, and the elements left from a shared one on (the first or the second), allow a link."""
+    return (100 * smaller >= LEAST * larger) & (rest + 1 >= _least_overlap(smaller, larger))
+
+
 def block_pairs(
-    node: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray, side: np.ndarray | None = None
-) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one list (sorted by size) with different roots (and sides) whose sizes and positions allow a link, block against block."""
+    node: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray, bitmap: np.ndarray, side: np.ndarray | None = None,
+    partners: int | None = None,
+) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Likely pairs of one list (sorted by size) with different roots (and sides), and whether some are held back.
+
+    Block against block; sizes and positions decide first, then the bitmaps.
+    With ``partners`` a set that has as many already waits for another round.
+    """
     rest = n - pos  # elements from the shared one on
+    given = np.zeros(len(n), dtype=np.int64)
     for a in range(0, len(n), BLOCK):
         block_a = slice(a, a + BLOCK)
         for b in range(a, len(n), BLOCK):
             block_b = slice(b, b + BLOCK)
             if 100 * n[block_a][-1] < LEAST * n[b]:
                 break  # all later blocks hold larger sets
-            if min(rest[block_a].max(), rest[block_b].max()) < _least_overlap(n[a], n[b]):
+            if min(rest[block_a].max(), rest[block_b].max()) + 1 < _least_overlap(n[a], n[b]):
                 continue
-            fits = np.minimum(rest[block_a][:, None], rest[block_b][None, :]) >= _least_overlap(n[block_a][:, None], n[block_b][None, :])
-            fits &= 100 * n[block_a][:, None] >= LEAST * n[block_b][None, :]
+            fits = _fits(n[block_a][:, None], n[block_b][None, :], np.minimum(rest[block_a][:, None], rest[block_b][None, :]))
             fits &= root[block_a][:, None] != root[block_b][None, :]
             if side is not None:
                 fits &= side[block_a][:, None] != side[block_b][None, :]
             i, j = np.nonzero(fits)
             keep = a + i < b + j
-            yield node[block_a][i[keep]], node[block_b][j[keep]]
-
-
-def _ordered(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs, the smaller node first."""
+            i, j, held = a + i[keep], b + j[keep], False
+            if partners is not None:
+                ready = given[i] < partners
+                held = not ready.all()
+                i, j = i[ready], j[ready]
+            differ = np.bitwise_count(bitmap[i] ^ bitmap[j]).sum(axis=1, dtype=np.int64)
+            likely = n[i] + n[j] - 2 * _least_overlap(n[i], n[j]) >= differ
+            i, j = i[likely], j[likely]
+            if partners is not None and len(i):
+                first = np.flatnonzero(np.diff(i, prepend=-1))  # pairs are sorted by i
+                nth = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
+                ready = given[i] + nth < partners
+                held = held or not ready.all()
+                i, j = i[ready], j[ready]
+                np.add.at(given, i, 1)
+            if len(i) or held:
+                yield node[i], node[j], held
+
+
+def _ordered(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs, the smaller node first, and how often they come."""
     low, high = np.minimum(x, y), np.maximum(x, y)
     order = np.lexsort((high, low))
     low, high = low[order], high[order]
     new = np.ones(len(low), dtype=bool)
     new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-    return low[new], high[new]
+    return low[new], high[new], np.diff(np.append(np.flatnonzero(new), len(new)))
 
 
 def _starts(*sorted_keys: np.ndarray) -> np.ndarray:
@@ -216,10 +248,10 @@ def _near_pairs(of: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray
     smallest = np.searchsorted(place, of << 32 | -(-LEAST * n // 100))
     first = np.concatenate([smallest, at[:-1]])
     second = np.concatenate([at, at[1:]])
-    fits = (first < second) & (of[first] == of[second]) & (100 * n[first] >= LEAST * n[second])
+    fits = (first < second) & (of[first] == of[second])
+    fits[len(n):] &= smallest[1:] != at[:-1]  # that pair is there already
     first, second = first[fits], second[fits]
-    rest = np.minimum(n[first] - pos[first], n[second] - pos[second])
-    fits = rest >= _least_overlap(n[first], n[second])
+    fits = _fits(n[first], n[second], np.minimum(n[first] - pos[first], n[second] - pos[second]))
     return node[first[fits]], node[second[fits]]
 
 
@@ -249,7 +281,7 @@ def _held_lists(columns: list[np.ndarray], begun: bool, goes_on: bool) -> list[n
 
 
 def proposals(index: DataFrame) -> DataFrame:
-    """Pairs to verify first, as rows ``a, b`` with null ``n``; and rows ``a`` (list), ``b`` (node), ``n``, ``pos`` of lists with more."""
+    """Pairs to verify first, as rows ``a, b`` with null ``n`` and their lists in ``pos``; and rows ``a`` (list), ``b`` (node), ``n``, ``pos`` of lists with more."""
     names = ["shingle", "node", "n", "pos"]
     sorted_ = index.repartition(shuffle_partitions(index.sparkSession), "shingle").sortWithinPartitions("shingle", "n", "node")
 
@@ -258,11 +290,11 @@ def proposals(index: DataFrame) -> DataFrame:
         columns = [c[starts] for c in columns]
         of = np.zeros(len(starts), dtype=np.int64)
         of[_starts(columns[0])[1:]] = 1
-        x, y = _ordered(*_near_pairs(np.cumsum(of), *columns[1:]))
+        x, y, often = _ordered(*_near_pairs(np.cumsum(of), *columns[1:]))
         rows = _held_lists(columns, begun, goes_on)
-        gap = [pa.nulls(len(x), pa.int32())] * 2
-        out = [pa.concat_arrays([pa.array(p), pa.array(v)]) for p, v in zip((x, y), rows)]
-        return pa.RecordBatch.from_arrays(out + [pa.concat_arrays([g, pa.array(v, pa.int32())]) for g, v in zip(gap, rows[2:])], names=["a", "b", "n", "pos"])
+        first = [pa.array(x), pa.array(y), pa.nulls(len(x), pa.int32()), pa.array(often, pa.int32())]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([p, pa.array(v, k)]) for p, v, k in zip(first, rows, kinds)], names=["a", "b", "n", "pos"])
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, begun = None, False  # rows of the last list; whether some of its rows were worked off already
@@ -309,24 +341,23 @@ def _split_lists(rows: DataFrame) -> DataFrame:
     return plain.join(small(longer.select("list")), "list", "left_anti").unionByName(split)
 
 
-def unconnected(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """``x, y`` pairs of the lists (``list, node, n, pos``) whose sets are not connected yet."""
-    names = ["list", "pair", "side", "node", "n", "pos", "root"]
-    at = small(roots.select(F.col("node").alias("_node"), "root"))
-    rows = lists.join(at, F.col("node") == F.col("_node"), "left").select("list", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
-    # a list that one component fills has nothing to add
-    mixed = rows.groupBy("list").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("list")
-    rows = _split_lists(cut_lineage(rows.join(small(cut_lineage(mixed)), "list", "left_semi")))
+def unconnected(rows: DataFrame, partners: int | None) -> DataFrame:
+    """``x, y, held``: likely pairs of the lists (``list, node, n, pos, root, data``) whose sets are not connected; null pairs say that some are held back."""
+    names = ["list", "pair", "side", "node", "n", "pos", "root", "data"]
     rows = rows.repartition(shuffle_partitions(rows.sparkSession), "list", "pair").sortWithinPartitions("list", "pair", "n", "node", "pos")
 
-    def of_list(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        _, pair, side, node, n, pos, root = columns
+    def of_list(columns: list) -> Iterator[pa.RecordBatch]:
+        _, pair, side, node, n, pos, root, data = columns
         first = _starts(node)  # the same nodes may come from several tasks: the smallest position stays
         node, n, pos, root, side = (c[first] for c in (node, n.astype(np.int64), pos.astype(np.int64), root, side))
+        if (root == root[0]).all():
+            return
+        bitmap = np.frombuffer(b"".join(data[i] for i in first), dtype=np.uint64).reshape(len(first), -1)
         across = side if pair[0] >= 0 and pair[0] >> 31 != pair[0] & 0x7FFFFFFF else None
-        for x, y in block_pairs(node, n, pos, root, across):
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in _ordered(x, y)], names=["x", "y"])
+        for x, y, held in block_pairs(node, n, pos, root, bitmap, across, partners):
+            low, high, _ = _ordered(x, y)
+            gap = pa.nulls(int(held), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(low), gap]), pa.concat_arrays([pa.array(high), gap])], names=["x", "y"])
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -343,7 +374,15 @@ def unconnected(lists: DataFrame, roots: DataFrame) -> DataFrame:
         if held is not None and len(held[0]):
             yield from of_list(held)
 
-    return rows.select(*names).mapInArrow(propose, "x long, y long")
+    return rows.select(*names).mapInArrow(propose, "x long, y long").distinct()
+
+
+def _shared_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of the lists that sets of several components share, with ``root``."""
+    at = small(roots.select(F.col("node").alias("_node"), "root"))
+    rows = lists.join(at, F.col("node") == F.col("_node"), "left").select("list", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
+    mixed = rows.groupBy("list").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("list")
+    return cut_lineage(rows.join(small(cut_lineage(mixed)), "list", "left_semi"))
 
 
 def sets_of(docs: DataFrame, doc_id: str, text: str, holders: DataFrame, wanted: DataFrame, whole: bool) -> DataFrame:
@@ -406,7 +445,9 @@ def linked_sets(docs: DataFrame, named: DataFrame, doc_id: str = "doc_id", text:
     holders = cut_lineage(named.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("holder")))
     late = frequent_shingles(docs, text)
     found = proposals(index_rows(docs, text, late))
-    pairs = cut_lineage(found.where("n is null").select(F.col("a").alias("x"), F.col("b").alias("y")).distinct())
+    # a linked pair shares two lists: two short ones, which propose all pairs, or a longer one, which is looked at again
+    pairs = found.where("n is null").groupBy(F.col("a").alias("x"), F.col("b").alias("y")).agg(F.sum("pos").alias("lists"))
+    pairs = cut_lineage(pairs.where("lists > 1").select("x", "y"))
     bitmaps = cut_lineage(sets_of(docs, doc_id, text, holders, cut_lineage(_ends(pairs)), whole=False))
     likely = cut_lineage(_kept(_with_data(pairs, bitmaps), _may_link))
 
@@ -419,23 +460,49 @@ def linked_sets(docs: DataFrame, named: DataFrame, doc_id: str = "doc_id", text:
     links = cut_lineage(_kept(_with_data(picked, whole), _link))
     roots = components(links)
 
-    # then what is not connected yet
-    far = unconnected(found.where("n is not null").select(F.col("a").alias("list"), F.col("b").alias("node"), "n", "pos"), roots).distinct()
-    far = cut_lineage(far.join(pairs, ["x", "y"], "left_anti"))
-    far_ends = cut_lineage(_ends(far))
-    more = cut_lineage(sets_of(docs, doc_id, text, holders, far_ends, whole=False)) if not far_ends.isEmpty() else bitmaps.limit(0)
-    far = cut_lineage(_kept(_with_data(far, more), _may_link))
-    at_x = roots.select(F.col("node").alias("x"), F.col("root").alias("rx"))
-    at_y = roots.select(F.col("node").alias("y"), F.col("root").alias("ry"))
-    open_ = likely.join(picked, ["x", "y"], "left_anti").unionByName(far).join(at_x, "x", "left").join(at_y, "y", "left").where(
-        F.coalesce("rx", "x") != F.coalesce("ry", "y")).select("x", "y")
-    open_ = cut_lineage(open_)
-    if open_.isEmpty():
-        return roots
-    missing = cut_lineage(_ends(open_).join(ends, "node", "left_anti"))
-    if not missing.isEmpty():
-        whole = whole.unionByName(cut_lineage(sets_of(docs, doc_id, text, holders, missing, whole=True)))
-    return components(links.unionByName(_kept(_with_data(open_, whole), _link)))
+    def between(candidates: DataFrame) -> DataFrame:
+        at_x = roots.select(F.col("node").alias("x"), F.col("root").alias("rx"))
+        at_y = roots.select(F.col("node").alias("y"), F.col("root").alias("ry"))
+        joined = candidates.join(at_x, "x", "left").join(at_y, "y", "left")
+        return cut_lineage(joined.where(F.coalesce("rx", "x") != F.coalesce("ry", "y")).select("x", "y"))
+
+    def verified(candidates: DataFrame) -> DataFrame:
+        nonlocal whole, ends
+        missing = cut_lineage(_ends(candidates).join(ends, "node", "left_anti"))
+        if not missing.isEmpty():
+            whole = whole.unionByName(cut_lineage(sets_of(docs, doc_id, text, holders, missing, whole=True)))
+            ends = ends.unionByName(missing)
+        return cut_lineage(_kept(_with_data(candidates, whole), _link))
+
+    # then the other likely pairs that are not connected yet
+    open_ = between(likely.join(picked, ["x", "y"], "left_anti"))
+    if not open_.isEmpty():
+        links = cut_lineage(links.unionByName(verified(open_)))
+        roots = components(links)
+    tested = cut_lineage(picked.unionByName(open_))
+
+    # and what longer lists hold besides
+    lists = found.where("n is not null").select(F.col("a").alias("list"), F.col("b").alias("node"), "n", "pos")
+    partners: int | None = PARTNERS
+    while True:
+        lists = _shared_lists(lists.select("list", "node", "n", "pos"), roots)
+        if lists.isEmpty():
+            return roots
+        lacking = cut_lineage(lists.select("node").distinct().join(bitmaps.select("node"), "node", "left_anti"))
+        if not lacking.isEmpty():
+            bitmaps = cut_lineage(bitmaps.unionByName(sets_of(docs, doc_id, text, holders, lacking, whole=False)))
+        rows = _split_lists(lists).join(bitmaps.select("node", "data"), "node")
+        found_ = cut_lineage(unconnected(rows, partners))
+        waiting = not found_.where("x is null").isEmpty()
+        far = cut_lineage(found_.where("x is not null").join(tested, ["x", "y"], "left_anti"))
+        new = verified(far) if not far.isEmpty() else links.limit(0)
+        if not new.isEmpty():
+            links = cut_lineage(links.unionByName(new))
+            roots = components(links)
+        if not waiting:
+            return roots
+        tested = cut_lineage(tested.unionByName(far))
+        partners = partners if not new.isEmpty() else None  # no link among the first partners: the others decide
 
 
 def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -420,6 +420,7 @@ def test_few_pairs_from_a_large_group():
     for size in (5, 500, 5000):
         n = np.sort(rng.integers(300, 330, size)).astype(np.int32)
         x, y = ngram_join._near_pairs(np.zeros(size, dtype=np.int64), np.arange(size), n, np.zeros(size, dtype=np.int32))
+        assert len(set(zip(x.tolist(), y.tolist()))) == len(x)
         assert size - 1 <= len(x) <= 2 * size and set(x) | set(y) == set(range(size))
 
 
