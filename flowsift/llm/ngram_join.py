@@ -17,7 +17,7 @@ later only pairs of sets that are not yet connected are proposed, from lists
 that more than one component shares.  Proposals meet an exact bound first (the
 parity bitmaps of two sets differ in at most as many bits as the sets in
 elements), then the sets themselves.  In such a list the bound is applied before
-a pair leaves the task, and a set is given two likely partners a round; rounds
+a pair leaves the task, and a set is given a few likely partners a round; rounds
 go on until no list holds back a pair.  Lists too long for a task are compared
 as pairs of blocks.
 
@@ -50,7 +50,7 @@ MOST_FREQUENT = 1_000_000
 #: Smaller sets link to equal ones only.
 LEAST_SET = 4
 #: Partners that a set is given in a list and round.
-PARTNERS = 2
+PARTNERS = 8
 #: Sets of a list that are compared at once, and sets of a list that one task gets.
 BLOCK = 256
 PART = 50_000
@@ -440,6 +440,18 @@ def _link(nx: int, ny: int, a, b) -> bool:
     return 100 * common >= LEAST * (nx + ny - common)
 
 
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, root`` after more links: only the roots that they join are worked on."""
+    at_x = roots.select(F.col("node").alias("x"), F.col("root").alias("rx"))
+    at_y = roots.select(F.col("node").alias("y"), F.col("root").alias("ry"))
+    joined = links.join(at_x, "x", "left").join(at_y, "y", "left")
+    over = components(joined.select(F.coalesce("rx", "x").alias("x"), F.coalesce("ry", "y").alias("y")))
+    over = over.select(F.col("node").alias("_was"), F.col("root").alias("_is"))
+    known = roots.join(over, F.col("root") == F.col("_was"), "left").select("node", F.coalesce("_is", "root").alias("root"))
+    fresh = _ends(links).join(roots.select("node"), "node", "left_anti").join(over, F.col("node") == F.col("_was")).select("node", F.col("_is").alias("root"))
+    return cut_lineage(known.unionByName(fresh))
+
+
 def linked_sets(docs: DataFrame, named: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``node, root``: components of the sets that have links; ``named`` is what :func:`nodes` says of ``docs``."""
     holders = cut_lineage(named.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("holder")))
@@ -477,8 +489,7 @@ def linked_sets(docs: DataFrame, named: DataFrame, doc_id: str = "doc_id", text:
     # then the other likely pairs that are not connected yet
     open_ = between(likely.join(picked, ["x", "y"], "left_anti"))
     if not open_.isEmpty():
-        links = cut_lineage(links.unionByName(verified(open_)))
-        roots = components(links)
+        roots = _merged(roots, verified(open_))
     tested = cut_lineage(picked.unionByName(open_))
 
     # and what longer lists hold besides
@@ -497,8 +508,7 @@ def linked_sets(docs: DataFrame, named: DataFrame, doc_id: str = "doc_id", text:
         far = cut_lineage(found_.where("x is not null").join(tested, ["x", "y"], "left_anti"))
         new = verified(far) if not far.isEmpty() else links.limit(0)
         if not new.isEmpty():
-            links = cut_lineage(links.unionByName(new))
-            roots = components(links)
+            roots = _merged(roots, new)
         if not waiting:
             return roots
         tested = cut_lineage(tested.unionByName(far))
