@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowsift.functions.packets import FLOW_KEY, host_pair
+from flowsift.functions.packets import FLOW_KEY, host_pair, with_flow_key
 from flowsift.operators.anchors import RunScan
 from flowsift.operators.flows import FLOW_TIMEOUT_US, assemble_flows, seam_scan, split_flows
 from flowsift.operators.ordering import running_sums
 from flowsift.operators.signatures import Rule, any_of, is_binary, signature_any
-from flowsift.session import cut_lineage
+from flowsift.session import cut_lineage, shuffle_partitions
 
 _HOT_PIECES = 5_000_000
 _SALTS = 64
+_PARTS_PER_TASK = 8
 
 
 def reassemble(
@@ -52,6 +55,39 @@ def reassemble(
     return grouped.withColumn("payload", F.encode(text, "ISO-8859-1") if binary else text).drop("_pieces")
 
 
+def _key_order(pair, ts, packet) -> tuple:
+    """Spark's order of (pair, time, id) for Python: nulls first."""
+    return pair, (ts is not None, ts), (packet is not None, packet)
+
+
+def _part_starts(epochs: DataFrame) -> list[tuple]:
+    """First (pair, time, id) of each part of the packets in that order: parts of similar payload that cut no epoch.
+
+    Packets alike in all three may lie on both sides of an epoch's start; no part starts there.
+    """
+    keys = epochs.groupBy("pair", "ts_us", "packet_id").agg(
+        F.min("epoch").alias("epoch"), F.max("epoch").alias("_to"), F.sum("_size").alias("_size"))
+    begun = keys.groupBy("pair", "epoch").agg(
+        F.sum("_size").alias("_size"), F.min(F.struct("ts_us", "packet_id")).alias("_first"), F.max("_to").alias("_to"))
+    shared = begun.where("_to > epoch").select("pair", F.explode(F.sequence(F.col("epoch") + 1, "_to")).alias("epoch"))
+    total = begun.agg(F.sum("_size")).first()[0] or 0
+    share = max(total / (_PARTS_PER_TASK * shuffle_partitions(epochs.sparkSession)), 1.0)
+    placed = running_sums(begun, ["pair", "epoch"], {"_upto": F.col("_size")})
+    part = F.floor((F.col("_upto") - F.col("_size")) / share)
+    first = F.min(F.struct("pair", "_first.ts_us", "_first.packet_id")).alias("first")
+    starts = placed.join(shared, ["pair", "epoch"], "left_anti").groupBy(part.alias("part")).agg(first)
+    return sorted(_key_order(*r["first"]) for r in starts.collect())  # one row per part
+
+
+def _part(starts: list[tuple]) -> Column:
+    @F.arrow_udf("int")
+    def number(pair: pa.Array, ts: pa.Array, packet: pa.Array) -> pa.Array:
+        rows = zip(pair.to_pylist(), ts.to_pylist(), packet.to_pylist())
+        return pa.array([bisect_right(starts, _key_order(*r)) for r in rows], pa.int32())
+
+    return number(F.col("pair"), F.col("ts_us"), F.col("packet_id"))
+
+
 def host_pair_payloads(
     packets: DataFrame, timeout_us: int = FLOW_TIMEOUT_US, cap: int | None = None, **split
 ) -> DataFrame:
@@ -60,13 +96,18 @@ def host_pair_payloads(
     ``epoch`` counts the pair's flow completions before a packet.  It is a
     global running sum in (pair, time) order, so a busy pair is not one task;
     its absolute value is arbitrary but grows within a pair.
+
+    Flows, epochs and the flow that takes each buffer are found without the
+    payloads (``packets`` is read twice).  Payloads move once: parts of the
+    (pair, time) order that cut no epoch meet their packets' owners in the task
+    that joins the texts.  Equal packets take their epochs in payload order.
     """
-    runs = split_flows(packets, timeout_us, **split)
+    size = F.coalesce(F.octet_length("payload"), F.lit(0)).cast("long")
+    runs = split_flows(packets.withColumn("_size", size).drop("payload"), timeout_us, **split)
     closing = (F.col("ts_us") - F.col("anchor_us") > timeout_us).cast("int")
-    marked = runs.withColumns({"pair": host_pair(), "_closes": closing})
+    marked = runs.select("packet_id", "ts_us", *FLOW_KEY, "anchor_us", "_size", host_pair().alias("pair"), closing.alias("_closes"))
     summed = running_sums(marked, ["pair", "ts_us", "packet_id"], {"_done": F.col("_closes")})
-    epochs = summed.withColumn("epoch", (F.col("_done") - F.col("_closes")).cast("bigint"))
-    text = reassemble(epochs, ["pair", "epoch"], ["ts_us", "packet_id"], "payload", cap)
+    epochs = cut_lineage(summed.withColumn("epoch", (F.col("_done") - F.col("_closes")).cast("bigint")).drop("_done"))
     owners = epochs.groupBy("pair", *FLOW_KEY, F.col("anchor_us").alias("start_us")).agg(
         F.min("packet_id").alias("flow_id"), F.max("epoch").alias("_seen"),
         F.max(F.when(F.col("_closes") == 1, F.col("epoch"))).alias("epoch"),
@@ -79,7 +120,21 @@ def host_pair_payloads(
     leftover = owners.groupBy("pair").agg(
         oldest.alias("_f"), F.coalesce(F.max("epoch") + 1, F.max("_seen")).alias("epoch")
     ).where("_f is not null").select("pair", "epoch", *[F.col(f"_f.{c}").alias(c) for c in columns])
-    return closers.unionByName(leftover).join(text, ["pair", "epoch"]).drop("pair", "epoch")
+    taken = closers.unionByName(leftover).select("pair", "epoch", F.struct("epoch", *columns).alias("_owner"))
+
+    part = _part(_part_starts(epochs)).alias("_part")
+    key = ["pair", "ts_us", "packet_id", *FLOW_KEY]
+    found = epochs.select(*key, "epoch").join(taken, ["pair", "epoch"]).select(*key, part, "_owner")
+    pieces = with_flow_key(packets).where(F.length("payload") > 0).withColumn("pair", host_pair()).select(*key, part, "payload")
+    met = found.unionByName(pieces, allowMissingColumns=True).repartition(shuffle_partitions(packets.sparkSession), "_part")
+    alike = Window.partitionBy("_part", *key)
+    met = met.withColumns({  # payloads come first; the n-th of equal packets takes the n-th owner
+        "_nth": F.row_number().over(alike.orderBy(F.col("payload").isNull(), "payload")),
+        "_owners": F.sort_array(F.collect_list("_owner").over(alike)),
+    }).where(F.col("payload").isNotNull()).withColumn("_owner", F.get("_owners", F.col("_nth") - 1)).where("_owner is not null")
+    owned = met.select("_part", "pair", "ts_us", "packet_id", "payload", "_owner.epoch", *[F.col(f"_owner.{c}").alias(f"_o_{c}") for c in columns])
+    text = reassemble(owned, ["_part", "pair", "epoch", *[f"_o_{c}" for c in columns]], ["ts_us", "packet_id"], "payload", cap)
+    return text.select(*[F.col(f"_o_{c}").alias(c) for c in columns], "payload")
 
 
 def _longest(rules: Sequence[Rule]) -> int:

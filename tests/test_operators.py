@@ -1,6 +1,7 @@
 """Boundaries and invariances of the operators."""
 
 import math
+import random
 from collections import deque
 
 import numpy as np
@@ -231,6 +232,56 @@ def test_host_pair_buffer_goes_to_the_first_flow_to_close(spark):
     assert got == {(1, 0): "p0p1p2p3", (2, 10 * S): "p4"}
 
 
+def _pair_buffers(rows, timeout):
+    """Buffers of host pairs, packet by packet."""
+    flows, epoch, marked, key = {}, {}, [], lambda r: min((r[2], r[4]), (r[3], r[5])) + max((r[2], r[4]), (r[3], r[5]))
+    for r in sorted(rows, key=lambda r: (r[1], r[0])):
+        pair = (min(r[2], r[3]), max(r[2], r[3]))
+        start = flows.setdefault(key(r), r[1])
+        closes = r[1] - start > timeout
+        marked.append((pair, epoch.get(pair, 0), (key(r), start), closes, r))
+        if closes:
+            epoch[pair] = epoch.get(pair, 0) + 1
+            del flows[key(r)]
+    ids, texts, takes, open_ = {}, {}, {}, {}
+    for pair, e, flow, closes, r in marked:
+        ids[flow] = min(ids.get(flow, r[0]), r[0])
+        texts.setdefault((pair, e), []).append(r[-1] or "")
+        if closes:
+            takes[pair, e] = flow
+    closed = set(takes.values())
+    for pair, _, flow, _, _ in marked:
+        if flow not in closed:
+            open_[pair] = min(open_.get(pair, (flow[1], ids[flow], flow)), (flow[1], ids[flow], flow))
+    takes |= {(pair, epoch.get(pair, 0)): flow for pair, (_, _, flow) in open_.items()}
+    whole = {at: "".join(t) for at, t in texts.items()}
+    return sorted((ids[flow], flow[1], whole[at]) for at, flow in takes.items() if whole.get(at))
+
+
+def test_host_pair_payloads_move_once(spark, monkeypatch):
+    """Against a plain walk; no payload goes through the sorts that number the epochs."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(600):
+        a, b = f"h{rng.randrange(2)}", f"h{rng.randrange(2, 5)}"
+        ends = (a, b, rng.randrange(3), 80) if rng.random() < 0.5 else (b, a, 80, rng.randrange(3))
+        rows.append((i, rng.randrange(400) * S, *ends, 6, 1, 0, rng.choice([None, "", f"<{i}>", f"é{i}" * 40])))
+    df = spark.createDataFrame(rows, PACKET + ", payload string")
+    sums = gates.running_sums
+
+    def thin(frame, *args, **kwargs):
+        assert "payload" not in frame.columns
+        return sums(frame, *args, **kwargs)
+
+    monkeypatch.setattr(gates, "running_sums", thin)
+    monkeypatch.setattr(gates, "_PARTS_PER_TASK", 400, raising=False)
+    got = gates.host_pair_payloads(df.withColumn("payload", F.encode("payload", "UTF-8")), 60 * S).collect()
+    assert sorted((r["flow_id"], r["start_us"], bytes(r["payload"]).decode()) for r in got) == _pair_buffers(rows, 60 * S)
+    # packets that come twice lose no text and add none
+    twice = gates.host_pair_payloads(df.unionByName(df), 60 * S).agg(F.sum(F.length("payload"))).first()[0]
+    assert twice <= 2 * sum(len(r[-1] or "") for r in rows) and twice > 0
+
+
 # --- decision ---------------------------------------------------------------------------
 
 
