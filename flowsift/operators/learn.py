@@ -251,11 +251,11 @@ def topology_scores(
     return joined.withColumn("gnn_detector", score).drop("_src", "_dst")
 
 
-def plane(df: DataFrame, vector: str, row_id: str, sample: int = 3000, seed: int = 42) -> DataFrame:
-    """Two principal coordinates of every row, fitted on a deterministic sample of at most ``sample`` rows."""
+def plane(df: DataFrame, vector: str, row_id: str, sample: int | None = None, seed: int = 42) -> DataFrame:
+    """Two principal coordinates of every row, fitted on all rows; with ``sample`` on that many at most, the same ones in every run."""
     from flowsift.functions.labels import deterministic_sample
 
-    drawn = deterministic_sample(df, row_id, sample, seed)
+    drawn = df if sample is None else deterministic_sample(df, row_id, sample, seed)
     model = fit_reconstruction(drawn, vector, 2, 0.5)
     placed = df.withColumn("_xy", model.project(F.col(vector)))
     return placed.withColumns({"x": F.get("_xy", F.lit(0)), "y": F.get("_xy", F.lit(1))}).drop("_xy")

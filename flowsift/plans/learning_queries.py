@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from flowsift.functions.labels import deterministic_sample
 from flowsift.operators import evaluate, explain, forest, learn, neighbours, refit
 from flowsift.plans import fixtures as fx
 from flowsift.plans.flow_queries import flow_oracle, numbered_flows
@@ -174,17 +173,28 @@ def topology_scores(spark, sf_dir):
 
 
 @query("""
-select 'rows' as "check", count(*) as value from embeddings union all select 'centred', 1 union all select 'uncorrelated', 1
-union all select 'first axis longest', 1 union all select 'longer than a column', 1""")
+select vec_id, label, embedding is not null as placed, true as centred, true as uncorrelated, true as first_axis_longest,
+  true as longer_than_a_column, true as principal from embeddings""")
 def class_plane(spark, sf_dir):
-    """Principal coordinates on the rows they were fitted on: centred, uncorrelated, the first axis longest."""
-    rows = _labelled(spark, sf_dir)
-    placed = cut_lineage(learn.plane(rows, "embedding", "vec_id", sample=3000).select("vec_id", "x", "y"))
-    fitted = placed.join(deterministic_sample(rows, "vec_id", 3000, 42).select("vec_id"), "vec_id", "left_semi")
-    m = fitted.agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"), F.corr("x", "y").alias("c")).first()
-    return _checks(spark, {
-        "rows": placed.where("x is not null and y is not null").count(), "centred": abs(m["x"]) < 1e-9 and abs(m["y"]) < 1e-9,
-        "uncorrelated": abs(m["c"]) < 1e-9, "first axis longest": m["vx"] >= m["vy"], "longer than a column": m["vy"] > 1.0 + 1e-9})
+    """Every row's principal coordinates, fitted on all rows: centred, uncorrelated, the first axis longest; each axis is that of its own covariances."""
+    rows = _labelled(spark, sf_dir).drop("y")
+    placed = cut_lineage(learn.plane(rows, "embedding", "vec_id").select("vec_id", "label", "embedding", "x", "y"))
+    m = placed.agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"), F.corr("x", "y").alias("c")).first()
+    columns = [F.get("embedding", F.lit(i)).cast("double") for i in range(WIDTH)]
+    s = placed.where("x is not null").agg(*[
+        f(c) for c in columns for f in (F.avg, F.stddev, lambda v: F.covar_samp(v, "x"), lambda v: F.covar_samp(v, "y"))]).first()
+    found = F.lit(True)
+    for at, axis in ((2, "x"), (3, "y")):
+        # a principal axis is an eigenvector: its coordinates' covariances with the columns point along it
+        along = [s[4 * i + at] / s[4 * i + 1] if s[4 * i + 1] else 0.0 for i in range(WIDTH)]
+        size = sum(a * a for a in along) ** 0.5 or 1.0
+        own = sum(((c - s[4 * i]) * (along[i] / size / (s[4 * i + 1] or 1.0)) for i, c in enumerate(columns)), F.lit(0.0))
+        found &= F.abs(F.abs(own) - F.abs(axis)) < 1e-5
+    return placed.select(
+        "vec_id", "label", (F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")).alias("placed"),
+        F.lit(abs(m["x"]) < 1e-9 and abs(m["y"]) < 1e-9).alias("centred"), F.lit(abs(m["c"]) < 1e-9).alias("uncorrelated"),
+        F.lit(m["vx"] >= m["vy"]).alias("first_axis_longest"), F.lit(m["vy"] > 1.0 + 1e-9).alias("longer_than_a_column"),
+        F.coalesce(found, F.lit(True)).alias("principal"))
 
 
 _Z = ", ".join(f"coalesce(abs(f.{c} - avg(w.{c})) / nullif(stddev_pop(w.{c}), 0), 0)" for c in _FLOW_VECTOR)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from flowsift.operators import explain, forest, learn, neighbours
 from flowsift.plans import detection
 from flowsift.plans import fixtures as fx
+from flowsift.plans import learning_queries as queries
 
 
 @pytest.fixture(scope="module")
@@ -73,6 +74,21 @@ def test_reconstruction_scores_outliers(blob):
     assert empty["s"] == 0.0
 
 
+def test_plane_is_fitted_on_every_row(spark):
+    x = np.random.default_rng(3).normal(size=(4000, 3)) * [1, 5, 2] @ np.linalg.qr(np.random.default_rng(4).normal(size=(3, 3)))[0]
+    df = spark.createDataFrame(pd.DataFrame({"id": range(4000), "v": list(x)}))
+    got = learn.plane(df, "v", "id").orderBy("id").toPandas()
+    z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    axes = np.linalg.eigh(np.cov(z.T))[1][:, ::-1][:, :2]
+    assert np.allclose(np.abs(got[["x", "y"]].to_numpy()), np.abs(z @ axes), atol=1e-6)
+
+
+def test_class_plane_returns_every_row(spark, sf):
+    got = queries.class_plane(spark, sf).toPandas()
+    rows = fx.table(spark, sf, "embeddings").select("vec_id", "label").toPandas()
+    assert sorted(zip(got.vec_id, got.label)) == sorted(zip(rows.vec_id, rows.label))
+
+
 def test_pipeline_with_every_detector(spark, sf):
     source = fx.view(spark, sf, "payloads")
     detectors = {
