@@ -20,23 +20,67 @@ from flowsift.functions.packets import ascii_lower
 Rule = tuple[str, str]  # (rule id, pattern)
 
 _MATCHES_PER_BATCH = 100_000
+_BYTES_AT_ONCE = 1 << 19  # of texts that are searched as one
 
 
 def _usable(rules: Sequence[Rule]) -> list[Rule]:
     return [(i, p) for i, p in rules if p]
 
 
+def _folded_bytes(text) -> bytes:
+    """Strings lower-case then UTF-8, bytes ASCII-folded."""
+    return text.lower().encode() if isinstance(text, str) else bytes(text).lower()
+
+
 def _fold(text) -> str | None:
-    """One character per byte: strings lower-case then UTF-8, bytes ASCII-folded."""
-    if text is None:
-        return None
-    raw = text.lower().encode() if isinstance(text, str) else bytes(text).lower()
-    return raw.decode("latin-1")
+    """One character per byte."""
+    return None if text is None else _folded_bytes(text).decode("latin-1")
+
 
+class _Finder:
+    """All places of many patterns in many texts, overlaps included.
 
-def _occurrences(text: str, automaton) -> list[tuple[int, int, int]]:
-    """All places, overlaps included, as (stop, start, pattern number) in that order."""
-    return sorted((end + 1, end + 1 - size, number) for end, (size, own) in automaton.iter(text) for number in own)
+    Texts are searched end to end as one array of bytes.  A table over pairs of
+    adjacent bytes gives the few places where a pattern may begin, in one pass
+    however many patterns there are; the patterns that begin with the pair at
+    such a place are then compared from there on.
+    """
+
+    def __init__(self, patterns: Sequence[str]):
+        self.patterns = [p.encode("latin-1") for p in patterns]
+        self.sizes = np.array([len(p) for p in self.patterns], dtype=np.int64)
+        self.begins = np.zeros(1 << 16, dtype=bool)
+        self.by_pair: dict[int, list[int]] = {}
+        for number, pattern in enumerate(self.patterns):
+            pairs = [pattern[0] << 8 | pattern[1]] if len(pattern) > 1 else range(pattern[0] << 8, pattern[0] + 1 << 8)
+            for pair in pairs:
+                self.begins[pair] = True
+                self.by_pair.setdefault(pair, []).append(number)
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``row, stop, start, pattern number`` in that order; places are counted from the start of their text."""
+        ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+        raw = np.frombuffer(b"".join(texts) + b"\0", dtype=np.uint8)
+        pairs = raw[:-1].astype(np.uint16) << 8 | raw[1:]
+        at = np.flatnonzero(self.begins[pairs])
+        pair_at = pairs[at]
+        starts, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for pair in np.flatnonzero(np.bincount(pair_at)).tolist() if len(at) else ():
+            here = at[pair_at == pair]
+            for number in self.by_pair[pair]:
+                found, pattern = here, self.patterns[number]
+                found = found[found + len(pattern) < len(raw)]  # the last byte belongs to no text
+                for i in range(2, len(pattern)):
+                    found = found[raw[found + i] == pattern[i]]
+                starts.append(found)
+                numbers.append(np.full(len(found), number, np.int64))
+        start, number = np.concatenate(starts), np.concatenate(numbers)
+        stop, row = start + self.sizes[number], np.searchsorted(ends, start, side="right")
+        inside = stop <= ends[row] if len(row) else np.zeros(0, dtype=bool)
+        row, stop, start, number = (c[inside] for c in (row, stop, start, number))
+        order = np.lexsort((number, start, stop))  # texts lie in order, so do their places
+        begin = (ends - [len(t) for t in texts])[row[order]]
+        return row[order], stop[order] - begin, start[order] - begin, number[order]
 
 
 def _automaton(patterns: Sequence[str]):
@@ -80,6 +124,14 @@ def is_binary(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, T.BinaryType)
 
 
+def unused_names(taken: Sequence[str], wanted: Sequence[str]) -> list[str]:
+    """The wanted names, lengthened until no column has them."""
+    taken = {t.lower() for t in taken}
+    while any(w.lower() in taken for w in wanted):
+        wanted = [w + "_" for w in wanted]
+    return list(wanted)
+
+
 def _rule_table(rules: Sequence[Rule], binary: bool) -> Column:
     return F.array(*[
         F.struct(F.lit(i).alias("rule_id"), F.lit(p).alias("pattern"), _folded_pattern(p, binary).alias("folded")) for i, p in rules
@@ -122,31 +174,33 @@ def signature_offsets(df: DataFrame, text: str, rules: Sequence[Rule]) -> DataFr
     schema = schema.add("start", "long").add("stop", "long")
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton([_fold(p) for _, p in usable])
+        finder = _Finder([_fold(p) for _, p in usable])
         ids, patterns = pa.array([i for i, _ in usable], pa.string()), pa.array([p for _, p in usable], pa.string())
+
+        def pieces(batch: pa.RecordBatch, first: int, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+            row, stop, start, rule = finder(texts)
+            for at in range(0, len(row), _MATCHES_PER_BATCH):
+                some = slice(at, at + _MATCHES_PER_BATCH)
+                columns = [batch.column(n).take(pa.array(first + row[some])) for n in names]
+                number = pa.array(rule[some])
+                columns += [ids.take(number), patterns.take(number), pa.array(start[some]), pa.array(stop[some])]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
         for batch in batches:
-            rows, found = [], []
-
-            def piece() -> pa.RecordBatch:
-                at = np.array(found, dtype=np.int64).reshape(-1, 3)
-                rule = pa.array(at[:, 2])
-                columns = [batch.column(n).take(pa.array(rows, pa.int64())) for n in names]
-                columns += [ids.take(rule), patterns.take(rule), pa.array(at[:, 1]), pa.array(at[:, 0])]
-                return pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-            for row, value in enumerate(batch.column(text)):
-                matches = _occurrences(_fold(value.as_py()), automaton)
-                rows += [row] * len(matches)
-                found += matches
-                if len(found) > _MATCHES_PER_BATCH:
-                    yield piece()
-                    rows, found = [], []
-            yield piece()
+            first, texts, size = 0, [], 0
+            for value in batch.column(text):
+                texts.append(_folded_bytes(value.as_py()))
+                size += len(texts[-1])
+                if size > _BYTES_AT_ONCE:
+                    yield from pieces(batch, first, texts)
+                    first, texts, size = first + len(texts), [], 0
+            if texts:
+                yield from pieces(batch, first, texts)
 
     if not usable:
         return df.drop(text).mapInArrow(lambda batches: iter(()), schema)
-    # texts without any match never reach the search
-    return df.where(signature_any(F.col(text), usable, is_binary(df, text))).mapInArrow(locate, schema)
+    # the search passes over a text faster than the JVM folds it, so there is no test before it
+    return df.where(F.length(text) > 0).mapInArrow(locate, schema)
 
 
 def signature_names(df: DataFrame, text: str, rules: Sequence[Rule]) -> DataFrame:
@@ -155,15 +209,18 @@ def signature_names(df: DataFrame, text: str, rules: Sequence[Rule]) -> DataFram
     if not usable:
         return df.withColumn("names", F.array().cast("array<string>"))
     binary = is_binary(df, text)
-
-    def firsts(t: Column) -> Column:
-        places = F.transform(_rule_table(usable, binary), lambda r, i: F.struct(
-            (F.position(r["folded"], t) + F.length(r["folded"])).alias("stop"), F.position(r["folded"], t).alias("start"),
-            i.alias("number"), r["pattern"].alias("pattern")))
-        return F.transform(F.sort_array(F.filter(places, lambda p: p["start"] > 0)), lambda p: p["pattern"])
-
-    named = F.get(F.transform(F.array(_folded_text(F.col(text), binary)), firsts), F.lit(0))
-    return df.withColumn("names", F.coalesce(named, F.array().cast("array<string>")))
+    folded, *places = unused_names(df.columns, ["_folded", *(f"_at_{i}" for i in range(len(usable)))])
+    # a projection of its own: the text is folded once, and every pattern is looked up once, in generated code;
+    # a search for bytes decides first, since one that counts characters takes much longer
+    found = df.withColumn(folded, _folded_text(F.col(text), binary)).select(
+        *df.columns, *[F.when(F.contains(F.col(folded), _folded_pattern(p, binary)), F.position(_folded_pattern(p, binary), F.col(folded))).alias(c)
+                       for c, (_, p) in zip(places, usable)])
+    spots = F.array(*[
+        F.when(F.col(c) > 0, F.struct(
+            (F.col(c) + F.length(_folded_pattern(p, binary))).alias("stop"), F.col(c).alias("start"), F.lit(i).alias("number"), F.lit(p).alias("pattern")))
+        for i, (c, (_, p)) in enumerate(zip(places, usable))])
+    return found.withColumn("names", F.transform(F.sort_array(F.array_compact(spots)), lambda s: s["pattern"])).select(
+        *[c for c in df.columns if c != "names"], "names")
 
 
 def rule_counts(

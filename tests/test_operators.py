@@ -180,6 +180,35 @@ def test_gate_sees_the_whole_payload(spark):
     assert [r["gate"] for r in gates.gated_flows(df, [("q", "q")], 60 * S).orderBy("dst_ip").collect()] == [2, 2, 1, 2]
 
 
+def test_names_look_each_pattern_up_once(spark):
+    """The text is folded once, and no pattern is searched twice."""
+    df = spark.createDataFrame([(1, "ushers", "x"), (2, None, "y"), (3, "", "z")], "id int, text string, _folded string")
+    named = signatures.signature_names(df, "text", RULES)
+    plan = named._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(text") == 1 and plan.count("locate(") + plan.count("position(") == len([p for _, p in RULES if p])
+    assert named.columns == ["id", "text", "_folded", "names"] and {r["id"]: r["names"] for r in named.collect()}[1][:2] == ["she", "he"]
+
+
+def test_offsets_are_searched_in_chunks_of_texts(spark, monkeypatch):
+    """Long and short texts, patterns of one byte, matches in pieces; nothing matches across two texts."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abAé\0 ") for _ in range(rng.choice([0, 1, 2, 50, 400]))) for _ in range(300)]
+    rules = [("a", "a"), ("ab", "AB"), ("aba", "aba"), ("é", "É"), ("nul", "b\0"), ("same", "ab")]
+    got = signatures._Finder([signatures._fold(p) for _, p in rules])([signatures._folded_bytes(t) for t in texts])
+    want = []
+    for row, t in enumerate(texts):
+        raw = t.lower().encode()
+        for number, (_, p) in enumerate(rules):
+            p = p.lower().encode()
+            want += [(row, i + len(p), i, number) for i in range(len(raw)) if raw.startswith(p, i)]
+    assert list(zip(*(c.tolist() for c in got))) == sorted(want)
+    monkeypatch.setattr(signatures, "_BYTES_AT_ONCE", 700)
+    monkeypatch.setattr(signatures, "_MATCHES_PER_BATCH", 50)
+    df = spark.createDataFrame([*enumerate(texts), (999, None)], "id int, text string")
+    found = signatures.signature_offsets(df, "text", rules).collect()
+    assert sorted((r["id"], r["stop"], r["start"], r["rule_id"]) for r in found) == sorted((i, e, s, rules[n][0]) for i, e, s, n in want)
+
+
 def test_address_ranges(spark):
     df = spark.createDataFrame([("10.0.0.1", "x"), ("10.0.0.150", "x"), ("fe80::1", "10.0.1.7"), (None, "10.0.0.300")], "src_ip string, dst_ip string")
     kept = lambda net: [r["src_ip"] for r in P.packet_filter(df, net=net).collect()]
