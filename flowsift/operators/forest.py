@@ -8,10 +8,12 @@ ships a few hundred rows per tree whatever the table's size, and the model
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ from flowsift.session import cut_lineage
 
 TREES, SAMPLE = 100, 256  # fixed values of the detector
 _HASH_RANGE = 1 << 40
+_ROWS_AT_ONCE = 4096  # of a batch: what is held for them stays in the processor's cache
 _NODES = "tree int, node int, feature int, threshold double, below int, above int, length double"
 
 
@@ -53,6 +56,98 @@ def _grow(x: np.ndarray, limit: int, rng: np.random.Generator) -> list[tuple]:
     return nodes
 
 
+_MOST_FEATURES, _MOST_BYTES = 24, 1 << 26  # of a forest whose cuts are looked up; others are walked level by level
+
+
+class _Tree:
+    """A tree as arrays; ``to[2 * k]`` follows node ``k`` above its cut, ``to[2 * k + 1]`` below, a leaf follows itself."""
+
+    def __init__(self, nodes: pd.DataFrame):
+        self.feature, self.cut = nodes["feature"].to_numpy(np.intp), nodes["threshold"].to_numpy(np.float64)
+        below, above = nodes["below"].to_numpy(np.intp), nodes["above"].to_numpy(np.intp)
+        self.inner, self.length, own = self.feature >= 0, nodes["length"].to_numpy(np.float64), np.arange(len(nodes))
+        self.to = np.stack([np.where(self.inner, above, own), np.where(self.inner, below, own)], axis=1).ravel()
+        # leaves from the lowest cuts up, each inner node's leaves below its cut, and the depth
+        self.leaves, self.under, self.depth, todo = [], {}, 0, [(0, 0)]
+        while todo:
+            k, depth = todo.pop()
+            if depth < 0:  # what is below node k is done
+                self.under[k] = (self.under[k], len(self.leaves))
+            elif self.inner[k]:
+                self.under[k] = len(self.leaves)
+                self.depth = max(self.depth, depth + 1)
+                todo += [(int(above[k]), depth + 1), (k, -1), (int(below[k]), depth + 1)]
+            else:
+                self.leaves.append(k)
+
+    def walk(self, x: np.ndarray) -> np.ndarray:
+        """Path lengths: all rows go down one level at a time; rows at a leaf stay there."""
+        flat, first, feature = x.ravel(), np.arange(len(x)) * x.shape[1], np.maximum(self.feature, 0)
+        at = np.zeros(len(x), dtype=np.intp)
+        for _ in range(self.depth):
+            low = flat.take(feature.take(at) + first) <= self.cut.take(at)
+            at = self.to.take(2 * at + low)
+        return self.length.take(at)
+
+    def masks(self, cuts: dict[int, np.ndarray]) -> tuple[list[tuple[int, list[np.ndarray]]], np.ndarray]:
+        """Per feature and number of cuts below a value: 64 leaves a word, those that the value leaves possible; and the leaves' lengths."""
+        words, found = -(-len(self.leaves) // 64), {}
+        for k, (first, last) in self.under.items():
+            f = int(self.feature[k])
+            table = found.setdefault(f, [np.full(len(cuts[f]) + 1, ~np.uint64(0)) for _ in range(words)])
+            beyond = int(np.searchsorted(cuts[f], self.cut[k])) + 1
+            bits = (1 << last) - (1 << first)
+            for w in range(words):
+                table[w][beyond:] &= np.uint64(~(bits >> 64 * w) & (1 << 64) - 1)
+        return list(found.items()), self.length[self.leaves]
+
+
+class _Paths:
+    """Sums of path lengths over trees.
+
+    A value's place among all cuts of its feature tells, per tree, which leaves
+    it leaves possible; the lowest leaf that all features leave is the row's.
+    """
+
+    def __init__(self, trees: list[_Tree]):
+        self.trees = trees
+        self.cuts = {int(f): np.unique(np.concatenate([t.cut[t.feature == f] for t in trees]))
+                     for f in np.unique(np.concatenate([np.zeros(0, np.intp), *(t.feature[t.inner] for t in trees)]))}
+        size = sum(8 * -(-len(t.leaves) // 64) * (len(self.cuts[int(f)]) + 1) for t in trees for f in np.unique(t.feature[t.inner]))
+        looked_up = len(self.cuts) <= _MOST_FEATURES and size <= _MOST_BYTES
+        self.masks = [t.masks(self.cuts) for t in trees] if looked_up else None
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(x))
+        if self.masks is None:
+            for tree in self.trees:
+                total += tree.walk(x)
+            return total
+        place = {f: np.searchsorted(c, x[:, f]) for f, c in self.cuts.items()}  # NaN is beyond all cuts
+        for tables, length in self.masks:
+            if not tables:
+                total += length[0]
+                continue
+            leaf, open_ = None, None
+            for w in range(len(tables[0][1])):
+                left = tables[0][1][w].take(place[tables[0][0]])
+                for f, table in tables[1:]:
+                    left &= table[w].take(place[f])
+                zeros = np.bitwise_count(~left & (left - np.uint64(1))).astype(np.intp)  # before the lowest bit; 64 if there is none
+                leaf = zeros if leaf is None else leaf + open_ * zeros
+                open_ = leaf == 64 * (w + 1)
+            total += length.take(leaf)
+        return total
+
+
+def _matrix(rows: pa.Array) -> np.ndarray:
+    """Vectors as rows of doubles; a missing number is NaN."""
+    if rows.null_count:
+        raise ValueError("null vector")
+    values = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return np.ascontiguousarray(values).reshape(len(rows), -1)
+
+
 def hash_samples(df: DataFrame, row_id: str, vector: str, trees: int, sample: int, seed: int) -> DataFrame:
     """Per tree, the ``sample`` rows with the smallest hash of (row, tree).
 
@@ -84,26 +179,16 @@ class IsolationForest:
 
     def anomaly(self, vector: Column) -> Column:
         """2^(-mean path / expected path): near 1 is anomalous."""
-        tables = [g.drop(columns="tree").to_numpy(dtype=np.float64) for _, g in self.nodes.groupby("tree", sort=True)]
+        trees = [g.drop(columns="tree") for _, g in self.nodes.groupby("tree", sort=True)]
         expected = _mean_path(self.sample) or 1.0
 
-        @F.pandas_udf("double")
-        def score(rows: pd.Series) -> pd.Series:
-            x = np.stack([np.asarray(r, dtype=np.float64) for r in rows]) if len(rows) else np.zeros((0, 1))
-            total = np.zeros(len(x))
-            every = np.arange(len(x))
-            for t in tables:
-                feature, cut, below, above = t[:, 1].astype(int), t[:, 2], t[:, 3].astype(int), t[:, 4].astype(int)
-                at = np.zeros(len(x), dtype=int)
-                while True:
-                    f = feature[at]
-                    inner = f >= 0
-                    if not inner.any():
-                        break
-                    step = np.where(x[every, np.maximum(f, 0)] <= cut[at], below[at], above[at])
-                    at = np.where(inner, step, at)
-                total += t[at, 5]
-            return pd.Series(np.power(2.0, -total / len(tables) / expected))
+        @F.arrow_udf("double")
+        def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            paths = _Paths([_Tree(g) for g in trees])
+            for rows in batches:
+                found = [paths(_matrix(rows.slice(at, _ROWS_AT_ONCE))) for at in range(0, len(rows), _ROWS_AT_ONCE)]
+                total = np.concatenate([np.zeros(0), *found])
+                yield pa.array(np.power(2.0, -total / len(trees) / expected))
 
         return score(vector)
 

@@ -33,6 +33,34 @@ def test_isolation_forest_does_not_depend_on_partitions(blob):
     pd.testing.assert_frame_equal(a.nodes, b.nodes)
 
 
+@pytest.mark.parametrize("width", [1, 4, 40])
+def test_forest_paths_equal_a_plain_walk(width):
+    """By look-ups and level by level, to the bit; missing numbers go above every cut."""
+    rng = np.random.default_rng(6)
+    trees = [rng.normal(size=(n, width)).round(1) for n in (1, 2, 90, 256, 256)]
+    nodes = pd.DataFrame(
+        [(t, *n) for t, x in enumerate(trees) for n in forest._grow(x, 8, np.random.default_rng(t))],
+        columns=["tree", "node", "feature", "threshold", "below", "above", "length"])
+    tables = [g.reset_index(drop=True) for _, g in nodes.groupby("tree")]
+    x = rng.normal(size=(300, width)).round(1) * 1.5
+    x[3, 0], x[4] = np.nan, np.nan
+    x[5, 0] = nodes.threshold[nodes.feature == 0].iloc[0]
+
+    def path(table, row):
+        at = 0
+        while table.feature[at] >= 0:
+            at = table.below[at] if row[table.feature[at]] <= table.threshold[at] else table.above[at]
+        return table.length[at]
+
+    want = np.zeros(len(x))
+    for table in tables:
+        want += [path(table, row) for row in x]
+    paths = forest._Paths([forest._Tree(t) for t in tables])
+    assert (paths.masks is None) == (width > forest._MOST_FEATURES) and (paths(x) == want).all()
+    paths.masks = None
+    assert (paths(x) == want).all()
+
+
 def test_samples_of_a_large_table_are_full_and_spread(spark):
     rows = spark.range(20_000).select("id", F.array(F.col("id").cast("double")).alias("v"))
     drawn = forest.hash_samples(rows, "id", "v", trees=20, sample=16, seed=7).select("tree", F.col("v")[0].alias("x")).toPandas()
