@@ -22,7 +22,10 @@ from flowsift.functions.vectors import clip01
 from flowsift.operators import graph
 from flowsift.operators.baseline import THRESHOLD_FLOOR, last_sequences, training_sequences
 from flowsift.operators.ordering import exact_percentiles, keyed_seq
-from flowsift.session import cut_lineage
+from flowsift.session import cut_lineage, shuffle_partitions
+
+
+_FOLD_ROWS = 50_000
 
 
 def as_vectors(df: DataFrame, vector: str, out: str = "_features") -> DataFrame:
@@ -64,9 +67,15 @@ def attack_probability(model, df: DataFrame, vector: str, out: str) -> DataFrame
 
 
 def stratified_folds(df: DataFrame, label: str, row_id: str, folds: int = 5, seed: int = 42) -> DataFrame:
-    """Fold numbers of equal size within each class, in hash order."""
+    """Fold numbers of equal size within each class, in hash order.
+
+    Every fit on the folds runs many short jobs over them, so there are no more
+    partitions than cores until each holds ``_FOLD_ROWS`` rows.
+    """
+    spark = df.sparkSession
+    partitions = min(shuffle_partitions(spark), max(spark.sparkContext.defaultParallelism, df.count() // _FOLD_ROWS))
     hashed = df.withColumn("_h", F.xxhash64(F.col(row_id), F.lit(seed)))
-    numbered = keyed_seq(hashed, [label], ["_h", row_id], "_k")
+    numbered = keyed_seq(hashed, [label], ["_h", row_id], "_k", partitions)
     return numbered.withColumn("fold", F.pmod(F.col("_k") - 1, F.lit(folds)).cast("int")).drop("_h", "_k")
 
 
@@ -96,8 +105,14 @@ class Halving:
     fits: int
 
 
-def fold_areas(estimator, folded: DataFrame, grid: list[dict], folds: Sequence[int], points: Sequence[int] | None = None, parallelism: int = 4) -> dict:
-    """Area under the curve on each fold of a model fitted on the others, as ``{(point, fold): area}``; fits run side by side."""
+def fold_areas(
+    estimator, folded: DataFrame, grid: list[dict], folds: Sequence[int], points: Sequence[int] | None = None, parallelism: int = 4,
+    known: dict | None = None,
+) -> dict:
+    """Area under the curve on each fold of a model fitted on the others, as ``{(point, fold): area}``; fits run side by side.
+
+    ``known`` areas, of the same estimator, folds and grid, are not worked out again.
+    """
     evaluator = BinaryClassificationEvaluator(labelCol="_label", rawPredictionCol="rawPrediction")
 
     def area(job: tuple[int, int]) -> float:
@@ -107,8 +122,10 @@ def fold_areas(estimator, folded: DataFrame, grid: list[dict], folds: Sequence[i
         return evaluator.evaluate(model.transform(folded.where(F.col("fold") == fold)))
 
     jobs = [(point, fold) for point in (range(len(grid)) if points is None else points) for fold in folds]
+    given = {job: known[job] for job in jobs if job in (known or {})}
+    left = [job for job in jobs if job not in given]
     with ThreadPoolExecutor(parallelism) as pool:  # only submits jobs: the fits are Spark's
-        return dict(zip(jobs, pool.map(area, jobs)))
+        return given | dict(zip(left, pool.map(area, left)))
 
 
 def halving_search(estimator, folded: DataFrame, grid: list[dict], folds: int = 5, keep: float = 0.5, parallelism: int = 4) -> Halving:

@@ -93,6 +93,17 @@ def test_search(blob):
     assert len(grid) == 2 and max(found.avgMetrics) > 0.9
 
 
+def test_known_areas_are_not_fitted_again(spark, blob):
+    folded = learn.stratified_folds(learn.training_frame(blob, "v", "y"), "y", "id", 2).cache()
+    assert folded.rdd.getNumPartitions() <= max(spark.sparkContext.defaultParallelism, 1)
+    grid = [{"maxDepth": 1}, {"maxDepth": 2}]
+    every = learn.fold_areas(learn.random_forest(trees=3), folded, grid, range(2))
+    again = learn.fold_areas(None, None, grid, range(2), known=every)
+    assert again == every
+    part = learn.fold_areas(learn.random_forest(trees=3), folded, grid, range(2), known={(0, 0): 0.25})
+    assert part[0, 0] == 0.25 and part.keys() == every.keys() and part[1, 1] == pytest.approx(every[1, 1])
+
+
 def test_reconstruction_scores_outliers(blob):
     flat = blob.where("y = 0").withColumn("v", F.transform("v", lambda x: x))
     model = learn.fit_reconstruction(flat, "v", 2, 0.9)
