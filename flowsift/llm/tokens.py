@@ -8,7 +8,9 @@ chunks are spliced there.  Where an overlap holds no such place it is doubled,
 up to the whole text.
 
 Ids: texts are split at ASCII white space, which the tokenizer drops and never
-joins over, so every word's ids can be looked up among those seen before.
+joins over, so every word's ids can be looked up among those seen before.  A
+word's ids are those of its letters and those of the ASCII punctuation after
+them, so a word that is known with other punctuation is not encoded again.
 
 Null texts are empty and have no tokens.  Special tokens that occur in a text
 are read as the tokenizer's default does.  Empty tables give empty results.
@@ -17,6 +19,8 @@ are read as the tokenizer's default does.  Empty tables give empty results.
 from __future__ import annotations
 
 import os
+import string
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: What may follow a word without changing its own tokens.
+_PUNCTUATION = string.punctuation.encode()
+
 CHUNK = 16_384
 OVERLAP = 512
 #: Words whose ids a worker remembers before it starts afresh (about 200 bytes each).
-WORDS_KEPT = 1_200_000
+WORDS_KEPT = 600_000
 LIMIT = 2048
 
 
@@ -107,6 +114,12 @@ def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     return rows.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
+def _letters(word: bytes) -> bool:
+    """Letters only; the last one is a letter since an early Unicode, which every tokenizer's tables know."""
+    text = word.decode()
+    return text.isalpha() and (text.isascii() or unicodedata.ucd_3_2_0.category(text[-1])[0] == "L")
+
+
 def _remembered(path: str) -> dict[bytes, bytes]:
     """What a worker has learnt outlives its tasks: this package is shipped by value, an installed module stays."""
     import tokenizers
@@ -117,8 +130,10 @@ def _remembered(path: str) -> dict[bytes, bytes]:
 class WordIds:
     """Token ids of texts by words; remembers the words it has seen.
 
-    Words new to a group of texts are encoded in one go, a special token between
-    any two.  A text that may hold special tokens itself is encoded as it is.
+    Words new to a group of texts are encoded in one go.  Letters alone are one
+    piece of the tokenizer: joined by spaces, each ends where a token closes a
+    piece.  Between other words stands a special token.  A text that may hold
+    special tokens itself is encoded as it is.
     """
 
     def __init__(self, path: str, kept: int = WORDS_KEPT, group: int = 200):
@@ -127,20 +142,51 @@ class WordIds:
         self.separator = max(special)
         self.between = special[self.separator].content
         self.marks = [t.content.encode().lower() for t in special.values()]
+        vocabulary = self.tokenizer.get_vocab()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.closing = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.closing[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, ends: np.ndarray, gap: int) -> None:
+        """Ids of each word: up to its end, the next word's after ``gap`` more."""
+        raw, ends = ids.tobytes(), (4 * ends).tolist()
+        self.known.update(zip(words, (raw[a:b] for a, b in zip([0, *(e + 4 * gap for e in ends)], ends))))
 
     def _learn(self, words: list[bytes]) -> None:
+        cores = {word: word.rstrip(_PUNCTUATION) for word in words}
+        letters = set(filter(_letters, cores.values()))
+        # punctuation is a piece of its own after a letter only
+        tailed = [(word, core) for word, core in cores.items() if core is not word and core in letters]
+        tails = {word[len(core):] for word, core in tailed}
+        self._learn_letters(list(letters.difference(self.known)))
+        self._learn_any(list(tails.difference(self.known)))
+        for word, core in tailed:
+            self.known[word] = self.known[core] + self.known[word[len(core):]]
+        self._learn_any([word for word, core in cores.items() if core not in letters])
+
+    def _learn_letters(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), 5000):
+            part = words[at:at + 5000]
+            ids = self._ids(b" ".join(part).decode())
+            ends = np.flatnonzero(self.closing[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                self._keep(part, ids, ends, 0)
+            else:  # not every word is one piece
+                self._learn_any(part)
+
+    def _learn_any(self, words: list[bytes]) -> None:
         for at in range(0, len(words), 5000):
             part = words[at:at + 5000]
-            ids = self.tokenizer.encode_batch_fast([self.between.join(w.decode() for w in part)], add_special_tokens=False)[0].ids
-            ids = np.array(ids, dtype="<u4")
-            ends = (4 * np.flatnonzero(ids == self.separator)).tolist()
-            if len(ends) != len(part) - 1:  # a word brought separators of its own
-                for word in part:
-                    own = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-                    self.known[word] = np.array(own, dtype="<u4").tobytes()
+            ids = self._ids(self.between.join(w.decode() for w in part))
+            ends = np.flatnonzero(ids == self.separator)
+            if len(ends) == len(part) - 1:
+                self._keep(part, ids, np.append(ends, len(ids)), 1)
                 continue
-            raw = ids.tobytes()
-            self.known.update(zip(part, (raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(raw)]))))
+            for word in part:  # one brought separators of its own
+                self.known[word] = self._ids(word.decode()).tobytes()
 
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
         for at in range(0, len(texts), self.group):
