@@ -6,7 +6,8 @@ sets are one node.  Two nodes link if 100 |A n B| >= 80 |A u B|.
 Index.  Under any one order of shingles, two sets that link share two among the
 first n - ceil(0.8 n) + 2 of each, so one shared shingle is no reason to compare.
 The order is by hash, with shingles that very many sets hold last; counts cover
-all texts, and only the order, never the result, depends on them.  The index list of a shingle is sorted by set size and
+all texts (a task leaves out what one of its texts alone holds), and only the
+order, never the result, depends on them.  The index list of a shingle is sorted by set size and
 cut into blocks; a block is skipped against another one if its sizes or its
 positions leave too small an overlap.
 
@@ -47,6 +48,8 @@ LEAST = 80
 #: Sets that hold a shingle from which it comes late in the order, and how many such shingles tasks are told of (the most frequent).
 FREQUENT = 50
 MOST_FREQUENT = 1_000_000
+#: Shingles that a task counts at once.
+COUNTED = 4_000_000
 #: Smaller sets link to equal ones only.
 LEAST_SET = 4
 #: Partners that a set is given in a list and round.
@@ -115,33 +118,56 @@ def _sets(texts: pa.Array) -> Iterator[np.ndarray]:
         yield shingles(text.as_py())
 
 
+def _often(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that come at least twice, and how often."""
+    found = np.sort(np.concatenate(parts or [np.zeros(0, np.uint64)]))
+    starts = _starts(found) if len(found) else np.zeros(0, np.int64)
+    times = np.diff(np.append(starts, len(found)))
+    return found[starts[times > 1]].view(np.int64), times[times > 1]
+
+
 def nodes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, node`` for every row."""
+    """``doc_id, n_shingles, node, times``: every row, with null ``times``; and shingles (as ``node``) that ``times`` texts of a task could index.
+
+    A task says nothing of shingles that only one of its texts holds (of some
+    ``COUNTED`` in a row): lists that all tasks fill so are no longer than the
+    tasks are many.
+    """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        early, held, kind = [], 0, None
+
+        def counted() -> pa.RecordBatch:
+            often, times = _often(early)
+            return pa.RecordBatch.from_arrays([pa.nulls(len(often), kind), pa.nulls(len(often), pa.int64()), pa.array(often), pa.array(times, pa.int64())],
+                                              names=["doc_id", "n_shingles", "node", "times"])
+
         for batch in batches:
-            sizes, names = [], []
+            sizes, names, kind = [], [], batch.column("doc_id").type
             for found in _sets(batch.column("text")):
                 sizes.append(len(found))
                 names.append(node_of(found))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64())],
-                                             names=["doc_id", "n_shingles", "node"])
-
-    return rows.mapInArrow(name, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long")
+                early.append(found[:prefix_length(len(found)) * 3 // 2])
+                held += len(early[-1])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.nulls(len(sizes), pa.int64())],
+                                             names=["doc_id", "n_shingles", "node", "times"])
+            if held > COUNTED:
+                yield counted()
+                early, held = [], 0
+        if held:
+            yield counted()
 
+    return rows.mapInArrow(name, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long, times long")
 
-def frequent_shingles(docs: DataFrame, text: str) -> np.ndarray:
-    """Shingles of many texts among those that could be indexed, at most ``MOST_FREQUENT``."""
-
-    def early(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [found[:prefix_length(len(found)) * 3 // 2] for found in _sets(batch.column(0)) if len(found)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts or [np.zeros(0, np.uint64)]).view(np.int64))], names=["shingle"])
 
-    counts = docs.select(text).mapInArrow(early, "shingle long").groupBy("shingle").count().where(F.col("count") > FREQUENT)
-    most = counts.orderBy(F.desc("count"), "shingle").limit(MOST_FREQUENT)
-    return np.sort(np.array([r["shingle"] for r in most.select("shingle").collect()], dtype=np.int64).view(np.uint64))
+def named_and_late(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, np.ndarray]:
+    """``doc_id, n_shingles, node`` of every row, and the shingles of many texts, at most ``MOST_FREQUENT``; the texts are read once for both."""
+    both = cut_lineage(nodes(docs, doc_id, text))
+    counts = both.where("times is not null").groupBy("node").agg(F.sum("times").alias("times")).where(F.col("times") > FREQUENT)
+    most = counts.orderBy(F.desc("times"), "node").limit(MOST_FREQUENT)
+    late = np.sort(np.array([r["node"] for r in most.select("node").collect()], dtype=np.int64).view(np.uint64))
+    return both.where("times is null").drop("times"), late
 
 
 def index_rows(docs: DataFrame, text: str, late: np.ndarray) -> DataFrame:
@@ -452,10 +478,9 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     return cut_lineage(known.unionByName(fresh))
 
 
-def linked_sets(docs: DataFrame, named: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``node, root``: components of the sets that have links; ``named`` is what :func:`nodes` says of ``docs``."""
+def linked_sets(docs: DataFrame, named: DataFrame, late: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``node, root``: components of the sets that have links; ``named`` and ``late`` are what :func:`named_and_late` says of ``docs``."""
     holders = cut_lineage(named.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("holder")))
-    late = frequent_shingles(docs, text)
     found = proposals(index_rows(docs, text, late))
     # a linked pair shares two lists: two short ones, which propose all pairs, or a longer one, which is looked at again
     pairs = found.where("n is null").groupBy(F.col("a").alias("x"), F.col("b").alias("y")).agg(F.sum("pos").alias("lists"))
@@ -480,11 +505,13 @@ def linked_sets(docs: DataFrame, named: DataFrame, doc_id: str = "doc_id", text:
 
     def verified(candidates: DataFrame) -> DataFrame:
         nonlocal whole, ends
-        missing = cut_lineage(_ends(candidates).join(ends, "node", "left_anti"))
+        wanted = cut_lineage(_ends(candidates))
+        missing = cut_lineage(wanted.join(ends, "node", "left_anti"))
         if not missing.isEmpty():
             whole = whole.unionByName(cut_lineage(sets_of(docs, doc_id, text, holders, missing, whole=True)))
             ends = ends.unionByName(missing)
-        return cut_lineage(_kept(_with_data(candidates, whole), _link))
+        # only the sets of this round move
+        return cut_lineage(_kept(_with_data(candidates, whole.join(small(wanted), "node", "left_semi")), _link))
 
     # then the other likely pairs that are not connected yet
     open_ = between(likely.join(picked, ["x", "y"], "left_anti"))
@@ -517,8 +544,8 @@ def linked_sets(docs: DataFrame, named: DataFrame, doc_id: str = "doc_id", text:
 
 def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``."""
-    named = cut_lineage(nodes(docs, doc_id, text))
-    roots = linked_sets(docs, named, doc_id, text)
+    named, late = named_and_late(docs, doc_id, text)
+    roots = linked_sets(docs, named, late, doc_id, text)
     at = small(roots.select(F.col("node").alias("_node"), "root"))
     rooted = named.join(at, F.col("node") == F.col("_node"), "left").select(
         "doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
@@ -536,8 +563,8 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     Rows without words stay, all of them.  Of repeated rows one stays.
     """
-    named = cut_lineage(nodes(docs, doc_id, text))
-    roots = small(linked_sets(docs, named, doc_id, text).select(F.col("node").alias("_node"), "root"))
+    named, late = named_and_late(docs, doc_id, text)
+    roots = small(linked_sets(docs, named, late, doc_id, text).select(F.col("node").alias("_node"), "root"))
     full = named.where("n_shingles > 0").join(roots, F.col("node") == F.col("_node"), "left").select(
         "doc_id", "node", F.coalesce("root", "node").alias("root"))
     full = cut_lineage(full.groupBy("root", "doc_id", "node").agg(F.count(F.lit(1)).alias("rows")))

@@ -23,6 +23,8 @@ DEFAULTS = {
 }
 
 
+#: Whether the shuffle files of a query go when it ends.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bits of a size estimate, in bytes, that can be taken seriously.
 _MOST_BITS = 62
 
@@ -64,10 +66,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     with every round, until planning takes longer than the work.  An estimate
     beyond any real size is therefore dropped: the frame is made anew from its
     rows.
+
+    The shuffle files behind a checkpoint are not needed any more; they go at
+    once and not when the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     _ensure_checkpoint_dir(spark)
-    cut = df.checkpoint(eager=True)
+    before = spark.conf.get(_CLEAN_UP)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        cut = df.select("*").checkpoint(eager=True)  # a plan of its own: what else uses df keeps its shuffles
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
     plan = cut._jdf.queryExecution()
     if int(plan.optimizedPlan().stats().sizeInBytes()).bit_length() <= _MOST_BITS:
         return cut

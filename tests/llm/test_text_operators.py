@@ -543,3 +543,37 @@ def test_pipeline_stages(spark, sf):
     before, after = plain["packing"]
     assert after.length.sum() == sum(len(i) + 1 for i in _ids(before.text))
     assert pipeline.run(spark, sf).agg({"length": "sum"}).first()[0] == after.length.sum()
+
+
+def test_ngram_counts_come_with_the_sets(spark):
+    # one pass over the texts names the sets and counts shingles, within tasks and over them
+    texts = ["a b c d e f " + f"x{i}" for i in range(60)] + ["p q r s t u"] * 40 + [None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    named, late = ngram_join.named_and_late(docs, "doc_id", "text")
+    assert named.columns == ["doc_id", "n_shingles", "node"] and named.count() == len(texts)
+    often = [s for t in texts for s in (lambda f: f[:ngram_join.prefix_length(len(f)) * 3 // 2])(ngram_join.shingles(t)).tolist()]
+    assert late.tolist() == sorted(s for s in set(often) if often.count(s) > ngram_join.FREQUENT)
+
+
+def test_words_with_other_punctuation_are_not_encoded_again():
+    ids_of = tokens.WordIds(tokens.vocabulary())
+    ids_of.known = {}
+    plain, seen = ids_of.tokenizer, []
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(plain, name)
+
+        def encode_batch_fast(self, texts, **more):
+            seen.extend(texts)
+            return plain.encode_batch_fast(texts, **more)
+
+    ids_of.tokenizer = Counted()
+    odd = [
+        "stone stone, STONE. stone!? (stone) stone's 'stone' stone...", "İstanbul. İstanbul ΣΟΣ. ς, é. é ñ,",
+        "a1. 1, 1.5! x…. …. ª. ². 你好. あ! ࡱ. \U00010f70. ࡱ Ꟁ, ́. áb.", "don't. 're, 's. ' . .. <|x|> ''' ×. ≠. =. </w> a</w>.",
+    ]
+    for _ in range(2):
+        for text, ids in zip(odd, ids_of(odd)):
+            assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    assert sum(text.split().count("stone") for text in seen) == 1 and "stone," not in " ".join(seen)

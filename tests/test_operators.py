@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import deque
 
 import numpy as np
@@ -15,6 +16,7 @@ from flowsift.functions import vectors as V
 from flowsift.operators import alerts as A
 from flowsift.operators import baseline, connections, ensemble, evaluate, flows, gates, graph, ordering, signatures, similar, ticks
 from flowsift.plans import fixtures as fx
+from flowsift.session import cut_lineage
 
 PACKET = "packet_id long, ts_us long, src_ip string, dst_ip string, src_port int, dst_port int, protocol int, length long, flags int"
 S = 1_000_000
@@ -411,3 +413,14 @@ def test_packet_columns(spark):
 def test_views_are_whole(spark, sf):
     n = fx.table(spark, sf, "events").count()
     assert all(fx.view(spark, sf, v).count() == n for v in ("packets", "scores", "alerts", "payloads"))
+
+
+def test_shuffle_files_behind_a_checkpoint_go_at_once(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    kept = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    counted = spark.range(10_000).groupBy((F.col("id") % 997).alias("k")).count()
+    before, cut, deadline = kept(), cut_lineage(counted), time.time() + 20
+    while (left := kept() - before) and time.time() < deadline:
+        time.sleep(0.2)  # files go in the background
+    assert not left
+    assert cut.count() == 997 and len(counted.collect()) == 997  # its own plan still has what it needs
