@@ -49,7 +49,7 @@ LEAST = 80
 FREQUENT = 50
 MOST_FREQUENT = 1_000_000
 #: Shingles that a task counts at once.
-COUNTED = 4_000_000
+COUNTED = 1_000_000
 #: Smaller sets link to equal ones only.
 LEAST_SET = 4
 #: Partners that a set is given in a list and round.
@@ -148,7 +148,7 @@ def nodes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
             for found in _sets(batch.column("text")):
                 sizes.append(len(found))
                 names.append(node_of(found))
-                early.append(found[:prefix_length(len(found)) * 3 // 2])
+                early.append(found[:prefix_length(len(found)) * 3 // 2].copy())  # not the whole set
                 held += len(early[-1])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.nulls(len(sizes), pa.int64())],
                                              names=["doc_id", "n_shingles", "node", "times"])
