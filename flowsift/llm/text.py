@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowsift.session import cut_lineage
+
 #: White space that separates words.
 SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -51,3 +53,13 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     ``df`` should be written out already: its rows are counted here.
     """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+#: Rows up to which a table of short rows is kept in one partition.
+FEW_ROWS = 50_000
+
+
+def few(df: DataFrame, rows: int = FEW_ROWS) -> DataFrame:
+    """``df`` written out, in one partition if it has at most ``rows`` rows: steps on it then need no shuffles and no empty tasks."""
+    df = cut_lineage(df)
+    return cut_lineage(df.coalesce(1)).coalesce(1) if df.limit(rows + 1).count() <= rows else df

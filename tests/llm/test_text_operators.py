@@ -577,3 +577,29 @@ def test_words_with_other_punctuation_are_not_encoded_again():
         for text, ids in zip(odd, ids_of(odd)):
             assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, text
     assert sum(text.split().count("stone") for text in seen) == 1 and "stone," not in " ".join(seen)
+
+
+def test_sets_move_once_a_bundle(spark, monkeypatch):
+    # a set goes to the bundles of its pairs, not to each pair; a bundle of large sets is cut up
+    clique = [(i, j, 100, 100) for i in range(30) for j in range(i + 1, 30)]
+    chain = [(100, 101, 100, 100), (101, 102, 100, 100)]
+    pairs = spark.createDataFrame(clique + chain, "x long, y long, nx long, ny long")
+    rows = ngram_join.bundles(pairs).collect()
+    assert sorted((r.x, r.y) for r in rows) == sorted((x, y) for x, y, _, _ in clique + chain)
+    assert len({(node, r.bundle) for r in rows for node in (r.x, r.y)}) == 33
+    monkeypatch.setattr(ngram_join, "BUNDLE", 10_000)
+    assert len({r.bundle for r in ngram_join.bundles(pairs).collect() if r.x == 0}) == 1
+    monkeypatch.setattr(ngram_join, "BUNDLE", 2_000)
+    parts = Counter(r.bundle for r in ngram_join.bundles(pairs).collect() if r.x < 100)
+    assert sum(parts.values()) == len(clique) and max(parts.values()) < 40
+
+
+def test_only_lists_that_hold_back_pairs_come_again(spark):
+    # three sets of list 1 have all their pairs proposed at once, those of list 2 get one partner each
+    same = bytes(8 * ngram_join.BITMAP)
+    rows = [(1, i, 10, 0, i, same, 0, -1) for i in range(3)] + [(2, 10 + i, 10, 0, 10 + i, same, 0, -1) for i in range(6)]
+    lists = spark.createDataFrame(rows, "list long, node long, n int, pos int, root long, data binary, side long, pair long")
+    got = ngram_join.unconnected(lists, 3).collect()
+    assert [r.list for r in got if r.x is None] == [2]
+    assert sorted((r.x, r.y) for r in got if r.x is not None and r.x < 10) == [(0, 1), (0, 2), (1, 2)]
+    assert {(r.nx, r.ny) for r in got if r.x is not None} == {(10, 10)}
