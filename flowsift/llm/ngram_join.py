@@ -58,6 +58,8 @@ PARTNERS = 8
 #: Sets of a list that are compared at once, and sets of a list that one task gets.
 BLOCK = 256
 PART = 50_000
+#: Texts whose sets or places leave a task at once (each is some kB).
+TEXTS = 1000
 #: 64-bit words in a parity bitmap.
 BITMAP = 16
 #: Elements of the sets that are verified in one bundle (8 bytes each).
@@ -121,6 +123,11 @@ def _sets(texts: pa.Array) -> Iterator[np.ndarray]:
         yield shingles(text.as_py())
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(batch), TEXTS):
+        yield batch.slice(at, TEXTS)
+
+
 def _often(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that come at least twice, and how often."""
     found = np.sort(np.concatenate(parts or [np.zeros(0, np.uint64)]))
@@ -179,21 +186,23 @@ def index_rows(docs: DataFrame, text: str, late: np.ndarray) -> DataFrame:
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen, columns = set(), [[], [], [], []]
-            for found in _sets(batch.column(0)):
-                n = len(found)
-                node = node_of(found)
-                if n < LEAST_SET or node in seen:
-                    continue
-                seen.add(node)
-                last = _member(found, sent.value)
-                first = np.concatenate([found[~last], found[last]])[:prefix_length(n)]
-                k = len(first)
-                for column, values in zip(columns, (first.view(np.int64), np.full(k, node), np.full(k, n, np.int32), np.arange(k, dtype=np.int32))):
-                    column.append(values)
-            kinds = (np.int64, np.int64, np.int32, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, k)) for c, k in zip(columns, kinds)],
-                                             names=["shingle", "node", "n", "pos"])
+            seen = set()
+            for part in _slices(batch):
+                columns = [[], [], [], []]
+                for found in _sets(part.column(0)):
+                    n = len(found)
+                    node = node_of(found)
+                    if n < LEAST_SET or node in seen:
+                        continue
+                    seen.add(node)
+                    last = _member(found, sent.value)
+                    first = np.concatenate([found[~last], found[last]])[:prefix_length(n)]
+                    k = len(first)
+                    for column, values in zip(columns, (first.view(np.int64), np.full(k, node), np.full(k, n, np.int32), np.arange(k, dtype=np.int32))):
+                        column.append(values)
+                kinds = (np.int64, np.int64, np.int32, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, k)) for c, k in zip(columns, kinds)],
+                                                 names=["shingle", "node", "n", "pos"])
 
     return docs.select(text).mapInArrow(places, "shingle long, node long, n int, pos int")
 
@@ -433,13 +442,17 @@ def _made(docs: DataFrame, doc_id: str, text: str, holders: DataFrame, wanted: D
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {}
-            for found in _sets(batch.column(0)):
-                if len(found):
-                    out.setdefault(node_of(found), (len(found), found.tobytes() if whole else _bitmap(found)))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(list(out), pa.int64()), pa.array([v[0] for v in out.values()], pa.int64()), pa.array([v[1] for v in out.values()], pa.binary())
-            ], names=["node", "n", "data"])
+            seen = set()
+            for part in _slices(batch):
+                out = {}
+                for found in _sets(part.column(0)):
+                    node = node_of(found)
+                    if len(found) and node not in seen:
+                        seen.add(node)
+                        out[node] = len(found), found.tobytes() if whole else _bitmap(found)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(list(out), pa.int64()), pa.array([v[0] for v in out.values()], pa.int64()), pa.array([v[1] for v in out.values()], pa.binary())
+                ], names=["node", "n", "data"])
 
     return texts.mapInArrow(make, "node long, n long, data binary")
 
