@@ -133,7 +133,7 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
             kind = batch.column("doc_id").type
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), ids_of(batch.column("text").to_pylist())):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), ids_of(batch.column("text"))):
                 packer.add(doc, np.concatenate([ids, end]))
             yield batch_of(packer.taken(), kind)
         packer.hand_on()

@@ -8,9 +8,11 @@ chunks are spliced there.  Where an overlap holds no such place it is doubled,
 up to the whole text.
 
 Ids: texts are split at ASCII white space, which the tokenizer drops and never
-joins over, so every word's ids can be looked up among those seen before.  A
-word's ids are those of its letters and those of the ASCII punctuation after
-them, so a word that is known with other punctuation is not encoded again.
+joins over, so every word's ids can be looked up among those seen before.  Arrow
+splits a group of texts, finds its distinct words and puts their ids together;
+only distinct words are looked up in Python.  A word's ids are those of its
+letters and those of the ASCII punctuation after them, so a word that is known
+with other punctuation is not encoded again.
 
 Null texts are empty and have no tokens.  Special tokens that occur in a text
 are read as the tokenizer's default does.  Empty tables give empty results.
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +36,10 @@ _PUNCTUATION = string.punctuation.encode()
 
 CHUNK = 16_384
 OVERLAP = 512
-#: Words whose ids a worker remembers before it starts afresh (about 200 bytes each).
+#: Words whose ids a worker remembers before it forgets those not in use (about 200 bytes each).
 WORDS_KEPT = 600_000
+#: Bytes of the texts that are split and looked up together; a longer text is alone.
+GROUP = 8_000_000
 LIMIT = 2048
 
 
@@ -95,14 +100,13 @@ def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = WordIds(path)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column("text")
             counts = np.zeros(len(texts), dtype=np.int64)
-            short = [i for i, t in enumerate(texts) if len(t) <= CHUNK]
-            for i, ids in zip(short, ids_of([texts[i] for i in short])):
+            short = pc.less_equal(pc.utf8_length(texts), CHUNK)
+            for i, ids in zip(np.flatnonzero(short), ids_of(texts.filter(short))):
                 counts[i] = len(ids)
-            for i, t in enumerate(texts):
-                if len(t) > CHUNK:
-                    counts[i] = count_spliced(ids_of.tokenizer, t)
+            for i in np.flatnonzero(pc.invert(short)):
+                counts[i] = count_spliced(ids_of.tokenizer, texts[i].as_py())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts), pa.array(counts > limit)],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
@@ -116,8 +120,10 @@ def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
 
 def _letters(word: bytes) -> bool:
     """Letters only; the last one is a letter since an early Unicode, which every tokenizer's tables know."""
+    if word.isalpha():  # of ASCII
+        return True
     text = word.decode()
-    return text.isalpha() and (text.isascii() or unicodedata.ucd_3_2_0.category(text[-1])[0] == "L")
+    return text.isalpha() and unicodedata.ucd_3_2_0.category(text[-1])[0] == "L"
 
 
 def _remembered(path: str) -> dict[bytes, bytes]:
@@ -130,23 +136,27 @@ def _remembered(path: str) -> dict[bytes, bytes]:
 class WordIds:
     """Token ids of texts by words; remembers the words it has seen.
 
-    Words new to a group of texts are encoded in one go.  Letters alone are one
-    piece of the tokenizer: joined by spaces, each ends where a token closes a
-    piece.  Between other words stands a special token.  A text that may hold
-    special tokens itself is encoded as it is.
+    Words new to a group of texts are encoded in one go, and where too many are
+    known by then, those that the group does not hold are forgotten.  Letters
+    alone are one piece of the tokenizer: joined by spaces, each ends where a
+    token closes a piece.  Between other words stands a special token.  A text
+    that may hold special tokens itself is encoded as it is.
     """
 
-    def __init__(self, path: str, kept: int = WORDS_KEPT, group: int = 200):
+    def __init__(self, path: str, kept: int = WORDS_KEPT, group: int = GROUP):
         self.tokenizer, self.kept, self.group, self.known = load(path), kept, group, _remembered(path)
         special = self.tokenizer.get_added_tokens_decoder()
         self.separator = max(special)
         self.between = special[self.separator].content
-        self.marks = [t.content.encode().lower() for t in special.values()]
+        self.marks = [t.content for t in special.values()]
         vocabulary = self.tokenizer.get_vocab()
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.closing = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.closing[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
 
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
@@ -156,16 +166,20 @@ class WordIds:
         self.known.update(zip(words, (raw[a:b] for a, b in zip([0, *(e + 4 * gap for e in ends)], ends))))
 
     def _learn(self, words: list[bytes]) -> None:
-        cores = {word: word.rstrip(_PUNCTUATION) for word in words}
-        letters = set(filter(_letters, cores.values()))
-        # punctuation is a piece of its own after a letter only
-        tailed = [(word, core) for word, core in cores.items() if core is not word and core in letters]
-        tails = {word[len(core):] for word, core in tailed}
+        letters, tailed, others = set(), [], []
+        for word in words:
+            core = word if word.isalpha() else word.rstrip(_PUNCTUATION)
+            if not _letters(core):
+                others.append(word)
+                continue
+            letters.add(core)
+            if len(core) < len(word):  # punctuation is a piece of its own after a letter only
+                tailed.append((word, core, word[len(core):]))
         self._learn_letters(list(letters.difference(self.known)))
-        self._learn_any(list(tails.difference(self.known)))
-        for word, core in tailed:
-            self.known[word] = self.known[core] + self.known[word[len(core):]]
-        self._learn_any([word for word, core in cores.items() if core not in letters])
+        self._learn_any(list({tail for _, _, tail in tailed}.difference(self.known)))
+        for word, core, tail in tailed:
+            self.known[word] = self.known[core] + self.known[tail]
+        self._learn_any(others)
 
     def _learn_letters(self, words: list[bytes]) -> None:
         for at in range(0, len(words), 5000):
@@ -188,17 +202,44 @@ class WordIds:
             for word in part:  # one brought separators of its own
                 self.known[word] = self._ids(word.decode()).tobytes()
 
-    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for at in range(0, len(texts), self.group):
-            some = texts[at:at + self.group]
-            lowered = [t.encode().lower() for t in some]
-            # bytes: only A-Z change and only ASCII space splits
-            words = [None if any(m in t for m in self.marks) else t.split() for t in lowered]
-            if len(self.known) > self.kept:
-                self.known.clear()
-            self._learn(list(set().union(*filter(None, words)).difference(self.known)))
-            for text, own in zip(some, words):
-                if own is None:
-                    yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-                else:
-                    yield np.frombuffer(b"".join(map(self.known.__getitem__, own)), dtype="<u4")
+    def _groups(self, texts: pa.Array) -> Iterator[pa.Array]:
+        """Neighbours of up to ``group`` bytes in all, or one text."""
+        ends, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+        while at < len(texts):
+            before = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + self.group, side="right")))
+            yield texts[at:end]
+            at = end
+
+    def _known(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each of these distinct words."""
+        ids = list(map(self.known.get, words))
+        if len(self.known) > self.kept:
+            used = {word: own for word, own in zip(words, ids) if own is not None}
+            self.known.clear()
+            self.known.update(used)
+        self._learn([word for word, own in zip(words, ids) if own is None])
+        return [self.known[word] if own is None else own for word, own in zip(words, ids)]
+
+    def __call__(self, texts: list[str] | pa.Array) -> Iterator[np.ndarray]:
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.string())
+        for some in self._groups(texts):
+            lowered = pc.ascii_lower(some)  # only A-Z change, and only ASCII space splits
+            odd = np.zeros(len(some), dtype=bool)
+            for mark in self.marks:
+                odd |= pc.match_substring(lowered, mark.lower()).to_numpy(zero_copy_only=False)
+            if odd.any():
+                lowered = pc.if_else(pa.array(odd), pa.scalar("", lowered.type), lowered)
+            split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(lowered))
+            ends = split.offsets.to_numpy()
+            words = split.flatten().dictionary_encode()
+            distinct = words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+            known = pa.array(self._known(distinct), pa.large_binary())
+            # ids in the order of the words, whatever the size
+            ids = known.take(words.indices)
+            _, at, raw = ids.buffers()
+            cuts = (np.frombuffer(at, dtype="<i8", count=len(ids) + 1)[ends] // 4).tolist()
+            flat = np.frombuffer(raw or b"", dtype="<u4", count=cuts[-1])
+            for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                yield self._whole(some[i].as_py()) if odd[i] else flat[a:b]

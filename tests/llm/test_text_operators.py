@@ -11,6 +11,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -603,3 +604,29 @@ def test_only_lists_that_hold_back_pairs_come_again(spark):
     assert [r.list for r in got if r.x is None] == [2]
     assert sorted((r.x, r.y) for r in got if r.x is not None and r.x < 10) == [(0, 1), (0, 2), (1, 2)]
     assert {(r.nx, r.ny) for r in got if r.x is not None} == {(10, 10)}
+
+
+def test_words_are_looked_up_once_a_group():
+    # a word that many texts hold is looked up once for all of them, and is not encoded anew when others are forgotten
+    texts = [f"often now and then{'.' * (i % 2)} rare{'x' * i}\n" for i in range(300)]
+    want, looked = _ids(texts), Counter()
+
+    class Counted(dict):
+        def __getitem__(self, word):
+            looked[word] += 1
+            return super().__getitem__(word)
+
+        def get(self, word, default=None):
+            looked[word] += 1
+            return super().get(word, default)
+
+    ids_of = tokens.WordIds(tokens.vocabulary(), kept=10)
+    ids_of.known = Counted()
+    assert [i.tolist() for i in ids_of(texts)] == want
+    assert 0 < looked[b"often"] < 10
+    learnt, learn = [], ids_of._learn
+    ids_of._learn = lambda words: (learnt.extend(words), learn(words))[1]
+    assert [i.tolist() for i in ids_of(texts[:2])] == want[:2]
+    assert learnt == [] and len(ids_of.known) < 10
+    for kind in (pa.string(), pa.large_string()):
+        assert [i.tolist() for i in tokens.WordIds(tokens.vocabulary(), group=50)(pa.array(texts, kind))] == want
