@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowsift.operators.ordering import key_changes, last_key
-from flowsift.session import cut_lineage, shuffle_partitions
+from flowsift.session import cut_lineage, shuffle_partitions, shuffles_dropped
 
 FRESH = -(2**63)  # state: the next row of this key starts a run
 
@@ -390,7 +390,8 @@ def assign_runs(
     fraction = min(1.0, _SEEN_OF_HOT / hot_rows)
     sampled = df.select(*keys) if fraction == 1.0 else df.select(*keys).sample(fraction, seed=1)
     hot = sampled.groupBy(*keys).count().where(F.col("count") > hot_rows * fraction)
-    n_hot, total = hot.agg(F.count(F.lit(1)), F.sum("count")).first()
+    with shuffles_dropped(df.sparkSession):
+        n_hot, total = hot.agg(F.count(F.lit(1)), F.sum("count")).first()
     order = [*keys, ts, *ties]
     if n_hot == 0:
         return _walk_sorted(_by_key(df, keys, order), keys, ts, rule, None, head, scan)

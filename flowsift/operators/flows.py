@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +26,14 @@ def flow_rule(timeout_us: int) -> RunRule:
     return RunRule(timeout_us, strict=True, consume=True)
 
 
-def split_flows(packets: DataFrame, timeout_us: int = FLOW_TIMEOUT_US, **split) -> DataFrame:
-    """Packets with their flow: the key columns and ``anchor_us``, the flow's start."""
-    return assign_runs(with_flow_key(packets), FLOW_KEY, "ts_us", ["packet_id"], flow_rule(timeout_us), **split)
+def split_flows(
+    packets: DataFrame, timeout_us: int = FLOW_TIMEOUT_US, columns: Sequence[str] | None = None, **split
+) -> DataFrame:
+    """Packets (or these ``columns`` of them) with their flow: the key columns and ``anchor_us``, the flow's start."""
+    keyed = with_flow_key(packets)
+    if columns is not None:
+        keyed = keyed.select(*FLOW_KEY, *columns)
+    return assign_runs(keyed, FLOW_KEY, "ts_us", ["packet_id"], flow_rule(timeout_us), **split)
 
 
 def seam_scan(seams: Callable[[list[str]], np.ndarray], longest: int) -> RunScan:

@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
-from collections.abc import Sequence
+from bisect import bisect_left
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowsift.functions.packets import FLOW_KEY, host_pair, with_flow_key
 from flowsift.operators.anchors import RunScan
 from flowsift.operators.flows import FLOW_TIMEOUT_US, assemble_flows, seam_scan, split_flows
-from flowsift.operators.ordering import running_sums
+from flowsift.operators.ordering import key_changes, last_key, running_sums
 from flowsift.operators.signatures import Rule, any_of, is_binary, signature_any
-from flowsift.session import cut_lineage, shuffle_partitions
+from flowsift.session import cut_lineage, shuffle_partitions, shuffles_dropped
 
 _HOT_PIECES = 5_000_000
 _SALTS = 64
-_PARTS_PER_TASK = 8
+_PARTS_PER_TASK = 1
+_PART_BYTES = 64 << 20  # payload of a part, besides its last buffer
+_WAVE_BYTES = 256 << 20  # payload on its way at once, for each core, or more if there were
+_WAVES = 16  # more waves than this
+_READY_BYTES = 16 << 20
+_END = (1 << 63) - 1  # later than every packet
 
 
 def reassemble(
@@ -60,81 +69,201 @@ def _key_order(pair, ts, packet) -> tuple:
     return pair, (ts is not None, ts), (packet is not None, packet)
 
 
-def _part_starts(epochs: DataFrame) -> list[tuple]:
-    """First (pair, time, id) of each part of the packets in that order: parts of similar payload that cut no epoch.
+def _takers(runs: DataFrame, timeout_us: int) -> DataFrame:
+    """The flows that take a buffer, at the (pair, time, id) where it ends, with about the bytes it holds.
 
-    Packets alike in all three may lie on both sides of an epoch's start; no part starts there.
+    A flow takes its pair's buffer with the packet that closes it; what is left
+    at the end goes to the pair's oldest open flow.  A flow's bytes count where
+    it ends: by timeout or so that is where its buffers are.
     """
-    keys = epochs.groupBy("pair", "ts_us", "packet_id").agg(
-        F.min("epoch").alias("epoch"), F.max("epoch").alias("_to"), F.sum("_size").alias("_size"))
-    begun = keys.groupBy("pair", "epoch").agg(
-        F.sum("_size").alias("_size"), F.min(F.struct("ts_us", "packet_id")).alias("_first"), F.max("_to").alias("_to"))
-    shared = begun.where("_to > epoch").select("pair", F.explode(F.sequence(F.col("epoch") + 1, "_to")).alias("epoch"))
-    total = begun.agg(F.sum("_size")).first()[0] or 0
-    share = max(total / (_PARTS_PER_TASK * shuffle_partitions(epochs.sparkSession)), 1.0)
-    placed = running_sums(begun, ["pair", "epoch"], {"_upto": F.col("_size")})
-    part = F.floor((F.col("_upto") - F.col("_size")) / share)
-    first = F.min(F.struct("pair", "_first.ts_us", "_first.packet_id")).alias("first")
-    starts = placed.join(shared, ["pair", "epoch"], "left_anti").groupBy(part.alias("part")).agg(first)
-    return sorted(_key_order(*r["first"]) for r in starts.collect())  # one row per part
-
-
-def _part(starts: list[tuple]) -> Column:
-    @F.arrow_udf("int")
-    def number(pair: pa.Array, ts: pa.Array, packet: pa.Array) -> pa.Array:
-        rows = zip(pair.to_pylist(), ts.to_pylist(), packet.to_pylist())
-        return pa.array([bisect_right(starts, _key_order(*r)) for r in rows], pa.int32())
-
-    return number(F.col("pair"), F.col("ts_us"), F.col("packet_id"))
+    closes = F.col("ts_us") - F.col("anchor_us") > timeout_us  # one packet of a flow at most
+    flows = runs.groupBy(*FLOW_KEY, F.col("anchor_us").alias("start_us")).agg(
+        F.min("packet_id").alias("flow_id"), F.sum("_size").alias("_size"),
+        F.max(F.when(closes, F.col("ts_us"))).alias("ts_us"), F.max(F.when(closes, F.col("packet_id"))).alias("packet_id"),
+    )
+    closer = F.when(F.col("ts_us").isNotNull(), F.struct("ts_us", "packet_id", "start_us", *FLOW_KEY))
+    taken = flows.groupBy(host_pair("a_ip", "b_ip").alias("pair"), closer.alias("_at")).agg(
+        F.min(F.struct("start_us", "flow_id", *FLOW_KEY)).alias("_f"), F.sum("_size").alias("_size"))
+    return taken.select("pair", F.coalesce("_at.ts_us", F.lit(_END)).alias("ts_us"), "_at.packet_id", "_f.*", "_size")
+
+
+def _cuts(takers: DataFrame) -> list[tuple[Row, int]]:
+    """Last (pair, time, id) and bytes of each part of the takers in that order; a part has about ``share`` bytes."""
+    with shuffles_dropped(takers.sparkSession):
+        total = takers.agg(F.max("_upto")).first()[0] or 0
+        tasks = _PARTS_PER_TASK * shuffle_partitions(takers.sparkSession)
+        share = max(min(total / tasks, _PART_BYTES), 1.0)
+        parts = takers.groupBy(F.floor(F.col("_upto") / share).alias("part")).agg(
+            F.max(F.struct("pair", "ts_us", "packet_id")).alias("last"), F.sum("_size").alias("size"))
+        return [(r["last"], r["size"]) for r in sorted(parts.collect(), key=lambda r: r["part"])]  # one row per part
+
+
+def _waves(sizes: Sequence[int], most: float) -> list[tuple[int, int]]:
+    """First and last of neighbouring parts that together have at most ``most`` bytes, or are one part."""
+    waves, first, size = [], 0, 0
+    for i, more in enumerate(sizes):
+        if i > first and size + more > most:
+            waves.append((first, i - 1))
+            first, size = i, 0
+        size += more
+    return [*waves, (first, max(len(sizes) - 1, 0))]
+
+
+def _parts(ends: list[tuple]) -> Column:
+    """Part of a row; one that lies where a part ends is also in the next."""
+    @F.arrow_udf("array<int>")
+    def numbers(pair: pa.Array, ts: pa.Array, packet: pa.Array) -> pa.Array:
+        found = []
+        for row in zip(pair.to_pylist(), ts.to_pylist(), packet.to_pylist()):
+            key = _key_order(*row)
+            i = bisect_left(ends, key)
+            found.append([i, i + 1] if i < len(ends) and ends[i] == key else [i])
+        return pa.array(found, pa.list_(pa.int32()))
+
+    return numbers(F.col("pair"), F.col("ts_us"), F.col("packet_id"))
+
+
+def _beside_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of which only the last ends with a taker: the row after a taker lies in its batch."""
+    late = None
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        if late is not None:
+            batch, late = pa.concat_batches([late, batch]), None
+        if batch.column("_owns")[-1].is_valid:
+            batch, late = batch.slice(0, batch.num_rows - 1), batch.slice(batch.num_rows - 1)
+        if batch.num_rows:
+            yield batch
+    if late is not None:
+        yield late
+
+
+def _like_next(batch: pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
+    """Rows whose next row has the same keys; nulls are alike."""
+    same = np.ones(batch.num_rows, dtype=bool)
+    same[-1] = False
+    for key in keys:
+        here, there = batch.column(key).slice(0, batch.num_rows - 1), batch.column(key).slice(1)
+        equal = pc.or_(pc.fill_null(pc.equal(here, there), False), pc.and_(here.is_null(), there.is_null()))
+        same[:-1] &= equal.to_numpy(zero_copy_only=False)
+    return same
+
+
+def _join_pieces(rows: DataFrame, alike: Sequence[str], columns: Sequence[str], cap: int | None) -> DataFrame:
+    """``columns`` of the takers that own a buffer that is not empty, and the buffer.
+
+    Partitions hold parts, sorted by (pair, time, id, flow, payload): pieces and
+    takers, which have no payload but ``_owns``.  A taker comes before the
+    packets like its own and takes the first of them and all before.  Texts are
+    cut out of the batches' bytes in one piece; one buffer is held at a time.
+    """
+    text = rows.schema["payload"].dataType
+    schema = T.StructType([*(rows.schema[c] for c in columns), T.StructField("payload", text)])
+    kind = pa.binary() if text == T.BinaryType() else pa.string()
+    most = None if cap is None else cap if text == T.BinaryType() else 4 * cap  # bytes that hold so many characters
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, before = [], 0, None
+
+        def hold(piece: memoryview) -> None:
+            nonlocal size
+            piece = piece if most is None else piece[:max(most - size, 0)]
+            size += len(piece)
+            held.append(bytes(piece))
+
+        def drop() -> None:
+            nonlocal size
+            held.clear()
+            size = 0
+
+        for batch in _beside_next(batches):
+            pieces = batch.column("payload").cast(pa.large_binary())
+            _, places, data = pieces.buffers()
+            at = np.frombuffer(places, np.int64)[pieces.offset:pieces.offset + batch.num_rows + 1].tolist()
+            data = memoryview(data or b"")
+            owns = batch.column("_owns").to_pylist()
+            takes, first = batch.column("_owns").is_valid().to_numpy(zero_copy_only=False), key_changes(batch, ["_part", "pair"], before)
+            before = last_key(batch, ["_part", "pair"])
+            with_next = _like_next(batch, alike)
+            begin, found, texts, ready = 0, [], [], 0
+            for i in np.flatnonzero(takes | first).tolist():
+                if first[i]:  # what no flow took
+                    drop()
+                    begin = i
+                if not takes[i]:
+                    continue
+                end = i + 1 + int(with_next[i])
+                hold(data[at[begin]:at[end]])
+                begin = end
+                if owns[i] and size:
+                    found.append(i)
+                    texts.append(b"".join(held))
+                    ready += size
+                drop()
+                if ready >= _READY_BYTES:
+                    yield given(batch, found, texts)
+                    found, texts, ready = [], [], 0
+            hold(data[at[begin]:at[-1]])
+            if found:
+                yield given(batch, found, texts)
+
+    def given(batch: pa.RecordBatch, found: list[int], texts: list[bytes]) -> pa.RecordBatch:
+        owners = batch.select(list(columns)).take(pa.array(found))
+        return pa.RecordBatch.from_arrays([*owners.columns, pa.array(texts, pa.binary()).view(kind)], names=schema.names)
+
+    whole = rows.mapInArrow(join, schema)
+    return whole if cap is None else whole.withColumn("payload", F.substring("payload", 1, cap)).where(F.length("payload") > 0)
 
 
 def host_pair_payloads(
-    packets: DataFrame, timeout_us: int = FLOW_TIMEOUT_US, cap: int | None = None, **split
+    packets: DataFrame, timeout_us: int = FLOW_TIMEOUT_US, cap: int | None = None,
+    measure: Callable[[DataFrame], DataFrame] | None = None, **split,
 ) -> DataFrame:
     """One shared buffer per host pair, taken by the pair's next flow to close.
 
-    ``epoch`` counts the pair's flow completions before a packet.  It is a
-    global running sum in (pair, time) order, so a busy pair is not one task;
-    its absolute value is arbitrary but grows within a pair.
-
-    Flows, epochs and the flow that takes each buffer are found without the
-    payloads (``packets`` is read twice).  Payloads move once: parts of the
-    (pair, time) order that cut no epoch meet their packets' owners in the task
-    that joins the texts.  Equal packets take their epochs in payload order.
+    Flows and the packets that close them are found without the payloads.  In
+    (pair, time, id) order the buffers then lie one after the other, each up to
+    the packet that closes its taker, so a busy pair is not one task: the order
+    is cut into parts of similar payload, between buffers, and a task joins the
+    texts of a part in one pass.  Equal packets take their buffers in payload
+    order.
+
+    The texts are as large as all payloads.  ``measure`` makes of them what is
+    wanted; parts then move in waves of ``_WAVE_BYTES`` for each core, or of a
+    share of all payload, and the files of a wave go before the next begins.
+    ``packets`` is read twice for the flows and once for each wave, which takes
+    its own packets only, by a condition on pair, time and id.
     """
+    spark = packets.sparkSession
+    order, columns = ["pair", "ts_us", "packet_id"], [*FLOW_KEY, "start_us", "flow_id"]
     size = F.coalesce(F.octet_length("payload"), F.lit(0)).cast("long")
-    runs = split_flows(packets.withColumn("_size", size).drop("payload"), timeout_us, **split)
-    closing = (F.col("ts_us") - F.col("anchor_us") > timeout_us).cast("int")
-    marked = runs.select("packet_id", "ts_us", *FLOW_KEY, "anchor_us", "_size", host_pair().alias("pair"), closing.alias("_closes"))
-    summed = running_sums(marked, ["pair", "ts_us", "packet_id"], {"_done": F.col("_closes")})
-    epochs = cut_lineage(summed.withColumn("epoch", (F.col("_done") - F.col("_closes")).cast("bigint")).drop("_done"))
-    owners = epochs.groupBy("pair", *FLOW_KEY, F.col("anchor_us").alias("start_us")).agg(
-        F.min("packet_id").alias("flow_id"), F.max("epoch").alias("_seen"),
-        F.max(F.when(F.col("_closes") == 1, F.col("epoch"))).alias("epoch"),
-    )
-    owners = cut_lineage(owners)
-    closers = owners.where("epoch is not null").drop("_seen")
-    # what is left at the end goes to the pair's oldest open flow
-    columns = [*FLOW_KEY, "start_us", "flow_id"]
-    oldest = F.min(F.when(F.col("epoch").isNull(), F.struct("start_us", "flow_id", *FLOW_KEY)))
-    leftover = owners.groupBy("pair").agg(
-        oldest.alias("_f"), F.coalesce(F.max("epoch") + 1, F.max("_seen")).alias("epoch")
-    ).where("_f is not null").select("pair", "epoch", *[F.col(f"_f.{c}").alias(c) for c in columns])
-    taken = closers.unionByName(leftover).select("pair", "epoch", F.struct("epoch", *columns).alias("_owner"))
-
-    part = _part(_part_starts(epochs)).alias("_part")
-    key = ["pair", "ts_us", "packet_id", *FLOW_KEY]
-    found = epochs.select(*key, "epoch").join(taken, ["pair", "epoch"]).select(*key, part, "_owner")
-    pieces = with_flow_key(packets).where(F.length("payload") > 0).withColumn("pair", host_pair()).select(*key, part, "payload")
-    met = found.unionByName(pieces, allowMissingColumns=True).repartition(shuffle_partitions(packets.sparkSession), "_part")
-    alike = Window.partitionBy("_part", *key)
-    met = met.withColumns({  # payloads come first; the n-th of equal packets takes the n-th owner
-        "_nth": F.row_number().over(alike.orderBy(F.col("payload").isNull(), "payload")),
-        "_owners": F.sort_array(F.collect_list("_owner").over(alike)),
-    }).where(F.col("payload").isNotNull()).withColumn("_owner", F.get("_owners", F.col("_nth") - 1)).where("_owner is not null")
-    owned = met.select("_part", "pair", "ts_us", "packet_id", "payload", "_owner.epoch", *[F.col(f"_owner.{c}").alias(f"_o_{c}") for c in columns])
-    text = reassemble(owned, ["_part", "pair", "epoch", *[f"_o_{c}" for c in columns]], ["ts_us", "packet_id"], "payload", cap)
-    return text.select(*[F.col(f"_o_{c}").alias(c) for c in columns], "payload")
+    runs = split_flows(packets.withColumn("_size", size).drop("payload"), timeout_us, ["ts_us", "packet_id", "_size"], **split)
+    takers = cut_lineage(running_sums(_takers(runs, timeout_us), order, {"_upto": F.col("_size")}))
+    cuts = _cuts(takers)
+    ends = [_key_order(*last) for last, _ in cuts[:-1]]
+
+    pieces = with_flow_key(packets).where(F.length("payload") > 0).withColumn("pair", host_pair()).select(*order, *FLOW_KEY, "payload")
+    rows = takers.select(*order, *columns, F.lit(True).alias("_taker")).unionByName(pieces, allowMissingColumns=True)
+
+    def joined(first: int, last: int) -> DataFrame:
+        here = F.lit(True)
+        for i, beyond in ((first - 1, False), (last, True)):
+            if 0 <= i < len(ends):
+                at = F.struct(*[F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in zip(order, cuts[i][0])])
+                here &= F.struct(*order) <= at if beyond else F.struct(*order) >= at
+        placed = rows.where(here).select("*", F.posexplode(_parts(ends)).alias("_again", "_part"))
+        placed = placed.where(F.col("_part").between(first, last)).withColumn("_owns", F.when(F.col("_taker"), F.col("_again") == 0))
+        placed = placed.repartitionById(last - first + 1, F.col("_part") - first).drop("_taker", "_again")
+        return _join_pieces(placed.sortWithinPartitions("_part", *order, *FLOW_KEY, "payload"), ["_part", *order, *FLOW_KEY], columns, cap)
+
+    if measure is None:
+        return joined(0, len(ends))
+    sizes = [size for _, size in cuts]
+    waves = _waves(sizes, max(_WAVE_BYTES * spark.sparkContext.defaultParallelism, sum(sizes) / _WAVES))
+    if len(waves) == 1:
+        return measure(joined(*waves[0]))
+    return reduce(DataFrame.unionByName, [cut_lineage(measure(joined(*w))) for w in waves])
 
 
 def _longest(rules: Sequence[Rule]) -> int:

@@ -162,8 +162,10 @@ ids as (select k, anchor, min(packet_id) as flow_id from epochs group by all)
 select flow_id, length(payload) as n_chars, md5(payload) as digest
 from owners join texts using (pair, epoch) join ids using (k, anchor)""", flows=True))
 def host_pair_payload(spark, sf_dir):
-    texts = gates.host_pair_payloads(_payloads(spark, sf_dir), TIMEOUT)
-    return texts.select("flow_id", F.length("payload").cast("bigint").alias("n_chars"), F.md5("payload").alias("digest"))
+    def measure(texts):
+        return texts.select("flow_id", F.length("payload").cast("bigint").alias("n_chars"), F.md5("payload").alias("digest"))
+
+    return gates.host_pair_payloads(_payloads(spark, sf_dir), TIMEOUT, measure=measure)
 
 
 _BUILD, _NUMBER = fx._FLOW_CTES.split("seqd as", 1)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +57,17 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(shared)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries that are made and run in here leave no shuffle files; a frame that is run later must be made outside."""
+    before = spark.conf.get(_CLEAN_UP)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: partitions and row order survive executor loss.
 
@@ -72,12 +85,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     _ensure_checkpoint_dir(spark)
-    before = spark.conf.get(_CLEAN_UP)
-    spark.conf.set(_CLEAN_UP, "true")
-    try:
+    with shuffles_dropped(spark):
         cut = df.select("*").checkpoint(eager=True)  # a plan of its own: what else uses df keeps its shuffles
-    finally:
-        spark.conf.set(_CLEAN_UP, before)
     plan = cut._jdf.queryExecution()
     if int(plan.optimizedPlan().stats().sizeInBytes()).bit_length() <= _MOST_BITS:
         return cut

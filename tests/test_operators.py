@@ -313,6 +313,61 @@ def test_host_pair_payloads_move_once(spark, monkeypatch):
     assert twice <= 2 * sum(len(r[-1] or "") for r in rows) and twice > 0
 
 
+def test_host_pair_payloads_move_in_waves(spark, monkeypatch):
+    """No wave holds more than its bytes and one part; buffers do not depend on waves, parts or Arrow batches."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(500):
+        a, b = f"h{rng.randrange(2)}", f"h{rng.randrange(2, 5)}"
+        rows.append((i, rng.randrange(500) * S, a, b, rng.randrange(3), 80, 6, 1, 0, rng.choice([None, "", f"<{i}>", f"é{i}" * 40])))
+    df = spark.createDataFrame(rows, PACKET + ", payload string")
+    want = _pair_buffers(rows, 60 * S)
+    whole = sum(len((r[-1] or "").encode()) for r in rows)
+    waves = []
+
+    def measure(texts):
+        texts = texts.select("flow_id", "start_us", "payload")
+        waves.append(texts.agg(F.sum(F.octet_length("payload"))).first()[0] or 0)
+        return texts
+
+    def sized(batch_rows, **given):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+        for name, value in given.items():
+            monkeypatch.setattr(gates, name, value)
+        waves.clear()
+        return sorted(map(tuple, gates.host_pair_payloads(df, 60 * S, measure=measure).collect()))
+
+    largest = max(len(text.encode()) for _, _, text in want)
+    try:
+        assert sized(10_000) == want and len(waves) == 1
+        assert sized(3, _WAVE_BYTES=1, _WAVES=4, _PARTS_PER_TASK=400) == want
+        assert 4 <= len(waves) <= 8 and sum(waves) == sum(len(text.encode()) for _, _, text in want)
+        assert max(waves) <= whole / 4 + 2 * largest
+        short = {(r["flow_id"], r["start_us"]): r["payload"] for r in gates.host_pair_payloads(df, 60 * S, cap=5).collect()}
+        assert short == {(flow, start): text[:5] for flow, start, text in want}
+        assert gates.host_pair_payloads(df.limit(0), 60 * S, measure=lambda texts: texts).collect() == []
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_host_pair_payloads_equal_packets_at_the_ends_of_parts(spark, monkeypatch):
+    """Copies of a packet that closes a flow: the first in payload order goes with the flow, wherever parts end."""
+    rows = []
+    for k in range(12):  # a flow closes each 100 s; its last packet comes four times, once without payload
+        t = 100 * k
+        rows += [(10 * k, t, f"<{k}>"), *[(10 * k + 5, t + 70, p) for p in (f"c{k}", "", f"a{k}", f"b{k}")]]
+    rows = [(i, t * S, "a", "b", 1, 80, 6, 1, 0, p) for i, t, p in rows]
+    # copies after the first begin a flow, which the next first packet, 30 s later, joins and the next copies close
+    df = spark.createDataFrame(rows, PACKET + ", payload string")
+    want = {(10 * k + (0 if k == 0 else -5), (0 if k == 0 else 100 * k - 30) * S): (f"b{k - 1}c{k - 1}" if k else "") + f"<{k}>a{k}" for k in range(12)}
+    want[115, 1170 * S] = "b11c11"
+    for given in ({}, {"_PARTS_PER_TASK": 400}, {"_WAVE_BYTES": 1}):
+        for name, value in given.items():
+            monkeypatch.setattr(gates, name, value)
+        got = gates.host_pair_payloads(df, 60 * S, measure=lambda texts: texts).collect()
+        assert {(r["flow_id"], r["start_us"]): r["payload"] for r in got} == want
+
+
 # --- decision ---------------------------------------------------------------------------
 
 
